@@ -37,8 +37,8 @@ NEW_LETTERS = [
     (0x11BC0, 0x11BE1), (0x13460, 0x143FB), (0x16100, 0x1611E), (0x16D40, 0x16D6D), (0x18CFF, 0x18D00), (0x1E5D0, 0x1E5EE), (0x1E5F0, 0x1E5F1),
 ]
 NEW_NUMBERS = [(0x10D40, 0x10D4A), (0x116D0, 0x116E4), (0x11BF0, 0x11BFA), (0x16130, 0x1613A), (0x16D70, 0x16D7A), (0x1CCF0, 0x1CCFA), (0x1E5F1, 0x1E5FB)]
-CHUNK_CHARS = 1 << 21
-CACHE_WORDS = 500_000
+CHUNK_CHARS = 1 << 19
+CACHE_WORDS = 200_000
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -336,7 +336,7 @@ def encode(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "t
         coder = encoder(ranks)
         for batch in batches:
             raw = utf8(batch.column(1))
-            for a, b in chunks([len(t or b"") for t in raw], 8 << 20):
+            for a, b in chunks([len(t or b"") for t in raw], 4 << 20):
                 coded = coder.encode([decoded(t) for t in raw[a:b]])
                 ids = [np.frombuffer(x, "<u4") for x in coded]
                 if arrays:
@@ -358,9 +358,11 @@ def decode(df: DataFrame, ranks: str) -> DataFrame:
         coder = encoder(ranks)
         for batch in batches:
             k = batch.schema.get_field_index("ids")
-            ids = batch.column(k).to_pylist()
-            bytes_ = [coder.decode(np.frombuffer(x, "<u4") if isinstance(x, bytes) else np.array(x or [], np.int64)) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bytes_, pa.binary())], [*batch.schema.names, "decoded"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ids = part.column(k).to_pylist()
+                texts = [coder.decode(np.frombuffer(x, "<u4") if isinstance(x, bytes) else np.array(x or [], np.int64)) for x in ids]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
