@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, media, mixing, rules
+from tidewell.llm import bpe, media, mixing, neardup, rules, substrings
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op3_quality_rules": rules.op3_quality_rules,
     "op5_media_columns": media.op5_media_columns,
+    "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
+    "op9_suffix_array_dedup": substrings.op9_suffix_array_dedup,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 ORACLE_SQL = {"op3_quality_rules": rules.OP3_SQL}
