@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, media, mixing, neardup, rules, substrings
+from tidewell.llm import bpe, lm, media, mixing, neardup, pii, rules, substrings
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op3_quality_rules": rules.op3_quality_rules,
     "op5_media_columns": media.op5_media_columns,
+    "op6_pii": pii.op6_pii,
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
+    "op8_lm_scoring": lm.op8_lm_scoring,
     "op9_suffix_array_dedup": substrings.op9_suffix_array_dedup,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
