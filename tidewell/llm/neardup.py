@@ -5,10 +5,10 @@ representatives are posted under each (coordinate, value) pair. Two documents wh
 coordinates share a pair among the K-T+1 rarest pairs of both (the prefix), so only those are posted; the longer lists are
 skipped, and all agreements that count are then confirmed on the full shingle sets.
 
-Links inside a list aren't enumerated: each member is compared with the list's smallest member (its hub) first. Lists whose
-members all lie in one component by then are done. In the others, only members of different components are compared, and of
-those only pairs that the triangle inequality of the Jaccard distance to the hub leaves possible. So no link between different
-components is lost, and a list of n copies costs n comparisons.
+Links inside a list aren't enumerated: each member is compared with the list's hub first, the member whose signature is the most
+common. Lists whose members all lie in one component by then are done. The members of the others are joined by the rarest
+shingles of their full sets, where a pair of different components that reaches the similarity must meet. So no link between
+different components is lost, and a list of n copies costs n comparisons.
 
 Null and empty texts have no shingles and stay alone. Rows without an id stay alone and have no component. Repeated ids share
 one component. Nothing is collected; each round of components is written to the checkpoint folder.
@@ -126,6 +126,27 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def rare_pairs(found: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, found, root) -> (a, b) of different roots that may have the similarity, each once.
+
+    The pair has percent / (100 + percent) of both sizes' sum in common. In the order of rarity, the first shingle that both
+    have must come so early that enough are left after it on both sides. The shingles that a copy has for itself come first,
+    and so copies that differ too much never meet.
+    """
+    items = found.select("doc_id", "root", F.size("found").alias("size"), F.explode("found").alias("item"))
+    shared = items.groupBy("item").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("n > 1")
+    own = items.join(shared, "item").groupBy("doc_id", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "item", "x", "y"))).alias("own"))
+    # left: shingles from this one on; those that nobody shares came before all of these
+    posted = own.select("doc_id", "root", "size", F.size("own").alias("m"), F.posexplode("own").alias("k", "p")).select(
+        "doc_id", "root", "size", (F.col("m") - F.col("k")).alias("left"), F.col("p.item").alias("item"), (F.col("p.x") != F.col("p.y")).alias("several")
+    )
+    posted = posted.where(F.col("several") & (100 * F.col("left") >= percent * F.col("size"))).drop("several")
+    p, q = posted.alias("p"), posted.alias("q")
+    enough = (100 + percent) * F.least("p.left", "q.left") >= percent * (F.col("p.size") + F.col("q.size"))
+    met = (F.col("p.item") == F.col("q.item")) & (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.root") != F.col("q.root")) & enough
+    return p.join(q, met).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, k: int = COORDINATES, agree: int = AGREE) -> DataFrame:
     """A row for each row of df: doc_id, n_shingles, component_id, kept.
 
@@ -141,12 +162,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the prefix: the rarest pairs of each representative; pairs that are alone take room in it but lead nowhere
     posted = reps.select("rep", F.explode("pairs").alias("pair"))
     shared = posted.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
-    ordered = posted.join(shared, "pair").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("own"))  # k at most
+    ordered = posted.join(shared, "pair").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("own"), F.sum("n").alias("known"))  # k at most
     prefix = F.slice("own", 1, F.greatest(F.lit(0), F.size("own") - (agree - 1)))
-    lists = durable(ordered.select("rep", F.explode(prefix).alias("p")).select("rep", F.col("p.pair").alias("pair")), "lists")
+    lists = durable(ordered.select("rep", "known", F.explode(prefix).alias("p")).select("rep", "known", F.col("p.pair").alias("pair")), "lists")
 
-    hubs = lists.groupBy("pair").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("pair", "hub")
-    member = lists.join(hubs, "pair")
+    # a list's hub: the member whose whole signature is the most common, as the original of many copies is
+    hubs = lists.groupBy("pair").agg(F.max(F.struct("known", (-F.col("rep")).alias("rep"))).alias("hub"), F.count("*").alias("n")).where("n > 1").select("pair", (-F.col("hub.rep")).alias("hub"))
+    member = lists.select("rep", "pair").join(hubs, "pair")
     own = member.select(F.explode(F.array("rep", "hub")).alias("doc_id")).distinct()
     full = durable(sets(docs.join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
 
@@ -160,14 +182,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = durable(compared(member.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()), "hub links")
     roots = components(first.where(linked))
 
+    # lists with members of several components: only pairs that share one of the rarest shingles of both can reach the
+    # similarity
     labelled = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = labelled.groupBy("pair").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("pair")
-    far = first.select(F.col("a").alias("rep"), F.col("b").alias("hub"), (1 - F.col("both") / F.col("either")).alias("far"))
-    open_ = labelled.join(mixed, "pair", "left_semi").join(far, ["rep", "hub"], "left").select("pair", "hub", "rep", "root", F.coalesce("far", F.lit(0.0)).alias("far"))
-    p, q = open_.alias("p"), open_.alias("q")
-    apart = (F.col("p.rep") < F.col("q.rep")) & (F.col("p.root") != F.col("q.root")) & (F.col("p.rep") != F.col("p.hub"))
-    near = F.abs(F.col("p.far") - F.col("q.far")) <= 1 - percent / 100 + 1e-9
-    rest = p.join(q, (F.col("p.pair") == F.col("q.pair")) & apart & near).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
+    open_ = durable(labelled.join(mixed, "pair", "left_semi").select("rep", "root").distinct(), "open")
+    rest = rare_pairs(full.join(open_.withColumnRenamed("rep", "doc_id"), "doc_id"), percent)
     second = durable(compared(rest).where(linked), "other links")
     if not second.isEmpty():
         roots = components(first.where(linked).select("a", "b").unionByName(second.select("a", "b")))
