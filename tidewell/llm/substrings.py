@@ -204,7 +204,7 @@ def suffix_array(a: np.ndarray) -> np.ndarray:
     words = np.ndarray((n,), ">u8", np.append(a, np.zeros(8, np.uint8)).tobytes(), strides=(1,)).astype(np.uint64)
     order = np.argsort(words, kind="stable")
     fresh = np.append(True, words[order][1:] != words[order][:-1])
-    rank = np.full(n + 1, -1, np.int64)
+    rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     done = 8
     while True:
@@ -213,7 +213,9 @@ def suffix_array(a: np.ndarray) -> np.ndarray:
         if not len(todo):
             break
         part = order[todo]
-        key = rank[part] * (n + 1) + rank[np.minimum(part + done, n)] + 1
+        on = part + done
+        # beyond the end the shorter suffix comes first
+        key = rank[part] * (2 * n + 2 * done) + np.where(on < n, rank[np.minimum(on, n - 1)], n - 1 - on) + n + done
         by = np.argsort(key, kind="stable")
         order[todo], key = part[by], key[by]
         starts = np.append(True, key[1:] != key[:-1])
