@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, lm, media, mixing, neardup, pii, rules, substrings
+from tidewell.llm import bpe, kneser, licences, lm, media, mixing, neardup, pii, rules, substrings
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_quality_classifier": kneser.op2_quality_classifier,
     "op3_quality_rules": rules.op3_quality_rules,
+    "op4_licence_scan": licences.op4_licence_scan,
     "op5_media_columns": media.op5_media_columns,
     "op6_pii": pii.op6_pii,
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
