@@ -108,8 +108,8 @@ class Mix:
             [(k, r["source"], r["size"], t) for k, (r, t) in enumerate(zip(found, self.targets, strict=True))], "source_no int, source string, source_size long, target double"
         )
         rows = sum(r["n"] for r in found)
-        # where a document begins in its source: sums within buckets of about 20,000 rows, and sums of the few buckets before
-        buckets = max(1, rows // 20_000)
+        # where a document begins in its source: sums within buckets, and sums of the buckets before; both about the root of all rows
+        buckets = max(1, math.isqrt(rows))
         own = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         named = sized.join(F.broadcast(table.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name")))  # a row for each source
@@ -166,7 +166,8 @@ class Mix:
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target and taken, the words that the mix takes of it, repeats counted."""
         drawn = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-        sums = self.pieces.join(drawn, ["source_no", "block"], "left").groupBy("doc_id", "source_no", "size", "first", "source_size", "target")
+        # as many drawn blocks as the corpus has: never a broadcast
+        sums = self.pieces.join(drawn.hint("merge"), ["source_no", "block"], "left").groupBy("doc_id", "source_no", "size", "first", "source_size", "target")
         some = sums.agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
         columns = ["doc_id", "size", "source_size", "target", "taken"]
         return some.select(columns).unionByName(self.sizes.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
