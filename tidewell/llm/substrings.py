@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents, utf8
+from tidewell.llm.common import chunks, documents, utf8
 
 WIDTH, GRAM = 50, 16
 SIDE = WIDTH - GRAM  # what an anchor's strings reach to either side
@@ -63,7 +63,12 @@ def joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text's index, place, hash) of each anchor."""
+    """(text's index, place, hash) of each anchor; a few texts at a time."""
+    found = [(own + a, place, h) for a, b in chunks(map(len, texts), 1 << 20) for own, place, h in [_anchors(texts[a:b])]]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else _anchors([b""])
+
+
+def _anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, begin, ends = joined(texts)
     n = int(ends[-1])
     if n < WIDTH:
@@ -266,8 +271,8 @@ def strings(cut: np.ndarray, low, high, least, most):
     return order, number, np.minimum.reduceat(least[which], starts), np.maximum.reduceat(most[which], starts), np.ascontiguousarray(text).view(f"S{WIDTH}")[:, 0]
 
 
-def judged(cut, low, high, least, most) -> tuple[np.ndarray, np.ndarray]:
-    """For each snippet and place: the smallest document with the string that starts there, and the largest; 0 and 0 where none starts."""
+def judged(cut, low, high, least, most) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(snippet, place, smallest document) of each string that documents share."""
     found = [strings(*(x[k : k + BLOCK] for x in (cut, low, high, least, most))) for k in range(0, len(cut), BLOCK)]
     keys, small, large = found[0][4], found[0][2].copy(), found[0][3].copy()
     for _, _, s, m, text in found[1:]:
@@ -276,11 +281,15 @@ def judged(cut, low, high, least, most) -> tuple[np.ndarray, np.ndarray]:
         hit[hit] = keys[at[hit]] == text[hit]
         small[at[hit]], large[at[hit]] = np.minimum(small[at[hit]], s[hit]), np.maximum(large[at[hit]], m[hit])
         keys, small, large = np.insert(keys, at[~hit], text[~hit]), np.insert(small, at[~hit], s[~hit]), np.insert(large, at[~hit], m[~hit])
-    low_doc, high_doc = np.zeros(len(cut) * CUT, np.int64), np.zeros(len(cut) * CUT, np.int64)
+    rows = []
     for k, (order, number, _, _, text) in enumerate(found):
         at = np.searchsorted(keys, text)[number] if len(found) > 1 else number
-        low_doc[order + k * BLOCK * CUT], high_doc[order + k * BLOCK * CUT] = small[at], large[at]
-    return low_doc.reshape(-1, CUT), high_doc.reshape(-1, CUT)
+        shared = small[at] < large[at]
+        place = order[shared] + k * BLOCK * CUT
+        by = np.argsort(place)
+        rows.append((place[by], small[at[shared]][by]))
+    place, doc = (np.concatenate(x) for x in zip(*rows, strict=True))
+    return place // CUT, place % CUT, doc
 
 
 RUNS = "key bigint, first array<int>, end array<int>, doc array<bigint>"
@@ -295,9 +304,9 @@ def repeated_strings(held: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             docs = batch.column(1).to_numpy(zero_copy_only=False)
             texts, places = utf8(batch.column(2)), [np.array(p, np.int64) for p in batch.column(3).to_pylist()]
-            for a in range(0, len(texts), 500):
-                cut, low, high, key, anchor, own, _ = snippets(texts[a : a + 500], places[a : a + 500])
-                doc = docs[a : a + 500][own]
+            for a, b in chunks(map(len, texts), 1 << 20):
+                cut, low, high, key, anchor, own, _ = snippets(texts[a:b], places[a:b])
+                doc = docs[a:b][own]
                 order = np.lexsort((key, anchor % np.uint64(shards)))
                 k = key[order]
                 starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
@@ -324,10 +333,7 @@ def repeated_strings(held: DataFrame, shards: int) -> DataFrame:
         starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         small, large, one = np.minimum.reduceat(small[order], starts), np.maximum.reduceat(large[order], starts), order[starts]
         key, ends, cut = key[one], ends[one].astype(np.int64), cut[one]
-        least, most = judged(cut, ends[:, 0], ends[:, 1], small, large)
-        shared = least < most
-        row, at = np.nonzero(shared)
-        doc = least[row, at]
+        row, at, doc = judged(cut, ends[:, 0], ends[:, 1], small, large)
         if not len(row):
             return pa.table({"key": pa.array([], pa.int64()), "first": pa.array([], pa.list_(pa.int32())), "end": pa.array([], pa.list_(pa.int32())), "doc": pa.array([], pa.list_(pa.int64()))})
         new = np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]))
@@ -356,9 +362,9 @@ def occurrences(held: DataFrame) -> DataFrame:
         for batch in batches:
             ids, docs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             texts, places = utf8(batch.column(2)), [np.array(p, np.int64) for p in batch.column(3).to_pylist()]
-            for a in range(0, len(texts), 500):
-                _, _, _, key, _, own, first = snippets(texts[a : a + 500], places[a : a + 500])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[a : a + 500][own]), pa.array(docs[a : a + 500][own]), pa.array(first.astype(np.int32))], ["key", "tid", "doc", "place"])
+            for a, b in chunks(map(len, texts), 1 << 20):
+                _, _, _, key, _, own, first = snippets(texts[a:b], places[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[a:b][own]), pa.array(docs[a:b][own]), pa.array(first.astype(np.int32))], ["key", "tid", "doc", "place"])
 
     return held.mapInArrow(run, "key bigint, tid bigint, doc bigint, place int")
 
