@@ -22,7 +22,7 @@ from tidewell.llm.tagger import KINDS, WINDOW, codes, trained
 
 STEP = WINDOW // 2
 LONGEST = STEP  # so that some window holds a span whole
-LEAST_SCORE = 2.0
+LEAST_SCORE = 0.0
 #: The patterns of the contract (fixed values). An ip's first digits start a run of digits; each other start gives the same end.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")

@@ -86,7 +86,10 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     x, y = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
     for row in range(n):
         text, spans = sample(draw)
-        x[row] = codes(np.array([*map(ord, text)]))
+        if draw.random() < 0.3:  # the end of a text
+            end = draw.randint(15, WINDOW - 1)
+            text, spans = text[:end], [(k, a, b) for k, a, b in spans if b <= end]
+        x[row, : len(text)] = codes(np.array([*map(ord, text)]))
         for kind, a, b in spans:
             y[row, a:b] = 2 + 2 * kind
             y[row, a] = 1 + 2 * kind if a > 0 or len(text) else 0
