@@ -35,8 +35,7 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; of the others, the lines that fail go."""
     q = _own(docs, "quality")
-    judged = rules.quality(docs, out=q).where(F.col(q)["kept"])
-    return _with_text(judged, F.col(q)["clean"]).select(docs.columns)
+    return _with_text(rules.kept_only(docs, out=q), F.col(q)["clean"]).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,32 +50,16 @@ def chunks(sizes, most: int):
 def durable(df: DataFrame, name: str) -> DataFrame:
     """df written to a Parquet folder below spark.checkpoint.dir and read again: lineage is cut and any executor may be lost.
 
-    Without that setting (tests) a folder below the warehouse is used, which is as shared as the tables are.
+    The folder's owner removes what is old; without that setting (tests) a folder below the warehouse is used, which is as shared as the tables are.
     """
     spark = df.sparkSession
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{root.rstrip('/')}/tidewell-{re.sub(r'[^a-z0-9]+', '-', name.lower())}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-_written: list[tuple[SparkSession, str]] = []
-
-
 def checkpoint_dir(spark: SparkSession) -> str | None:
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get() if found.isDefined() else None
-
-
-def forget(spark: SparkSession, keep: int = 0) -> None:
-    """Removes the folders that durable() wrote, but for the last `keep`; results that read them must be done with."""
-    while len(_written) > keep:
-        _, path = _written.pop(0)
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -115,10 +115,19 @@ def kept(q: Column) -> Column:
     return ~base_failed(q) & (100 * (q["word_chars"] - q["good_chars"]) <= MOST_LOST * q["word_chars"])
 
 
+def decided(q: Column) -> Column:
+    """q with its verdicts."""
+    return q.withField("base_failed", base_failed(q)).withField("kept", kept(q))
+
+
 def quality(df: DataFrame, text_col: str = "text", out: str = "quality") -> DataFrame:
     """df with the struct column `out`: the counts, good_chars, clean (the text without failed lines), reasons of failed lines, base_failed and kept."""
-    judged_df = df.withColumn(out, judged(F.col(text_col)))
-    return judged_df.withColumn(out, F.col(out).withField("base_failed", base_failed(F.col(out))).withField("kept", kept(F.col(out))))
+    return df.withColumn(out, let(judged(F.col(text_col)), decided))
+
+
+def kept_only(df: DataFrame, text_col: str = "text", out: str = "quality") -> DataFrame:
+    """quality() of the rows that are kept. A generator drops the others, since a filter would judge each text again."""
+    return df.select("*", F.explode(F.filter(F.array(let(judged(F.col(text_col)), decided)), lambda q: q["kept"])).alias(out))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
