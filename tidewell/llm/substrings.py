@@ -33,7 +33,7 @@ ROW = -(-CUT // 8) * 8
 SHARD_BYTES = 8 << 20
 MOST_SHARDS = 100_000
 BLOCK = 24_000  # snippets of a block, about 2 MB
-FLUSH = 4 << 20
+FLUSH = 200_000  # snippets that a task gathers before it sends them
 KNOWN = np.uint32(0xFFFFFFFF)  # the place of an anchor that is known to be common
 
 
@@ -92,6 +92,18 @@ def pack(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
 
+def squeezed(cut: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(cut).tobytes())
+
+
+def spread(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(-1, CUT)
+
+
 def unpack(data: bytes, kind, columns: int = 1) -> np.ndarray:
     import zstandard
 
@@ -131,7 +143,7 @@ def common_anchors(texts: DataFrame, shards: int) -> DataFrame:
     """(tid, text) -> (tid, places): anchors that several texts have. A text may have several rows."""
 
     def sent(batches):
-        """Each anchor of a batch once, to the shard of its hash; KNOWN if the batch alone shows that it is common."""
+        """Each anchor of a batch once, to the shard of its hash, with 32 further bits of it (anchors that seem common are judged in full later); KNOWN if the batch alone shows that it is common."""
         import pyarrow as pa
 
         for batch in batches:
@@ -154,7 +166,7 @@ def common_anchors(texts: DataFrame, shards: int) -> DataFrame:
                 a, b = (cuts[k], cuts[k + 1]) if cuts is not None else (np.searchsorted(shard, k), np.searchsorted(shard, k, side="right"))
                 if b > a:
                     used, index = np.unique(own[a:b], return_inverse=True)
-                    rows.append((int(k), h[a:b].tobytes(), pack(ids[used]), pack(index.astype(np.uint32)), pack(place[a:b])))
+                    rows.append((int(k), (h[a:b] >> np.uint64(32)).astype("<u4").tobytes(), pack(ids[used]), pack(index.astype(np.uint32)), pack(place[a:b])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], ["shard", "h", "tids", "own", "place"])
 
     def near(batches):
@@ -168,7 +180,7 @@ def common_anchors(texts: DataFrame, shards: int) -> DataFrame:
     def met(table):
         import pyarrow as pa
 
-        parts = [(np.frombuffer(h, np.uint64), unpack(t, np.int64)[unpack(o, np.uint32)], unpack(p, np.uint32)) for h, t, o, p in zip(*(table.column(c).to_pylist() for c in ("h", "tids", "own", "place")), strict=True)]
+        parts = [(np.frombuffer(h, "<u4"), unpack(t, np.int64)[unpack(o, np.uint32)], unpack(p, np.uint32)) for h, t, o, p in zip(*(table.column(c).to_pylist() for c in ("h", "tids", "own", "place")), strict=True)]
         h, tid, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         order, many = common_here(h, tid)
         s, known = h[order], place[order] == KNOWN
@@ -301,23 +313,35 @@ def repeated_strings(held: DataFrame, shards: int) -> DataFrame:
     def sent(batches):
         import pyarrow as pa
 
+        held: list[tuple] = []
+
+        def flush():
+            """Each snippet once; snippets of one anchor lie together and so pack well."""
+            cut, low, high, key, anchor, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((key, anchor, anchor % np.uint64(shards)))
+            k = key[order]
+            starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            one = order[starts]
+            small, large, shard = np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts), (anchor % np.uint64(shards))[one]
+            rows = []
+            for s, x, y in zip(*_runs(shard), strict=True):
+                i = one[x:y]
+                ends = np.stack([low[i], high[i]], 1).astype(np.uint8)
+                rows.append((int(s), key[i].tobytes(), pack(small[x:y]), pack(large[x:y]), pack(ends), squeezed(cut[i, :CUT])))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 5, strict=True)], ["shard", "key", "small", "large", "ends", "bytes"])
+
         for batch in batches:
             docs = batch.column(1).to_numpy(zero_copy_only=False)
             texts, places = utf8(batch.column(2)), [np.array(p, np.int64) for p in batch.column(3).to_pylist()]
             for a, b in chunks(map(len, texts), 1 << 20):
                 cut, low, high, key, anchor, own, _ = snippets(texts[a:b], places[a:b])
-                doc = docs[a:b][own]
-                order = np.lexsort((key, anchor % np.uint64(shards)))
-                k = key[order]
-                starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-                one = order[starts]
-                small, large, shard = np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts), (anchor % np.uint64(shards))[one]
-                rows = []
-                for s, x, y in zip(*_runs(shard), strict=True):
-                    i = one[x:y]
-                    ends = np.stack([low[i], high[i]], 1).astype(np.uint8)
-                    rows.append((int(s), key[i].tobytes(), pack(small[x:y]), pack(large[x:y]), pack(ends), cut[i, :CUT].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 5, strict=True)], ["shard", "key", "small", "large", "ends", "bytes"])
+                if len(cut):
+                    held.append((cut, low.astype(np.uint8), high.astype(np.uint8), key, anchor, docs[a:b][own]))
+                if sum(len(x[0]) for x in held) > FLUSH:
+                    yield flush()
+        if held:
+            yield flush()
 
     def met(table):
         import pyarrow as pa
@@ -326,7 +350,7 @@ def repeated_strings(held: DataFrame, shards: int) -> DataFrame:
         key = np.concatenate([np.frombuffer(x, np.uint64) for x in columns[0]])
         small, large = (np.concatenate([unpack(x, np.int64) for x in c]) for c in columns[1:3])
         ends = np.concatenate([unpack(x, np.uint8, 2) for x in columns[3]])
-        cut = np.frombuffer(b"".join(columns[4]), np.uint8).reshape(-1, CUT)
+        cut = np.concatenate([spread(x) for x in columns[4]])
         del columns
         order = np.argsort(key, kind="stable")
         k = key[order]
