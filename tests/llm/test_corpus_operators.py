@@ -199,6 +199,19 @@ def test_kneser_tells_noise(spark):
     assert kneser.classify(fx.empty(spark), fx.empty(spark).select("doc_id")).isEmpty()
 
 
+def test_kneser_whole_texts(spark):
+    late = "late Überall words that come beyond the first thousand"
+    rows = [(k, " ".join(["filler"] * 1000 + [late]), "en", "a", 1) for k in range(40)] + [(100, late, "en", "a", 1), (101, " ".join(f"unseen{k}" for k in range(9)), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, fx.SCHEMA)
+    got = fx.by_id(kneser.classify(docs, docs.where("doc_id < 100").select("doc_id")))
+    assert got[100]["perplexity"] * 2 < got[101]["perplexity"]
+
+
+def test_kneser_capitals(spark):
+    model = kneser.Model(spark.createDataFrame([("Überall ÉTÉ The",)], "text string"))
+    assert set(model.number) == set(kneser.words_of("Überall ÉTÉ The".encode()))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
