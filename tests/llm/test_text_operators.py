@@ -189,3 +189,29 @@ def test_licences(spark):
         found = scanner.best(text or "")[2]
         assert (found or 0) == (best if best >= 0.8 else 0)
     assert hashlib.sha256(mit.encode()).hexdigest()
+
+
+def test_licences_in_windows():
+    scanner = licences.Scanner(licences.TEMPLATES, 0.8)
+    prose = "words of another kind stand here and there, İ too. " * 20
+    mit = licences.TEMPLATES["MIT"].replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    apache = licences.TEMPLATES["Apache-2.0"].replace("License. You", "License.\n\nYou").replace("2.0 Unless", "2.0\n\nUnless")
+    for name, own in {"MIT": mit, "Apache-2.0": apache}.items():
+        text = f"{prose}\n\n{own}\n\n{prose}"
+        n, got, score, a, b = scanner.best(text)
+        assert n >= 1 and (got, score) == (name, 1.0)
+        assert licences.normal(text[a:b]) == licences.normal(own)
+    text = "All of it is ours. Licensed under the MIT License. Ask for more of it at any time."
+    n, got, score, a, b = scanner.best(text)
+    assert (n, got, score, text[a:b]) == (1, "MIT (short)", 1.0, "Licensed under the MIT License")
+    assert scanner.best(f"Here {licences.TEMPLATES['BSD-3-Clause']} ends")[1] == "BSD-3-Clause"
+
+
+def test_licence_windows_are_the_best():
+    draw = random.Random(3)
+    scanner = licences.Scanner({"x": "a b c d a b e", "y": "c d e f"}, 0.8)
+    for _ in range(400):
+        words = [draw.choice("abcdefz") for _ in range(draw.randint(2, 25))]
+        all_of_them = [(a, b) for a in range(len(words)) for b in range(a + 2, len(words) + 1)]
+        best = max((licences.dice(licences.bigrams(words[a:b]), t) for a, b in all_of_them for _, t, _ in scanner.templates), default=0)
+        assert (scanner.best(" ".join(words))[2] or 0) == (best if best >= 0.8 else 0)
