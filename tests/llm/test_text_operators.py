@@ -215,3 +215,23 @@ def test_licence_windows_are_the_best():
         all_of_them = [(a, b) for a in range(len(words)) for b in range(a + 2, len(words) + 1)]
         best = max((licences.dice(licences.bigrams(words[a:b]), t) for a, b in all_of_them for _, t, _ in scanner.templates), default=0)
         assert (scanner.best(" ".join(words))[2] or 0) == (best if best >= 0.8 else 0)
+
+
+def test_personal_spans_of_any_length():
+    long = "christopher.alexander [at] informatics.university [dot] edu"
+    longer = "maria.anders.jones.smith (at) mail.sales.north.shop.example.company.town.country.region (dot) com (dot) org (dot) net"
+    for own in (long, longer):
+        for ahead in ("", "some words of prose " * 3):
+            text = f"{ahead}write to {own} soon, please."
+            a = text.index(own)
+            row = pii.reports(tagger.trained(), [text], True)[0]
+            assert row[5] == f"email:{a}:{a + len(own)}" and own not in row[6], (own, ahead, row)
+
+
+def test_signs_cover_what_is_sensible():
+    draw = random.Random(11)
+    for _ in range(30_000):
+        text = "".join(draw.choice(["ab", "f", ":", ".", " ", "(AT)", "[At]", "jane", "7"]) for _ in range(draw.randint(1, 18)))
+        assert pii.SIGN.search(text) or not any(pii.sensible(kind, text) for kind in range(4))
+    assert pii.SIGN.search("a:b:c:d:e:f:aa:bb") and pii.SIGN.search("jane.doe (AT) example (DOT) com")
+    pii.SIGN.search("a" * 100_000 + " " * 1000 + "a:b " * 20_000)  # in time

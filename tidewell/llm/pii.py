@@ -1,9 +1,10 @@
 """Personal data: spans by fixed patterns, and further ones by a character-level bidirectional LSTM with a CRF.
 
-The patterns come first and stay. The model reads overlapping windows; every span that it may add has a digit or an at sign, so
-windows without one can't give a span and aren't run. Spans that end at a window's edge are left to the neighbour that sees
-them whole; the spans of all windows of a text are then reconciled: the best score first, none that overlaps a better one or a
-pattern's match, each with the digits that its kind needs.
+The patterns come first and stay. The model reads overlapping windows; every span that it may add has a digit, an at sign or eight
+hexadecimal groups, so it is found from windows with one and, where its labels go on at a window's edge, their neighbours. Spans that
+end at a window's edge are left to the neighbour that sees them whole; longer ones come from the windows' label paths joined, each
+window giving the middle that it sees best. The spans of a text are then reconciled: joined ones and the best score first, none that
+overlaps a better one or a pattern's match, each with the digits that its kind needs.
 
 The model is trained from labelled spans before the job and sent to the tasks (a few hundred kB). Null and empty texts have no
 spans. Rows are judged by themselves: repeated rows give repeated results, nothing is shuffled, other columns are ignored.
@@ -21,7 +22,7 @@ from tidewell.llm.common import decoded, documents, utf8
 from tidewell.llm.tagger import KINDS, WINDOW, codes, trained
 
 STEP = WINDOW // 2
-LONGEST = STEP  # so that some window holds a span whole
+LONGEST = STEP  # some window holds such a span whole; longer ones are joined
 LEAST_SCORE = 0.0
 #: The patterns of the contract (fixed values). An ip's first digits start a run of digits; each other start gives the same end.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -30,7 +31,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-SIGN = re.compile(r"[0-9@]|\(at\)|\[at\]")
+#: What each span that sensible() accepts holds.
+SIGN = re.compile(r"[0-9@]|\(at\)|\[at\]|[0-9a-f](?=[0-9a-f]{0,3}(?:\s*[.:]\s*[0-9a-f]{1,4}){7})", re.I)
 AT = re.compile(r"@|\(at\)|\[at\]", re.I)
 
 
@@ -95,8 +97,8 @@ def windows(text: str) -> list[int]:
     return sorted(out)
 
 
-def found(y: np.ndarray, margin: np.ndarray, start: int, n: int):
-    """(start, kind, end, score) of a window's spans, but those that its edges cut while the text goes on."""
+def found(y: np.ndarray, margin: np.ndarray, start: int, n: int, joined: bool = False):
+    """(start, kind, end, score) of a window's spans of LONGEST at most, of joined windows the longer ones, but those that the edges cut while the text goes on."""
     k = 0
     while k < len(y):
         if y[k] == 0:
@@ -105,32 +107,60 @@ def found(y: np.ndarray, margin: np.ndarray, start: int, n: int):
         kind, e = (int(y[k]) - 1) // 2, k + 1
         while e < len(y) and y[e] == 2 + 2 * kind:
             e += 1
-        if (k > 0 or start == 0) and (e < len(y) or start + e >= n) and start + e <= n and e - k <= LONGEST:
+        if (k > 0 or start == 0) and (e < len(y) or start + e >= n) and start + e <= n and (e - k > LONGEST) == joined:
             yield start + k, kind, start + e, float(margin[k:e].mean())
         k = e
 
 
+def joins(paths: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """(start, labels, margins) of each run of neighbouring windows; neighbours meet in the middle of what both see."""
+    starts = sorted(paths)
+    runs = np.split(np.array(starts), np.flatnonzero(np.diff(starts) != STEP) + 1) if starts else []
+    for run in (r.tolist() for r in runs):
+        cut = (WINDOW - STEP) // 2
+        parts = [slice(cut if a > run[0] else 0, WINDOW - cut if a < run[-1] else WINDOW) for a in run]
+        yield run[0], *(np.concatenate([paths[a][x][p] for a, p in zip(run, parts, strict=True)]) for x in (0, 1))
+
+
+def paths_of(model, texts: list[str]) -> list[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """For each text, start -> (labels, margins) of its windows with a sign, and of the neighbours that their spans go on in."""
+    out: list[dict] = [{} for _ in texts]
+    where = [(k, a) for k, t in enumerate(texts) if SIGN.search(t) for a in windows(t)]
+    while where:
+        further = set()
+        for at in range(0, len(where), 2048):
+            part = where[at : at + 2048]
+            x = np.zeros((len(part), WINDOW), np.int64)
+            for row, (k, a) in enumerate(part):
+                points = codes(np.frombuffer(texts[k][a : a + WINDOW].encode("utf-32-le"), np.uint32))
+                x[row, : len(points)] = points
+            y, margin = model.decode(x)
+            some = y.any(1)
+            for row, (k, a) in enumerate(part):
+                out[k][a] = (y[row], margin[row]) if some[row] else NOTHING
+                if some[row] and y[row, 0] and a:
+                    further.add((k, a - STEP))
+                if some[row] and y[row, -1] and a + WINDOW < len(texts[k]):
+                    further.add((k, a + STEP))
+        where = sorted((k, a) for k, a in further if a not in out[k])
+    return out
+
+
+NOTHING = (np.zeros(WINDOW, np.int64), np.zeros(WINDOW))
+
+
 def more(model, texts: list[str], base: list[list]) -> list[list[tuple[int, int, int]]]:
     """The spans that the model adds to each text."""
-    where = [(k, a) for k, t in enumerate(texts) if SIGN.search(t) for a in windows(t)]
-    spans: dict[int, list] = {}
-    for at in range(0, len(where), 2048):
-        part = where[at : at + 2048]
-        x = np.zeros((len(part), WINDOW), np.int64)
-        for row, (k, a) in enumerate(part):
-            points = codes(np.frombuffer(texts[k][a : a + WINDOW].encode("utf-32-le"), np.uint32))
-            x[row, : len(points)] = points
-        y, margin = model.decode(x)
-        for row in np.flatnonzero(y.any(1)).tolist():
-            k, a = part[row]
-            spans.setdefault(k, []).extend(found(y[row], margin[row], a, len(texts[k])))
     out: list[list] = [[] for _ in texts]
-    for k, own in spans.items():
+    for k, paths in enumerate(paths_of(model, texts)):
+        n = len(texts[k])
+        own = [s for a, (y, margin) in paths.items() if y is not NOTHING[0] for s in found(y, margin, a, n)]
+        own += [s for a, y, margin in joins(paths if any(y is not NOTHING[0] for y, _ in paths.values()) else {}) for s in found(y[: n - a], margin[: n - a], a, n, joined=True)]
         taken = [(a, b) for a, _, b in base[k]]
         best: dict = {}
         for a, kind, b, score in own:
             best[a, kind, b] = max(score, best.get((a, kind, b), -1e9))
-        for (a, kind, b), score in sorted(best.items(), key=lambda s: (-s[1], s[0])):
+        for (a, kind, b), score in sorted(best.items(), key=lambda s: (s[0][2] - s[0][0] <= LONGEST, -s[1], s[0])):
             if score >= LEAST_SCORE and sensible(kind, texts[k][a:b]) and not any(x < b and a < y for x, y in taken):
                 taken.append((a, b))
                 out[k].append((a, kind, b))
