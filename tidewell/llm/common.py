@@ -52,12 +52,48 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
     The folder's owner removes what is old; without that setting (tests) a folder below the warehouse is used, which is as shared as the tables are.
     """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: list[str], name: str) -> DataFrame:
+    """df as a table below spark.checkpoint.dir, dealt into buckets by key, as many as shuffles have partitions: later joins by key don't move it.
+
+    The catalog forgets the table at once; the DataFrame keeps its files and buckets.
+    """
     spark = df.sparkSession
+    table, n = f"tidewell_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(n, *key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+HOT_SHARE = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: list[str], n: str, total: int, spread: Column, needs=None) -> DataFrame:
+    """rows with the columns of table, which has one row for each key and in n how many of the `total` rows have it; nulls where it has none.
+
+    Keys with more than a thousandth of all rows are under a thousand, so theirs is the part that is broadcast; all other rows are
+    joined by sorting. Rows of hot keys, and those that `needs` says need no lookup, are spread by `spread` in that join.
+    """
+    more = [c for c in table.columns if c not in key]
+    hot = F.broadcast(table.where(F.col(n) > total / HOT_SHARE).select(*(F.col(c).alias(f"_h_{c}") for c in table.columns), F.lit(True).alias("_hot")))
+    cold = table.where(F.col(n) <= total / HOT_SHARE).select(*(F.col(c).alias(f"_c_{c}") for c in table.columns), F.lit(False).alias("_cold"))
+    found = rows.join(hot, [F.col(c) == F.col(f"_h_{c}") for c in key], "left").withColumn("_done", F.coalesce("_hot", ~needs if needs is not None else F.lit(False)))
+    keys = [F.when(F.col("_done"), None).otherwise(F.col(c)) if k else F.when(F.col("_done"), spread).otherwise(F.col(c)) for k, c in enumerate(key)]
+    dealt = found.select("*", *(k.alias(f"_k_{c}") for k, c in zip(keys, key, strict=True)))
+    met = [F.col(f"_k_{c}") == F.col(f"_c_{c}") for c in key] + [F.col("_done") == F.col("_cold")]
+    return dealt.join(cold, met, "left").select(*rows.columns, *(F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in more))
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir; without that setting (tests) below the warehouse."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/tidewell-{re.sub(r'[^a-z0-9]+', '-', name.lower())}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{root.rstrip('/')}/tidewell-{re.sub(r'[^a-z0-9]+', '-', name.lower())}-{uuid.uuid4().hex}"
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:

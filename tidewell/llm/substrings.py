@@ -3,17 +3,19 @@
 A byte goes if it lies in a string of WIDTH bytes that also starts in a document with a smaller id. Strings are judged on the
 input and never cross documents.
 
-1. Anchors: of the 16-byte grams in each string of WIDTH bytes, the one with the least hash. Equal strings have equal anchors,
-   so only the surroundings of anchors that two texts have in common can hold repeated strings. Anchors travel as packed
-   arrays, one row for each batch and shard.
-2. The surroundings of the common anchors (snippets, each once a batch) are dealt into shards by the anchor, which puts equal
+1. Distinct texts are laid out once, in buckets by a 128-bit hash, each with its smallest id; no other step moves texts.
+2. Anchors: of the 16-byte grams in each string of WIDTH bytes, the one with the least hash. Equal strings have equal anchors,
+   so only the surroundings of anchors that two texts have in common can hold repeated strings. Anchors travel to the shard of
+   their hash as packed arrays, one row for each chunk of texts and shard.
+3. The surroundings of the common anchors (snippets, each once a chunk) are dealt into shards by the anchor, which puts equal
    strings into one shard. A shard is cut into blocks; each gets a suffix array by Larsson-Sadakane refinement and common
    prefixes by Kasai's rule, which give its distinct strings in order, with the smallest and largest document of each. The blocks
    are merged by binary search.
-3. Snippets with strings that a smaller document has are joined to their occurrences; the removed ranges of a text are united.
+4. The shard answers with the ranges that go, by text. Where a chunk has a snippet more than HOT times, its places stay out of the
+   shard and meet the shard's answer in a join, which Spark can split. The ranges of a text are united and cut out.
 
 Equal texts are one text whose document is the smallest id. Null and empty texts lose nothing. Rows without an id neither lose
-nor take anything. Rows that share an id don't take from each other. A text is known by a 64-bit hash of all of it.
+nor take anything. Rows that share an id don't take from each other. Ids are integers.
 """
 
 from __future__ import annotations
@@ -24,17 +26,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import chunks, documents, utf8
+from tidewell.llm.common import bucketed, chunks, documents, durable, looked_up, utf8
 
 WIDTH, GRAM = 50, 16
 SIDE = WIDTH - GRAM  # what an anchor's strings reach to either side
 CUT = 2 * SIDE + GRAM  # bytes of a snippet
 ROW = -(-CUT // 8) * 8
-SHARD_BYTES = 8 << 20
-MOST_SHARDS = 100_000
+SHARD_BYTES = 8 << 20, 256 << 20  # of text for each shard, at least and at most: 4096 shards, then as many as the text needs
 BLOCK = 24_000  # snippets of a block, about 2 MB
+CHUNK = 16 << 20  # bytes of text whose anchors are sent together
 FLUSH = 200_000  # snippets that a task gathers before it sends them
-KNOWN = np.uint32(0xFFFFFFFF)  # the place of an anchor that is known to be common
+HOT = 64  # places of a snippet in one flush
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -87,6 +89,7 @@ def _anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pack(x: np.ndarray) -> bytes:
+    """The bytes of x by significance, compressed; unpack() needs the kind."""
     import zstandard
 
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
@@ -113,84 +116,118 @@ def unpack(data: bytes, kind, columns: int = 1) -> np.ndarray:
     return out if columns > 1 else out.view(kind)[:, 0]
 
 
-def distinct(batch) -> tuple[list[bytes], np.ndarray]:
-    """Texts of a batch of (tid, text) and their ids; equal texts once, short ones not at all."""
-    some = {i: t for i, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True) if t and len(t) >= WIDTH}
-    return list(some.values()), np.array(list(some), np.int64)
+def runs_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of each run of rows that are equal in all columns."""
+    n = len(columns[0])
+    if not n:
+        return (np.zeros(0, np.int64),) * 2
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], n)
 
 
 def common_here(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order by h, whether each in that order has an anchor that another text has too)."""
     order = np.argsort(h, kind="stable")
-    s, o = h[order], own[order]
-    starts = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
-    many = np.minimum.reduceat(o, starts) != np.maximum.reduceat(o, starts) if len(s) else np.zeros(0, bool)
-    return order, np.repeat(many, np.diff(np.append(starts, len(s))))
+    first, end = runs_of(h[order])
+    if not len(first):
+        return order, np.zeros(0, bool)
+    o = own[order]
+    return order, np.repeat(np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first), end - first)
 
 
-def by_text(tid: np.ndarray, place: np.ndarray):
-    """An Arrow batch (tid, places) of one row a text."""
+def packed_places(own: np.ndarray, place: np.ndarray, k: np.ndarray, lo: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """(hashes of the texts, how many places each has, steps from place to place), for rows in order of text and place."""
+    first, end = runs_of(own)
+    step = place.copy()
+    step[1:] -= place[:-1]
+    step[first] = place[first]
+    return np.stack([k[own[first]], lo[own[first]]], 1).tobytes(), pack((end - first).astype("<u4")), pack(step.astype("<u4"))
+
+
+def unpacked_places(ids: bytes, counts: bytes, steps: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the texts, each row's text, each row's place)."""
+    n, step = unpack(counts, "<u4").astype(np.int64), unpack(steps, "<u4").astype(np.int64)
+    total = np.cumsum(step)
+    first = np.cumsum(n) - n
+    return np.frombuffer(ids, np.int64).reshape(-1, 2), np.repeat(np.arange(len(n)), n), total - np.repeat(total[first] - step[first], n)
+
+
+def by_text(ids: np.ndarray, own: np.ndarray, place: np.ndarray):
+    """An Arrow table of one row a text: its hashes and, as 32-bit integers, its places."""
     import pyarrow as pa
 
-    order = np.argsort(tid, kind="stable")
-    t = tid[order]
-    starts = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(t)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(t[starts].astype(np.int64)), lists], ["tid", "places"])
+    order = np.argsort(own, kind="stable")
+    first, end = runs_of(own[order])
+    data, t = place[order].astype("<i4").tobytes(), ids[own[order][first]]
+    return pa.table({"k": pa.array(t[:, 0]), "lo": pa.array(t[:, 1]), "places": pa.array([data[4 * a : 4 * b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())})
+
+
+ANCHORS = "shard int, h binary, known binary, ids binary, counts binary, steps binary"
+PLACES = "k bigint, lo bigint, places binary"
 
 
 def common_anchors(texts: DataFrame, shards: int) -> DataFrame:
-    """(tid, text) -> (tid, places): anchors that several texts have. A text may have several rows."""
+    """(k, lo, text) -> PLACES: anchors that several texts have. A text may have several rows."""
 
     def sent(batches):
-        """Each anchor of a batch once, to the shard of its hash, with 32 further bits of it (anchors that seem common are judged in full later); KNOWN if the batch alone shows that it is common."""
+        """To the shard of its hash: each anchor of one text with its places and 32 bits more of its hash (anchors that seem common are judged in full later); of anchors that the chunk itself shows to be common, the hash alone. The places of the latter go along to any shard."""
         import pyarrow as pa
 
+        kinds = [pa.int32()] + [pa.binary()] * 5
         for batch in batches:
-            some, ids = distinct(batch)
-            if not some:
-                continue
-            own, place, h = anchors(some)
-            order, many = common_here(h, own)
-            h, own, place = h[order], own[order], place[order].astype(np.uint32)
-            place[many] = KNOWN
-            take = np.append(True, h[1:] != h[:-1])[: len(h)] | ~many
-            h, own, place = h[take], own[take], place[take]
-            shard = (h >> np.uint64(8)) % np.uint64(shards)
-            order = np.lexsort((own, shard))
-            h, own, place, shard = h[order], own[order].astype(np.uint32), place[order], shard[order]
-            cuts = np.searchsorted(shard, np.arange(shards + 1)) if shards < len(shard) else None
-            which = range(shards) if cuts is not None else np.unique(shard).tolist()
-            rows = []
-            for k in which:
-                a, b = (cuts[k], cuts[k + 1]) if cuts is not None else (np.searchsorted(shard, k), np.searchsorted(shard, k, side="right"))
-                if b > a:
-                    used, index = np.unique(own[a:b], return_inverse=True)
-                    rows.append((int(k), (h[a:b] >> np.uint64(32)).astype("<u4").tobytes(), pack(ids[used]), pack(index.astype(np.uint32)), pack(place[a:b])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], ["shard", "h", "tids", "own", "place"])
-
-    def near(batches):
-        for batch in batches:
-            some, ids = distinct(batch)
-            if some:
-                own, place, h = anchors(some)
+            k, lo, every = batch.column(0).to_numpy(), batch.column(1).to_numpy(), utf8(batch.column(2))
+            for a, b in chunks(map(len, every), CHUNK):
+                own, place, h = anchors(every[a:b])
                 order, many = common_here(h, own)
-                yield by_text(ids[own[order][many]], place[order][many])
+                rows = []
+
+                def add(own, place, shard, h=None, ids=(k[a:b], lo[a:b]), rows=rows):
+                    order = np.lexsort((place, own, shard))
+                    own, place, shard = own[order], place[order], shard[order]
+                    for x, y in zip(*(r.tolist() for r in runs_of(shard)), strict=True):
+                        rows.append((int(shard[x]), None if h is None else (h[order[x:y]] >> np.uint64(32)).astype("<u4").tobytes(), None, *packed_places(own[x:y], place[x:y], *ids)))
+
+                rest, near = order[~many], order[many]
+                add(own[rest], place[rest], dealt(h[rest], shards), h[rest])
+                add(own[near], place[near], dealt(mixed((k[a:b].view(np.uint64)[own[near]] >> np.uint64(1)) + np.uint64(1)), shards))
+                known = np.sort(np.unique(h[near]))
+                to = dealt(known, shards)
+                known, to = known[np.argsort(to, kind="stable")], np.sort(to)
+                rows += [(int(to[x]), None, (known[x:y] >> np.uint64(32)).astype("<u4").tobytes(), None, None, None) for x, y in zip(*(r.tolist() for r in runs_of(to)), strict=True)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "h", "known", "ids", "counts", "steps"])
 
     def met(table):
         import pyarrow as pa
 
-        parts = [(np.frombuffer(h, "<u4"), unpack(t, np.int64)[unpack(o, np.uint32)], unpack(p, np.uint32)) for h, t, o, p in zip(*(table.column(c).to_pylist() for c in ("h", "tids", "own", "place")), strict=True)]
-        h, tid, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, many = common_here(h, tid)
-        s, known = h[order], place[order] == KNOWN
-        starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        many |= np.repeat(np.logical_or.reduceat(known, starts), np.diff(np.append(starts, len(s))))
-        many &= ~known
-        return pa.Table.from_batches([by_text(tid[order][many], place[order][many])])
+        near, parts, known, n = [], [], [], 0
+        for h, some, *packed in zip(*(table.column(c).to_pylist() for c in ("h", "known", "ids", "counts", "steps")), strict=True):
+            if some is not None:
+                known.append(np.frombuffer(some, "<u4"))
+            elif h is None:
+                near.append(by_text(*unpacked_places(*packed)))
+            else:
+                ids, own, place = unpacked_places(*packed)
+                parts.append((np.frombuffer(h, "<u4"), own + n, place, ids))
+                n += len(ids)
+        if parts:
+            h, own, place, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order, many = common_here(h, own)
+            if known:
+                every = np.unique(np.concatenate(known))
+                s = h[order]
+                many |= every[np.minimum(np.searchsorted(every, s), len(every) - 1)] == s
+            near.append(by_text(ids, own[order][many], place[order][many]))
+        return pa.concat_tables(near) if near else by_text(np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    return texts.select("k", "lo", "text").mapInArrow(sent, ANCHORS).groupBy("shard").applyInArrow(met, PLACES)
 
-    far = texts.mapInArrow(sent, "shard int, h binary, tids binary, own binary, place binary").groupBy("shard").applyInArrow(met, "tid bigint, places array<int>")
-    return far.unionByName(texts.mapInArrow(near, "tid bigint, places array<int>"))
+
+def dealt(h: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each hash, by bits that the shard's rows don't carry."""
+    return ((h & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int64)
 
 
 def snippets(texts: list[bytes], places: list[np.ndarray]):
@@ -304,93 +341,150 @@ def judged(cut, low, high, least, most) -> tuple[np.ndarray, np.ndarray, np.ndar
     return place // CUT, place % CUT, doc
 
 
-RUNS = "key bigint, first array<int>, end array<int>, doc array<bigint>"
+ANSWERS = "kind int, a bigint, b bigint, data binary"
+RANGES, HOT_RUNS, HOT_PLACES = range(3)
+RUN = np.dtype([("first", "<i4"), ("end", "<i4"), ("doc", "<i8")])
+PLACE = np.dtype([("k", "<i8"), ("lo", "<i8"), ("doc", "<i8"), ("place", "<i4")])
+
+
+def answers(rows: list[tuple]):
+    import pyarrow as pa
+
+    columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "a", "b", "data"), columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
+
+
+def crossed(run_first, run_end, place_first, place_end) -> tuple[np.ndarray, np.ndarray]:
+    """For item k, each of its runs with each of its places: (runs, places)."""
+    n, m = run_end - run_first, place_end - place_first
+    of = np.repeat(np.arange(len(n)), n * m)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+    return run_first[of] + at // np.maximum(m[of], 1), place_first[of] + at % np.maximum(m[of], 1)
+
+
+def ranges_by_text(runs: np.ndarray, places: np.ndarray) -> list[tuple]:
+    """Rows of ANSWERS from pairs of RUN and PLACE: the ranges of each text that a smaller document has."""
+    hit = runs["doc"] < places["doc"]
+    runs, places = runs[hit], places[hit]
+    order = np.lexsort((places["lo"], places["k"]))
+    runs, places = runs[order], places[order]
+    both = np.stack([places["place"] + runs["first"], places["place"] + runs["end"]], 1).astype("<i4")
+    first, end = runs_of(places["k"], places["lo"])
+    k, lo = places["k"][first].tolist(), places["lo"][first].tolist()
+    rows = []
+    for x, y, a, b in zip(first.tolist(), end.tolist(), k, lo, strict=True):
+        start, stop = united(both[x:y, 0], both[x:y, 1])
+        rows.append((RANGES, a, b, np.stack([start, stop], 1).astype("<i4").tobytes()))
+    return rows
+
+
+SNIPPETS = "shard int, key binary, small binary, large binary, ends binary, bytes binary, counts binary, places binary"
 
 
 def repeated_strings(held: DataFrame, shards: int) -> DataFrame:
-    """(tid, doc, text, places) -> RUNS: of a snippet's key, ranges of its bytes that lie in strings that some smaller document has, and that document."""
+    """(k, lo, doc, text, places) -> ANSWERS: (k, lo) and the ranges that go; (anchor, key) of a snippet and its RUNs, where it is hot; (anchor, key) and PLACEs of hot snippets."""
 
     def sent(batches):
         import pyarrow as pa
 
-        held: list[tuple] = []
+        gathered: list[tuple] = []
+        kinds = [pa.int32()] + [pa.binary()] * 7
 
         def flush():
             """Each snippet once; snippets of one anchor lie together and so pack well."""
-            cut, low, high, key, anchor, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.lexsort((key, anchor, anchor % np.uint64(shards)))
-            k = key[order]
-            starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            one = order[starts]
-            small, large, shard = np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts), (anchor % np.uint64(shards))[one]
+            cut, low, high, key, anchor, where = (np.concatenate(x) for x in zip(*gathered, strict=True))
+            gathered.clear()
+            shard = dealt(anchor, shards)
+            order = np.lexsort((key, anchor, shard))
+            first, end = runs_of(key[order], anchor[order])
+            doc, one, count = where["doc"][order], order[first], end - first
+            small, large, shard, where = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first), shard[one], where[order]
             rows = []
-            for s, x, y in zip(*_runs(shard), strict=True):
+            for x, y in zip(*(r.tolist() for r in runs_of(shard)), strict=True):
                 i = one[x:y]
                 ends = np.stack([low[i], high[i]], 1).astype(np.uint8)
-                rows.append((int(s), key[i].tobytes(), pack(small[x:y]), pack(large[x:y]), pack(ends), squeezed(cut[i, :CUT])))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 5, strict=True)], ["shard", "key", "small", "large", "ends", "bytes"])
+                few = count[x:y] <= HOT
+                own = where[first[x] : end[y - 1]][np.repeat(few, count[x:y])]
+                rows.append((int(shard[x]), key[i].tobytes(), pack(small[x:y]), pack(large[x:y]), pack(ends), squeezed(cut[i, :CUT]), pack(np.where(few, count[x:y], 0).astype("<u4")), pack(own)))
+            for x in np.flatnonzero(count > HOT).tolist():  # the places only pass through the shard
+                own = where[first[x] : end[x]]
+                name = np.array([anchor[one[x]], key[one[x]]]).tobytes()
+                rows.append((int(mixed(own["k"][:1].view(np.uint64))[0] % np.uint64(shards)), name, None, None, None, None, None, own.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in SNIPPETS.split(", ")])
 
         for batch in batches:
-            docs = batch.column(1).to_numpy(zero_copy_only=False)
-            texts, places = utf8(batch.column(2)), [np.array(p, np.int64) for p in batch.column(3).to_pylist()]
+            k, lo, docs = (batch.column(c).to_numpy() for c in range(3))
+            texts, places = utf8(batch.column(3)), [np.unique(np.frombuffer(b"".join(p), "<i4")) for p in batch.column(4).to_pylist()]
             for a, b in chunks(map(len, texts), 1 << 20):
-                cut, low, high, key, anchor, own, _ = snippets(texts[a:b], places[a:b])
+                cut, low, high, key, anchor, own, first = snippets(texts[a:b], places[a:b])
                 if len(cut):
-                    held.append((cut, low.astype(np.uint8), high.astype(np.uint8), key, anchor, docs[a:b][own]))
-                if sum(len(x[0]) for x in held) > FLUSH:
+                    where = np.empty(len(cut), PLACE)
+                    where["k"], where["lo"], where["doc"], where["place"] = k[a:b][own], lo[a:b][own], docs[a:b][own], first
+                    gathered.append((cut, low.astype(np.uint8), high.astype(np.uint8), key, anchor, where))
+                if sum(len(x[0]) for x in gathered) > FLUSH:
                     yield flush()
-        if held:
+        if gathered:
             yield flush()
 
     def met(table):
-        import pyarrow as pa
-
-        columns = [table.column(c).to_pylist() for c in ("key", "small", "large", "ends", "bytes")]
-        key = np.concatenate([np.frombuffer(x, np.uint64) for x in columns[0]])
-        small, large = (np.concatenate([unpack(x, np.int64) for x in c]) for c in columns[1:3])
-        ends = np.concatenate([unpack(x, np.uint8, 2) for x in columns[3]])
-        cut = np.concatenate([spread(x) for x in columns[4]])
-        del columns
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        small, large, one = np.minimum.reduceat(small[order], starts), np.maximum.reduceat(large[order], starts), order[starts]
-        key, ends, cut = key[one], ends[one].astype(np.int64), cut[one]
+        rows, parts = [], []
+        for key, small, large, ends, data, counts, places in zip(*(table.column(c.split()[0]).to_pylist() for c in SNIPPETS.split(", ")[1:]), strict=True):
+            if data is None:
+                rows.append((HOT_PLACES, *np.frombuffer(key, np.int64).tolist(), places))
+            else:
+                parts.append((np.frombuffer(key, np.uint64), unpack(small, np.int64), unpack(large, np.int64), unpack(ends, np.uint8, 2), spread(data), unpack(counts, "<u4").astype(np.int64), unpack(places, np.uint8, PLACE.itemsize).reshape(-1).view(PLACE)))
+        if not parts:
+            return answers(rows)
+        key, small, large, ends, cut, count, where = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts, table
+        begin = np.cumsum(count) - count
+        middle = np.ascontiguousarray(cut[:, SIDE : SIDE + GRAM]).view("<u8")
+        anchor = grams(np.ascontiguousarray(middle[:, 0]), np.ascontiguousarray(middle[:, 1]))
+        order = np.lexsort((key, anchor))
+        first, end = runs_of(key[order], anchor[order])
+        hot = np.maximum.reduceat(count[order] == 0, first)
+        # each snippet's places side by side
+        where = where[np.repeat(begin[order] - (np.cumsum(count[order]) - count[order]), count[order]) + np.arange(len(where))]
+        count = np.add.reduceat(count[order], first)
+        small, large, one = np.minimum.reduceat(small[order], first), np.maximum.reduceat(large[order], first), order[first]
+        cut, ends = cut[one], ends[one].astype(np.int64)
         row, at, doc = judged(cut, ends[:, 0], ends[:, 1], small, large)
-        if not len(row):
-            return pa.table({"key": pa.array([], pa.int64()), "first": pa.array([], pa.list_(pa.int32())), "end": pa.array([], pa.list_(pa.int32())), "doc": pa.array([], pa.list_(pa.int64()))})
-        new = np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]))
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(row)) - 1
-        _, x, y = _runs(row[first])
-        offsets = pa.array(np.append(x, y[-1]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (at[first].astype(np.int32), (at[last] + WIDTH).astype(np.int32), doc[first])]
-        return pa.Table.from_arrays([pa.array(key[row[first][x]].view(np.int64)), *lists], ["key", "first", "end", "doc"])
-
-    return held.mapInArrow(sent, "shard int, key binary, small binary, large binary, ends binary, bytes binary").groupBy("shard").applyInArrow(met, RUNS)
-
-
-def _runs(x: np.ndarray) -> tuple[list, list, list]:
-    """Values of runs of equal items, with first and end of each."""
-    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
-    return x[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(x)] if len(x) else []
-
-
-def occurrences(held: DataFrame) -> DataFrame:
-    """(tid, doc, text, places) -> key, tid, doc, place for each anchor's snippet."""
+        if len(row):
+            new = np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]))
+            start = np.flatnonzero(new)
+            runs = np.empty(len(start), RUN)
+            runs["first"], runs["end"], runs["doc"] = at[start], at[np.append(start[1:], len(row)) - 1] + WIDTH, doc[start]
+            x, y = runs_of(row[start])
+            snippet = row[start][x]
+            last = np.cumsum(count)
+            pairs = crossed(x, y, last[snippet] - count[snippet], last[snippet])
+            rows += ranges_by_text(runs[pairs[0]], where[pairs[1]])
+            for k in np.flatnonzero(hot[snippet]).tolist():
+                s = one[snippet[k]]
+                rows.append((HOT_RUNS, *np.array([anchor[s], key[s]]).view(np.int64).tolist(), runs[x[k] : y[k]].tobytes()))
+        return answers(rows)
+
+    return held.mapInArrow(sent, SNIPPETS).groupBy("shard").applyInArrow(met, ANSWERS)
+
+
+def hot_ranges(found: DataFrame) -> DataFrame:
+    """ANSWERS of hot snippets -> (k, lo, data): their places' ranges."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids, docs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            texts, places = utf8(batch.column(2)), [np.array(p, np.int64) for p in batch.column(3).to_pylist()]
-            for a, b in chunks(map(len, texts), 1 << 20):
-                _, _, _, key, _, own, first = snippets(texts[a:b], places[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[a:b][own]), pa.array(docs[a:b][own]), pa.array(first.astype(np.int32))], ["key", "tid", "doc", "place"])
+            rows = []
+            for runs, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, where = np.frombuffer(runs, RUN), np.frombuffer(places, PLACE)
+                pairs = crossed(np.array([0]), np.array([len(own)]), np.array([0]), np.array([len(where)]))
+                rows += ranges_by_text(own[pairs[0]], where[pairs[1]])
+            out = answers(rows).select(["a", "b", "data"]).rename_columns(["k", "lo", "data"])
+            yield from out.to_batches()
 
-    return held.mapInArrow(run, "key bigint, tid bigint, doc bigint, place int")
+    runs = found.where(F.col("kind") == HOT_RUNS).select("a", "b", F.col("data").alias("runs"))
+    places = found.where(F.col("kind") == HOT_PLACES).select("a", "b", F.col("data").alias("places"))
+    return runs.hint("merge").join(places, ["a", "b"]).select("runs", "places").mapInArrow(run, "k bigint, lo bigint, data binary")
 
 
 def united(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -401,72 +495,83 @@ def united(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[new], end[np.append(new[1:], True)]
 
 
-def removed(held: DataFrame) -> DataFrame:
-    """(tid, text, ranges) -> tid, spans (removed ranges of bytes), kept: the remaining bytes."""
+def removed(whole: DataFrame) -> DataFrame:
+    """(k, lo, doc, n, text, data) -> k, lo, doc, n, spans (removed ranges of bytes) and kept, the remaining bytes; the last two null where nothing goes."""
 
     def run(batches):
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            spans, kept = [], []
-            for text, ranges in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                first, end = united(*(np.array([r[k] for r in ranges], np.int64) for k in ("first", "end")))
-                spans.append([{"first": a, "end": b} for a, b in zip(first.tolist(), end.tolist(), strict=True)])
-                kept.append(b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*first.tolist(), len(text)], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind), pa.array(kept, pa.binary())], ["tid", "spans", "kept"])
-
-    return held.select("tid", "text", "ranges").mapInArrow(run, "tid bigint, spans array<struct<first:int,end:int>>, kept binary")
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                spans, kept = [], []
+                for text, data in zip(utf8(part.column(4)), part.column(5).to_pylist(), strict=True):
+                    if data is None:
+                        spans.append(None)
+                        kept.append(None)
+                        continue
+                    ranges = np.frombuffer(b"".join(data), "<i4").reshape(-1, 2)
+                    first, end = united(ranges[:, 0].astype(np.int64), ranges[:, 1].astype(np.int64))
+                    spans.append([{"first": a, "end": b} for a, b in zip(first.tolist(), end.tolist(), strict=True)])
+                    kept.append(b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*first.tolist(), len(text)], strict=True)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(spans, kind), pa.array(kept, pa.binary())], ["k", "lo", "doc", "n", "spans", "kept"])
+
+    return whole.select("k", "lo", "doc", "n", "text", "data").mapInArrow(run, "k bigint, lo bigint, doc bigint, n bigint, spans array<struct<first:int,end:int>>, kept binary")
+
+
+def hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and the 128 bits that a text is known by: k and lo."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.withColumn("k", F.xxhash64("text")).withColumn("lo", F.xxhash64(F.lit(1), "text"))
+
+
+def _cut(docs: DataFrame) -> tuple[DataFrame, int]:
+    """hashed() rows -> (k, lo, doc (the smallest id with this text), n (how many rows have it), spans, kept; only texts with several rows or with something to go; and the number of rows)."""
+    named = docs.where((F.octet_length("text") >= WIDTH) & F.col("doc_id").isNotNull())
+    # equal texts fall together before the shuffle, so a text that many rows have costs a row for each task
+    each = named.groupBy("k", "lo").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.first("text").alias("text"))
+    texts = bucketed(each.withColumn("size", F.octet_length("text")), ["k", "lo"], "texts")
+    total, rows = texts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shards = int(max(1, total // min(max(SHARD_BYTES[0], total // 4096), SHARD_BYTES[1])))
+    places = common_anchors(texts, shards).groupBy("k", "lo").agg(F.collect_list("places").alias("places"))
+    held = texts.join(places.hint("merge"), ["k", "lo"]).select("k", "lo", "doc", "text", "places")
+    found = durable(repeated_strings(held, shards), "repeated strings")
+    ranges = found.where(F.col("kind") == RANGES).select(F.col("a").alias("k"), F.col("b").alias("lo"), "data").unionByName(hot_ranges(found))
+    whole = texts.join(ranges.groupBy("k", "lo").agg(F.collect_list("data").alias("data")).hint("merge"), ["k", "lo"], "left").where("n > 1 or data is not null")
+    return removed(whole), rows
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of df: doc_id, text, spans (removed ranges of bytes) and kept, the remaining bytes. Texts move once, those with repeated passages twice."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
-    cut = _cut(docs)
-    whole = docs.join(cut, "tid", "left")
-    return _decided(whole, "text", F.encode("text", "UTF-8"))
-
-
-def _cut(docs: DataFrame) -> DataFrame:
-    """tid -> doc (the smallest id with this text), spans, kept; the last two null if nothing goes."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(min(MOST_SHARDS, max(1, total // SHARD_BYTES)))
-    named = docs.where("doc_id is not null")
-    classes = named.groupBy("tid").agg(F.min("doc_id").alias("doc"))
-    texts = named.select("tid", "text").where(F.octet_length("text") >= WIDTH)
-    places = common_anchors(texts, shards).groupBy("tid").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    found = classes.join(places, "tid")
-    held = named.join(found, "tid").where("doc_id = doc").select("tid", "doc", "text", "places")
-    runs = repeated_strings(held, shards)
-    hits = F.filter(F.arrays_zip("first", "end", F.col("runs").alias("doc")), lambda r: r["doc"] < F.col("doc"))
-    ranges = F.transform(hits, lambda r: F.struct((r["first"] + F.col("place")).alias("first"), (r["end"] + F.col("place")).alias("end")))
-    spans = occurrences(held).join(runs.withColumnRenamed("doc", "runs"), "key").select("tid", ranges.alias("ranges")).where(F.size("ranges") > 0)
-    cut = removed(held.join(spans.groupBy("tid").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "tid"))
-    return classes.join(cut.dropDuplicates(["tid"]), "tid", "left")
-
-
-def _decided(whole: DataFrame, text: str, same) -> DataFrame:
-    size = F.octet_length(text)
+    """A row for each row of df: doc_id, text, spans (removed ranges of bytes) and kept, the remaining bytes."""
+    docs = hashed(df, id_col, text_col)
+    cut, total = _cut(docs)
+    cut = durable(cut, "cut texts")
+    needs = (F.octet_length("text") >= WIDTH) & F.col("doc_id").isNotNull()
+    owned = looked_up(docs, cut.select("k", "lo", "n", "doc"), ["k", "lo"], "n", total, F.xxhash64("doc_id", "text"), needs)
+    own = cut.where("spans is not null").select(F.col("k").alias("_k"), F.col("lo").alias("_lo"), F.col("doc").alias("_doc"), "spans", "kept")
+    whole = owned.join(own, (F.col("k") == F.col("_k")) & (F.col("lo") == F.col("_lo")) & (F.col("doc_id") == F.col("_doc")), "left")
+    size = F.octet_length("text")
     copy = (F.col("doc_id") > F.col("doc")) & (size >= WIDTH)
     all_ = F.array(F.struct(F.lit(0).alias("first"), size.alias("end")))
     none = F.array().cast("array<struct<first:int,end:int>>")
-    return whole.select(
-        "doc_id", text, F.when(copy, all_).when(F.col("doc_id").isNull(), none).otherwise(F.coalesce("spans", none)).alias("spans"),
-        F.when(copy, F.lit(b"")).when(F.col("doc_id").isNull(), same).otherwise(F.coalesce("kept", same)).alias("kept"),
-    )
+    return whole.select("doc_id", "text", F.when(copy, all_).otherwise(F.coalesce("spans", none)).alias("spans"), F.when(copy, F.lit(b"")).otherwise(F.coalesce("kept", F.encode("text", "UTF-8"))).alias("kept"))
 
 
 def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
-    cut = _cut(docs).select(
-        "tid", "doc", F.aggregate("spans", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["first"]).alias("gone"), F.when(F.col("spans").isNotNull(), F.size("spans")).cast("long").alias("runs"), F.sha2("kept", 256).alias("left")
-    )
-    rows = docs.select("doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("same"))
-    copy = (F.col("doc_id") > F.col("doc")) & (F.col("n_bytes") >= WIDTH)
-    return rows.join(cut, "tid", "left").select(
+    docs = hashed(documents(spark, sf_dir), "doc_id", "text")
+    cut, total = _cut(docs)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["first"])
+    cut = durable(cut.select("k", "lo", "n", "doc", gone.alias("gone"), F.size("spans").cast("long").alias("runs"), F.sha2("kept", 256).alias("left")), "cut texts")
+    rows = docs.select("doc_id", "k", "lo", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("same"))
+    needs = (F.col("n_bytes") >= WIDTH) & F.col("doc_id").isNotNull()
+    found = looked_up(rows, cut, ["k", "lo"], "n", total, F.xxhash64("doc_id", "same"), needs)
+    copy, some = (F.col("doc_id") > F.col("doc")) & (F.col("n_bytes") >= WIDTH), F.col("left").isNotNull() & (F.col("doc_id") == F.col("doc"))
+    zero = F.lit(0).cast("long")
+    return found.select(
         "doc_id",
         "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(copy, F.lit(1).cast("long")).otherwise(F.coalesce("runs", F.lit(0).cast("long"))).alias("n_spans"),
-        F.when(copy, F.lit(sha256(b"").hexdigest())).otherwise(F.coalesce("left", "same")).alias("kept_sha256"),
+        F.when(copy, F.col("n_bytes")).when(some, F.col("gone")).otherwise(zero).alias("n_removed"),
+        F.when(copy, F.lit(1).cast("long")).when(some, F.col("runs")).otherwise(zero).alias("n_spans"),
+        F.when(copy, F.lit(sha256(b"").hexdigest())).when(some, F.col("left")).otherwise(F.col("same")).alias("kept_sha256"),
     )
