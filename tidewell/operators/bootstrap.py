@@ -1,7 +1,8 @@
 """Confidence intervals by resampling clusters.
 
 Rows are first summed up by cluster, so a replicate costs a row for each cluster, not for each window. The portable form draws
-Poisson(1) weights from hashes, which any SQL engine can repeat; the exact form draws multinomial counts with numpy.
+Poisson(1) weights from hashes, which any SQL engine can repeat; the exact form draws multinomial counts with numpy, of clusters
+with the same counts together.
 """
 
 from __future__ import annotations
@@ -14,19 +15,27 @@ from pyspark.sql import functions as F
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
 
 
-def weight(cluster: Column, replicate: Column) -> Column:
-    """0 to 6 from the first 32 bits of md5(cluster:replicate)."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", cluster.cast("string"), replicate.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+def weight(u: Column) -> Column:
+    """0 to 6 from a number in [0, 1)."""
     out = F.when(u < POISSON[0], 0)
     for k, p in enumerate(POISSON[1:], 1):
         out = out.when(u < p, k)
     return out.otherwise(6)
 
 
-def poisson_replicates(counts: DataFrame, cluster: str, by: list[str], sums: list[str], replicates: int = 200) -> DataFrame:
+def weights(clusters: DataFrame, cluster: str, replicates: int) -> DataFrame:
+    """cluster, replicate, w for all weights but 0: each md5(cluster:k) gives the four replicates from 4k on, 32 bits each."""
+    h = F.md5(F.concat_ws(":", F.col(cluster).cast("string"), F.col("_k").cast("string")).cast("binary"))
+    each = clusters.select(cluster).distinct().withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 4) - 1)))).withColumn("_h", h)
+    u = lambda i: F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("double") / 4294967296.0
+    four = F.array(*(F.struct((F.col("_k") * 4 + i).cast("int").alias("replicate"), weight(u(i)).alias("w")) for i in range(4)))
+    return each.select(cluster, F.explode(four).alias("_x")).select(cluster, "_x.replicate", "_x.w").where((F.col("replicate") < replicates) & (F.col("w") > 0))
+
+
+def weighted(counts: DataFrame, cluster: str, by: list[str], sums: list[str], replicates: int = 1000) -> DataFrame:
     """The weighted sums of each replicate: by, replicate, sums."""
-    each = counts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_w", weight(F.col(cluster), F.col("replicate")))
-    return each.groupBy(*by, "replicate").agg(*(F.sum(F.col(s) * F.col("_w")).alias(s) for s in sums))
+    each = counts.join(weights(counts, cluster, replicates), cluster)
+    return each.groupBy(*by, "replicate").agg(*(F.sum(F.col(s) * F.col("w")).alias(s) for s in sums))
 
 
 def interval(replicated: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -35,27 +44,32 @@ def interval(replicated: DataFrame, by: list[str], value: str) -> DataFrame:
     return replicated.groupBy(*by).agg(F.percentile(v, 0.025).alias("low"), F.percentile(v, 0.975).alias("high"))
 
 
-def macro_f1_interval(counts: DataFrame, cluster: str, by: list[str], cls: str = "class", iterations: int = 1000, seed: int = 0) -> DataFrame:
+def macro_f1_interval(counts: DataFrame, cluster: str, by: list[str], cls: str = "class", iterations: int = 1000, seed: int = 0, parts: int = 20) -> DataFrame:
     """low and high of macro-F1 from (by, cluster, class, tp, fp, fn) rows, by multinomial resampling of clusters.
 
-    A group's rows are one for each cluster and class, which is what a task holds; iterations are drawn one by one.
+    Clusters with the same counts are alike, so a group is summed up to its distinct clusters and how many each stands for; a
+    replicate draws from these. Iterations are dealt to `parts` tasks, each with a generator of its own.
     """
 
     def run(key, table):
         import pyarrow as pa
 
-        who = table.column(cluster).to_pandas().astype("category").cat.codes.to_numpy()
-        what = table.column(cls).to_pandas().astype("category").cat.codes.to_numpy()
-        cube = np.zeros((who.max() + 1, what.max() + 1, 3))
-        for k, name in enumerate(("tp", "fp", "fn")):
-            np.add.at(cube, (who, what, k), table.column(name).to_numpy())
-        n, draw, found = len(cube), np.random.default_rng(seed), []
-        for _ in range(iterations):
-            tp, fp, fn = np.tensordot(draw.multinomial(n, np.full(n, 1 / n)), cube, 1).T
+        part = key[-1].as_py()
+        rows, names, n = table.column("counts").to_pylist(), table.column("classes").to_pylist(), table.column("n").to_numpy()
+        every = {c: i for i, c in enumerate(sorted({c for own in names for c in own}))}
+        cube = np.zeros((len(rows), len(every), 3))
+        for k, (own, counted) in enumerate(zip(names, rows, strict=True)):
+            cube[k, [every[c] for c in own]] = counted
+        draw, found = np.random.default_rng([seed, part]), []
+        for _ in range(part, iterations, parts):
+            tp, fp, fn = np.tensordot(draw.multinomial(n.sum(), n / n.sum()), cube, 1).T
             below = 2 * tp + fp + fn
-            found.append(np.where(below > 0, 2 * tp / np.maximum(below, 1), 0.0).mean())
-        low, high = np.percentile(found, [2.5, 97.5])
-        return pa.table({**{b: pa.array([key[i].as_py()], table.schema.field(b).type) for i, b in enumerate(by)}, "low": [float(low)], "high": [float(high)]})
+            found.append(float(np.where(below > 0, 2 * tp / np.maximum(below, 1), 0.0).mean()))
+        return pa.table({**{b: pa.array([key[i].as_py()] * len(found), table.schema.field(b).type) for i, b in enumerate(by)}, "f1": pa.array(found, pa.float64())})
 
     kinds = ", ".join(f"{b} {counts.schema[b].dataType.simpleString()}" for b in by)
-    return counts.groupBy(*by).applyInArrow(run, f"{kinds}, low double, high double")
+    one = F.sort_array(F.collect_list(F.struct(F.col(cls).alias("c"), F.array(*(F.col(x).cast("long") for x in ("tp", "fp", "fn"))).alias("x"))))
+    clusters = counts.groupBy(*by, cluster).agg(one.alias("own")).select(*by, F.transform("own", lambda r: r["c"]).alias("classes"), F.transform("own", lambda r: r["x"]).alias("counts"))
+    alike = clusters.groupBy(*by, "classes", "counts").agg(F.count("*").alias("n"))
+    dealt = alike.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return interval(dealt.groupBy(*by, "_part").applyInArrow(run, f"{kinds}, f1 double"), by, "f1")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import problems
+from tidewell.operators.ranks import by_hash, matched
 from tidewell.operators.sampling import round_robin, shuffled, spread
 
 BACKGROUND = ["bckg"]
@@ -102,12 +103,89 @@ def select_multilabel(df: DataFrame, patient: str, recording: str, window: str,
     few = few.join(kept, [patient, recording], "left_semi")
     n = events.agg(F.count("*").alias("n"))
     budget = n.select(F.when(F.col("n") > 0, F.floor(F.col("n") * ratio)).otherwise(F.lit(2**62)).alias("_budget"))  # one row
-    picked = round_robin(few.join(F.broadcast(budget), how="cross").withColumn("_all", F.lit(0)), ["_all"], patient, [recording, window], "_budget").drop("_budget", "_all")
+    picked = round_robin(few.join(F.broadcast(budget), how="cross"), [], patient, [recording, window], "_budget").drop("_budget")
     return events.unionByName(picked)
 
 
 def balanced_questions(df: DataFrame, question: str, positive: str, key: list[Column], seed=0) -> DataFrame:
     """As many negatives as positives of each question, by hash rank."""
-    n = F.count_if(positive).over(Window.partitionBy(question))
-    rank = F.row_number().over(Window.partitionBy(question, positive).orderBy(shuffled(seed, *key), *key))
-    return df.withColumn("_n", n).withColumn("_r", rank).where(F.col(positive) | (F.col("_r") <= F.col("_n"))).drop("_n", "_r")
+    n = df.groupBy(question).agg(F.count_if(positive).alias("_positives"))
+    ranked = by_hash(matched(df, n, [question]), [question, positive], key, seed)
+    return ranked.where(F.col(positive) | (F.col("_at") < F.col("_positives"))).drop("_n", "_at", "_positives")
+
+
+def halved_negatives(df: DataFrame, question: str, positive: str, other: str, key: list[Column], seed=0) -> DataFrame:
+    """All positives of each question and as many negatives, half of them rows of another kind (`other` holds) and half calm ones, by hash rank; where one half is short, the other fills up."""
+    sides = df.withColumn("_side", F.when(F.col(positive), "p").when(F.col(other), "o").otherwise("c"))
+    n = sides.groupBy(question).agg(*(F.count_if(F.col("_side") == k).alias(f"_{k}s") for k in "poc"))
+    ranked = by_hash(matched(sides, n, [question]), [question, "_side"], key, seed)
+    want, o, c = F.col("_ps"), F.col("_os"), F.col("_cs")
+    half = F.floor(want / 2)
+    others = F.least(o, F.greatest(half, want - c))
+    quota = F.when(F.col("_side") == "o", others).otherwise(want - others)
+    return ranked.where(F.col(positive) | (F.col("_at") < quota)).drop("_side", "_n", "_at", "_ps", "_os", "_cs")
+
+
+def preference_windows(df: DataFrame, questions: list[str], key: list[Column], most: int = 30, seed=0) -> DataFrame:
+    """question and the key's columns: for each question, in turn, most / 2 rows that have it and most / 2 that don't, by hash rank, none that an earlier question took.
+
+    A question can only lose a row to an earlier one, so the first most * (number of questions) ranks of each side hold all that it
+    may take; those few are dealt in turn on the driver.
+    """
+    names = [f"_k{i}" for i in range(len(key))]
+    each = df.select(*(k.alias(n) for k, n in zip(key, names, strict=True)), F.explode(F.array(*(F.struct(F.lit(q).alias("question"), F.col(q).alias("has")) for q in questions))).alias("_q"))
+    each = each.select(*names, "_q.question", "_q.has")
+    ranked = by_hash(each, ["question", "has"], [F.col(n) for n in names], seed).where(F.col("_at") < most // 2 * len(questions))
+    rows = sorted(ranked.select(*names, "question", "has", "_at").collect(), key=lambda r: (questions.index(r["question"]), not r["has"], r["_at"]))
+    taken, left, out = set(), {}, []
+    for r in rows:
+        k, side = tuple(r[n] for n in names), (r["question"], r["has"])
+        if k not in taken and left.get(side, 0) < most // 2:
+            taken.add(k)
+            left[side] = left.get(side, 0) + 1
+            out.append((r["question"], r["has"], *k))
+    schema = "question string, has boolean, " + ", ".join(f"{n} {ranked.schema[n].dataType.simpleString()}" for n in names)
+    return df.sparkSession.createDataFrame(out, schema)
+
+
+def background_windows(df: DataFrame, scored: DataFrame, by: list[str], key: list[str], at: str, event: str, seed=0) -> DataFrame:
+    """Quiet windows that were never scored, not the first or last of their recording: at most one from each half of what is left, by hash; with the distance to the nearest event, null without one."""
+    from tidewell.operators.intervals import nearest_event
+    from tidewell.operators.ordered import one_of_each_half
+
+    w = Window.partitionBy(*by)
+    inner = df.withColumn("_low", F.min(at).over(w)).withColumn("_high", F.max(at).over(w))
+    near = nearest_event(inner, by, at, F.col(event)).where(~F.col(event) & (F.col(at) > F.col("_low")) & (F.col(at) < F.col("_high"))).drop("_low", "_high")
+    left = near.join(scored.select(*key).distinct(), key, "left_anti").withColumn("_hash", shuffled(seed, *(F.col(k) for k in key)))
+    return one_of_each_half(left, by, [at, *key], ["_hash", *key]).drop("_hash")
+
+
+def held_out(every: DataFrame, used: DataFrame, patient: str) -> DataFrame:
+    """Rows of the patients that no split has used."""
+    return every.join(used.select(patient).distinct(), patient, "left_anti")
+
+
+def extended(first: DataFrame, more: DataFrame, by: list[str], key: list[Column], n: str, seed=0) -> DataFrame:
+    """first, and rows of more up to `n` (a column of first and more) for each group: those that were shipped come first, then the others in hash order."""
+    names = [c for c in first.columns if c != "_rest"]
+    both = first.withColumn("_rest", F.lit(False)).unionByName(more.select(*names).withColumn("_rest", F.lit(True)))
+    counts = first.groupBy(*by).agg(F.count("*").alias("_first"))
+    ranked = by_hash(matched(both, counts, by, "left"), [*by, "_rest"], key, seed)
+    return ranked.where(~F.col("_rest") | (F.col("_at") + F.coalesce("_first", F.lit(0)) < F.col(n))).drop("_rest", "_n", "_at", "_first")
+
+
+def merged_lines(parts: list[DataFrame], key: list[str], flag: str) -> DataFrame:
+    """One line for each window and question of several lists; the flag holds if it holds in any list."""
+    from functools import reduce
+
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return every.groupBy(*key).agg(F.bool_or(F.coalesce(flag, F.lit(False))).alias(flag), F.count("*").alias("lists"))
+
+
+def described(df: DataFrame, patient: str, labels: str) -> DataFrame:
+    """rows, patients, the most rows of a patient, and counts by class as 'class=n' in order."""
+    each = df.groupBy(patient).agg(F.count("*").alias("n"))
+    whole = each.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"), F.count("*").alias("patients"), F.max("n").alias("most"))
+    by_class = df.select(F.explode(labels).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    text = by_class.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "c", F.col("n").cast("string")))), ",").alias("classes"))  # a row a class
+    return whole.join(F.broadcast(text), how="cross")  # one row each

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.sampling import shuffled
+from tidewell.operators.ranks import by_hash, hash_bucket, matched, shuffled
 
 
 def pairs(answers: DataFrame, truth: DataFrame, done: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -16,11 +16,15 @@ def pairs(answers: DataFrame, truth: DataFrame, done: DataFrame, key: list[str],
 
 def controls(df: DataFrame, key: str, label: str, share: float = 0.1, seed=0) -> DataFrame:
     """(key, other): a share of the rows, each with another row of the same label: the next in the order of hashes, the first after the last."""
-    w = Window.partitionBy(label).orderBy(shuffled(seed, F.col(key)), key)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    other = F.coalesce(F.lead(key).over(w), F.first(key).over(whole))
-    ranked = df.withColumn("other", other).withColumn("_at", F.row_number().over(w)).withColumn("_n", F.count("*").over(whole))
-    return ranked.where((F.col("_at") <= F.ceil(F.col("_n") * share)) & (F.col("other") != F.col(key))).select(key, label, "other")
+    marked = df.select(key, label, shuffled(seed, F.col(key)).alias("_hash")).withColumn("_bucket", hash_bucket(F.col("_hash")))
+    # the first key of each bucket and of the label, so that a bucket's last row knows what follows it
+    heads = marked.groupBy(label, "_bucket").agg(F.min_by(key, F.struct("_hash", key)).alias("_head"))
+    w = Window.partitionBy(label).orderBy("_bucket")
+    heads = heads.withColumn("_next", F.coalesce(F.lead("_head").over(w), F.first("_head").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).drop("_head")
+    inner = Window.partitionBy(label, "_bucket").orderBy("_hash", key)
+    ranked = by_hash(matched(marked.withColumn("_lead", F.lead(key).over(inner)), heads, [label, "_bucket"]).drop("_bucket", "_hash"), [label], [F.col(key)], seed)
+    ranked = ranked.withColumn("other", F.coalesce("_lead", "_next"))
+    return ranked.where((F.col("_at") < F.ceil(F.col("_n") * share)) & (F.col("other") != F.col(key))).select(key, label, "other")
 
 
 def agreement(verdicts: DataFrame, by: list[str], label: str = "label", control: str = "control", conclusion: str = "same_conclusion", evidence: str = "same_evidence") -> DataFrame:

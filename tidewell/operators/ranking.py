@@ -2,23 +2,59 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.numbers import divide
+from tidewell.operators.bootstrap import interval, weighted
+from tidewell.operators.ranks import number_bucket, placed
+
+WIDTH = 1 / 4096  # of the buckets that scores are sorted in
+
+
+def auroc_of_counts(each: DataFrame, by: list[str], score: str) -> DataFrame:
+    """(by, score, p, n) rows, one for each distinct score -> by, positives, negatives, auroc."""
+    below = placed(each, by, number_bucket(F.col(score).cast("double"), WIDTH), [score], at="_below", n="_all", size=F.col("n"))
+    won = F.col("p") * (F.col("_below") + F.col("n") / 2)
+    sums = below.withColumn("won", won).groupBy(*by).agg(F.sum("won").alias("won"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    return sums.select(*by, "positives", "negatives", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("won") / (F.col("positives") * F.col("negatives"))).alias("auroc"))
+
+
+def counted(df: DataFrame, by: list[str], score: str, positive: str) -> DataFrame:
+    """Positives p and negatives n of each distinct score; NaN and null scores are left out."""
+    real = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    return real.groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("n"))
 
 
 def auroc(df: DataFrame, by: list[str], score: str = "score", positive: str = "positive") -> DataFrame:
     """The probability that a positive scores above a negative, ties counted half; null with one class only.
 
-    Rows are first counted by distinct score, so the window sorts scores, not rows. NaN and null scores are left out.
+    Rows are first counted by distinct score, and scores are sorted in buckets, so no task holds all scores of a group.
     """
-    each = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy(*by, score)
-    each = each.agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2)
-    sums = each.withColumn("won", won).groupBy(*by).agg(F.sum("won").alias("won"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
-    return sums.select(*by, "positives", "negatives", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("won") / (F.col("positives") * F.col("negatives"))).alias("auroc"))
+    return auroc_of_counts(counted(df, by, score, positive), by, score)
+
+
+def auroc_interval(df: DataFrame, cluster: str, by: list[str], score: str = "score", positive: str = "positive", replicates: int = 1000) -> DataFrame:
+    """by, low, high of the AUROC, by resampling clusters: a replicate weighs each cluster's counts by score."""
+    again = weighted(counted(df, [*by, cluster], score, positive), cluster, [*by, score], ["p", "n"], replicates)
+    return interval(auroc_of_counts(again, [*by, "replicate"], score), by, "auroc")
+
+
+def balanced_accuracy_interval(df: DataFrame, cluster: str, by: list[str], score: str = "score", positive: str = "positive", threshold: float = 0.5, replicates: int = 1000) -> DataFrame:
+    """by, low, high of the balanced accuracy at a threshold, by resampling clusters."""
+    p, y = F.col(score) >= threshold, F.col(positive)
+    counts = df.groupBy(*by, cluster).agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn"))
+    again = weighted(counts, cluster, by, ["tp", "fp", "fn", "tn"], replicates)
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return interval(again.withColumn("ba", (divide(tp, tp + fn) + divide(tn, tn + fp)) / 2), by, "ba")
+
+
+def auroc_against(df: DataFrame, by: list[str], against: str, kinds: list[str], score: str = "score", positive: str = "positive") -> DataFrame:
+    """The AUROC of the positives against each kind of negatives (the values of `against`): by, against, positives, negatives, auroc."""
+    both = df.withColumn("_k", F.when(F.col(positive), F.array(*map(F.lit, kinds))).otherwise(F.array(F.col(against)))).withColumn("_k", F.explode("_k"))
+    return auroc(both.where(F.col("_k").isin(kinds)).drop(against).withColumnRenamed("_k", against), [*by, against], score, positive)
 
 
 def within_positive_groups(df: DataFrame, group: list[str], positive: str = "positive") -> DataFrame:
@@ -38,10 +74,22 @@ def at_threshold(df: DataFrame, by: list[str], score: str = "score", positive: s
     )
 
 
-def top_mean(df: DataFrame, by: list[str], order: list[Column], score: str = "score", k: int = 5) -> DataFrame:
-    """The mean of each group's k highest scores; order breaks ties."""
+def top_sums(df: DataFrame, by: list[str], order: list[Column], score: str = "score", k: int = 5) -> DataFrame:
+    """by, total and n: the sum of each group's k highest scores, and how many they are; order breaks ties."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), *order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= k).groupBy(*by).agg(F.avg(score).alias(score))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= k).groupBy(*by).agg(F.sum(score).alias("total"), F.count("*").alias("n"))
+
+
+def top_mean(df: DataFrame, by: list[str], order: list[Column], score: str = "score", k: int = 5) -> DataFrame:
+    """The mean of each group's k highest scores."""
+    return top_sums(df, by, order, score, k).select(*by, (F.col("total") / F.col("n")).alias(score))
+
+
+def mean_of_means(sums: DataFrame, by: list[str], k: int, score: str = "score", *flags: str) -> DataFrame:
+    """The mean over rows of total / n, with n up to k, and whether each flag holds in any row. Totals are brought to one denominator, so whole numbers stay exact up to one division."""
+    whole = math.lcm(*range(1, k + 1))
+    parts = F.sum(F.col("total") * (F.lit(whole) / F.col("n")).cast("long"))
+    return sums.groupBy(*by).agg((parts / (whole * F.count("*"))).alias(score), *(F.bool_or(f).alias(f) for f in flags))
 
 
 def bucket(distance: Column) -> Column:
@@ -54,6 +102,18 @@ def specificity_by(df: DataFrame, by: list[str], score: str = "score", threshold
     return df.groupBy(*by).agg(F.count("*").alias("windows"), F.avg((F.col(score) < threshold).cast("double")).alias("specificity"))
 
 
+def same_everywhere(df: DataFrame, by: list[str], score: str = "score") -> DataFrame:
+    """Groups whose scores are one value, rounded to 6 places: by, n. A gate fails on rows in it."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(F.round(score, 6)).alias("values")).where("values = 1").drop("values")
+
+
+def stays_blind(checks: DataFrame, by: list[str], order: list, flag: str = "blind", first: int = 2) -> DataFrame:
+    """by, stop: whether a run was blind at each of its first checks; false with fewer."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    early = checks.withColumn("_r", rank).where(F.col("_r") <= first)
+    return early.groupBy(*by).agg((F.bool_and(flag) & (F.count("*") == first)).alias("stop"))
+
+
 def blind(df: DataFrame, by: list[str], score: str = "score", positive: str = "positive", spread: float = 0.1, least: float = 0.6, enough: int = 3) -> DataFrame:
     """Whether a model's scores hardly follow its input: little spread and a poor AUROC. Groups with fewer than `enough` of either class aren't judged."""
     std = df.groupBy(*by).agg(F.stddev_pop(score).alias("spread"))

@@ -1,7 +1,7 @@
 """Samples without random numbers: even spacing, turns, running totals, quotas, and ranks of md5 hashes.
 
-A rank within a group needs all of the group's keys in one task. Groups here are patients, recordings or classes of a patient;
-where a whole class is one group (budgets), only keys and ranks are sorted, and what can be is cut by rank before.
+Groups that are small by nature (recordings, the classes of a patient) are sorted in one task each; where a whole class or table is
+one group, ranks come from buckets of the order (see ranks).
 """
 
 from __future__ import annotations
@@ -10,11 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.numbers import spaced
-
-
-def shuffled(seed, *key: Column) -> Column:
-    """A value to order by, like a shuffle that is the same everywhere."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in key)).cast("binary"))
+from tidewell.operators.ranks import by_hash, matched, placed, shuffled
 
 
 def spread(df: DataFrame, by: list[str], order: list, cap: Column | int | None) -> DataFrame:
@@ -32,41 +28,42 @@ def round_robin(df: DataFrame, by: list[str], group: str, order: list, budget: s
     limit = F.col(budget) if isinstance(budget, str) else F.lit(budget)
     # a group's turns beyond the budget can't be reached
     ranked = df.withColumn("_turn", turn).where(F.col("_turn") <= limit)
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("_turn", group))
-    return ranked.withColumn("_place", place).where(F.col("_place") <= limit).drop("_turn", "_place")
+    return placed(ranked, by, F.col("_turn"), ["_turn", group]).where(F.col("_at") < limit).drop("_turn", "_at", "_n")
+
+
+def running_split(units: DataFrame, size: str, key: list[Column], share: float, by: list[str] | None = None, seed=0) -> DataFrame:
+    """units with split: in the order of the keys' hashes, test for those that begin before the test's share of all sizes is reached, train for others."""
+    out = by_hash(units, by or [], key, seed, size=F.col(size))
+    return out.withColumn("split", F.when(F.col("_at") < share * F.col("_n"), "test").otherwise("train")).drop("_at", "_n")
 
 
-def running_split(units: DataFrame, size: str, order: list, share: float, by: list[str] | None = None) -> DataFrame:
-    """units with split: test for those that begin before the test's share of all sizes is reached, train for others."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    before = F.coalesce(F.sum(size).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return units.withColumn("split", F.when(before < share * F.sum(size).over(w), "test").otherwise("train"))
+def cut_in_three(units: DataFrame, size: str, key: list[Column], test: float, val: float, seed=0) -> DataFrame:
+    """units with split, in the order of hashes: test until its share of all sizes is reached, then val until both shares are, then train."""
+    out = by_hash(units, [], key, seed, size=F.col(size))
+    split = F.when(F.col("_at") < test * F.col("_n"), "test").when(F.col("_at") < (test + val) * F.col("_n"), "val").otherwise("train")
+    return out.withColumn("split", split).drop("_at", "_n")
 
 
-def systematic(df: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
-    """Every k-th row, k = n div most, and of these the first `most`."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("_n", F.count("*").over(w)).withColumn("_at", F.row_number().over(w.orderBy(*order)) - 1)
+def systematic(df: DataFrame, by: list[str], bucket: Column, order: list, most: int) -> DataFrame:
+    """Every k-th row, k = n div most, and of these the first `most`. bucket cuts the order, as for placed()."""
+    ranked = placed(df, by, bucket, order)
     step = F.greatest(F.floor(F.col("_n") / most), F.lit(1))
     return ranked.where((F.col("_at") % step == 0) & (F.col("_at") / step < most)).drop("_n", "_at")
 
 
-def shard_of(by: list[str], order: list, shards: Column | int) -> Column:
-    """The shard of each row when rows are dealt in turn."""
-    return (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) % shards
+def sharded(df: DataFrame, by: list[str], bucket: Column, order: list, shards: Column | int, shard: str = "shard") -> DataFrame:
+    """df with the shard of each row when rows are dealt in turn."""
+    return placed(df, by, bucket, order).withColumn(shard, F.col("_at") % shards).drop("_n", "_at")
 
 
 def stratified(df: DataFrame, by: list[str], key: list[Column], most: Column | int, seed=0) -> DataFrame:
     """At most `most` rows of each stratum, by the rank of their hashes; a smaller `most` takes a subset."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(shuffled(seed, *key), *key))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+    return by_hash(df, by, key, seed).where(F.col("_at") < most).drop("_n", "_at")
 
 
-def nested_fraction(df: DataFrame, by: list[str], key: list[Column], fraction: float, seed=0) -> DataFrame:
+def nested_fraction(df: DataFrame, by: list[str], key: list[Column], fraction: Column | float, seed=0) -> DataFrame:
     """The first round(fraction * n) of each stratum by hash rank; fractions nest."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("_n", F.count("*").over(w)).withColumn("_rank", F.row_number().over(w.orderBy(shuffled(seed, *key), *key)))
-    return ranked.where(F.col("_rank") <= F.bround(fraction * F.col("_n"))).drop("_n", "_rank")
+    return by_hash(df, by, key, seed).where(F.col("_at") < F.bround(fraction * F.col("_n"))).drop("_n", "_at")
 
 
 def largest_remainder(strata: DataFrame, size: str, key: str, seats: int) -> DataFrame:
@@ -87,27 +84,29 @@ def rate_balance(df: DataFrame, pattern: str, positive: str, key: list[Column],
     above = p > r * (p + q)
     quota = F.when(above, F.bround(q * r / (1 - r))).otherwise(F.least(q, F.bround(p * (1 - r) / r)))
     limits = stats.join(F.broadcast(total), how="cross").select(pattern, above.alias("_above"), quota.alias("_quota"), ((r > 0) & (r < 1) & (F.col(pattern) != "")).alias("_trim"))  # total: one row
-    rank = F.row_number().over(Window.partitionBy(pattern, positive).orderBy(shuffled(seed, *key), *key))
-    ranked = df.join(limits, pattern).withColumn("_rank", rank)
-    return ranked.where(~F.col("_trim") | (F.col("_above") != F.col(positive)) | (F.col("_rank") <= F.col("_quota"))).drop("_above", "_quota", "_trim", "_rank")
+    ranked = by_hash(matched(df, limits, [pattern]), [pattern, positive], key, seed)
+    return ranked.where(~F.col("_trim") | (F.col("_above") != F.col(positive)) | (F.col("_at") < F.col("_quota"))).drop("_above", "_quota", "_trim", "_at", "_n")
 
 
 def validation_patients(members: DataFrame, patient: str, cls: str, fraction: float = 0.05, least: int = 10) -> DataFrame:
-    """(patient, class) rows -> the chosen patients: a count of min(max(ceil(n * fraction), least), n div 2), the first of each class in hash order, rarest class first, then by hash order.
+    """(patient, class) rows -> the chosen patients: a count of min(max(ceil(n * fraction), least), n div 2), the first of each class in hash order, rarest class first unless one of it is chosen, then by hash order.
 
-    Only one row a class and the best ranks come to the driver: the count is asked for as a limit.
+    A class's first patient and the other classes that this patient has come to the driver: as many rows as there are classes.
     """
-    ranked = members.select(patient).distinct().select(patient, F.md5(F.col(patient).cast("string").cast("binary")).alias("h"))
+    every = members.select(patient, cls).distinct()
+    hashed = F.md5(F.col(patient).cast("string").cast("binary"))
+    ranked = every.groupBy(patient).agg(F.collect_set(cls).alias("classes")).withColumn("h", hashed)
     n = ranked.count()
     wanted = min(max(-int(-n * fraction // 1), least), n // 2)
-    by_class = members.distinct().join(ranked, patient).groupBy(cls).agg(F.count("*").alias("n"), F.min_by(patient, F.struct("h", patient)).alias("first")).where("n >= 2").orderBy("n", cls)
-    chosen: list = []
-    for row in by_class.collect():  # a row for each class
+    own = F.struct("h", F.col(patient).alias("p"), "classes")
+    by_class = ranked.select(F.explode("classes").alias("c"), own.alias("own")).groupBy("c").agg(F.count("*").alias("n"), F.min("own").alias("first")).where("n >= 2").orderBy("n", "c")
+    chosen, covered = [], set()
+    for row in by_class.collect():
         if len(chosen) >= wanted:
             break
-        own = [p[0] for p in members.where((F.col(cls) == row[cls]) & F.col(patient).isin(chosen)).select(patient).limit(1).collect()] if chosen else []
-        if not own:
-            chosen.append(row["first"])
-    rest = ranked.where(~F.col(patient).isin(chosen)) if chosen else ranked
-    filled = rest.orderBy("h", patient).limit(max(0, wanted - len(chosen))).select(patient)
-    return ranked.where(F.col(patient).isin(chosen)).select(patient).unionByName(filled) if chosen else filled
+        if row["c"] not in covered:
+            chosen.append(row["first"]["p"])
+            covered |= set(row["first"]["classes"])
+    mine = F.col(patient).isin(chosen) if chosen else F.lit(False)
+    rest = ranked.where(~mine).orderBy("h", patient).limit(max(0, wanted - len(chosen))).select(patient)
+    return ranked.where(mine).select(patient).unionByName(rest)

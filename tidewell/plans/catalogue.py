@@ -13,7 +13,7 @@ from tidewell.functions import answers as replies
 from tidewell.functions import labels as L
 from tidewell.functions import names, numbers
 from tidewell.functions import text as texts
-from tidewell.operators import bootstrap, clients, curation, dedup, intervals, judging, leakage, metrics, ordered, planning, ranking, sampling, state
+from tidewell.operators import bootstrap, clients, curation, dedup, intervals, judging, leakage, metrics, ordered, planning, ranking, ranks, sampling, state
 from tidewell.sources import writers
 from tidewell.streaming import streams
 
@@ -152,15 +152,21 @@ def constant_floor(spark, d):
     return metrics.constant_floor(long, ["dataset"]).withColumn("floor", r6("floor"))
 
 
-@query(
-    f"""WITH {W}, t AS (SELECT dataset, patient, recording, avg(score) AS score, max(positive) AS positive FROM (SELECT dataset, patient, recording, score, bool_or(positive) OVER (PARTITION BY recording) AS positive
+TOP = """t AS (SELECT dataset, patient, recording, sum(hundredths) AS total, count(*) AS n, bool_or(positive) AS positive FROM (SELECT dataset, patient, recording, CAST(round(score * 100) AS BIGINT) AS hundredths, bool_or(positive) OVER (PARTITION BY recording) AS positive
  FROM w QUALIFY row_number() OVER (PARTITION BY recording ORDER BY score DESC, line, part, supp) <= 3) GROUP BY ALL),
- u AS (SELECT dataset, patient, avg(score) AS score, bool_or(positive) AS positive FROM t GROUP BY ALL) SELECT dataset, patient, round(score, 6) AS score, positive FROM u"""
-)
+ u AS (SELECT dataset, patient, CAST(sum(total * (6 // n)) AS BIGINT) / (6 * count(*)) / 100 AS score, bool_or(positive) AS positive FROM t GROUP BY ALL)"""
+
+
+def _patients(spark, d) -> DataFrame:
+    """Patients' scores from hundredths, so that sums are exact."""
+    w = windows(spark, d).withColumn("positive", F.bool_or("positive").over(Window.partitionBy("recording"))).withColumn("hundredths", F.round(F.col("score") * 100).cast("long"))
+    sums = ranking.top_sums(w, ["dataset", "patient", "recording", "positive"], ["line", "part", "supp"], score="hundredths", k=3)
+    return ranking.mean_of_means(sums, ["dataset", "patient"], 3, "score", "positive").withColumn("score", F.col("score") / 100)
+
+
+@query(f"WITH {W}, {TOP} SELECT dataset, patient, floor(score * 1000000 + 0.5) / 1000000 AS score, positive FROM u")
 def topk_rollup(spark, d):
-    w = windows(spark, d).withColumn("positive", F.bool_or("positive").over(Window.partitionBy("recording")))
-    recording = ranking.top_mean(w, ["dataset", "patient", "recording", "positive"], ["line", "part", "supp"], k=3)
-    return recording.groupBy("dataset", "patient").agg(r6(F.avg("score")).alias("score"), F.bool_or("positive").alias("positive"))
+    return _patients(spark, d).withColumn("score", F.floor(F.col("score") * 1000000 + 0.5) / 1000000)
 
 
 DISTANCE = f"""WITH {W}, k AS (SELECT recording, row_number() OVER (PARTITION BY recording ORDER BY line, part, supp) - 1 AS idx, positive, score FROM w),
@@ -184,18 +190,27 @@ def bucketed_specificity(spark, d):
     return ranking.specificity_by(quiet, ["bucket"], threshold=0.05).withColumn("specificity", r6("specificity"))
 
 
+REPLICATES = 1000
+
+
+def weights_sql(clusters: str, replicates: int = REPLICATES) -> str:
+    """A table x (cluster, replicate, k) of the weights, from a query of the clusters."""
+    cuts = " ".join(f"WHEN u < {p} THEN {k}" for k, p in enumerate(bootstrap.POISSON))
+    return f"""h AS (SELECT cluster, r, md5(cluster || ':' || r) AS h FROM (SELECT DISTINCT cluster FROM ({clusters})), range({-(-replicates // 4)}) AS t(r)),
+ g AS (SELECT cluster, CAST(r * 4 + i AS INTEGER) AS replicate, ('0x' || substr(h, CAST(8 * i + 1 AS INTEGER), 8))::BIGINT / 4294967296.0 AS u FROM h, range(4) AS t(i)),
+ x AS (SELECT * FROM (SELECT cluster, replicate, CASE {cuts} ELSE 6 END AS k FROM g) WHERE k > 0)"""
+
+
 @query(
     f"""WITH {W}, c AS (SELECT dataset, patient, count(*) FILTER (pred = 'R' AND truth = 'R') AS tp, count(*) FILTER (pred = 'R' AND truth <> 'R') AS fp, count(*) FILTER (pred <> 'R' AND truth = 'R') AS fn FROM w GROUP BY ALL),
- u AS (SELECT *, r AS replicate, ('0x' || substr(md5(patient || ':' || r), 1, 8))::BIGINT / 4294967296.0 AS u FROM c, range(40) AS t(r)),
- v AS (SELECT *, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 ELSE 6 END AS k FROM u),
- s AS (SELECT dataset, replicate, 2 * sum(tp * k) / nullif(2 * sum(tp * k) + sum(fp * k) + sum(fn * k), 0) AS f1 FROM v GROUP BY ALL)
+ {weights_sql("SELECT patient AS cluster FROM w")}, s AS (SELECT dataset, replicate, 2 * sum(tp * k) / nullif(2 * sum(tp * k) + sum(fp * k) + sum(fn * k), 0) AS f1 FROM c JOIN x ON patient = cluster GROUP BY ALL)
  SELECT dataset, round(quantile_cont(CAST(f1 AS DOUBLE), 0.025), 6) AS low, round(quantile_cont(CAST(f1 AS DOUBLE), 0.975), 6) AS high FROM s GROUP BY dataset"""
 )
 def bootstrap_ci_poisson(spark, d):
     w = windows(spark, d)
     t, p = F.col("truth") == "R", F.col("pred") == "R"
     counts = w.groupBy("dataset", "patient").agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"))
-    again = bootstrap.poisson_replicates(counts, "patient", ["dataset"], ["tp", "fp", "fn"], 40)
+    again = bootstrap.weighted(counts, "patient", ["dataset"], ["tp", "fp", "fn"], REPLICATES)
     f1 = again.withColumn("f1", F.expr("2 * tp / nullif(2 * tp + fp + fn, 0)"))
     return bootstrap.interval(f1, ["dataset"], "f1").select("dataset", r6("low").alias("low"), r6("high").alias("high"))
 
@@ -203,7 +218,7 @@ def bootstrap_ci_poisson(spark, d):
 @query()
 def bootstrap_ci_exact(spark, d):
     counts = metrics.confusion(by_class(windows(spark, d), ["dataset", "patient"]), ["dataset", "patient", "class"])
-    return bootstrap.macro_f1_interval(counts, "patient", ["dataset"], iterations=200)
+    return bootstrap.macro_f1_interval(counts, "patient", ["dataset"])
 
 
 PATHS = "p AS (SELECT 'train/' || replace(c_name, '#', '_') || '_s' || (o_orderkey % 7) || '_' || (o_orderkey % 50) || '.png' AS path FROM orders JOIN customer ON o_custkey = c_custkey)"
@@ -267,7 +282,7 @@ SPLIT = """u AS (SELECT o_custkey AS patient, count(*) AS n FROM orders GROUP BY
 
 def _split(spark, d) -> DataFrame:
     u = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("patient")).agg(F.count("*").alias("n"))
-    return sampling.running_split(u, "n", [sampling.shuffled(0, F.col("patient")), "patient"], 0.3)
+    return sampling.running_split(u, "n", [F.col("patient")], 0.3)
 
 
 @query(f"WITH {SPLIT} SELECT patient, n, split FROM split")
@@ -374,13 +389,13 @@ def select_binary(spark, d):
 
 
 @query(
-    f"""WITH {W}, {LABELLED}, f AS (SELECT *, len(list_filter(labels, lambda x: x <> 'bckg')) > 0 AS ev FROM l WHERE quantity > 35), q1 AS (SELECT patient, recording, line, part, supp FROM (SELECT *, count(*) OVER (PARTITION BY recording) AS n, row_number() OVER (PARTITION BY recording ORDER BY line, part, supp) - 1 AS pos FROM f WHERE NOT ev) WHERE pos = n // 2),
+    f"""WITH {W}, {LABELLED}, f AS (SELECT *, len(list_filter(labels, lambda x: x <> 'bckg')) > 0 AS ev FROM l), q1 AS (SELECT patient, recording, line, part, supp FROM (SELECT *, count(*) OVER (PARTITION BY recording) AS n, row_number() OVER (PARTITION BY recording ORDER BY line, part, supp) - 1 AS pos FROM f WHERE NOT ev) WHERE pos = n // 2),
  rr AS (SELECT recording FROM (SELECT recording, count(*) OVER (PARTITION BY patient) AS n, row_number() OVER (PARTITION BY patient ORDER BY recording) - 1 AS pos FROM (SELECT DISTINCT patient, recording FROM q1)) WHERE {_cap(8)}),
  k AS (SELECT *, row_number() OVER (PARTITION BY patient ORDER BY recording, line, part, supp) AS turn FROM q1 WHERE recording IN (SELECT recording FROM rr)), p AS (SELECT *, row_number() OVER (ORDER BY turn, patient) AS place FROM k)
  SELECT recording, line, part, supp FROM f WHERE ev UNION ALL SELECT recording, line, part, supp FROM p WHERE place <= (SELECT floor(count(*) * 1.5) FROM f WHERE ev)"""
 )
 def select_multilabel(spark, d):
-    w = _labelled(spark, d).where("quantity > 35").withColumn("at", F.struct("line", "part", "supp"))
+    w = _labelled(spark, d).withColumn("at", F.struct("line", "part", "supp"))
     return curation.select_multilabel(w, "patient", "recording", "at", "labels").select(*KEY)
 
 
@@ -407,9 +422,8 @@ def rate_balance(spark, d):
 
 @query("WITH k AS (SELECT c_custkey, c_mktsegment, count(*) OVER (PARTITION BY c_mktsegment) AS n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('0|' || c_custkey), c_custkey) AS r FROM customer), f AS (SELECT unnest([0.25, 0.5]) AS fraction) SELECT CAST(fraction AS DOUBLE) AS fraction, c_custkey FROM k, f WHERE r <= round_even(CAST(fraction AS DOUBLE) * n, 0)")
 def nested_fraction(spark, d):
-    c = read(spark, d, "customer")
-    some = [sampling.nested_fraction(c, ["c_mktsegment"], [F.col("c_custkey")], f).select(F.lit(f).alias("fraction"), "c_custkey") for f in (0.25, 0.5)]
-    return some[0].unionByName(some[1])
+    c = read(spark, d, "customer").withColumn("fraction", F.explode(F.array(F.lit(0.25), F.lit(0.5))))
+    return sampling.nested_fraction(c, ["c_mktsegment", "fraction"], [F.col("c_custkey")], F.col("fraction")).select("fraction", "c_custkey")
 
 
 @query("WITH s AS (SELECT n_name AS key, count(*) AS size FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), e AS (SELECT *, 100 * size / sum(size) OVER () AS exact FROM s), r AS (SELECT *, floor(exact) AS low, row_number() OVER (ORDER BY floor(exact) - exact, key) AS rk FROM e) SELECT key, size, CAST(low + CASE WHEN rk <= 100 - sum(low) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r")
@@ -421,12 +435,12 @@ def largest_remainder(spark, d):
 @query("SELECT c_mktsegment, c_custkey, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) % 7 AS shard FROM customer")
 def shard_rows(spark, d):
     c = read(spark, d, "customer")
-    return c.select("c_mktsegment", "c_custkey", sampling.shard_of(["c_mktsegment"], ["c_custkey"], 7).cast("long").alias("shard"))
+    return sampling.sharded(c, ["c_mktsegment"], ranks.number_bucket(F.col("c_custkey"), 10_000), ["c_custkey"], 7).select("c_mktsegment", "c_custkey", "shard")
 
 
 @query("WITH k AS (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS pos, greatest(count(*) OVER (PARTITION BY c_mktsegment) // 50, 1) AS step FROM customer) SELECT c_mktsegment, c_custkey FROM k WHERE pos % step = 0 AND pos // step < 50")
 def systematic_sample(spark, d):
-    return sampling.systematic(read(spark, d, "customer"), ["c_mktsegment"], ["c_custkey"], 50).select("c_mktsegment", "c_custkey")
+    return sampling.systematic(read(spark, d, "customer"), ["c_mktsegment"], ranks.number_bucket(F.col("c_custkey"), 10_000), ["c_custkey"], 50).select("c_mktsegment", "c_custkey")
 
 
 @query("SELECT md5(text) AS content, count(*) AS n, count(DISTINCT source) AS owners, count(DISTINCT source) > 1 AS crosses FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -434,10 +448,9 @@ def dup_groups(spark, d):
     return dedup.groups(read(spark, d, "documents").withColumn("content", F.md5(F.col("text").cast("binary"))), "content", "source")
 
 
-@query("SELECT md5(text) AS content, count(DISTINCT quality) AS answers FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT quality) > 1")
+@query("SELECT o_custkey AS content, count(DISTINCT o_orderstatus) AS answers FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
 def conflicting_labels(spark, d):
-    t = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").withColumn("content", F.md5(F.col("text").cast("binary")))
-    return dedup.conflicting(t, "content", "quality")
+    return dedup.conflicting(read(spark, d, "orders").withColumnRenamed("o_custkey", "content"), "content", "o_orderstatus")
 
 
 @query("SELECT user_id, event_type, event_id, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1")
@@ -456,12 +469,12 @@ def later_copies(spark, d):
 
 
 @query(
-    """WITH RECURSIVE p AS (SELECT DISTINCT l_partkey AS c, l_suppkey % 40 * 1000 + l_orderkey % 997 AS o FROM lineitem WHERE l_quantity = 50), s AS (SELECT * FROM p WHERE c IN (SELECT c FROM p GROUP BY c HAVING count(*) > 1)),
+    """WITH RECURSIVE p AS (SELECT DISTINCT md5(text) AS c, source || '/' || (doc_id % 97) AS o FROM documents), s AS (SELECT * FROM p WHERE c IN (SELECT c FROM p GROUP BY c HAVING count(*) > 1)),
  e AS (SELECT DISTINCT a.o AS x, b.o AS y FROM s a JOIN s b USING (c)), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x AS owner, min(y) AS canonical FROM r GROUP BY x"""
 )
 def patient_components(spark, d):
-    l = read(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("c"), (F.col("l_suppkey") % 40 * 1000 + F.col("l_orderkey") % 997).alias("o"))
-    return dedup.merged_owners(l, "c", "o")
+    t = read(spark, d, "documents").select(F.md5(F.col("text").cast("binary")).alias("c"), F.concat_ws("/", "source", (F.col("doc_id") % 97).cast("string")).alias("o"))
+    return dedup.merged_owners(t, "c", "o")
 
 
 SPLITS = "s AS (SELECT doc_id, source, md5(text) AS content, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 8 THEN 'val' ELSE 'test' END AS split FROM documents)"
@@ -515,13 +528,8 @@ def _state(spark, d) -> DataFrame:
     k = F.col("o_orderkey")
     images = read(spark, d, "orders").select(k.alias("path"), F.col("o_orderpriority").alias("dataset"), F.when(k % 3 == 0, "test").otherwise("train").alias("split"), (k % 2 == 0).alias("sampled"), (F.col("o_orderstatus") != "P").alias("labelled"))
     models = spark.createDataFrame([("m1", None), ("m2", ["1-URGENT", "2-HIGH"]), ("m3", None)], "model string, datasets array<string>")
-    keys = images.select("path").crossJoin(F.broadcast(models.select("model")))  # three models
-    done = {
-        "rationale": (images.where("path % 5 < 3"), ["path"]),
-        "evaled": (keys.where("(path + length(model)) % 4 < 3 and model <> 'm3'"), ["path", "model"]),
-        "judged": (keys.where("path % 4 < 2 and model = 'm1'"), ["path", "model"]),
-        "judged_gpt": (keys.where("path % 8 = 0 and model = 'm1'"), ["path", "model"]),
-    }
+    of = lambda where, *names: (images.where(where).select("path", F.explode(F.array(*map(F.lit, names))).alias("model")), ["path", "model"])
+    done = {"rationale": (images.where("path % 5 < 3"), ["path"]), "evaled": of("(path + 2) % 4 < 3", "m1", "m2"), "judged": of("path % 4 < 2", "m1"), "judged_gpt": of("path % 8 = 0", "m1")}
     return state.sync(images, models, done)
 
 
@@ -555,11 +563,11 @@ def failure_report(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT user_id, CASE WHEN event_id % 3 = 0 THEN 'end' ELSE 'start' END AS kind, event_id AS pos, event_type FROM events WHERE event_id % 2 = 0 OR event_id % 7 = 0),
+    """WITH e AS (SELECT user_id, CASE WHEN event_id % 3 = 0 AND user_id % 4 > 0 THEN 'end' ELSE 'start' END AS kind, event_id AS pos, event_type FROM events),
  t AS (SELECT user_id, max(CASE WHEN kind = 'start' THEN pos END) AS started, max(CASE WHEN kind = 'end' THEN pos END) AS ended, max_by(event_type, CASE WHEN kind = 'end' THEN pos END) AS detail FROM e GROUP BY user_id) SELECT *, started IS NOT NULL AND ended IS NULL AS open FROM t"""
 )
 def task_pairs(spark, d):
-    e = read(spark, d, "events").where("event_id % 2 = 0 or event_id % 7 = 0").select("user_id", F.when(F.col("event_id") % 3 == 0, "end").otherwise("start").alias("kind"), F.col("event_id").alias("at"), "event_type")
+    e = read(spark, d, "events").select("user_id", F.when((F.col("event_id") % 3 == 0) & (F.col("user_id") % 4 > 0), "end").otherwise("start").alias("kind"), F.col("event_id").alias("at"), "event_type")
     return state.tasks(e, ["user_id"], "kind", "at", "event_type")
 
 
@@ -661,7 +669,7 @@ def _stream(spark, d) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stm_tumbling(spark, d):
-    out = streams.finished(streams.tumbling(_stream(spark, d), "1 day", "1 hour", ["event_type"]), "stm_tumbling", "complete")
+    out = streams.finished(streams.tumbling(_stream(spark, d), "1 day", "1 hour", ["event_type"]), "complete")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -669,16 +677,16 @@ def stm_tumbling(spark, d):
     """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k"""
 )
 def stm_sessions(spark, d):
-    out = streams.finished(streams.sessions(_stream(spark, d), "6 hours", "1 hour", ["user_id"]), "stm_sessions", "complete")
+    out = streams.finished(streams.sessions(_stream(spark, d), "6 hours", "1 hour", ["user_id"]), "complete")
     return out.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stm_once(spark, d):
-    return streams.finished(streams.once(_stream(spark, d), ["user_id", "event_type"], "1 hour"), "stm_once", "append").select("user_id", "event_type")
+    return streams.finished(streams.once(_stream(spark, d), ["user_id", "event_type"], "1 hour"), "append").select("user_id", "event_type")
 
 
 @query()
 def stm_streaks(spark, d):
     s = _stream(spark, d).withColumn("failed", F.col("value") > 10)
-    return streams.finished(streams.streaks(s, "user_id", "failed", 4), "stm_streaks", "append")
+    return streams.finished(streams.streaks(s, "user_id", "failed", 4), "append")

@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
-from tidewell.operators.dedup import saved
+from tidewell.operators.dedup import new_folder, saved
+from tidewell.sources.readers import exists
 
 
 def events(spark: SparkSession, folder: str, schema, pattern: str = "events.parquet") -> DataFrame:
@@ -36,8 +38,6 @@ def append_once(path: str, key: list[str]):
     """For foreachBatch: appends rows whose key path doesn't have; safe to repeat after a failure."""
 
     def write(batch: DataFrame, _: int) -> None:
-        from tidewell.sources.readers import exists
-
         new = batch.dropDuplicates(key)
         if exists(batch.sparkSession, path):
             new = saved(new.join(batch.sparkSession.read.parquet(path).select(*key), key, "left_anti"))
@@ -56,6 +56,7 @@ def open_tasks(starts: DataFrame, ends: DataFrame, key: str, late: str, within:
 
 def streaks(stream: DataFrame, by: str, failed: str, limit: int, at: str = "ts") -> DataFrame:
     """by, at, streak: each time that a key's failures in a row reach the limit. State: a number for each key. Rows of a trigger are taken in the order of `at`."""
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -63,23 +64,56 @@ def streaks(stream: DataFrame, by: str, failed: str, limit: int, at: str = "ts")
 
     def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
-        found = []
         whole = pd.concat(list(rows)).sort_values(at)
-        for when, bad in zip(whole[at], whole[failed], strict=True):
-            n = n + 1 if bad else 0
-            if n == limit:
-                found.append((key[0], when, n))
-        state.update((n,))
-        yield pd.DataFrame(found, columns=[by, at, "streak"])
+        bad = whole[failed].to_numpy(bool)
+        place = np.arange(len(bad))
+        good = np.maximum.accumulate(np.where(bad, -1, place))
+        run = np.where(bad, np.where(good < 0, n + place + 1, place - good), 0)
+        state.update((int(run[-1]) if len(run) else n,))
+        hit = whole[run == limit]
+        yield pd.DataFrame({by: [key[0]] * len(hit), at: hit[at].to_numpy(), "streak": limit})
 
     return stream.groupBy(by).applyInPandasWithState(run, f"{by} {kind}, {at} timestamp, streak int", "n int", "append", GroupStateTimeout.NoTimeout)
 
 
-def finished(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that is there now, run through the stream into a table in memory: for tests and small reports."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def finished(stream: DataFrame, mode: str) -> DataFrame:
+    """All that is there now, run through the stream into Parquet below the checkpoint folder, and read back. In complete mode each trigger replaces the table."""
+    spark = stream.sparkSession
+    path = new_folder(spark)
+
+    def write(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={k}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows") if exists(spark, f"{path}/rows") else spark.createDataFrame([], stream.schema)
+
+
+def in_scope(stream: DataFrame, scope: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of a stream that today's scope still has; late rows of an older one are left out. scope is read anew by each trigger."""
+    return stream.join(scope.select(*key).distinct(), key, "left_semi")
+
+
+class Progress(StreamingQueryListener):
+    """Keeps the rows that each trigger took, and tells every `every` rows."""
+
+    def __init__(self, every: int = 25, tell=print):
+        self.every, self.tell, self.rows, self.triggers = every, tell, 0, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        before, self.rows = self.rows, self.rows + int(event.progress.numInputRows)
+        self.triggers += 1
+        if self.rows // self.every > before // self.every:
+            self.tell(f"{self.rows} rows")
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
