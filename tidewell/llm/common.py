@@ -47,6 +47,16 @@ def chunks(sizes, most: int):
         yield a, len(sizes)
 
 
+def slices(batch, column: int, most: int = 4 << 20):
+    """(part of an Arrow batch, its texts as bytes), of `most` bytes of text or one row."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for a, b in chunks(sizes, most):
+        part = batch.slice(a, b - a)
+        yield part, utf8(part.column(column))
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """df written to a Parquet folder below spark.checkpoint.dir and read again: lineage is cut and any executor may be lost.
 
@@ -73,17 +83,18 @@ def bucketed(df: DataFrame, key: list[str], name: str) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: list[str], n: str, total: int, spread: Column, needs=None) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: list[str], n: str, total: int, needs: Column | None = None) -> DataFrame:
     """rows with the columns of table, which has one row for each key and in n how many of the `total` rows have it; nulls where it has none.
 
     Keys with more than a thousandth of all rows are under a thousand, so theirs is the part that is broadcast; all other rows are
-    joined by sorting. Rows of hot keys, and those that `needs` says need no lookup, are spread by `spread` in that join.
+    joined by sorting. Rows of hot keys, and those that `needs` says need no lookup, are spread evenly in that join.
     """
     more = [c for c in table.columns if c not in key]
+    anywhere = F.monotonically_increasing_id().cast("string").cast(rows.schema[key[0]].dataType)
     hot = F.broadcast(table.where(F.col(n) > total / HOT_SHARE).select(*(F.col(c).alias(f"_h_{c}") for c in table.columns), F.lit(True).alias("_hot")))
     cold = table.where(F.col(n) <= total / HOT_SHARE).select(*(F.col(c).alias(f"_c_{c}") for c in table.columns), F.lit(False).alias("_cold"))
     found = rows.join(hot, [F.col(c) == F.col(f"_h_{c}") for c in key], "left").withColumn("_done", F.coalesce("_hot", ~needs if needs is not None else F.lit(False)))
-    keys = [F.when(F.col("_done"), None).otherwise(F.col(c)) if k else F.when(F.col("_done"), spread).otherwise(F.col(c)) for k, c in enumerate(key)]
+    keys = [F.when(F.col("_done"), None).otherwise(F.col(c)) if k else F.when(F.col("_done"), anywhere).otherwise(F.col(c)) for k, c in enumerate(key)]
     dealt = found.select("*", *(k.alias(f"_k_{c}") for k, c in zip(keys, key, strict=True)))
     met = [F.col(f"_k_{c}") == F.col(f"_c_{c}") for c in key] + [F.col("_done") == F.col("_cold")]
     return dealt.join(cold, met, "left").select(*rows.columns, *(F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in more))

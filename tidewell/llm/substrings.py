@@ -3,7 +3,8 @@
 A byte goes if it lies in a string of WIDTH bytes that also starts in a document with a smaller id. Strings are judged on the
 input and never cross documents.
 
-1. Distinct texts are laid out once, in buckets by a 128-bit hash, each with its smallest id; no other step moves texts.
+1. Distinct texts are laid out once, in buckets by a 128-bit hash, each with its smallest id and a number; no other step moves
+   texts.
 2. Anchors: of the 16-byte grams in each string of WIDTH bytes, the one with the least hash. Equal strings have equal anchors,
    so only the surroundings of anchors that two texts have in common can hold repeated strings. Anchors travel to the shard of
    their hash as packed arrays, one row for each chunk of texts and shard.
@@ -26,16 +27,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import bucketed, chunks, documents, durable, looked_up, utf8
+from tidewell.llm.common import bucketed, chunks, documents, durable, looked_up, slices, utf8
 
 WIDTH, GRAM = 50, 16
 SIDE = WIDTH - GRAM  # what an anchor's strings reach to either side
 CUT = 2 * SIDE + GRAM  # bytes of a snippet
 ROW = -(-CUT // 8) * 8
-SHARD_BYTES = 8 << 20, 256 << 20  # of text for each shard, at least and at most: 4096 shards, then as many as the text needs
-BLOCK = 24_000  # snippets of a block, about 2 MB
-CHUNK = 16 << 20  # bytes of text whose anchors are sent together
-FLUSH = 200_000  # snippets that a task gathers before it sends them
+SHARDS, SHARD_BYTES = 32, 32 << 20  # shards at least, and bytes of text for each beyond that
+BLOCK = 12_000  # snippets of a block, about 1 MB
+CHUNK = 6 << 20  # bytes of text whose anchors are sent together
+FLUSH = 60_000  # snippets that a task gathers before it sends them
 HOT = 64  # places of a snippet in one flush
 
 
@@ -137,39 +138,47 @@ def common_here(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order, np.repeat(np.minimum.reduceat(o, first) != np.maximum.reduceat(o, first), end - first)
 
 
-def packed_places(own: np.ndarray, place: np.ndarray, k: np.ndarray, lo: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """(hashes of the texts, how many places each has, steps from place to place), for rows in order of text and place."""
+def packed_places(own: np.ndarray, place: np.ndarray, tid: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """(steps from text to text, how many places each has, steps from place to place), for rows in order of text and place."""
     first, end = runs_of(own)
     step = place.copy()
     step[1:] -= place[:-1]
     step[first] = place[first]
-    return np.stack([k[own[first]], lo[own[first]]], 1).tobytes(), pack((end - first).astype("<u4")), pack(step.astype("<u4"))
+    return packed_ids(tid[own[first]]), pack((end - first).astype("<u4")), pack(step.astype("<u4"))
 
 
 def unpacked_places(ids: bytes, counts: bytes, steps: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of the texts, each row's text, each row's place)."""
+    """(the texts, each row's text, each row's place)."""
     n, step = unpack(counts, "<u4").astype(np.int64), unpack(steps, "<u4").astype(np.int64)
     total = np.cumsum(step)
     first = np.cumsum(n) - n
-    return np.frombuffer(ids, np.int64).reshape(-1, 2), np.repeat(np.arange(len(n)), n), total - np.repeat(total[first] - step[first], n)
+    return unpacked_ids(ids), np.repeat(np.arange(len(n)), n), total - np.repeat(total[first] - step[first], n)
 
 
-def by_text(ids: np.ndarray, own: np.ndarray, place: np.ndarray):
-    """An Arrow table of one row a text: its hashes and, as 32-bit integers, its places."""
+def packed_ids(tid: np.ndarray) -> bytes:
+    return pack(np.diff(tid, prepend=np.int64(0)))
+
+
+def unpacked_ids(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.int64))
+
+
+def by_text(tid: np.ndarray, own: np.ndarray, place: np.ndarray):
+    """An Arrow table of one row a text: its number and, as 32-bit integers, its places."""
     import pyarrow as pa
 
     order = np.argsort(own, kind="stable")
     first, end = runs_of(own[order])
-    data, t = place[order].astype("<i4").tobytes(), ids[own[order][first]]
-    return pa.table({"k": pa.array(t[:, 0]), "lo": pa.array(t[:, 1]), "places": pa.array([data[4 * a : 4 * b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())})
+    data = place[order].astype("<i4").tobytes()
+    return pa.table({"tid": pa.array(tid[own[order][first]]), "places": pa.array([data[4 * a : 4 * b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())})
 
 
 ANCHORS = "shard int, h binary, known binary, ids binary, counts binary, steps binary"
-PLACES = "k bigint, lo bigint, places binary"
+PLACES = "tid bigint, places binary"
 
 
 def common_anchors(texts: DataFrame, shards: int) -> DataFrame:
-    """(k, lo, text) -> PLACES: anchors that several texts have. A text may have several rows."""
+    """(tid, text) -> PLACES: anchors that several texts have. A text may have several rows."""
 
     def sent(batches):
         """To the shard of its hash: each anchor of one text with its places and 32 bits more of its hash (anchors that seem common are judged in full later); of anchors that the chunk itself shows to be common, the hash alone. The places of the latter go along to any shard."""
@@ -177,22 +186,22 @@ def common_anchors(texts: DataFrame, shards: int) -> DataFrame:
 
         kinds = [pa.int32()] + [pa.binary()] * 5
         for batch in batches:
-            k, lo, every = batch.column(0).to_numpy(), batch.column(1).to_numpy(), utf8(batch.column(2))
-            for a, b in chunks(map(len, every), CHUNK):
-                own, place, h = anchors(every[a:b])
+            for part, every in slices(batch, 1, CHUNK):
+                tid = part.column(0).to_numpy()
+                own, place, h = anchors(every)
                 order, many = common_here(h, own)
                 rows = []
 
-                def add(own, place, shard, h=None, ids=(k[a:b], lo[a:b]), rows=rows):
+                def add(own, place, shard, h=None, tid=tid, rows=rows):
                     order = np.lexsort((place, own, shard))
                     own, place, shard = own[order], place[order], shard[order]
                     for x, y in zip(*(r.tolist() for r in runs_of(shard)), strict=True):
-                        rows.append((int(shard[x]), None if h is None else (h[order[x:y]] >> np.uint64(32)).astype("<u4").tobytes(), None, *packed_places(own[x:y], place[x:y], *ids)))
+                        rows.append((int(shard[x]), None if h is None else (h[order[x:y]] >> np.uint64(32)).astype("<u4").tobytes(), None, *packed_places(own[x:y], place[x:y], tid)))
 
                 rest, near = order[~many], order[many]
                 add(own[rest], place[rest], dealt(h[rest], shards), h[rest])
-                add(own[near], place[near], dealt(mixed((k[a:b].view(np.uint64)[own[near]] >> np.uint64(1)) + np.uint64(1)), shards))
-                known = np.sort(np.unique(h[near]))
+                add(own[near], place[near], own[near] % shards)
+                known = np.unique(h[near])
                 to = dealt(known, shards)
                 known, to = known[np.argsort(to, kind="stable")], np.sort(to)
                 rows += [(int(to[x]), None, (known[x:y] >> np.uint64(32)).astype("<u4").tobytes(), None, None, None) for x, y in zip(*(r.tolist() for r in runs_of(to)), strict=True)]
@@ -209,20 +218,20 @@ def common_anchors(texts: DataFrame, shards: int) -> DataFrame:
             elif h is None:
                 near.append(by_text(*unpacked_places(*packed)))
             else:
-                ids, own, place = unpacked_places(*packed)
-                parts.append((np.frombuffer(h, "<u4"), own + n, place, ids))
-                n += len(ids)
+                tid, own, place = unpacked_places(*packed)
+                parts.append((np.frombuffer(h, "<u4"), own + n, place, tid))
+                n += len(tid)
         if parts:
-            h, own, place, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+            h, own, place, tid = (np.concatenate([p[k] for p in parts]) for k in range(4))
             order, many = common_here(h, own)
             if known:
                 every = np.unique(np.concatenate(known))
                 s = h[order]
                 many |= every[np.minimum(np.searchsorted(every, s), len(every) - 1)] == s
-            near.append(by_text(ids, own[order][many], place[order][many]))
-        return pa.concat_tables(near) if near else by_text(np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            near.append(by_text(tid, own[order][many], place[order][many]))
+        return pa.concat_tables(near) if near else by_text(*(np.zeros(0, np.int64),) * 3)
 
-    return texts.select("k", "lo", "text").mapInArrow(sent, ANCHORS).groupBy("shard").applyInArrow(met, PLACES)
+    return texts.select("tid", "text").mapInArrow(sent, ANCHORS).groupBy("shard").applyInArrow(met, PLACES)
 
 
 def dealt(h: np.ndarray, shards: int) -> np.ndarray:
@@ -231,7 +240,7 @@ def dealt(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def snippets(texts: list[bytes], places: list[np.ndarray]):
-    """(bytes, first and end byte that belong to the text, hash of all these, anchor's hash, text's index, snippet's first place) of each anchor."""
+    """(bytes, first and end byte that belong to the text, text's index, snippet's first place) of each anchor."""
     data, begin, ends = joined(texts)
     data = bytes(SIDE) + data
     own = np.repeat(np.arange(len(texts)), [len(p) for p in places])
@@ -244,12 +253,35 @@ def snippets(texts: list[bytes], places: list[np.ndarray]):
     columns = np.arange(CUT)
     edge = np.flatnonzero((low > 0) | (high < CUT))
     cut[edge, :CUT] *= (columns >= low[edge, None]) & (columns < high[edge, None])
-    words = cut.view("<u8")
-    key = (low * 256 + high).astype(np.uint64)
-    for k in range(words.shape[1]):
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + words[:, k])
-    anchor = grams(np.ascontiguousarray(cut[:, SIDE : SIDE + 8]).view("<u8")[:, 0], np.ascontiguousarray(cut[:, SIDE + 8 : SIDE + 16]).view("<u8")[:, 0])
-    return cut, low, high, key, anchor, own, first
+    return cut, low, high, own, first
+
+
+def part_hash(cut: np.ndarray, first: int, end: int) -> np.ndarray:
+    """A hash of the bytes from first to end of each row."""
+    out = np.zeros(len(cut), np.uint64)
+    for at in range(first, end, 8):
+        word = np.zeros((len(cut), 8), np.uint8)
+        word[:, : min(8, end - at)] = cut[:, at : min(at + 8, end)]
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + word.view("<u8")[:, 0])
+    return out
+
+
+def keys_of(cut: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the whole snippet, hash of its anchor): together they tell snippets apart."""
+    middle = np.ascontiguousarray(cut[:, SIDE : SIDE + GRAM]).view("<u8")
+    return mixed(part_hash(cut, 0, CUT) + (low.astype(np.uint64) << np.uint64(8)) + high.astype(np.uint64)), grams(np.ascontiguousarray(middle[:, 0]), np.ascontiguousarray(middle[:, 1]))
+
+
+def may_share(cut: np.ndarray, small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """Whether a snippet can share a string with one of another document: a string of WIDTH bytes around the anchor reaches at least SIDE / 2 bytes to one side."""
+    out = np.zeros(len(cut), bool)
+    half = SIDE // 2
+    for h in (part_hash(cut, SIDE - half, SIDE + GRAM), part_hash(cut, SIDE, SIDE + GRAM + half)):
+        order = np.argsort(h, kind="stable")
+        first, end = runs_of(h[order])
+        if len(first):
+            out[order] |= np.repeat(np.minimum.reduceat(small[order], first) < np.maximum.reduceat(large[order], first), end - first)
+    return out
 
 
 def suffix_array(a: np.ndarray) -> np.ndarray:
@@ -341,10 +373,10 @@ def judged(cut, low, high, least, most) -> tuple[np.ndarray, np.ndarray, np.ndar
     return place // CUT, place % CUT, doc
 
 
-ANSWERS = "kind int, a bigint, b bigint, data binary"
+ANSWERS = "kind int, a bigint, b bigint, data binary"  # a and b: a text's number and 0, or the hashes of a snippet
 RANGES, HOT_RUNS, HOT_PLACES = range(3)
 RUN = np.dtype([("first", "<i4"), ("end", "<i4"), ("doc", "<i8")])
-PLACE = np.dtype([("k", "<i8"), ("lo", "<i8"), ("doc", "<i8"), ("place", "<i4")])
+PLACE = np.dtype([("tid", "<i8"), ("doc", "<i8"), ("place", "<i4")])
 
 
 def answers(rows: list[tuple]):
@@ -366,61 +398,67 @@ def ranges_by_text(runs: np.ndarray, places: np.ndarray) -> list[tuple]:
     """Rows of ANSWERS from pairs of RUN and PLACE: the ranges of each text that a smaller document has."""
     hit = runs["doc"] < places["doc"]
     runs, places = runs[hit], places[hit]
-    order = np.lexsort((places["lo"], places["k"]))
+    order = np.argsort(places["tid"], kind="stable")
     runs, places = runs[order], places[order]
     both = np.stack([places["place"] + runs["first"], places["place"] + runs["end"]], 1).astype("<i4")
-    first, end = runs_of(places["k"], places["lo"])
-    k, lo = places["k"][first].tolist(), places["lo"][first].tolist()
+    first, end = runs_of(places["tid"])
     rows = []
-    for x, y, a, b in zip(first.tolist(), end.tolist(), k, lo, strict=True):
+    for x, y, tid in zip(first.tolist(), end.tolist(), places["tid"][first].tolist(), strict=True):
         start, stop = united(both[x:y, 0], both[x:y, 1])
-        rows.append((RANGES, a, b, np.stack([start, stop], 1).astype("<i4").tobytes()))
+        rows.append((RANGES, tid, 0, np.stack([start, stop], 1).astype("<i4").tobytes()))
     return rows
 
 
-SNIPPETS = "shard int, key binary, small binary, large binary, ends binary, bytes binary, counts binary, places binary"
+SNIPPETS = "shard int, name binary, bytes binary, ends binary, hot binary, counts binary, ids binary, docs binary, places binary"
 
 
 def repeated_strings(held: DataFrame, shards: int) -> DataFrame:
-    """(k, lo, doc, text, places) -> ANSWERS: (k, lo) and the ranges that go; (anchor, key) of a snippet and its RUNs, where it is hot; (anchor, key) and PLACEs of hot snippets."""
+    """(tid, doc, text, places) -> ANSWERS: a text and the ranges that go; a hot snippet and its RUNs; a hot snippet and some of its PLACEs."""
+    names = [c.split()[0] for c in SNIPPETS.split(", ")]
 
     def sent(batches):
         import pyarrow as pa
 
         gathered: list[tuple] = []
-        kinds = [pa.int32()] + [pa.binary()] * 7
+        kinds = [pa.int32()] + [pa.binary()] * 8
 
         def flush():
-            """Each snippet once; snippets of one anchor lie together and so pack well."""
-            cut, low, high, key, anchor, where = (np.concatenate(x) for x in zip(*gathered, strict=True))
+            """Each snippet once, with its places; of hot ones those of the first and the last document. Snippets of one anchor lie together and so pack well."""
+            cut, low, high, where = (np.concatenate(x) for x in zip(*gathered, strict=True))
             gathered.clear()
+            key, anchor = keys_of(cut, low, high)
             shard = dealt(anchor, shards)
-            order = np.lexsort((key, anchor, shard))
+            order = np.lexsort((where["doc"], key, anchor, shard))
             first, end = runs_of(key[order], anchor[order])
-            doc, one, count = where["doc"][order], order[first], end - first
-            small, large, shard, where = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first), shard[one], where[order]
+            one, hot, where = order[first], end - first > HOT, where[order]
+            sent_ = np.ones(len(where), bool)
+            for x in np.flatnonzero(hot).tolist():
+                sent_[first[x] + 1 : end[x] - 1] = False
+            count = np.add.reduceat(sent_.astype(np.int64), first)
+            few, last = where[sent_], np.cumsum(count)
             rows = []
-            for x, y in zip(*(r.tolist() for r in runs_of(shard)), strict=True):
-                i = one[x:y]
+            for x, y in zip(*(r.tolist() for r in runs_of(shard[one])), strict=True):
+                i, own = one[x:y], few[last[x] - count[x] : last[y - 1]]
+                tid, which = np.unique(own["tid"], return_inverse=True)
+                doc = np.zeros(len(tid), np.int64)
+                doc[which] = own["doc"]
                 ends = np.stack([low[i], high[i]], 1).astype(np.uint8)
-                few = count[x:y] <= HOT
-                own = where[first[x] : end[y - 1]][np.repeat(few, count[x:y])]
-                rows.append((int(shard[x]), key[i].tobytes(), pack(small[x:y]), pack(large[x:y]), pack(ends), squeezed(cut[i, :CUT]), pack(np.where(few, count[x:y], 0).astype("<u4")), pack(own)))
-            for x in np.flatnonzero(count > HOT).tolist():  # the places only pass through the shard
+                places = np.stack([which.astype("<u4"), (own["place"] + SIDE).astype("<u4")], 1)
+                rows.append((int(shard[one[x]]), None, squeezed(cut[i, :CUT]), pack(ends), pack(hot[x:y].astype(np.uint8)), pack(count[x:y].astype("<u4")), packed_ids(tid), pack(doc), pack(places)))
+            for x in np.flatnonzero(hot).tolist():  # these places only pass through a shard
                 own = where[first[x] : end[x]]
-                name = np.array([anchor[one[x]], key[one[x]]]).tobytes()
-                rows.append((int(mixed(own["k"][:1].view(np.uint64))[0] % np.uint64(shards)), name, None, None, None, None, None, own.tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in SNIPPETS.split(", ")])
+                rows.append((int(own["tid"][0] % shards), np.array([anchor[one[x]], key[one[x]]]).tobytes(), *[None] * 6, own.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
-            k, lo, docs = (batch.column(c).to_numpy() for c in range(3))
-            texts, places = utf8(batch.column(3)), [np.unique(np.frombuffer(b"".join(p), "<i4")) for p in batch.column(4).to_pylist()]
-            for a, b in chunks(map(len, texts), 1 << 20):
-                cut, low, high, key, anchor, own, first = snippets(texts[a:b], places[a:b])
+            for part, texts in slices(batch, 2, 1 << 20):
+                tid, docs = (part.column(c).to_numpy() for c in range(2))
+                places = [np.unique(np.frombuffer(b"".join(p), "<i4")) for p in part.column(3).to_pylist()]
+                cut, low, high, own, first = snippets(texts, places)
                 if len(cut):
                     where = np.empty(len(cut), PLACE)
-                    where["k"], where["lo"], where["doc"], where["place"] = k[a:b][own], lo[a:b][own], docs[a:b][own], first
-                    gathered.append((cut, low.astype(np.uint8), high.astype(np.uint8), key, anchor, where))
+                    where["tid"], where["doc"], where["place"] = tid[own], docs[own], first
+                    gathered.append((cut, low.astype(np.uint8), high.astype(np.uint8), where))
                 if sum(len(x[0]) for x in gathered) > FLUSH:
                     yield flush()
         if gathered:
@@ -428,35 +466,38 @@ def repeated_strings(held: DataFrame, shards: int) -> DataFrame:
 
     def met(table):
         rows, parts = [], []
-        for key, small, large, ends, data, counts, places in zip(*(table.column(c.split()[0]).to_pylist() for c in SNIPPETS.split(", ")[1:]), strict=True):
-            if data is None:
-                rows.append((HOT_PLACES, *np.frombuffer(key, np.int64).tolist(), places))
-            else:
-                parts.append((np.frombuffer(key, np.uint64), unpack(small, np.int64), unpack(large, np.int64), unpack(ends, np.uint8, 2), spread(data), unpack(counts, "<u4").astype(np.int64), unpack(places, np.uint8, PLACE.itemsize).reshape(-1).view(PLACE)))
+        for name, data, ends, hot, counts, ids, docs, places in zip(*(table.column(c).to_pylist() for c in names[1:]), strict=True):
+            if name is not None:
+                rows.append((HOT_PLACES, *np.frombuffer(name, np.int64).tolist(), places))
+                continue
+            which = unpack(places, "<u4", 2).reshape(-1).view("<u4").reshape(-1, 2)
+            where = np.empty(len(which), PLACE)
+            where["tid"], where["doc"], where["place"] = unpacked_ids(ids)[which[:, 0]], unpack(docs, np.int64)[which[:, 0]], which[:, 1].astype(np.int64) - SIDE
+            parts.append((spread(data), unpack(ends, np.uint8, 2), unpack(hot, np.uint8) > 0, unpack(counts, "<u4").astype(np.int64), where))
         if not parts:
             return answers(rows)
-        key, small, large, ends, cut, count, where = (np.concatenate(x) for x in zip(*parts, strict=True))
+        cut, ends, hot, count, where = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts, table
+        key, anchor = keys_of(cut, ends[:, 0], ends[:, 1])
         begin = np.cumsum(count) - count
-        middle = np.ascontiguousarray(cut[:, SIDE : SIDE + GRAM]).view("<u8")
-        anchor = grams(np.ascontiguousarray(middle[:, 0]), np.ascontiguousarray(middle[:, 1]))
         order = np.lexsort((key, anchor))
         first, end = runs_of(key[order], anchor[order])
-        hot = np.maximum.reduceat(count[order] == 0, first)
+        hot = np.maximum.reduceat(hot[order], first)
         # each snippet's places side by side
         where = where[np.repeat(begin[order] - (np.cumsum(count[order]) - count[order]), count[order]) + np.arange(len(where))]
-        count = np.add.reduceat(count[order], first)
-        small, large, one = np.minimum.reduceat(small[order], first), np.maximum.reduceat(large[order], first), order[first]
-        cut, ends = cut[one], ends[one].astype(np.int64)
-        row, at, doc = judged(cut, ends[:, 0], ends[:, 1], small, large)
+        count, one = np.add.reduceat(count[order], first), order[first]
+        last = np.cumsum(count)
+        small, large = np.minimum.reduceat(where["doc"], last - count), np.maximum.reduceat(where["doc"], last - count)
+        cut = cut[one]
+        some = np.flatnonzero(may_share(cut, small, large))
+        row, at, doc = judged(cut[some], *(x[some] for x in (ends[one, 0].astype(np.int64), ends[one, 1].astype(np.int64), small, large))) if len(some) else (some, some, some)
         if len(row):
             new = np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]))
             start = np.flatnonzero(new)
             runs = np.empty(len(start), RUN)
             runs["first"], runs["end"], runs["doc"] = at[start], at[np.append(start[1:], len(row)) - 1] + WIDTH, doc[start]
             x, y = runs_of(row[start])
-            snippet = row[start][x]
-            last = np.cumsum(count)
+            snippet = some[row[start][x]]
             pairs = crossed(x, y, last[snippet] - count[snippet], last[snippet])
             rows += ranges_by_text(runs[pairs[0]], where[pairs[1]])
             for k in np.flatnonzero(hot[snippet]).tolist():
@@ -468,7 +509,7 @@ def repeated_strings(held: DataFrame, shards: int) -> DataFrame:
 
 
 def hot_ranges(found: DataFrame) -> DataFrame:
-    """ANSWERS of hot snippets -> (k, lo, data): their places' ranges."""
+    """ANSWERS of hot snippets -> (tid, data): their places' ranges."""
 
     def run(batches):
         import pyarrow as pa
@@ -479,12 +520,12 @@ def hot_ranges(found: DataFrame) -> DataFrame:
                 own, where = np.frombuffer(runs, RUN), np.frombuffer(places, PLACE)
                 pairs = crossed(np.array([0]), np.array([len(own)]), np.array([0]), np.array([len(where)]))
                 rows += ranges_by_text(own[pairs[0]], where[pairs[1]])
-            out = answers(rows).select(["a", "b", "data"]).rename_columns(["k", "lo", "data"])
+            out = answers(rows).select(["a", "data"]).rename_columns(["tid", "data"])
             yield from out.to_batches()
 
     runs = found.where(F.col("kind") == HOT_RUNS).select("a", "b", F.col("data").alias("runs"))
     places = found.where(F.col("kind") == HOT_PLACES).select("a", "b", F.col("data").alias("places"))
-    return runs.hint("merge").join(places, ["a", "b"]).select("runs", "places").mapInArrow(run, "k bigint, lo bigint, data binary")
+    return runs.hint("merge").join(places, ["a", "b"]).select("runs", "places").mapInArrow(run, "tid bigint, data binary")
 
 
 def united(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -531,14 +572,16 @@ def _cut(docs: DataFrame) -> tuple[DataFrame, int]:
     named = docs.where((F.octet_length("text") >= WIDTH) & F.col("doc_id").isNotNull())
     # equal texts fall together before the shuffle, so a text that many rows have costs a row for each task
     each = named.groupBy("k", "lo").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.first("text").alias("text"))
-    texts = bucketed(each.withColumn("size", F.octet_length("text")), ["k", "lo"], "texts")
+    texts = bucketed(each.withColumn("size", F.octet_length("text")).withColumn("tid", F.monotonically_increasing_id()), ["k", "lo"], "texts")
     total, rows = texts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shards = int(max(1, total // min(max(SHARD_BYTES[0], total // 4096), SHARD_BYTES[1])))
-    places = common_anchors(texts, shards).groupBy("k", "lo").agg(F.collect_list("places").alias("places"))
-    held = texts.join(places.hint("merge"), ["k", "lo"]).select("k", "lo", "doc", "text", "places")
+    shards = int(max(SHARDS, total // SHARD_BYTES))
+    names = texts.select("tid", "k", "lo")
+    places = common_anchors(texts, shards).groupBy("tid").agg(F.collect_list("places").alias("places"))
+    held = texts.select("k", "lo", "doc", "text").join(places.join(names, "tid").hint("merge"), ["k", "lo"]).select("tid", "doc", "text", "places")
     found = durable(repeated_strings(held, shards), "repeated strings")
-    ranges = found.where(F.col("kind") == RANGES).select(F.col("a").alias("k"), F.col("b").alias("lo"), "data").unionByName(hot_ranges(found))
-    whole = texts.join(ranges.groupBy("k", "lo").agg(F.collect_list("data").alias("data")).hint("merge"), ["k", "lo"], "left").where("n > 1 or data is not null")
+    ranges = found.where(F.col("kind") == RANGES).select(F.col("a").alias("tid"), "data").unionByName(hot_ranges(found))
+    ranges = ranges.groupBy("tid").agg(F.collect_list("data").alias("data")).join(names, "tid").drop("tid")
+    whole = texts.join(ranges.hint("merge"), ["k", "lo"], "left").where("n > 1 or data is not null")
     return removed(whole), rows
 
 
@@ -548,7 +591,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut, total = _cut(docs)
     cut = durable(cut, "cut texts")
     needs = (F.octet_length("text") >= WIDTH) & F.col("doc_id").isNotNull()
-    owned = looked_up(docs, cut.select("k", "lo", "n", "doc"), ["k", "lo"], "n", total, F.xxhash64("doc_id", "text"), needs)
+    owned = looked_up(docs, cut.select("k", "lo", "n", "doc"), ["k", "lo"], "n", total, needs)
     own = cut.where("spans is not null").select(F.col("k").alias("_k"), F.col("lo").alias("_lo"), F.col("doc").alias("_doc"), "spans", "kept")
     whole = owned.join(own, (F.col("k") == F.col("_k")) & (F.col("lo") == F.col("_lo")) & (F.col("doc_id") == F.col("_doc")), "left")
     size = F.octet_length("text")
@@ -565,7 +608,7 @@ def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     cut = durable(cut.select("k", "lo", "n", "doc", gone.alias("gone"), F.size("spans").cast("long").alias("runs"), F.sha2("kept", 256).alias("left")), "cut texts")
     rows = docs.select("doc_id", "k", "lo", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("same"))
     needs = (F.col("n_bytes") >= WIDTH) & F.col("doc_id").isNotNull()
-    found = looked_up(rows, cut, ["k", "lo"], "n", total, F.xxhash64("doc_id", "same"), needs)
+    found = looked_up(rows, cut, ["k", "lo"], "n", total, needs)
     copy, some = (F.col("doc_id") > F.col("doc")) & (F.col("n_bytes") >= WIDTH), F.col("left").isNotNull() & (F.col("doc_id") == F.col("doc"))
     zero = F.lit(0).cast("long")
     return found.select(
