@@ -2,16 +2,18 @@
 
 Every document gets one signature; documents with the same shingle set are one class from the start. The remaining class
 representatives are posted under each (coordinate, value) pair. Two documents whose signatures agree in at least T of K
-coordinates share a pair among the K-T+1 rarest pairs of both (the prefix), so only those are posted; the longer lists are
-skipped, and all agreements that count are then confirmed on the full shingle sets.
-
-Links inside a list aren't enumerated: each member is compared with the list's hub first, the member whose signature is the most
-common. Lists whose members all lie in one component by then are done. The members of the others are joined by the rarest
-shingles of their full sets, where a pair of different components that reaches the similarity must meet. So no link between
-different components is lost, and a list of n copies costs n comparisons.
-
-Null and empty texts have no shingles and stay alone. Rows without an id stay alone and have no component. Repeated ids share
-one component. Nothing is collected; each round of components is written to the checkpoint folder.
+coordinates share a pair among the K-T+1 rarest pairs of both (the prefix), so only those are posted and merged; the longer lists
+are skipped. Collisions are counted for each pair of documents that the merge meets, those of the skipped lists are added from both
+signatures, and pairs with T or more are confirmed on the full shingle sets.
+
+Which pairs the merge meets: each member of a list with the list's hub, the member whose signature is the most common; so a list
+of n copies costs n pairs. Where a list's members lie in several components by then, members of different components meet: in
+lists of SHORT members or fewer directly, in longer ones if they share one of the rarest shingles of their full sets, as two sets
+of the similarity must. So no link between different components is lost.
+
+Null and empty texts have no shingles and stay alone. Rows without an id stay alone and have no component. Ids are integers; rows
+that share one each have the component of their own text. Nothing is collected; each round of components is written to the
+checkpoint folder.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents, durable, utf8
+from tidewell.llm.common import documents, durable, looked_up, slices
 
 COORDINATES = 32
 AGREE = 14  # at a similarity of 0.8, fewer of 32 agree once in about 800,000 pairs
-CACHE_WORDS = 400_000
+SHORT = 16
+CACHE_WORDS = 100_000
+SLICE = 2 << 20  # bytes of text that a task turns into arrays at once
 
 
 class Words(dict):
@@ -81,13 +85,15 @@ def features(df: DataFrame, id_col: str, text_col: str, size: int, k: int) -> Da
         import pyarrow as pa
 
         for batch in batches:
-            n, digest, pairs = [], [], []
-            for text in utf8(batch.column(1)):
-                found = shingles(text, size)
-                n.append(len(found))
-                digest.append(blake2b(found.tobytes(), digest_size=16).digest())
-                pairs.append(signature(found, k) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(pairs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "pairs"])
+            for part, texts in slices(batch, 1, SLICE):
+                n, digest, pairs = [], [], []
+                for text in texts:
+                    found = shingles(text, size)
+                    n.append(len(found))
+                    digest.append(blake2b(found.tobytes(), digest_size=16).digest())
+                    pairs.append(signature(found, k) if len(found) else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(pairs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "pairs"])
+        word_hashes().clear()
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, pairs array<bigint>")
 
@@ -99,8 +105,10 @@ def sets(df: DataFrame, size: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            found = [shingles(t, size).view(np.int64) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "found"])
+            for part, texts in slices(batch, 1, SLICE):
+                found = [shingles(t, size).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "found"])
+        word_hashes().clear()
 
     return df.mapInArrow(run, "doc_id bigint, found array<bigint>")
 
@@ -147,6 +155,34 @@ def rare_pairs(found: DataFrame, percent: int) -> DataFrame:
     return p.join(q, met).select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
 
 
+def prefixes(reps: DataFrame, k: int, agree: int) -> DataFrame:
+    """(rep, pairs) -> rep, known, pair: the pairs under which a document is posted, the rarest first. Pairs that are alone take room in it but lead nowhere."""
+    posted = reps.select("rep", F.explode("pairs").alias("pair"))
+    shared = posted.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = posted.join(shared, "pair").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("own"), F.sum("n").alias("known"))  # k at most
+    prefix = F.slice("own", 1, F.greatest(F.lit(0), F.size("own") - (agree - 1)))
+    return ordered.select("rep", "known", F.explode(prefix).alias("p")).select("rep", "known", F.col("p.pair").alias("pair"))
+
+
+def agreeing(met: DataFrame, reps: DataFrame, k: int, agree: int) -> DataFrame:
+    """(a, b), a row for each collision in the merged lists -> a, b with `agree` collisions or more in all lists."""
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("met"))
+    x, y = (reps.select(F.col("rep").alias(c), F.col("pairs").alias(f"{c}_pairs")) for c in "ab")
+    both = counted.join(x, "a").join(y, "b")
+    return both.where((F.col("met") >= agree) | (F.size(F.array_intersect("a_pairs", "b_pairs")) >= agree)).select("a", "b").distinct()
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+    """(a, b) of `pairs` whose full sets have the similarity."""
+    pairs = durable(pairs, f"{name} candidates")
+    own = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    full = durable(sets(docs.join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), f"{name} sets")
+    x, y = (full.select(F.col("doc_id").alias(c), F.col("found").alias(f"{c}_set")) for c in "ab")
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    sizes = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("a_set") + F.size("b_set")).alias("sum"))
+    return durable(sizes.where(F.expr(f"100L * both >= {percent}L * (sum - both)")).select("a", "b"), f"{name} links")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, k: int = COORDINATES, agree: int = AGREE) -> DataFrame:
     """A row for each row of df: doc_id, n_shingles, component_id, kept.
 
@@ -156,44 +192,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = durable(features(df, id_col, text_col, size, k), "signatures")
     real = every.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = real.join(classes, (real.digest == classes.digest) & (real.doc_id == classes.rep), "left_semi").dropDuplicates(["digest"]).select(F.col("doc_id").alias("rep"), "n_shingles", "pairs")
+    # rows of one class have one set, and so one signature
+    classes = durable(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("pairs").alias("pairs")), "classes")
+    reps = classes.select("rep", "pairs")
+    lists = durable(prefixes(reps, k, agree), "lists")
 
-    # the prefix: the rarest pairs of each representative; pairs that are alone take room in it but lead nowhere
-    posted = reps.select("rep", F.explode("pairs").alias("pair"))
-    shared = posted.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
-    ordered = posted.join(shared, "pair").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("own"), F.sum("n").alias("known"))  # k at most
-    prefix = F.slice("own", 1, F.greatest(F.lit(0), F.size("own") - (agree - 1)))
-    lists = durable(ordered.select("rep", "known", F.explode(prefix).alias("p")).select("rep", "known", F.col("p.pair").alias("pair")), "lists")
-
-    # a list's hub: the member whose whole signature is the most common, as the original of many copies is
-    hubs = lists.groupBy("pair").agg(F.max(F.struct("known", (-F.col("rep")).alias("rep"))).alias("hub"), F.count("*").alias("n")).where("n > 1").select("pair", (-F.col("hub.rep")).alias("hub"))
+    hubs = lists.groupBy("pair").agg(F.max(F.struct("known", (-F.col("rep")).alias("rep"))).alias("hub"), F.count("*").alias("n")).where("n > 1").select("pair", "n", (-F.col("hub.rep")).alias("hub"))
     member = lists.select("rep", "pair").join(hubs, "pair")
-    own = member.select(F.explode(F.array("rep", "hub")).alias("doc_id")).distinct()
-    full = durable(sets(docs.join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        """(a, b) -> a, b, both, either: the sizes of the intersection and the union."""
-        x, y = (full.select(F.col("doc_id").alias(c), F.col("found").alias(f"{c}_set")) for c in "ab")
-        sizes = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("a_set", "b_set")).alias("both"), (F.size("a_set") + F.size("b_set")).alias("sum"))
-        return sizes.select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either"))
-
-    linked = F.expr(f"100L * both >= {percent}L * either")
-    first = durable(compared(member.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()), "hub links")
-    roots = components(first.where(linked))
+    star = agreeing(member.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")), reps, k, agree)
+    first = confirmed(star, docs, size, percent, "hub")
+    roots = components(first)
 
-    # lists with members of several components: only pairs that share one of the rarest shingles of both can reach the
-    # similarity
     labelled = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = labelled.groupBy("pair").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("pair")
-    open_ = durable(labelled.join(mixed, "pair", "left_semi").select("rep", "root").distinct(), "open")
-    rest = rare_pairs(full.join(open_.withColumnRenamed("rep", "doc_id"), "doc_id"), percent)
-    second = durable(compared(rest).where(linked), "other links")
+    open_ = durable(labelled.join(mixed, "pair", "left_semi").select("pair", "n", "rep", "root"), "open lists")
+    short = open_.where(F.col("n") <= SHORT).groupBy("pair").agg(F.collect_list(F.struct("rep", "root")).alias("m"))
+    apart = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["rep"] > x["rep"]) & (y["root"] != x["root"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))))
+    near = short.select(F.explode(apart).alias("p")).select("p.*")
+    long = durable(open_.where(F.col("n") > SHORT).select(F.col("rep").alias("doc_id"), "root").distinct(), "members of long lists")
+    if not long.isEmpty():
+        full = durable(sets(docs.join(long, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets of long lists")
+        near = near.unionByName(rare_pairs(full.join(long, "doc_id"), percent))
+    second = confirmed(agreeing(near, reps, k, agree), docs, size, percent, "other")
     if not second.isEmpty():
-        roots = components(first.where(linked).select("a", "b").unionByName(second.select("a", "b")))
+        roots = components(first.unionByName(second))
 
-    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    whole = every.join(named, "digest", "left")
+    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "n", F.coalesce("root", "rep").alias("root"))
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    whole = looked_up(every.select("doc_id", "n_shingles", "digest"), named, ["digest"], "n", total, (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     return whole.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
