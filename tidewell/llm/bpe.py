@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import chunks, decoded, documents, utf8
+from tidewell.llm.common import chunks, decoded, documents, slices
 
 L, N, O, WS, SP, AP, END = range(7)
 #: Characters that \s stands for in the pattern (fixed values, Unicode White_Space).
@@ -38,7 +38,7 @@ NEW_LETTERS = [
 ]
 NEW_NUMBERS = [(0x10D40, 0x10D4A), (0x116D0, 0x116E4), (0x11BF0, 0x11BFA), (0x16130, 0x1613A), (0x16D70, 0x16D7A), (0x1CCF0, 0x1CCFA), (0x1E5F1, 0x1E5FB)]
 CHUNK_CHARS = 1 << 19
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +186,7 @@ class Encoder:
         for token, rank in self.ranks.items():
             self.token[rank] = token
         self.length = np.array([len(t) for t in self.token], np.int64)
+        self.bytes, self.begin = np.frombuffer(b"".join(self.token), np.uint8), np.cumsum(self.length) - self.length
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.pairs = Pairs(self.ranks)
         self.cache: dict[str, bytes] = {}
@@ -312,8 +313,11 @@ class Encoder:
         size = self.length[ids]
         return (np.cumsum(size) - size).astype("<u4")
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids.tolist()))
+    def decode(self, ids: np.ndarray, offsets: np.ndarray | None = None) -> bytes:
+        """Each token's bytes at its offset; offsets as offsets() gives them."""
+        size = self.length[ids]
+        at = (np.cumsum(size) - size if offsets is None else offsets.astype(np.int64)) if len(ids) else size
+        return self.bytes[np.repeat(self.begin[ids] - at, size) + np.arange(int(size.sum()))].tobytes()
 
 
 @lru_cache(4)
@@ -335,19 +339,23 @@ def encode(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "t
 
         coder = encoder(ranks)
         for batch in batches:
-            raw = utf8(batch.column(1))
-            for a, b in chunks([len(t or b"") for t in raw], 4 << 20):
-                coded = coder.encode([decoded(t) for t in raw[a:b]])
+            for part, raw in slices(batch, 1):
+                coded = coder.encode([decoded(t) for t in raw])
                 ids = [np.frombuffer(x, "<u4") for x in coded]
                 if arrays:
                     own = [pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())), pa.array([coder.offsets(x).astype(np.int64) for x in ids], pa.list_(pa.int64()))]
                 else:
                     own = [pa.array(coded, pa.binary()), pa.array([coder.offsets(x).tobytes() for x in ids], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), *own], ["doc_id", "n_tokens", "ids", "offsets"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), *own], ["doc_id", "n_tokens", "ids", "offsets"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids {many}, offsets {many}")
 
 
+def numbers(x) -> np.ndarray:
+    """ids or offsets of either kind."""
+    return (np.frombuffer(x, "<u4") if isinstance(x, bytes) else np.array(x or [])).astype(np.int64)
+
+
 def decode(df: DataFrame, ranks: str) -> DataFrame:
     """What encode() returned, with ids and offsets as either kind, and the column decoded: the text's bytes."""
     from pyspark.sql import types as T
@@ -357,11 +365,11 @@ def decode(df: DataFrame, ranks: str) -> DataFrame:
 
         coder = encoder(ranks)
         for batch in batches:
-            k = batch.schema.get_field_index("ids")
+            k, j = (batch.schema.get_field_index(c) for c in ("ids", "offsets"))
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = part.column(k).to_pylist()
-                texts = [coder.decode(np.frombuffer(x, "<u4") if isinstance(x, bytes) else np.array(x or [], np.int64)) for x in ids]
+                pairs = zip(*([numbers(x) for x in part.column(c).to_pylist()] for c in (k, j)), strict=True)
+                texts = [coder.decode(ids, at) for ids, at in pairs]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))
