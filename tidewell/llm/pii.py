@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import decoded, documents, utf8
+from tidewell.llm.common import decoded, documents, slices
 from tidewell.llm.tagger import KINDS, WINDOW, codes, trained
 
 STEP = WINDOW // 2
@@ -183,10 +183,8 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact:
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = [decoded(t) for t in utf8(part.column(1))]
-                rows = reports(model.value, texts, redact)
+            for part, texts in slices(batch, 1):
+                rows = reports(model.value, [decoded(t) for t in texts], redact)
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns(rows)], ["doc_id", *NAMES])
 
     return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, {FOUND}")
@@ -227,9 +225,7 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n
         import pyarrow as pa
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                raw = utf8(part.column(at))
+            for part, raw in slices(batch, at):
                 clean = [None if t is None else r[-1] for t, r in zip(raw, reports(model.value, [decoded(t) for t in raw], True), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(clean, c.type) if k == at else c for k, c in enumerate(part.columns)], part.schema.names)
 
