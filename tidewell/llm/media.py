@@ -1,8 +1,8 @@
 """Media columns: ISO media files as binary cells, and what their boxes say.
 
 write_media() stores bytes as unsigned 8-bit samples of one raw audio track. read_media() walks nested boxes of any ISO media
-file and decodes its sample tables into codec, duration and the byte ranges of key frames; it never looks into sample data.
-read_payload() gathers the bytes that the sample table points to.
+file and decodes the sample tables of its first track into codec, duration and the byte ranges of key frames; sample data is never
+decoded, only handed back as it is stored. Files whose samples lie in fragments have an error that says so.
 
 Null and empty inputs are stored as 64 zero bytes. A broken file gives nulls and the column error, never a crash. One row in,
 one row out, without a shuffle; other columns are ignored.
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import chunks, documents, utf8
+from tidewell.llm.common import chunks, documents, slices
 
 UNIT = 64  # samples of a frame, which is what the sample table counts
 PER_CHUNK = 16
@@ -120,11 +120,14 @@ def tracks(data: bytes) -> list[dict]:
             own["runs"] = numbers(data, at, end, 3)
         elif kind == b"stsz":
             same, n = struct.unpack_from(">II", data, at + 4)
+            if same and n * same > len(data):
+                raise ValueError("the samples are larger than the file")
             own["sizes"] = np.full(n, same, np.int64) if same else numbers(data, at, end, 1, skip=12)[:, 0]
         elif kind == b"stco":
             own["chunks"] = numbers(data, at, end, 1)[:, 0]
         elif kind == b"co64":
-            own["chunks"] = np.frombuffer(data, ">u8", struct.unpack_from(">I", data, at + 4)[0], at + 8).astype(np.int64)
+            wide = np.frombuffer(data, ">u8", min(struct.unpack_from(">I", data, at + 4)[0], (end - at - 8) // 8), at + 8)
+            own["chunks"] = np.minimum(wide, len(data) + 1).astype(np.int64)
         elif kind == b"stss":
             own["key"] = numbers(data, at, end, 1)[:, 0] - 1
     return found
@@ -135,8 +138,10 @@ def samples(track: dict) -> tuple[np.ndarray, np.ndarray]:
     sizes, packs, runs = track.get("sizes"), track.get("chunks"), track.get("runs")
     if sizes is None or packs is None or runs is None:
         raise ValueError("a track lacks sample tables")
-    each = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(packs) + 1)))
-    own = np.repeat(np.arange(len(packs)), each)[: len(sizes)]
+    spans = np.diff(np.append(runs[:, 0], len(packs) + 1))
+    if len(runs) and (runs[0, 0] != 1 or spans.min() < 0 or int((spans * runs[:, 1]).sum()) > len(sizes)):
+        raise ValueError("the chunks don't fit the samples")
+    own = np.repeat(np.arange(len(packs)), np.repeat(runs[:, 1], spans))
     if len(own) < len(sizes):
         raise ValueError("the chunks hold fewer samples than there are")
     before = np.cumsum(sizes) - sizes
@@ -153,10 +158,9 @@ def write_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         import pyarrow as pa
 
         for batch in batches:
-            raw = [x or b"" for x in utf8(batch.column(1))]
-            for a, b in chunks(map(len, raw), 8 << 20):
-                part = raw[a:b]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(map(len, part), pa.int64()), pa.array([container(padded(x)) for x in part], pa.binary())], ["doc_id", "n_bytes", "media"])
+            for part, texts in slices(batch, 1):
+                raw = [x or b"" for x in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array([container(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
 
@@ -171,6 +175,8 @@ def probe(data: bytes | None) -> tuple:
             raise ValueError("no track")
         own = every[0]
         first, size = samples(own)
+        if not len(first) and any(path[-1] == b"moof" for path, _, _ in boxes(data, 0, len(data))):
+            raise ValueError("fragmented file")
         if len(first) and (first.min() < 0 or (first + size).max() > len(data)):
             raise ValueError("samples lie outside the file")
         key = np.arange(len(first)) if own["key"] is None else own["key"][(own["key"] >= 0) & (own["key"] < len(first))]
@@ -180,12 +186,12 @@ def probe(data: bytes | None) -> tuple:
         ends = np.append(runs[1:], len(first)) - 1
         payload = b"".join(data[first[a] : first[b] + size[b]] for a, b in zip(runs.tolist(), ends.tolist(), strict=True))
         return own["codec"], own["scale"], own["duration"], len(first), np.stack([first[key], (first + size)[key]], 1), payload, None
-    except (ValueError, struct.error, IndexError) as e:
+    except (ValueError, OverflowError, struct.error, IndexError) as e:
         return None, None, None, None, None, None, str(e)[:200]
 
 
 def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """df and the fields of FOUND for each file: what its tables say, and the bytes of its samples as they are stored."""
+    """df and the fields of FOUND for each file: what its tables say, and the bytes of its samples as they are stored. Columns of df with those names are replaced."""
     from pyspark.sql import types as T
 
     more = T._parse_datatype_string(FOUND)
