@@ -69,7 +69,7 @@ def rules_by_hand(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", line)
         n, c = len(w), lambda p, s=line: len(re.findall(p, s))
         bad = (n < 40 and re.search(rules.BOILERPLATE, line)) or (c(rules.BARS) >= 3 and c(rules.BARS) * 5 >= n) or (c(rules.SYMBOLS) >= 3 and c(rules.SYMBOLS) * 3 >= n)
-        bad = bad or (c(rules.SHOUT) >= 3 and c(rules.SHOUT) * 3 >= n) or (n >= 12 and len(set(w)) * 3 <= n) or (n < 10 and not re.search(rules.END, line))
+        bad = bad or (c(rules.SHOUT) >= 3 and c(rules.SHOUT) * 3 >= n) or (n >= 12 and len(set(w)) * 3 <= n) or (n < 10 and not re.search(rules.END.replace(r"\z", r"\Z"), line))
         lost += sum(map(len, w)) if bad else 0
     chars = sum(map(len, words))
     return len(words), chars, len(re.findall(rules.SYMBOLS, text)), len(lines) - len(set(lines)), len(covered), failed, not failed and 100 * lost <= 50 * chars

@@ -20,7 +20,7 @@ MIN_WORDS = 20
 MOST_REPEATED = 30  # percent of words in repeated windows
 MOST_LOST = 50  # percent of word characters in failed lines
 SYMBOLS = r"[#*$%&|<>]"
-END = r"[.!?:;…。！？»”\"')\]][\x20\x09-\x0D]*$"
+END = r"[.!?:;…。！？»”\"')\]][\x20\x09-\x0D]*\z"
 BARS = r"[|»›•·]"
 SHOUT = r"!!+"
 BOILERPLATE = r"(?i)(lorem ipsum|all rights reserved|terms of (use|service)|privacy policy|cookie policy|(use|uses|accept|enable) cookies|(enable|requires) javascript|click here|read more\b|skip to (main )?content|subscribe to our|sign up for our|powered by wordpress)"
@@ -125,9 +125,10 @@ def quality(df: DataFrame, text_col: str = "text", out: str = "quality") -> Data
     return df.withColumn(out, let(judged(F.col(text_col)), decided))
 
 
-def kept_only(df: DataFrame, text_col: str = "text", out: str = "quality") -> DataFrame:
-    """quality() of the rows that are kept. A generator drops the others, since a filter would judge each text again."""
-    return df.select("*", F.explode(F.filter(F.array(let(judged(F.col(text_col)), decided)), lambda q: q["kept"])).alias(out))
+def cleaned(df: DataFrame, out: str, text_col: str = "text") -> DataFrame:
+    """The rows that are kept, with their text without failed lines in the column `out`. A generator drops the others, since a filter would judge each text again."""
+    clean = let(judged(F.col(text_col)), lambda q: F.when(kept(q), q["clean"]))
+    return df.select("*", F.explode(F.filter(F.array(clean), lambda t: t.isNotNull())).alias(out))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
