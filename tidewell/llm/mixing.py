@@ -2,11 +2,12 @@
 
 Each source's documents are laid end to end and cut into blocks of a fixed number of words. The output is dealt in shards of
 slots; every shard draws how many of its slots each source gets, from a multinomial conditioned on the totals (so that a source
-comes near its target), by halving the range of shards: a shard's draw needs only the seeds on its way down, no other shard.
+comes near its target) at any size, by halving the range of shards: a shard's draw needs only the seeds on its way down, no other shard.
 A source's slots are mapped to its blocks by a pseudorandom permutation of block indexes, computed per index, and joined to the
 blocks by that index.
 
-Sources are few (one row each goes to the driver: name and size). Null sources form one source, last in order. Null and empty
+Sources are few: one row each (name and size) goes to the driver and to the tasks; more than MOST_SOURCES are refused, since each
+shard draws from all of them. Null sources form one source, last in order. Null and empty
 texts have size 0 and are never taken. Rows with the same id are kept apart only by their size; equal rows share what they get.
 """
 
@@ -24,6 +25,7 @@ from tidewell.llm.common import WORD, documents, durable
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 MOST = 3
+MOST_SOURCES = 100_000
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -47,23 +49,44 @@ def seed_of(*parts) -> int:
     return int.from_bytes(hashlib.blake2b("|".join(map(str, parts)).encode(), digest_size=8).digest(), "big")
 
 
-def draw(quota: np.ndarray, shards: int, shard: int, slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def picked(draw: np.random.Generator, counts: np.ndarray, some: int) -> np.ndarray:
+    """How many of `some` items, drawn without replacement, are of each kind. Works with any number of items; costs as `some` does."""
+    total = int(counts.sum())
+    if 2 * some > total:
+        return counts - picked(draw, counts, total - some)
+    found = np.zeros(0, np.int64)
+    while len(found) < some:
+        found = np.unique(np.concatenate([found, draw.integers(0, total, some - len(found) + 8)]))
+    found = draw.permutation(found)[:some]
+    return np.bincount(np.searchsorted(np.cumsum(counts), found, side="right"), minlength=len(counts))
+
+
+def halved(own: np.ndarray, left: int, seed: int) -> np.ndarray:
+    """How many of each source's slots lie in the left half of `left` slots: a draw without replacement.
+
+    Each slot falls to the left by itself; as many as are then too many or too few, drawn among those on that side, change sides.
+    That leaves each set of `left` slots as likely, whatever their number.
+    """
+    draw, total = np.random.default_rng(seed), int(own.sum())
+    part = draw.binomial(own, left / total) if total else own.copy()
+    over = int(part.sum()) - left
+    return part - picked(draw, part, over) if over > 0 else part + picked(draw, own - part, -over)
+
+
+def draw(quota: np.ndarray, shards: int, shard: int, slots: int, seed: int, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(first slot of each source, its number of slots) in one shard.
 
-    The quotas are split between the halves of the range of shards, again and again, by draws without replacement; each node's
-    generator is seeded by the node, so that all shards see the same splits.
+    The quotas are split between the halves of the range of shards, again and again; each node's generator is seeded by the node, so
+    that all shards see the same splits. known keeps splits for the shards that are drawn next.
     """
     low, high, own, before, total = 0, shards, quota.astype(np.int64), np.zeros(len(quota), np.int64), int(quota.sum())
+    known = {} if known is None else known
     while high - low > 1:
         mid = (low + high) // 2
-        here = min(high * slots, total) - low * slots
-        left = min(mid * slots, total) - low * slots
-        if own.sum() < 10**9:
-            part = np.random.default_rng(seed_of(seed, low, high)).multivariate_hypergeometric(own, left, method="marginals")
-        else:  # beyond what numpy draws: in proportion, the rounding carried along the sources
-            part = np.diff(np.floor(np.cumsum(own) * (left / here) + 0.5).astype(np.int64), prepend=0)
-            part = np.clip(part, 0, own)
-            part[np.argmax(own - part)] += left - part.sum()
+        if (part := known.get((low, high))) is None:
+            if len(known) > 256:
+                known.clear()
+            part = known[low, high] = halved(own, min(mid * slots, total) - low * slots, seed_of(seed, low, high))
         if shard < mid:
             high, own = mid, part
         else:
@@ -98,7 +121,9 @@ class Mix:
     def __init__(self, df: DataFrame, id_col: str, text_col: str, source_col: str, weights=(1.0, 2.0, 3.0), block: int = BLOCK_WORDS, seed: int = 0):
         spark = df.sparkSession
         sized = durable(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix sizes")
-        found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+        found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+        if len(found) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
         found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
         self.names = [r["source"] for r in found]
         self.totals = [r["size"] for r in found]
@@ -139,9 +164,10 @@ class Mix:
         def run(batches):
             import pyarrow as pa
 
+            known: dict = {}
             for batch in batches:
                 for shard in batch.column(0).to_pylist():
-                    first, count = draw(quota, shards, shard, SHARD_SLOTS, seed)
+                    first, count = draw(quota, shards, shard, SHARD_SLOTS, seed, known)
                     source = np.repeat(np.arange(len(quota)), count)
                     index = np.concatenate([np.arange(f, f + c) for f, c in zip(first, count, strict=True)]) if len(source) else np.zeros(0, np.int64)
                     block = np.zeros(len(source), np.int64)
