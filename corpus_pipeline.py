@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the columns of
 documents. run() writes each stage's rows to the checkpoint folder, so that a lost executor costs one stage at most.
 
-Rows that share an id share its fate. Null texts count as empty and are rejected by the quality rules.
+Rows that share an id stay if one of them stays. Null texts count as empty and are rejected by the quality rules.
 """
 
 from __future__ import annotations
@@ -34,14 +34,15 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; of the others, the lines that fail go."""
-    q = _own(docs, "quality")
-    return _with_text(rules.kept_only(docs, out=q), F.col(q)["clean"]).select(docs.columns)
+    clean = _own(docs, "clean")
+    return _with_text(rules.cleaned(docs, clean), F.col(clean)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: words of five, a similarity of 0.8."""
-    kept = neardup.near_duplicates(docs, size=5).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    own = _own(docs, "kept")
+    kept = neardup.near_duplicates(docs, size=5).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +52,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: the words taken over its size, the fraction rounded by a hash of the id so that a source keeps its share."""
-    taken = mixing.mix(docs).taken.groupBy(F.col("doc_id").alias("_id")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_share"))
-    coin = F.pmod(F.xxhash64("_id", F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
-    times = taken.select("_id", (F.floor("_share") + (coin < F.col("_share") - F.floor("_share")).cast("int")).cast("int").alias("_times")).where("_times > 0")
-    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    key, share, times, copy = (_own(docs, c) for c in ("key", "share", "times", "copy"))
+    taken = mixing.mix(docs).taken.groupBy(F.col("doc_id").alias(key)).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias(share))
+    coin = F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
+    whole = F.floor(share)
+    taken = taken.select(key, (whole + (coin < F.col(share) - whole).cast("int")).cast("int").alias(times)).where(F.col(times) > 0)
+    found = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(key)))
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +75,7 @@ STAGES = [
     ("source mix", source_mix),
     ("tokens", tokens),
 ]
-#: The personal data model has no SQL; tests/llm/test_pipeline.py compares run() with a brute-force version.
+#: The personal data model has no SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
