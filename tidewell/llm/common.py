@@ -67,13 +67,15 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: list[str], name: str) -> DataFrame:
+def bucketed(df: DataFrame, key: list[str], name: str, dealt: bool = False) -> DataFrame:
     """df as a table below spark.checkpoint.dir, dealt into buckets by key, as many as shuffles have partitions: later joins by key don't move it.
 
-    The catalog forgets the table at once; the DataFrame keeps its files and buckets.
+    dealt: whether df is grouped by the key already, and so in the tasks that write its buckets. The catalog forgets the table at
+    once; the DataFrame keeps its files and buckets.
     """
     spark = df.sparkSession
     table, n = f"tidewell_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = df if dealt else df.repartition(n, *key)
     df.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(n, *key).saveAsTable(table)
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents, durable, looked_up, slices
+from tidewell.llm.common import bucketed, documents, durable, looked_up, slices
 
 COORDINATES = 32
 AGREE = 14  # at a similarity of 0.8, fewer of 32 agree once in about 800,000 pairs
@@ -98,8 +98,9 @@ def features(df: DataFrame, id_col: str, text_col: str, size: int, k: int) -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, pairs array<bigint>")
 
 
-def sets(df: DataFrame, size: int) -> DataFrame:
-    """doc_id, text -> doc_id, found: the shingle set."""
+def sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """docs: doc_id, text; wanted: doc_id, digest, and more -> doc_id, found, and more: the shingle sets of the wanted rows. A row of the same id with another set isn't wanted."""
+    more = [c for c in wanted.columns if c not in ("doc_id", "digest")]
 
     def run(batches):
         import pyarrow as pa
@@ -107,10 +108,13 @@ def sets(df: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for part, texts in slices(batch, 1, SLICE):
                 found = [shingles(t, size).view(np.int64) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "found"])
+                same = pa.array([blake2b(f.tobytes(), digest_size=16).digest() == d for f, d in zip(found, part.column(2).to_pylist(), strict=True)], pa.bool_())
+                out = pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64())), *part.columns[3:]], ["doc_id", "found", *more])
+                yield out.filter(same)
         word_hashes().clear()
 
-    return df.mapInArrow(run, "doc_id bigint, found array<bigint>")
+    kinds = "".join(f", {c} {wanted.schema[c].dataType.simpleString()}" for c in more)
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "digest", *more).mapInArrow(run, f"doc_id bigint, found array<bigint>{kinds}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -172,11 +176,11 @@ def agreeing(met: DataFrame, reps: DataFrame, k: int, agree: int) -> DataFrame:
     return both.where((F.col("met") >= agree) | (F.size(F.array_intersect("a_pairs", "b_pairs")) >= agree)).select("a", "b").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, names: DataFrame, size: int, percent: int, name: str) -> DataFrame:
     """(a, b) of `pairs` whose full sets have the similarity."""
     pairs = durable(pairs, f"{name} candidates")
     own = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = durable(sets(docs.join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), f"{name} sets")
+    full = durable(sets(docs, own.join(names, "doc_id"), size), f"{name} sets")
     x, y = (full.select(F.col("doc_id").alias(c), F.col("found").alias(f"{c}_set")) for c in "ab")
     both = F.size(F.array_intersect("a_set", "b_set"))
     sizes = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("a_set") + F.size("b_set")).alias("sum"))
@@ -189,7 +193,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts are linked if 100 * |A and B| >= percent * |A or B| for their sets of `size`-word shingles; component_id is the
     smallest id that links reach, kept whether that is the row's own.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # texts move once; what needs their sets later finds them by bucket
+    docs = bucketed(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null"), ["doc_id"], "texts by id")
     every = durable(features(df, id_col, text_col, size, k), "signatures")
     real = every.where("n_shingles > 0 and doc_id is not null")
     # rows of one class have one set, and so one signature
@@ -200,7 +205,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hubs = lists.groupBy("pair").agg(F.max(F.struct("known", (-F.col("rep")).alias("rep"))).alias("hub"), F.count("*").alias("n")).where("n > 1").select("pair", "n", (-F.col("hub.rep")).alias("hub"))
     member = lists.select("rep", "pair").join(hubs, "pair")
     star = agreeing(member.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")), reps, k, agree)
-    first = confirmed(star, docs, size, percent, "hub")
+    names = classes.select(F.col("rep").alias("doc_id"), "digest")
+    first = confirmed(star, docs, names, size, percent, "hub")
     roots = components(first)
 
     labelled = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -211,9 +217,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = short.select(F.explode(apart).alias("p")).select("p.*")
     long = durable(open_.where(F.col("n") > SHORT).select(F.col("rep").alias("doc_id"), "root").distinct(), "members of long lists")
     if not long.isEmpty():
-        full = durable(sets(docs.join(long, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets of long lists")
-        near = near.unionByName(rare_pairs(full.join(long, "doc_id"), percent))
-    second = confirmed(agreeing(near, reps, k, agree), docs, size, percent, "other")
+        full = durable(sets(docs, long.join(names, "doc_id"), size), "sets of long lists")
+        near = near.unionByName(rare_pairs(full, percent))
+    second = confirmed(agreeing(near, reps, k, agree), docs, names, size, percent, "other")
     if not second.isEmpty():
         roots = components(first.unionByName(second))
 

@@ -572,7 +572,7 @@ def _cut(docs: DataFrame) -> tuple[DataFrame, int]:
     named = docs.where((F.octet_length("text") >= WIDTH) & F.col("doc_id").isNotNull())
     # equal texts fall together before the shuffle, so a text that many rows have costs a row for each task
     each = named.groupBy("k", "lo").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.first("text").alias("text"))
-    texts = bucketed(each.withColumn("size", F.octet_length("text")).withColumn("tid", F.monotonically_increasing_id()), ["k", "lo"], "texts")
+    texts = bucketed(each.withColumn("size", F.octet_length("text")).withColumn("tid", F.monotonically_increasing_id()), ["k", "lo"], "texts", dealt=True)
     total, rows = texts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = int(max(SHARDS, total // SHARD_BYTES))
     names = texts.select("tid", "k", "lo")
