@@ -7,9 +7,19 @@ from pyspark.sql import functions as F
 
 
 def object_text(reply: Column) -> Column:
-    """The first {...} of a reply without its code fences. Nested objects one deep are kept whole."""
+    """The first {...} of a reply without its code fences, by counting braces outside strings; null if there is none. What follows is dropped."""
     bare = F.regexp_replace(reply, r"```(?:json)?", "")
-    return F.nullif(F.regexp_extract(bare, r"(?s)\{(?:[^{}]|\{[^{}]*\})*\}", 0), F.lit(""))
+    rest = F.substring(bare, F.instr(bare, "{"), F.length(bare))
+    # strings and single braces as tokens, so that braces in strings don't count
+    tokens = F.regexp_extract_all(rest, F.lit(r'("(?:[^"\\]|\\.)*"|[{}]|[^"{}]+|")'), F.lit(1))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("chars"), F.lit(False).alias("done"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
+        return F.when(s["done"], s).otherwise(F.struct(depth.alias("depth"), (s["chars"] + F.length(t)).alias("chars"), (depth == 0).alias("done")))
+
+    found = F.aggregate(tokens, start, step, lambda s: F.when(s["done"], s["chars"]))
+    return F.when(F.contains(bare, F.lit("{")), F.substring(rest, F.lit(1), found))
 
 
 def parsed(reply: Column, schema: str) -> Column:

@@ -34,6 +34,10 @@ def without_first(path: Column) -> Column:
     return F.regexp_replace(path, "^[^/]+/", "")
 
 
+def without_prefix(value: Column, pattern: str) -> Column:
+    return F.regexp_replace(value, f"^(?:{pattern})", "")
+
+
 def slug(value: Column) -> Column:
     return F.btrim(F.regexp_replace(value, "[^A-Za-z0-9._-]+", "-"), F.lit("-"))
 
@@ -47,9 +51,13 @@ def last_part(value: Column, by: str = "_") -> Column:
     return F.substring_index(value, by, -1)
 
 
+#: How electrodes are written (a fixed value): EEG F8-REF, EEG F8-LE.
+ELECTRODE = r"^EEG (\w+)-(?:REF|LE)$"
+
+
 def electrode(name: Column) -> Column:
     """F8 of 'EEG F8-REF' or 'EEG F8-LE'; empty for other channels."""
-    return F.regexp_extract(F.upper(name), r"^EEG (\w+)-(?:REF|LE)$", 1)
+    return F.regexp_extract(F.upper(name), ELECTRODE, 1)
 
 
 def excerpt(token: Column) -> Column:

@@ -68,3 +68,100 @@ def constant_floor(truth: DataFrame, by: list[str], cls: str = "class") -> DataF
     """The best macro-F1 of always answering one class, from (by, class, holds) rows: a class that holds in a share s of the rows gives 2s / (1 + s) for itself, and 0 for all others."""
     share = truth.groupBy(*by, cls).agg(F.avg(F.col("holds").cast("double")).alias("s"))
     return share.groupBy(*by).agg(F.max(2 * F.col("s") / (1 + F.col("s")) / 1.0).alias("best"), F.count("*").alias("n")).select(*by, (F.col("best") / F.col("n")).alias("floor"))
+
+
+def by_label(df: DataFrame, keep: list[str], classes: list[str], truth: str, pred: str) -> DataFrame:
+    """A row for each class of each row: keep, class, and whether truth and pred (arrays of labels) have it."""
+    each = df.select(*keep, truth, pred, F.explode(F.array(*map(F.lit, classes))).alias("class"))
+    return each.select(*keep, "class", F.array_contains(truth, F.col("class")).alias("truth"), F.array_contains(pred, F.col("class")).alias("pred"))
+
+
+def evaluate(answers: DataFrame, truth: DataFrame, scope: DataFrame, classes: list[str], excluded: list[str] | None = None, least: int = MIN_SUPPORT) -> DataFrame:
+    """A row for each model: how well its answers match the truth, over windows and over recordings.
+
+    answers: model, path, ord, pred (labels); truth: path, truth (labels); scope: path, recording, patient. Of several answers to a
+    path the first counts, paths beyond the scope don't. A recording has the labels that one of its windows has. excluded classes
+    are left out of the recordings' means.
+    """
+    from tidewell.operators.dedup import first_of
+
+    first = first_of(answers.join(scope.select("path"), "path", "left_semi"), ["model", "path"], ["ord"])
+    w = first.join(truth, "path").join(scope, "path")
+    total = scope.agg(F.count("*").alias("_all"))  # one row
+    top = answers_of(w, "model")
+    facts = w.groupBy("model").agg(F.count("*").alias("windows"), F.count_distinct("recording").alias("recordings"), F.count_distinct("patient").alias("patients"))
+    long = by_label(w, ["model", "recording"], classes, "truth", "pred")
+    mean = lambda rows, out, level: macro(rates(confusion(rows, ["model", "class"])), ["model"], least, out).select("model", F.col("macro_f1").alias(f"{level}_macro_f1"), F.col("balanced_accuracy").alias(f"{level}_balanced_accuracy"), F.col("scored_classes").alias(f"{level}_classes"))
+    wide = any_positive(long, ["model", "recording", "class"], "truth", "pred")
+    floor = constant_floor(wide.withColumnRenamed("truth", "holds"), ["model"])
+    out = facts.join(F.broadcast(total), how="cross").join(top, "model").join(mean(long, None, "window"), "model").join(mean(wide, excluded, "recording"), "model").join(floor, "model")
+    return out.withColumn("coverage", F.round(F.col("windows") / F.col("_all"), 4)).withColumn("few_patients", F.col("patients") < MIN_PATIENTS).drop("_all")
+
+
+def answers_of(w: DataFrame, model: str) -> DataFrame:
+    return answers(w, [model], F.col("pred"), "ord")
+
+
+def recording_interval(answers: DataFrame, truth: DataFrame, scope: DataFrame, classes: list[str], iterations: int = 1000) -> DataFrame:
+    """model, low, high, floor and clears_baseline: the interval of the recordings' macro-F1, and whether it lies above the best constant answer."""
+    from tidewell.operators.bootstrap import macro_f1_interval
+    from tidewell.operators.dedup import first_of
+
+    w = first_of(answers.join(scope.select("path"), "path", "left_semi"), ["model", "path"], ["ord"]).join(truth, "path").join(scope, "path")
+    wide = any_positive(by_label(w, ["model", "recording"], classes, "truth", "pred"), ["model", "recording", "class"], "truth", "pred")
+    counts = confusion(wide, ["model", "recording", "class"])
+    found = macro_f1_interval(counts, "recording", ["model"], iterations=iterations)
+    return found.join(constant_floor(wide.withColumnRenamed("truth", "holds"), ["model"]), "model").withColumn("clears_baseline", F.col("low") > F.col("floor"))
+
+
+def generated(df: DataFrame, by: list[str], nll: str, label: str, chars: str, answer: str, cap: int = 1200) -> DataFrame:
+    """Of generated texts: mean loss of all, of positives and of negatives, median length, how many reach the cap, and the balanced accuracy of their answers."""
+    y, p = F.col(label), F.col(answer)
+    rate = lambda a, b: divide(F.count_if(a & b), F.count_if(b))
+    return df.groupBy(*by).agg(
+        F.avg(nll).alias("nll"), F.avg(F.when(y, F.col(nll))).alias("nll_positive"), F.avg(F.when(~y, F.col(nll))).alias("nll_negative"),
+        F.percentile(F.col(chars).cast("double"), 0.5).alias("median_chars"), F.count_if(F.col(chars) >= cap).alias("at_cap"),
+        ((rate(p, y) + rate(~p, ~y)) / 2).alias("balanced_accuracy"),
+    )
+
+
+def token_accuracy(labels: str, predicted: str, true: int, false: int) -> Column:
+    """Balanced accuracy over the tokens of an array whose label is one of two; 0.0 for a class without tokens."""
+    pairs = F.filter(F.arrays_zip(F.col(labels).alias("y"), F.col(predicted).alias("p")), lambda t: t["y"].isin(true, false))
+    n = lambda test: F.size(F.filter(pairs, test))
+    rate = lambda k: divide(n(lambda t: (t["y"] == k) & (t["p"] == k)), n(lambda t: t["y"] == k))
+    return (rate(true) + rate(false)) / 2
+
+
+def levels(df: DataFrame, by: list[str], values: str, share: float = 0.99) -> DataFrame:
+    """Of each group of rows with arrays of samples: the median over rows of the positive percentiles of absolute values; 1.0 if there is none."""
+    each = df.withColumn("_row", F.monotonically_increasing_id()).select(*by, "_row", F.explode(values).alias("x")).groupBy(*by, "_row").agg(F.percentile(F.abs("x").cast("double"), share).alias("level"))
+    return each.groupBy(*by).agg(F.coalesce(F.percentile(F.when(F.col("level") > 0, F.col("level")), 0.5), F.lit(1.0)).alias("level"))
+
+
+def softmax_true(logits: Column, true: int, false: int) -> Column:
+    """The probability of `true` against `false` from an array of logits: a sigmoid of their difference."""
+    return 1 / (1 + F.exp(F.get(logits, F.lit(false)) - F.get(logits, F.lit(true))))
+
+
+def log_sum_exp(logits: Column) -> Column:
+    top = F.array_max(logits)
+    return top + F.ln(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+
+
+#: Names of figures, what they are called in reports, and whether more is better.
+FIGURES = {"balanced_accuracy": ("Balanced accuracy", True), "macro_f1": ("Macro F1", True), "auroc": ("AUROC", True), "nll": ("Loss", False)}
+
+
+def best_by(df: DataFrame, by: list[str], figure: str, key: str) -> DataFrame:
+    """by, best: the key with the best value of a figure in FIGURES; ties by key."""
+    value = F.col(figure) if FIGURES[figure][1] else -F.col(figure)
+    return df.where(F.col(figure).isNotNull()).groupBy(*by).agg(F.min_by(key, F.struct(-value, F.col(key))).alias("best"))
+
+
+def table_order(df: DataFrame, coverage: str, score: str, name: str, complete: float = 0.99) -> DataFrame:
+    """df with group (0 complete, 1 partial, 2 without a score) and place, the row of a report: groups, then better scores, then names. A report is small."""
+    from pyspark.sql import Window
+
+    group = F.when(F.col(score).isNull(), 2).when(F.col(coverage) < complete, 1).otherwise(0)
+    return df.withColumn("group", group).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("group", F.desc(F.coalesce(F.col(score), F.lit(0.0))), name)))

@@ -30,3 +30,16 @@ def gpu_hours(jobs: DataFrame, by: list[str], hours: str, gpus: str) -> DataFram
 def staged(models: DataFrame, listing: DataFrame, key: str = "model") -> tuple[DataFrame, DataFrame]:
     """(models whose weights are there, those whose aren't)."""
     return models.join(listing.select(key).distinct(), key, "left_semi"), models.join(listing.select(key).distinct(), key, "left_anti")
+
+
+def peak_fits(a: Column, b: Column, limit: float) -> list[Column]:
+    """The greater of two peaks, and whether it is under the limit."""
+    peak = F.greatest(a, b)
+    return [peak, peak < limit]
+
+
+def largest_first(groups: DataFrame, size: str, key: str) -> DataFrame:
+    """groups with place: the largest first, ties by key. groups is a small table, such as one of jobs."""
+    from pyspark.sql import Window
+
+    return groups.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(size), key)))

@@ -77,3 +77,14 @@ def pending_report(todo: DataFrame, failed: DataFrame, key: list[str], by: list[
     """Of each group: pending, of these failed before, and never attempted."""
     marked = with_bit(todo, failed, key, "_failed")
     return marked.groupBy(*by).agg(F.count("*").alias("pending"), F.count_if("_failed").alias("failed"), F.count_if(~F.col("_failed")).alias("untried"))
+
+
+def failure_key(stage: Column, common: list[Column], more: list[Column], short: str) -> Column:
+    """A failure's key as text: stages named `short` are known by the common parts, others by more."""
+    text = lambda parts: F.concat_ws("/", *(p.cast("string") for p in parts))
+    return F.when(stage == short, text(common)).otherwise(text([*common, *more]))
+
+
+def with_backend(df: DataFrame, models: DataFrame, tuned: str = "hf") -> DataFrame:
+    """df with zero_shot: whether its model, by the registry, isn't a tuned one."""
+    return df.join(models.select("model", (F.col("backend") != tuned).alias("zero_shot")), "model", "left")

@@ -17,15 +17,19 @@ def append(df: DataFrame, path: str, fields: list[str], partition: list[str] | N
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """path as a whole by df, which may read path: written beside it, then renamed."""
+    """path as a whole by df, which may read path. Written beside it, then the old folder moves aside and the new one takes its name; a crash between leaves both, whole."""
     spark, new = df.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.parquet(new)
     jvm = spark._jvm.org.apache.hadoop.fs
-    old, tmp = jvm.Path(path), jvm.Path(new)
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(tmp, old):
+    there, tmp, aside = jvm.Path(path), jvm.Path(new), jvm.Path(f"{new}.old")
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(there)
+    if had and not fs.rename(there, aside):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(tmp, there):
         raise OSError(f"{new} can't be renamed to {path}")
+    if had:
+        fs.delete(aside, True)
 
 
 def csv(df: DataFrame, path: str, fields: list[str], files: int | None = None) -> None:
@@ -72,3 +76,9 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """rows and md5: one digest of a table, whatever the order of its rows: the sum of its rows' hashes, in decimal."""
     row = F.conv(F.substring(F.md5(F.to_json(F.struct(*columns)).cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("rows"), F.md5(F.coalesce(F.sum(row), F.lit(0)).cast("string").cast("binary")).alias("md5"))
+
+
+def bundle(frames: dict[str, tuple[DataFrame, list[str]]], path: str) -> None:
+    """Several tables as CSV folders below path, columns in the given order."""
+    for name, (df, fields) in frames.items():
+        csv(df, f"{path}/{name}", fields)
