@@ -48,13 +48,15 @@ def chunks(sizes, most: int):
 
 
 def slices(batch, column: int, most: int = 4 << 20):
-    """(part of an Arrow batch, its texts as bytes), of `most` bytes of text or one row."""
+    """(part of an Arrow batch, its texts as bytes), of `most` bytes of text or one row; then what Arrow holds unused goes back."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     for a, b in chunks(sizes, most):
         part = batch.slice(a, b - a)
         yield part, utf8(part.column(column))
+    pa.default_memory_pool().release_unused()
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

@@ -236,6 +236,5 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
-    return find(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
-
+    return find(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long").alias("n_spans"))
 

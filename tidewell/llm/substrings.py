@@ -9,9 +9,9 @@ input and never cross documents.
    so only the surroundings of anchors that two texts have in common can hold repeated strings. Anchors travel to the shard of
    their hash as packed arrays, one row for each chunk of texts and shard.
 3. The surroundings of the common anchors (snippets, each once a chunk) are dealt into shards by the anchor, which puts equal
-   strings into one shard. A shard is cut into blocks; each gets a suffix array by Larsson-Sadakane refinement and common
-   prefixes by Kasai's rule, which give its distinct strings in order, with the smallest and largest document of each. The blocks
-   are merged by binary search.
+   strings into one shard. A shard is cut into blocks of whole anchors, an anchor with many snippets into several; each block gets
+   a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's rule, which give its distinct strings in order,
+   with the smallest and largest document of each. The blocks of one anchor are merged by binary search.
 4. The shard answers with the ranges that go, by text. Where a chunk has a snippet more than HOT times, its places stay out of the
    shard and meet the shard's answer in a join, which Spark can split. The ranges of a text are united and cut out.
 
@@ -33,7 +33,8 @@ WIDTH, GRAM = 50, 16
 SIDE = WIDTH - GRAM  # what an anchor's strings reach to either side
 CUT = 2 * SIDE + GRAM  # bytes of a snippet
 ROW = -(-CUT // 8) * 8
-SHARDS, SHARD_BYTES = 32, 32 << 20  # shards at least, and bytes of text for each beyond that
+SHARDS = 32  # at least
+ANCHOR_BYTES, SNIPPET_BYTES = 32 << 20, 8 << 20  # of text for each shard of anchors and of snippets beyond that
 BLOCK = 12_000  # snippets of a block, about 1 MB
 CHUNK = 6 << 20  # bytes of text whose anchors are sent together
 FLUSH = 60_000  # snippets that a task gathers before it sends them
@@ -373,6 +374,16 @@ def judged(cut, low, high, least, most) -> tuple[np.ndarray, np.ndarray, np.ndar
     return place // CUT, place % CUT, doc
 
 
+def by_anchor(anchor, *columns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """judged() of snippets in the order of their anchors, a few anchors at a time: strings that are equal have one anchor."""
+    first, end = runs_of(anchor)
+    found = []
+    for a, b in chunks((end - first).tolist(), BLOCK):
+        row, at, doc = judged(*(x[first[a] : end[b - 1]] for x in columns))
+        found.append((row + first[a], at, doc))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
 ANSWERS = "kind int, a bigint, b bigint, data binary"  # a and b: a text's number and 0, or the hashes of a snippet
 RANGES, HOT_RUNS, HOT_PLACES = range(3)
 RUN = np.dtype([("first", "<i4"), ("end", "<i4"), ("doc", "<i8")])
@@ -490,7 +501,7 @@ def repeated_strings(held: DataFrame, shards: int) -> DataFrame:
         small, large = np.minimum.reduceat(where["doc"], last - count), np.maximum.reduceat(where["doc"], last - count)
         cut = cut[one]
         some = np.flatnonzero(may_share(cut, small, large))
-        row, at, doc = judged(cut[some], *(x[some] for x in (ends[one, 0].astype(np.int64), ends[one, 1].astype(np.int64), small, large))) if len(some) else (some, some, some)
+        row, at, doc = by_anchor(anchor[one][some], cut[some], *(x[some] for x in (ends[one, 0].astype(np.int64), ends[one, 1].astype(np.int64), small, large)))
         if len(row):
             new = np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]))
             start = np.flatnonzero(new)
@@ -574,11 +585,11 @@ def _cut(docs: DataFrame) -> tuple[DataFrame, int]:
     each = named.groupBy("k", "lo").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.first("text").alias("text"))
     texts = bucketed(each.withColumn("size", F.octet_length("text")).withColumn("tid", F.monotonically_increasing_id()), ["k", "lo"], "texts", dealt=True)
     total, rows = texts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shards = int(max(SHARDS, total // SHARD_BYTES))
+    shards, finer = int(max(SHARDS, total // ANCHOR_BYTES)), int(max(SHARDS, total // SNIPPET_BYTES))
     names = texts.select("tid", "k", "lo")
     places = common_anchors(texts, shards).groupBy("tid").agg(F.collect_list("places").alias("places"))
     held = texts.select("k", "lo", "doc", "text").join(places.join(names, "tid").hint("merge"), ["k", "lo"]).select("tid", "doc", "text", "places")
-    found = durable(repeated_strings(held, shards), "repeated strings")
+    found = durable(repeated_strings(held, finer), "repeated strings")
     ranges = found.where(F.col("kind") == RANGES).select(F.col("a").alias("tid"), "data").unionByName(hot_ranges(found))
     ranges = ranges.groupBy("tid").agg(F.collect_list("data").alias("data")).join(names, "tid").drop("tid")
     whole = texts.join(ranges.hint("merge"), ["k", "lo"], "left").where("n > 1 or data is not null")
