@@ -42,9 +42,9 @@ def test_round_robin_takes_turns(spark):
 
 def test_running_split_and_permutation(spark):
     rows = [(f"p{k}", k % 4 + 1) for k in range(50)]
-    a = values(sampling.running_split(spark.createDataFrame(rows, "p string, n int"), "n", [sampling.shuffled(0, F.col("p")), "p"], 0.3))
+    a = values(sampling.running_split(spark.createDataFrame(rows, "p string, n int"), "n", [F.col("p")], 0.3))
     random.Random(1).shuffle(rows)
-    assert a == values(sampling.running_split(spark.createDataFrame(rows, "p string, n int").repartition(3), "n", [sampling.shuffled(0, F.col("p")), "p"], 0.3))
+    assert a == values(sampling.running_split(spark.createDataFrame(rows, "p string, n int").repartition(3), "n", [F.col("p")], 0.3))
     share = sum(n for _, n, s in a if s == "test") / sum(n for _, n, s in a)
     assert 0.3 <= share < 0.36
 
@@ -256,3 +256,59 @@ def test_stream_appends_once(spark, tmp_path):
     write(batch, 0)
     write(batch, 0)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_preference_windows(spark):
+    from tidewell.operators import curation
+    from tidewell.operators.ranks import shuffled
+
+    rows = [(k, k % 2 == 0, k % 3 == 0, k % 50 == 0) for k in range(400)]
+    df = spark.createDataFrame(rows, "k int, a boolean, b boolean, c boolean")
+    got = [(r["question"], r["has"], r["_k0"]) for r in curation.preference_windows(df, ["a", "b", "c"], [F.col("k")]).collect()]
+    order = [r["k"] for r in df.orderBy(shuffled(0, F.col("k"))).select("k").collect()]
+    taken, want = set(), []
+    for j, q in enumerate("abc"):
+        for has in (True, False):
+            own = [k for k in order if rows[k][1 + j] == has and k not in taken][:15]
+            taken |= set(own)
+            want += [(q, has, k) for k in own]
+    assert sorted(got) == sorted(want)
+
+
+def test_ranks_in_buckets(spark):
+    from tidewell.operators import ranks
+
+    df = spark.createDataFrame([(k % 3 if k % 5 else None, k, k % 7) for k in range(500)], "g int, k int, size int")
+    got = ranks.by_hash(df, ["g"], [F.col("k")], size=F.col("size")).withColumn("h", ranks.shuffled(0, F.col("k"))).collect()
+    for g in (0, 1, 2, None):
+        own = sorted((r for r in got if r["g"] == g), key=lambda r: r["h"])
+        before = 0
+        for r in own:
+            assert (r["_at"], r["_n"]) == (before, sum(x["size"] for x in own))
+            before += r["size"]
+
+
+def test_object_text(spark):
+    from tidewell.functions import answers
+
+    replies = ['x {"a": {"b": {"c": "}"}}} y {"d": 1}', '```json\n{"a": "{ \\" }"}\n``` {', "none", '{"a": 1', 'a " b {"k": "v"} "']
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(replies)], "k int, t string")
+    got = {r["k"]: r["o"] for r in df.select("k", answers.object_text(F.col("t")).alias("o")).collect()}
+    assert got == {0: '{"a": {"b": {"c": "}"}}}', 1: '{"a": "{ \\" }"}', 2: None, 3: None, 4: '{"k": "v"}'}
+
+
+def test_evaluation_extremes(spark):
+    from tidewell.operators import metrics
+
+    rows = [(f"r{k // 4}/{k}", f"r{k // 4}", f"p{k // 40}", ["A", "B"][k // 4 % 2]) for k in range(400)]
+    scope = spark.createDataFrame(rows, "path string, recording string, patient string, t string")
+    truth = scope.select("path", F.array("t").alias("truth"))
+    perfect = scope.select(F.lit("perfect").alias("model"), "path", F.lit(1).alias("ord"), F.array("t").alias("pred"))
+    constant = scope.select(F.lit("constant").alias("model"), "path", F.lit(1).alias("ord"), F.array(F.lit("A")).alias("pred"))
+    later = perfect.select("model", "path", F.lit(2).alias("ord"), F.array(F.lit("wrong")).alias("pred"))
+    out = {r["model"]: r for r in metrics.evaluate(perfect.unionByName(constant).unionByName(later), truth, scope.select("path", "recording", "patient"), ["A", "B"]).collect()}
+    assert (out["perfect"]["window_balanced_accuracy"], out["perfect"]["recording_macro_f1"], out["perfect"]["coverage"]) == (1.0, 1.0, 1.0)
+    assert out["constant"]["window_balanced_accuracy"] == out["constant"]["recording_balanced_accuracy"] == 0.5
+    assert out["constant"]["top_answer"] == "A" and out["constant"]["degenerate"] and not out["perfect"]["degenerate"] and out["perfect"]["few_patients"]
+    ci = {r["model"]: r for r in metrics.recording_interval(perfect.unionByName(constant), truth, scope.select("path", "recording", "patient"), ["A", "B"], 100).collect()}
+    assert ci["perfect"]["clears_baseline"] and ci["perfect"]["low"] == 1.0 and not ci["constant"]["clears_baseline"]

@@ -3,7 +3,7 @@
 import pytest
 
 from tests import parity
-from tidewell.plans import catalogue
+from tidewell.plans import index as catalogue
 
 SF = "/root/testdata/sf0.001"
 

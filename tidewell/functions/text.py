@@ -15,17 +15,26 @@ MIN_CHARS, MIN_WORDS, MIN_DISTINCT_CHARS, MIN_DISTINCT_SHARE = 40, 8, 12, 0.2
 NEGATIVES = ["normal", "no_epilepsy", "bckg"]
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def few_characters(text: Column, least: int = MIN_DISTINCT_CHARS, first: int = 256) -> Column:
+    """Whether a text has fewer distinct characters than `least`. The first ones mostly tell; if they don't, all are counted."""
+    distinct = lambda t: F.size(F.array_distinct(F.filter(F.split(t, ""), lambda c: c != "")))
+    return F.when(distinct(F.substring(text, 1, first)) >= least, False).otherwise(distinct(text) < least)
+
+
 def degenerate(text: Column) -> Column:
     """Too short, too few words, too few distinct characters or too repetitive; null counts as empty. Blanks at the ends count."""
     t = F.coalesce(text, F.lit(""))
-    w = words(t)
-    chars = F.size(F.array_distinct(F.filter(F.split(t, ""), lambda c: c != "")))
-    share = F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1))
-    return (F.length(t) < MIN_CHARS) | (F.size(w) < MIN_WORDS) | (chars < MIN_DISTINCT_CHARS) | (share < MIN_DISTINCT_SHARE)
+    poor = lambda w: F.when(F.size(w) < MIN_WORDS, True).otherwise(F.size(F.array_distinct(w)) / F.size(w) < MIN_DISTINCT_SHARE)
+    return F.when(F.length(t) < MIN_CHARS, True).when(few_characters(t), True).otherwise(let(words(t), poor))
 
 
 def truncated(text: Column) -> Column:
@@ -38,14 +47,22 @@ def hedged(text: Column) -> Column:
 
 def problems(text: Column, labels: Column) -> Column:
     """The names of what is wrong with a rationale, none for a blank one; doubt is wrong only where labels beyond the negative ones hold."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
     beyond = F.size(F.array_except(labels, F.array(*map(F.lit, NEGATIVES)))) > 0
-    tags = (F.when(degenerate(t), "degenerate"), F.when(truncated(t), "truncated"), F.when(hedged(t) & beyond, "hedge"))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.filter(F.array(*tags), lambda x: x.isNotNull()))
+
+    def tags(t: Column) -> Column:
+        found = F.array(F.when(degenerate(t), "degenerate"), F.when(truncated(t), "truncated"), F.when(beyond & hedged(t), "hedge"))
+        return F.when(t == "", F.array().cast("array<string>")).otherwise(F.filter(found, lambda x: x.isNotNull()))
+
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""), tags)
+
+
+#: Where sentences and channels begin and end (fixed values).
+SENTENCE_END = r"(?<=[.!?])\s+|\n+"
+CHANNEL = r"\b(?:EEG\s+)?([A-Za-z0-9]+)-(?:REF|LE)\b"
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: s != "")
+    return F.filter(F.split(text, SENTENCE_END), lambda s: s != "")
 
 
 def without_sentences(text: Column, pattern: str) -> Column:
@@ -62,7 +79,7 @@ def renamed(text: Column, names: dict[str, str]) -> Column:
 
 def plain_channels(text: Column) -> Column:
     """F8 for 'EEG F8-REF' and the like."""
-    return F.regexp_replace(text, r"\b(?:EEG\s+)?([A-Za-z0-9]+)-(?:REF|LE)\b", "$1")
+    return F.regexp_replace(text, CHANNEL, "$1")
 
 
 def one_line(text: Column, most: int = 500) -> Column:

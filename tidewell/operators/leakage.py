@@ -43,17 +43,25 @@ def published(datasets: dict[str, tuple[DataFrame, DataFrame]], write) -> None:
 
 
 def contained(texts: DataFrame, needles: DataFrame, size: int = 8) -> DataFrame:
-    """(doc, item) whose text holds the item's words as a whole run: an equi-join on the item's first `size` words, then the check.
+    """(doc, item) whose text holds the item's words as a whole run: an equi-join on a hash of the item's first `size` words, then the check.
 
-    texts: doc, text; needles: item, text. Needles of fewer words are joined by all of theirs.
+    texts: doc, text; needles: item, text. Needles of fewer words are joined by all of theirs. Only documents and 64-bit hashes go
+    into the join, and texts only meet the pairs that it finds.
     """
-    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    items = needles.select("item", split("text").alias("w")).where(F.size("w") > 0).select("item", F.array_join("w", " ").alias("whole"), F.least(F.size("w"), F.lit(size)).alias("k"), "w")
-    items = items.select("item", "whole", "k", F.array_join(F.expr("slice(w, 1, k)"), " ").alias("start"))
-    widths = [r["k"] for r in items.select("k").distinct().collect()]  # `size` rows at most
-    docs = texts.select("doc", split("text").alias("w")).select("doc", "w", F.array_join("w", " ").alias("all"))
-    grams = [docs.where(F.size("w") >= k).select("doc", F.lit(k).alias("k"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, k), " ")))).alias("start")) for k in widths]
-    if not grams:
-        return docs.select("doc", F.lit(None).cast("long").alias("item")).limit(0)
-    met = reduce(DataFrame.unionByName, grams).join(items, ["k", "start"])
-    return met.join(docs.select("doc", "all"), "doc").where(F.contains(F.concat(F.lit(" "), "all", F.lit(" ")), F.concat(F.lit(" "), "whole", F.lit(" ")))).select("doc", "item").distinct()
+    from tidewell.functions.text import let, words
+
+    def hashes(w, k: int):
+        return F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k))))
+
+    items = needles.select("item", words(F.col("text")).alias("w")).where(F.size("w") > 0).select("item", "w", F.least(F.size("w"), F.lit(size)).alias("k"))
+    widths = sorted(r["k"] for r in items.select("k").distinct().collect())  # `size` rows at most
+    if not widths:
+        return texts.select("doc").join(needles.select("item"), how="cross").limit(0)
+    start = F.coalesce(*(F.when(F.col("k") == k, hashes(F.slice("w", 1, k), k)[0]) for k in widths))
+    items = items.select("item", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("whole"), "k", start.alias("start"))
+    of = lambda w: F.flatten(F.array(*(F.when(F.size(w) >= k, F.transform(F.array_distinct(hashes(w, k)), lambda h: F.struct(F.lit(k).alias("k"), h.alias("start")))).otherwise(F.array().cast("array<struct<k:int,start:bigint>>")) for k in widths)))
+    grams = texts.select("doc", F.explode(let(words(F.col("text")), of)).alias("g")).select("doc", "g.k", "g.start")
+    met = grams.join(items.select("item", "k", "start"), ["k", "start"]).select("doc", "item").distinct()
+    whole = texts.join(met, "doc").join(items.select("item", "whole"), "item")
+    held = let(F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" ")), lambda t: F.contains(t, F.col("whole")))
+    return whole.where(held).select("doc", "item").distinct()
