@@ -34,15 +34,17 @@ def sample(draw: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
 
     def email():
-        name = draw.choice([word(), f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}_{word()}"])
-        at = draw.choice(["@"] * 3 + [" @ ", "(at)", " (at) ", "[at]", " [at] "])
-        dot = draw.choice([".", ".", " . ", "(dot)", " [dot] "]) if at != "@" else "."
-        return name + at + dot.join([word(), *([word()] if draw.random() < 0.3 else []), draw.choice(["com", "org", "net", "de", "fr", "es", "io"])])
+        name = draw.choice([word(), f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}_{word()}", f"{word()}-{word()}", f"{draw.choice(letters)}.{word()}"])
+        at = draw.choice(["@"] * 3 + [" @ ", "@ ", "(at)", " (at) ", "[at]", " [at] ", " (AT) ", "[AT]"])
+        dot = draw.choice([".", ".", " . ", "(dot)", " (dot) ", " [dot] ", " (DOT) "]) if at != "@" else "."
+        host = draw.choice([word(), word(), f"{word()}-{word()}"])
+        return name + at + dot.join([host, *([word()] if draw.random() < 0.3 else []), draw.choice(["com", "org", "net", "de", "fr", "es", "io", "edu", "co"])])
 
     def ip():
         if draw.random() < 0.3:
-            return ":".join("".join(draw.choice("0123456789abcdef") for _ in range(draw.randint(1, 4))) for _ in range(8))
-        return draw.choice([".", ".", ".", " . "]).join(str(draw.randint(0, 255)) for _ in range(4))
+            size = draw.choice([draw.randint(1, 4), 4, None])
+            return ":".join("".join(draw.choice("0123456789abcdef") for _ in range(size or draw.randint(1, 4))) for _ in range(8))
+        return draw.choice([".", ".", " . ", " .", ". "]).join(str(draw.randint(0, 255)) for _ in range(4))
 
     def card():
         body = draw.choice("3456") + digits(14)
@@ -51,7 +53,8 @@ def sample(draw: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
 
     def phone():
         area, a, b = digits(3), digits(3), digits(4)
-        return draw.choice([f"+1 ({area}) {a}-{b}", f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"+{digits(2)} {digits(3)} {digits(3)} {digits(3)}", f"{area}.{a}.{b}", f"+{digits(11)}", f"00{digits(2)} {digits(3)} {digits(6)}", f"0{digits(2)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}"])
+        town = f"0{digits(draw.randint(2, 4))}"
+        return draw.choice([f"{town}/{digits(draw.randint(5, 7))}", f"{town}-{digits(draw.randint(4, 6))}-{digits(2)}", f"{town} {a} {b}", f"{area}.{a}.{digits(3)}", f"(0){digits(2)}-{digits(4)}-{digits(4)}", f"{town} / {a} {digits(3)}", f"+1 ({area}) {a}-{b}", f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"+{digits(2)} {digits(3)} {digits(3)} {digits(3)}", f"{area}.{a}.{b}", f"+{digits(11)}", f"00{digits(2)} {digits(3)} {digits(6)}", f"0{digits(2)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}"])
 
     def other():
         return draw.choice(
@@ -226,7 +229,7 @@ class Tagger:
 
 
 @lru_cache(2)
-def trained(samples: int = 1200, seed: int = 7) -> Tagger:
+def trained(samples: int = 3600, seed: int = 7) -> Tagger:
     """The model of this many labelled windows; the same each time."""
     out = Tagger()
     out.fit(*labelled(samples, seed))
