@@ -35,3 +35,12 @@ def field(reply: Column, name: str) -> Column:
 def target(fields: dict[str, Column]) -> Column:
     """A training target; keys in the given order."""
     return F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"ignoreNullFields": "false"})
+
+
+def valid(reply: Column, fields: dict[str, str]) -> Column:
+    """Whether a reply's object has all fields, with values of their types."""
+    got = parsed(reply, ", ".join(f"`{n}` {kind}" for n, kind in fields.items()))
+    out = got.isNotNull()
+    for n in fields:
+        out = out & got[n].isNotNull()
+    return F.coalesce(out, F.lit(False))

@@ -59,3 +59,26 @@ def inner_windows(df: DataFrame, by: list[str], at: str, n: int = 12) -> DataFra
     ranked = inner.withColumn("_n", F.count("*").over(w)).withColumn("_at", F.row_number().over(w.orderBy(at)) - 1)
     picks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / (n - 1)).cast("int"))
     return ranked.where((F.col("_n") >= n) & F.array_contains(picks, F.col("_at"))).drop("_low", "_high", "_n", "_at")
+
+
+def average_rank(by: list[str], value: str) -> Column:
+    """The rank of a value from 1 on; equal ones share the mean of their ranks."""
+    w = Window.partitionBy(*by)
+    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+
+
+def first_where(df: DataFrame, by: list[str], order: list, test: Column) -> DataFrame:
+    """The first row of each group that passes the test; groups without one are absent."""
+    return top(df.where(test), by, order, 1)
+
+
+def first_only(df: DataFrame, by: list[str], order: list, column: str) -> DataFrame:
+    """df with the column blank in all rows of a group but the first."""
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
+    return df.withColumn(column, F.when(first, F.col(column)).otherwise(F.lit("")))
+
+
+def marked(df: DataFrame, by: list[str], at: str, score: str) -> DataFrame:
+    """df with best (the highest score, the earliest of equal ones) and last, for the checkpoints of each run."""
+    ends = df.groupBy(*by).agg(F.max(at).alias("_last"), F.max_by(at, F.struct(F.col(score), -F.col(at))).alias("_best"))
+    return df.join(ends, by).withColumn("best", F.col(at) == F.col("_best")).withColumn("last", F.col(at) == F.col("_last")).drop("_best", "_last")

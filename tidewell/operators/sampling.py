@@ -110,3 +110,9 @@ def validation_patients(members: DataFrame, patient: str, cls: str, fraction: fl
     mine = F.col(patient).isin(chosen) if chosen else F.lit(False)
     rest = ranked.where(~mine).orderBy("h", patient).limit(max(0, wanted - len(chosen))).select(patient)
     return ranked.where(mine).select(patient).unionByName(rest)
+
+
+def rate_report(before: DataFrame, after: DataFrame, pattern: str, positive: str) -> DataFrame:
+    """pattern, rows and positives before and after rate_balance()."""
+    count = lambda df, when: df.groupBy(pattern).agg(F.count("*").alias(f"rows_{when}"), F.count_if(positive).alias(f"positives_{when}"))
+    return matched(count(before, "before"), count(after, "after"), [pattern], "left").select(pattern, "rows_before", "positives_before", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("rows_after", "positives_after")))

@@ -15,11 +15,25 @@ def done_of(scope: Column, rationale: Column, evaled: Column, judged: Column, ju
     return F.when(scope == "full", rationale & evaled & judged & judged_gpt).when(scope == "rationale", rationale).otherwise(F.lit(True))
 
 
+MOST_MODELS = 10_000
+
+
 def expanded(images: DataFrame, models: DataFrame, dataset: str = "dataset") -> DataFrame:
-    """Each image with each model that its dataset is open to; a null list of datasets is open to all. models is a registry: a row for each model."""
-    pairs = models.select("*", F.explode_outer("datasets").alias("_d")).drop("datasets")
-    named = images.join(F.broadcast(pairs.where("_d is not null")), F.col(dataset) == F.col("_d"))
-    return named.unionByName(images.join(F.broadcast(pairs.where("_d is null")), how="cross")).drop("_d")
+    """Each image with each model that its dataset is open to; a null list of datasets is open to all.
+
+    models is a registry, a row for each model: it is read by the driver, which refuses more than MOST_MODELS, and becomes part of
+    the plan; no join is needed.
+    """
+    rows = models.limit(MOST_MODELS + 1).collect()
+    if len(rows) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
+    fields = [c for c in models.columns if c != "datasets"]
+    kinds = {c: models.schema[c].dataType for c in models.columns}
+    if not rows:
+        return images.where("false").select("*", *(F.lit(None).cast(kinds[c]).alias(c) for c in fields))
+    each = [F.struct(F.lit(r["datasets"] if r["datasets"] is None else list(r["datasets"])).cast(kinds["datasets"]).alias("datasets"), *(F.lit(r[c]).cast(kinds[c]).alias(c) for c in fields)) for r in rows]
+    open_to = F.filter(F.array(*each), lambda m: m["datasets"].isNull() | F.array_contains(m["datasets"], F.col(dataset)))
+    return images.withColumn("_m", F.explode(open_to)).select(*images.columns, *(F.col(f"_m.{c}").alias(c) for c in fields))
 
 
 def with_bit(df: DataFrame, done: DataFrame, key: list[str], name: str) -> DataFrame:

@@ -98,8 +98,13 @@ def latest_states(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def union_by_schema(spark: SparkSession, paths: list[str], needed: list[str]) -> DataFrame | None:
-    """All CSV files that have the needed columns, missing others as nulls."""
-    frames = [f for p in paths if set(needed) <= set((f := spark.read.option("header", True).csv(p)).columns)]
+    """All CSV files that have the needed columns, missing others as nulls. Headers are read by Spark, a row for each file; files of one header are one scan."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    heads = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "at").alias("head"))
+    scans: dict[str, list[str]] = {}
+    for row in heads.orderBy("path").collect():
+        scans.setdefault(row["head"], []).append(row["path"])
+    frames = [spark.read.option("header", True).csv(own) for head, own in sorted(scans.items()) if set(needed) <= {c.strip().strip('"') for c in head.split(",")}]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
 
