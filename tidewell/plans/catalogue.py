@@ -505,7 +505,10 @@ def benchmark_contamination(spark, d):
     return leakage.contained(read(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), read(spark, d, "benchmark").select(F.col("item_id").alias("item"), "text"))
 
 
-@query()
+@query(
+    r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(30), 'g'), '\n+', chr(30), 'g'), chr(30)) AS s FROM documents)
+ SELECT doc_id, array_to_string(list_filter(s, lambda x: x <> '' AND NOT regexp_matches(lower(x), 'licen[sc]ed under')), ' ') AS text FROM s"""
+)
 def strip_sentences(spark, d):
     return read(spark, d, "documents").select("doc_id", texts.without_sentences(F.col("text"), r"licen[sc]ed under").alias("text"))
 
@@ -658,9 +661,10 @@ def failure_streaks(spark, d):
     return ordered.streaks(read(spark, d, "events"), ["user_id"], ["event_id"], F.col("value") > 10).select("event_id", F.col("streak").cast("long").alias("streak"))
 
 
-@query()
+@query("WITH h AS (SELECT doc_id, ('0x' || substr(md5(text), 1, 8))::BIGINT AS h FROM documents) SELECT doc_id, h % 2 = 1 AS positive, round(h / 4294967295.0, 6) AS score, true AS answered FROM h")
 def model_stub_scores(spark, d):
-    return clients.answered(read(spark, d, "documents"), "doc_id", "text", lambda: clients.StubClient(fails=5))
+    out = clients.answered(read(spark, d, "documents"), "doc_id", "text", lambda: clients.StubClient(fails=5))
+    return out.select("doc_id", "positive", r6("score").alias("score"), (F.col("error").isNull() & (F.col("attempts") <= 2)).alias("answered"))
 
 
 def _stream(spark, d) -> DataFrame:
@@ -686,7 +690,10 @@ def stm_once(spark, d):
     return streams.finished(streams.once(_stream(spark, d), ["user_id", "event_type"], "1 hour"), "append").select("user_id", "event_type")
 
 
-@query()
+@query(
+    """WITH b AS (SELECT user_id, ts, value > 10 AS f, sum(CASE WHEN value > 10 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS block FROM events),
+ s AS (SELECT user_id, ts, f, count(*) FILTER (f) OVER (PARTITION BY user_id, block ORDER BY ts) AS streak FROM b) SELECT user_id, ts, CAST(4 AS INTEGER) AS streak FROM s WHERE f AND streak = 4"""
+)
 def stm_streaks(spark, d):
     s = _stream(spark, d).withColumn("failed", F.col("value") > 10)
-    return streams.finished(streams.streaks(s, "user_id", "failed", 4), "append")
+    return streams.finished(streams.streaks(s, "user_id", "failed", 4), "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))

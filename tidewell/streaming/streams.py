@@ -82,14 +82,14 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
     path = new_folder(spark)
 
     def write(batch: DataFrame, k: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={k}")
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/{k}")
 
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows") if exists(spark, f"{path}/rows") else spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{path}/rows") if exists(spark, f"{path}/rows") else spark.createDataFrame([], stream.schema)
 
 
 def in_scope(stream: DataFrame, scope: DataFrame, key: list[str]) -> DataFrame:
