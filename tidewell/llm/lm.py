@@ -25,7 +25,7 @@ from tidewell.llm.common import documents, durable, slices, utf8
 
 HEAD = 150_000
 CLASSES = 1024
-ENDINGS = 320  # of the classes, those of words by their last bytes
+ENDINGS = 640  # of the classes, those of words by their last bytes
 TAIL = 3
 CACHE_WORDS = 100_000
 SIZE, NOISE, ROUNDS = 32, 10, 120
@@ -166,7 +166,7 @@ class Model:
         self.words = [w for _, w in top]
         self.n = np.array([n for n, _ in top], np.int64)
         self.ends = ends["n"] if ends else 0
-        few = self.words[: classes - 1 - ENDINGS]
+        few = self.words[: max(0, classes - 1 - ENDINGS)]
         self.number = {w: k + 1 + ENDINGS for k, w in enumerate(few)}
         size = len(few) + 1 + ENDINGS
         cells = count_pairs(texts, self.number, size).toPandas()  # size * size at most
