@@ -149,6 +149,20 @@ def test_media_with_wild_counts():
     assert media.probe(whole[:at] + media.box(b"moov", media.box(b"trak")) + media.box(b"moof"))[-1]
 
 
+def test_media_tracks():
+    """A file with two tracks: both are told, the payload is the first one's."""
+    whole = media.container(media.padded(b"some bytes"))
+    at, end = next((a - 8, b) for path, a, b in media.boxes(whole, 0, len(whole)) if path[-1] == b"moov")
+    trak = next(whole[a - 8 : b] for path, a, b in media.boxes(whole, 0, len(whole)) if path[-1] == b"trak")
+    moov = whole[at:end] + trak.replace(b"soun", b"vide")
+    both = whole[:at] + struct.pack(">I", len(moov)) + moov[4:] + whole[end:]
+    # sample places are counted from the file's start
+    both = both.replace(struct.pack(">I", len(whole) - 64), struct.pack(">I", len(both) - 64))
+    row = media.probe(both)
+    assert row[-1] is None and [t["handler"] for t in row[5]] == ["soun", "vide"] and row[6] == media.padded(b"some bytes")
+    assert row[5][0]["keyframes"] == row[5][1]["keyframes"] == row[4]
+
+
 NAMES = ("email", "ip", "card", "phone")
 
 

@@ -1,7 +1,7 @@
 """Media columns: ISO media files as binary cells, and what their boxes say.
 
 write_media() stores bytes as unsigned 8-bit samples of one raw audio track. read_media() walks nested boxes of any ISO media
-file and decodes the sample tables of its first track into codec, duration and the byte ranges of key frames; sample data is never
+file and decodes the sample tables of its tracks into codec, duration and the byte ranges of key frames; sample data is never
 decoded, only handed back as it is stored. Files whose samples lie in fragments have an error that says so.
 
 Null and empty inputs are stored as 64 zero bytes. A broken file gives nulls and the column error, never a crash. One row in,
@@ -165,29 +165,38 @@ def write_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
-FOUND = "codec string, timescale bigint, duration bigint, n_samples bigint, keyframes array<struct<first:bigint,end:bigint>>, payload binary, error string"
+TRACK = "codec:string,handler:string,timescale:bigint,duration:bigint,n_samples:bigint,keyframes:array<struct<first:bigint,end:bigint>>"
+FOUND = f"codec string, timescale bigint, duration bigint, n_samples bigint, keyframes array<struct<first:bigint,end:bigint>>, tracks array<struct<{TRACK}>>, payload binary, error string"
+
+
+def described(track: dict, length: int, fragmented: bool) -> tuple[dict, np.ndarray, np.ndarray]:
+    """(what a track's tables say, first byte and size of its samples)."""
+    first, size = samples(track)
+    if not len(first) and fragmented:
+        raise ValueError("fragmented file")
+    if len(first) and (first.min() < 0 or (first + size).max() > length):
+        raise ValueError("samples lie outside the file")
+    key = np.arange(len(first)) if track["key"] is None else track["key"][(track["key"] >= 0) & (track["key"] < len(first))]
+    ranges = [{"first": a, "end": b} for a, b in zip(first[key].tolist(), (first + size)[key].tolist(), strict=True)]
+    return {"codec": track["codec"], "handler": track.get("handler"), "timescale": track["scale"], "duration": track["duration"], "n_samples": len(first), "keyframes": ranges}, first, size
 
 
 def probe(data: bytes | None) -> tuple:
-    """The fields of FOUND, of the first track."""
+    """The fields of FOUND: the first track's, and those of all tracks in tracks. A broken track makes the whole file an error."""
     try:
         if not data or not (every := tracks(data)):
             raise ValueError("no track")
-        own = every[0]
-        first, size = samples(own)
-        if not len(first) and any(path[-1] == b"moof" for path, _, _ in boxes(data, 0, len(data))):
-            raise ValueError("fragmented file")
-        if len(first) and (first.min() < 0 or (first + size).max() > len(data)):
-            raise ValueError("samples lie outside the file")
-        key = np.arange(len(first)) if own["key"] is None else own["key"][(own["key"] >= 0) & (own["key"] < len(first))]
+        fragmented = any(path[-1] == b"moof" for path, _, _ in boxes(data, 0, len(data)))
+        found = [described(t, len(data), fragmented) for t in every]
+        own, first, size = found[0]
         new = np.ones(len(first), bool)
         new[1:] = first[1:] != (first + size)[:-1]
         runs = np.flatnonzero(new)
         ends = np.append(runs[1:], len(first)) - 1
         payload = b"".join(data[first[a] : first[b] + size[b]] for a, b in zip(runs.tolist(), ends.tolist(), strict=True))
-        return own["codec"], own["scale"], own["duration"], len(first), np.stack([first[key], (first + size)[key]], 1), payload, None
+        return own["codec"], own["timescale"], own["duration"], own["n_samples"], own["keyframes"], [t for t, _, _ in found], payload, None
     except (ValueError, OverflowError, struct.error, IndexError) as e:
-        return None, None, None, None, None, None, str(e)[:200]
+        return None, None, None, None, None, None, None, str(e)[:200]
 
 
 def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
@@ -204,9 +213,9 @@ def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
             data = batch.column(batch.schema.get_field_index(media_col)).to_pylist()
             for a, b in chunks([len(x or b"") for x in data], 8 << 20):
                 found = list(zip(*map(probe, data[a:b]), strict=True))
-                ranges = [None if r is None else [{"first": x, "end": y} for x, y in r.tolist()] for r in found[4]]
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pair), pa.binary(), pa.string()]
-                own = [pa.array(x, t) for x, t in zip([*found[:4], ranges, *found[5:]], kinds, strict=True)]
+                track = pa.struct([("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pair))])
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pair), pa.list_(track), pa.binary(), pa.string()]
+                own = [pa.array(x, t) for x, t in zip(found, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *own], [*batch.schema.names, *more.names])
 
     clash = set(more.names) & set(df.columns)
