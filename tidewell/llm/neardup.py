@@ -162,7 +162,8 @@ def rare_pairs(found: DataFrame, percent: int) -> DataFrame:
 def prefixes(reps: DataFrame, k: int, agree: int) -> DataFrame:
     """(rep, pairs) -> rep, known, pair: the pairs under which a document is posted, the rarest first. Pairs that are alone take room in it but lead nowhere."""
     posted = reps.select("rep", F.explode("pairs").alias("pair"))
-    shared = posted.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
+    # as a table of its own, so that the join with a hot pair can be split
+    shared = durable(posted.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1"), "shared pairs")
     ordered = posted.join(shared, "pair").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("own"), F.sum("n").alias("known"))  # k at most
     prefix = F.slice("own", 1, F.greatest(F.lit(0), F.size("own") - (agree - 1)))
     return ordered.select("rep", "known", F.explode(prefix).alias("p")).select("rep", "known", F.col("p.pair").alias("pair"))
@@ -203,7 +204,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lists = durable(prefixes(reps, k, agree), "lists")
 
     hubs = lists.groupBy("pair").agg(F.max(F.struct("known", (-F.col("rep")).alias("rep"))).alias("hub"), F.count("*").alias("n")).where("n > 1").select("pair", "n", (-F.col("hub.rep")).alias("hub"))
-    member = lists.select("rep", "pair").join(hubs, "pair")
+    member = lists.select("rep", "pair").join(durable(hubs, "hubs"), "pair")
     star = agreeing(member.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")), reps, k, agree)
     names = classes.select(F.col("rep").alias("doc_id"), "digest")
     first = confirmed(star, docs, names, size, percent, "hub")
@@ -211,6 +212,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     labelled = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = labelled.groupBy("pair").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("pair")
+    mixed = durable(mixed, "mixed lists")
     open_ = durable(labelled.join(mixed, "pair", "left_semi").select("pair", "n", "rep", "root"), "open lists")
     short = open_.where(F.col("n") <= SHORT).groupBy("pair").agg(F.collect_list(F.struct("rep", "root")).alias("m"))
     apart = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["rep"] > x["rep"]) & (y["root"] != x["root"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))))
