@@ -267,3 +267,43 @@ def test_pipeline_names(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/{name.replace(' ', '')}")
         step = spark.read.parquet(f"{tmp_path}/{name.replace(' ', '')}")
         assert step.where("_kept <> 7 or _id <> 7 or _copy <> 7 or kept <> 'mine' or copy <> 7").isEmpty() and not step.isEmpty()
+
+
+def test_pipeline_by_hand(spark, sf, library, tmp_path):  # noqa: F811
+    """Each stage on what the one before kept, worked out by hand."""
+    import corpus_pipeline
+    from tidewell.llm import pii, tagger
+
+    step, seen = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        seen[name, 0] = step.collect()
+        stage(spark, step, sf).write.parquet(f"{tmp_path}/{name.replace(' ', '')}")
+        step = spark.read.parquet(f"{tmp_path}/{name.replace(' ', '')}")
+        seen[name, 1] = step.collect()
+    texts_of = lambda rows: {r["doc_id"]: r["text"] for r in rows}
+    before, after = (texts_of(seen["quality rules", k]) for k in (0, 1))
+    assert set(after) == {i for i, t in before.items() if rules_by_hand(t)[-1]}
+    assert all(set(t.split("\n")) <= set(before[i].split("\n")) for i, t in after.items())
+    assert all(r["n_chars"] == len(r["text"]) for r in seen["quality rules", 1])
+    near = brute_components(list(texts_of(seen["near duplicates", 0]).items()), 5)
+    assert texts_of(seen["near duplicates", 1]) == {i: t for i, t in after.items() if near[i][1] == i}
+    clean = {i: pii.reports(tagger.trained(), [t], True)[0][-1] for i, t in texts_of(seen["personal data", 0]).items()}
+    assert texts_of(seen["personal data", 1]) == clean
+    taken = fx.by_id(mixing.mix(spark.read.parquet(f"{tmp_path}/personaldata")).taken)
+    times = Counter(r["doc_id"] for r in seen["source mix", 1])
+    for i, r in taken.items():
+        share = r["taken"] / max(1, r["size"])
+        assert math.floor(share) <= times[i] <= math.ceil(share)
+    tokens = sorted((r["doc_id"], bytes(r["ids"])) for r in seen["tokens", 1])
+    assert tokens == sorted((r["doc_id"], struct.pack(f"<{len(x)}I", *x)) for r in seen["tokens", 0] for x in [library.encode_ordinary(r["text"])])
+
+
+@pytest.mark.parametrize("total", [1, 40_000, 10**9])
+def test_lookups_of_hot_and_cold_keys(spark, total):
+    from tidewell.llm.common import looked_up
+
+    keys = [k for k in range(30) for _ in range(1 + 4 * k)] + [None, 99]
+    rows = spark.createDataFrame([(i, k, (k or 0) % 7) for i, k in enumerate(keys)], "i int, k bigint, lo bigint")
+    table = spark.createDataFrame([(k, k % 7, 1 + 4 * k, f"v{k}") for k in range(0, 30, 2)], "k bigint, lo bigint, n bigint, v string")
+    got = {r["i"]: r["v"] for r in looked_up(rows, table, ["k", "lo"], "n", total, F.col("i") % 10 > 0).collect()}
+    assert got == {i: f"v{k}" if k is not None and k < 30 and k % 2 == 0 and i % 10 else None for i, k in enumerate(keys)}

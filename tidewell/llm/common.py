@@ -97,7 +97,8 @@ def looked_up(rows: DataFrame, table: DataFrame, key: list[str], n: str, total:
     anywhere = F.monotonically_increasing_id().cast("string").cast(rows.schema[key[0]].dataType)
     hot = F.broadcast(table.where(F.col(n) > total / HOT_SHARE).select(*(F.col(c).alias(f"_h_{c}") for c in table.columns), F.lit(True).alias("_hot")))
     cold = table.where(F.col(n) <= total / HOT_SHARE).select(*(F.col(c).alias(f"_c_{c}") for c in table.columns), F.lit(False).alias("_cold"))
-    found = rows.join(hot, [F.col(c) == F.col(f"_h_{c}") for c in key], "left").withColumn("_done", F.coalesce("_hot", ~needs if needs is not None else F.lit(False)))
+    needs = F.lit(True) if needs is None else needs
+    found = rows.join(hot, [F.col(c) == F.col(f"_h_{c}") for c in key] + [needs], "left").withColumn("_done", F.coalesce("_hot", ~needs))
     keys = [F.when(F.col("_done"), None).otherwise(F.col(c)) if k else F.when(F.col("_done"), anywhere).otherwise(F.col(c)) for k, c in enumerate(key)]
     dealt = found.select("*", *(k.alias(f"_k_{c}") for k, c in zip(keys, key, strict=True)))
     met = [F.col(f"_k_{c}") == F.col(f"_c_{c}") for c in key] + [F.col("_done") == F.col("_cold")]

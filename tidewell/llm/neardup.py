@@ -174,7 +174,7 @@ def agreeing(met: DataFrame, reps: DataFrame, k: int, agree: int) -> DataFrame:
     counted = met.groupBy("a", "b").agg(F.count("*").alias("met"))
     x, y = (reps.select(F.col("rep").alias(c), F.col("pairs").alias(f"{c}_pairs")) for c in "ab")
     both = counted.join(x, "a").join(y, "b")
-    return both.where((F.col("met") >= agree) | (F.size(F.array_intersect("a_pairs", "b_pairs")) >= agree)).select("a", "b").distinct()
+    return both.where((F.col("met") >= agree) | (F.size(F.array_intersect("a_pairs", "b_pairs")) >= agree)).select("a", "b")  # not made distinct: that would keep a hub's rows in one task
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, names: DataFrame, size: int, percent: int, name: str) -> DataFrame:
