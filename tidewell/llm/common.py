@@ -76,7 +76,7 @@ def bucketed(df: DataFrame, key: list[str], name: str, dealt: bool = False) -> D
     once; the DataFrame keeps its files and buckets.
     """
     spark = df.sparkSession
-    table, n = f"tidewell_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table, n = f"tidewell_{uuid.uuid4().hex}", min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))  # Spark has no more buckets than that
     df = df if dealt else df.repartition(n, *key)
     df.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(n, *key).saveAsTable(table)
     out = spark.table(table)
