@@ -59,7 +59,7 @@ def test_words_that_are_forgotten(library):
 
 def test_layout_and_skipping(spark, tmp_path):
     rows = [(k, f"word{k % 7} of text {k} " * 20, "en" if k % 3 else "de", "s", 1) for k in range(4000)]
-    tokenfiles.write_tokens(spark.createDataFrame(rows, fx.SCHEMA), f"{tmp_path}/t", keep=["lang"], part_bytes=1 << 20, layout={"parquet.block.size": 64 << 10, "parquet.page.row.count.limit": 50})
+    tokenfiles.write_tokens(spark.createDataFrame(rows, fx.SCHEMA), f"{tmp_path}/t", keep=["lang"], part_bytes=1 << 20, layout={"parquet.block.size": 8 << 10, "parquet.page.row.count.limit": 50})
     files = sorted(p for p in (tmp_path / "t").iterdir() if p.name.startswith("part-"))
     meta = [pq.ParquetFile(p).metadata for p in files]
     assert sum(m.num_rows for m in meta) == 4000 and max(m.num_row_groups for m in meta) > 1
