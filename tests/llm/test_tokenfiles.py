@@ -5,6 +5,8 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm import fixtures as fx
@@ -50,11 +52,45 @@ def test_empty_and_repeated(spark, tmp_path, library):
     assert [r["doc_id"] for r in order] == sorted((r["doc_id"] for r in order), key=lambda i: (i is not None, i or 0))  # no id: first
 
 
-def test_words_that_are_forgotten(library):
-    few = tokenfiles.Encoder(tokenfiles.default_tokenizer(), most=10)
-    texts = [t or "" for t in fx.texts()] + ODD
+def encoded(encoder, texts):
+    import pyarrow as pa
+
+    ids, ends = encoder(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, ends[:-1])]
+
+
+@pytest.mark.parametrize("most", [10, 400, 1_000_000])
+def test_pieces_that_are_forgotten(library, most):
+    few = tokenfiles.Encoder(tokenfiles.default_tokenizer(), most)
+    texts = [t or "" for t in fx.texts()] + ODD + ["Stra\u00dfe... \u1e9e! e\u0301te\u0301, x\u00b2 \u2168, \u0130l \u0130, don't' 's 's' a's' -- ,a a,b ab,,", "\u1112\u1161\u11ab\u1100\u1173\u11af \u00aa\u02b0"]
     for _ in range(2):
-        assert few(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encoded(few, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@given(st.lists(st.text(st.sampled_from("abEIst\u00c9\u0130\u0301\u030c'\u2019.,-!_ 1\u00b2\n\t\u00a0\u1e9e\u03a3"), max_size=30), max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_any_text(texts):
+    from tokenizers import Tokenizer
+
+    if "whole" not in kept:
+        kept["whole"] = Tokenizer.from_file(tokenfiles.default_tokenizer())
+    want = [kept["whole"].encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded(tokenfiles.encoder_of(tokenfiles.default_tokenizer()), texts or [""]) == (want or [[]])
+
+
+kept: dict = {}
+
+
+def test_tokenizers_of_another_kind():
+    """One that keeps white space gets whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = tokenfiles.Encoder(path), Tokenizer.from_file(path)
+    assert not encoder.apart
+    texts = [t or "" for t in fx.texts()]
+    assert encoded(encoder, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_layout_and_skipping(spark, tmp_path):

@@ -47,18 +47,23 @@ def chunks(sizes, most: int):
         yield a, len(sizes)
 
 
-def slices(batch, column: int, most: int = 4 << 20):
-    """(part of an Arrow batch, its texts as bytes), of `most` bytes of text or one row; then what Arrow holds unused goes back."""
+def parts_of(batch, column: int, most: int = 4 << 20):
+    """Parts of an Arrow batch, of `most` bytes of text or one row; then what Arrow holds unused goes back."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     for a, b in chunks(sizes, most):
-        part = batch.slice(a, b - a)
-        yield part, utf8(part.column(column))
+        yield batch.slice(a, b - a)
     pa.default_memory_pool().release_unused()
 
 
+def slices(batch, column: int, most: int = 4 << 20):
+    """(part of an Arrow batch, its texts as bytes), as parts_of() cuts them."""
+    for part in parts_of(batch, column, most):
+        yield part, utf8(part.column(column))
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """df written to a Parquet folder below spark.checkpoint.dir and read again: lineage is cut and any executor may be lost.
 
