@@ -33,7 +33,7 @@ TOGETHER = 500  # new pieces that are encoded as one text
 PUNCTUATION = np.array([chr(k).isprintable() and not chr(k).isalnum() and 32 < k < 127 for k in range(256)])
 PART_BYTES = 64 << 20  # of text for a file
 SLICE = 8 << 20  # bytes of text that a task encodes together
-UPPER = np.array([65 <= k <= 90 for k in range(256)])
+SMALL = np.array([k + 32 * (65 <= k <= 90) for k in range(256)], np.uint8)  # ASCII letters lower-cased
 #: How Spark's writer lays the files out.
 LAYOUT = {
     "compression": "zstd",
@@ -47,6 +47,16 @@ LAYOUT = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 
+def strings(data) -> list[str]:
+    """An Arrow array of bytes as strings."""
+    import pyarrow as pa
+
+    try:
+        return data.cast(pa.large_string() if pa.types.is_large_binary(data.type) else pa.string()).to_numpy(zero_copy_only=False).tolist()
+    except pa.ArrowInvalid:
+        return [x.decode("utf-8", "replace") for x in data.to_pylist()]
+
+
 def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Where the punctuation behind each word begins: the place after its last byte that is none, or its start."""
     place = np.where(PUNCTUATION[data], -1, np.arange(len(data), dtype=np.int32))
@@ -84,12 +94,12 @@ class Encoder:
         offsets = np.frombuffer(words.buffers()[1], np.int64 if pa.types.is_large_binary(words.type) else np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
         buffer = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         starts, ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
-        small = np.where(UPPER[buffer], buffer + 32, buffer).astype(np.uint8)
+        small = SMALL[buffer]
         if any(t in small.tobytes() for t in self.special):  # such a string is one id: its words stay whole
             at, pool, size = self.looked_up(buffer, offsets - offsets[0])
             n = size[at]
         else:
-            wide = np.concatenate([[0], np.cumsum(buffer >= 128)])
+            wide = np.concatenate([[0], np.cumsum(buffer >= 128, dtype=np.int32)])
             plain = wide[ends] == wide[starts]  # ASCII words are lower-cased: nothing in them composes
             buffer = np.where(np.repeat(plain, ends - starts), small, buffer)
             middle = cut(buffer, starts, ends)
@@ -127,7 +137,7 @@ class Encoder:
 
         kind, offset = (pa.large_binary(), np.int64) if bounds[-1] >= 1 << 31 else (pa.binary(), np.int32)
         own = pa.Array.from_buffers(kind, len(bounds) - 1, [None, pa.py_buffer(bounds.astype(offset)), pa.py_buffer(np.ascontiguousarray(buffer))]).dictionary_encode()
-        found = self.ids_of([w.decode("utf-8", "replace") for w in own.dictionary.to_pylist()])
+        found = self.ids_of(strings(own.dictionary))
         return own.indices.to_numpy(), np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def ids_of(self, pieces: list[str]) -> list[bytes]:
