@@ -28,11 +28,11 @@ from tidewell.llm.common import documents, new_path, parts_of
 
 END = 2
 TOKENIZER = "word_bpe_49k.json"
-PIECES = 600_000  # that a worker keeps at most
+PIECES = 400_000  # that a worker keeps at most
 TOGETHER = 500  # new pieces that are encoded as one text
 PUNCTUATION = np.array([chr(k).isprintable() and not chr(k).isalnum() and 32 < k < 127 for k in range(256)])
 PART_BYTES = 64 << 20  # of text for a file
-SLICE = 8 << 20  # bytes of text that a task encodes together
+SLICE = 3 << 20  # bytes of text that a task encodes together
 SMALL = np.array([k + 32 * (65 <= k <= 90) for k in range(256)], np.uint8)  # ASCII letters lower-cased
 #: How Spark's writer lays the files out.
 LAYOUT = {
