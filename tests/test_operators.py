@@ -1,6 +1,7 @@
 """Edges: nulls, ties, empty tables, perfect and constant answers."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -194,8 +195,8 @@ def test_durations(spark):
 
 def test_answers(spark):
     reply = F.lit('text ```json\n{"a": true, "text_rationale": "x", "n": {"k": 1}}\n``` {"a": false}')
-    assert one(spark, answers.parsed(reply, "a boolean, text_rationale string"))["a"] is True
-    assert one(spark, answers.parsed(F.lit("none"), "a boolean")) is None
+    assert one(spark, answers.parsed(reply, {"a": "boolean", "text_rationale": "string"}))["a"] is True
+    assert one(spark, answers.parsed(F.lit("none"), {"a": "boolean"})) is None
     assert one(spark, answers.field(F.lit("plain"), "text_rationale")) == "plain"
     assert one(spark, answers.target({"b": F.lit(True), "a": F.lit("x")})) == '{"b":true,"a":"x"}'
 
@@ -247,7 +248,7 @@ def test_files(spark, tmp_path):
     a, b = (writers.fingerprint(x, ["path", "text"]).first() for x in (df, df.orderBy(F.desc("path")).repartition(3)))
     assert a == b
     assert values(writers.manifest(df.select("path"), df.select("path", F.col("more").alias("ground_truth_rationale")))) == [("a", ""), ("b", "z")]
-    assert readers.registry(spark, {"m": {"backend": "hf"}}, {"m": {"backend": "x"}, "n": {"backend": "y"}}, "model string, backend string").where("backend = 'x'").isEmpty()
+    assert readers.registry(spark.createDataFrame([("m", "hf")], "model string, backend string"), spark.createDataFrame([("m", "x"), ("n", "y")], "model string, backend string")).where("backend = 'x'").isEmpty()
 
 
 def test_stream_appends_once(spark, tmp_path):
@@ -297,6 +298,33 @@ def test_object_text(spark):
     assert got == {0: '{"a": {"b": {"c": "}"}}}', 1: '{"a": "{ \\" }"}', 2: None, 3: None, 4: '{"k": "v"}'}
 
 
+def test_replies_of_any_length(spark):
+    """Long strings, many escapes, fences in strings, whole JSON that is no object; by the rules of Python's decoder."""
+    import json
+
+    from tidewell.functions import answers
+
+    def by_hand(reply):
+        try:
+            got = json.loads(reply)
+        except ValueError:
+            bare = re.sub(r"^\s*```(?:json)?|```\s*$", "", reply.strip(), flags=re.M)
+            try:
+                got = json.JSONDecoder().raw_decode(bare[bare.index("{") :])[0]
+            except ValueError:
+                return None
+        return got.get("a") if isinstance(got, dict) else None
+
+    big = json.dumps({"a": 'x"\\' * 200_000 + "}" * 1000})
+    cases = [big, f"Well,\n```json\n{big}\n```\nDone.", '{"a": "use ```json here"}', 'No: {"a": "```json"} {', '```json\n{"a": "b"}```', '"{\\"a\\": 1}"', "[1]", '{"a": "x"', '{"a": "x",} {"a": "y"}', "", "{}", '{"b": 1, "a": "\\u00e9\\n"}', 'a {"a": "\\\\"} "', "```\n```", '{"a": {"a": "in"}} {"a": "out"}']
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, t string")
+    got = {r["k"]: r["a"] for r in df.select("k", answers.parsed(F.col("t"), {"a": "string"})["a"].alias("a")).collect()}
+    for k, t in enumerate(cases):
+        want = by_hand(t)
+        assert got[k] == (json.dumps(want, separators=(",", ":")) if isinstance(want, dict) else want), t[:80]
+    assert spark.createDataFrame([(None,)], "t string").select(answers.valid(F.col("t"), {"a": "string"})).first()[0] is False
+
+
 def test_evaluation_extremes(spark):
     from tidewell.operators import metrics
 
@@ -310,5 +338,88 @@ def test_evaluation_extremes(spark):
     assert (out["perfect"]["window_balanced_accuracy"], out["perfect"]["recording_macro_f1"], out["perfect"]["coverage"]) == (1.0, 1.0, 1.0)
     assert out["constant"]["window_balanced_accuracy"] == out["constant"]["recording_balanced_accuracy"] == 0.5
     assert out["constant"]["top_answer"] == "A" and out["constant"]["degenerate"] and not out["perfect"]["degenerate"] and out["perfect"]["few_patients"]
-    ci = {r["model"]: r for r in metrics.recording_interval(perfect.unionByName(constant), truth, scope.select("path", "recording", "patient"), ["A", "B"], 100).collect()}
-    assert ci["perfect"]["clears_baseline"] and ci["perfect"]["low"] == 1.0 and not ci["constant"]["clears_baseline"]
+    both = perfect.unionByName(constant)
+    ci = {r["model"]: r for r in metrics.evaluate(both, truth, scope.select("path", "recording", "patient"), ["A", "B"], iterations=100).collect()}
+    assert ci["perfect"]["clears_baseline"] and ci["perfect"]["recording_ci_low"] == 1.0 and not ci["constant"]["clears_baseline"]
+    none = metrics.evaluate(both, truth, scope.select("path", "recording", "patient"), ["A", "B"], least=1000, iterations=50).collect()
+    assert all(r["scored_classes"] == 0 and r["baseline_macro_f1"] == r["recording_macro_f1"] == 0.0 and r["recording_ci_low"] is None and r["clears_baseline"] is None for r in none)
+
+
+def test_floors_of_sets(spark):
+    """Three classes, each in 90 % of rows: all of them at once is the best constant answer, but one class where answers are single."""
+    df = spark.createDataFrame([(f"r{k}", c, k % 10 != i) for k in range(200) for i, c in enumerate("abc")] + [(f"r{k}", "rare", k < 19) for k in range(200)], "r string, class string, holds boolean")
+    floor = lambda **o: metrics.constant_floor(df.withColumn("m", F.lit(1)), ["m"], **o).first()["floor"]
+    assert floor() == pytest.approx(1.8 / 1.9) and floor(binary=True) == pytest.approx(1.8 / 1.9 / 3)
+    assert floor(excluded=["a", "b"], binary=True) == pytest.approx(1.8 / 1.9) and floor(least=1000) == 0.0
+
+
+def evaluation(spark, rows, classes, **options):
+    """rows: (recording, true labels, answered labels) of windows."""
+    df = spark.createDataFrame([(f"{r}/{k}", r, f"p{r}", k, t, p) for k, (r, t, p) in enumerate(rows)], "path string, recording string, patient string, ord int, truth array<string>, pred array<string>")
+    return metrics.evaluate(df.select(F.lit("m").alias("model"), "path", "ord", "pred"), df.select("path", "truth"), df.select("path", "recording", "patient"), classes, **options).first()
+
+
+def test_votes_and_unions(spark):
+    rows = [(f"r{k}", ["a"], p) for k in range(30) for p in (["b"], ["a"], ["a"])] + [(f"s{k}", ["b"], p) for k in range(30) for p in (["b"], ["a"])] + [("t", ["b"], []), ("t", ["b"], [])]
+    voted = evaluation(spark, rows, ["a", "b"], binary=True)
+    assert voted["recording_macro_f1"] == pytest.approx((1 + 2 * 30 / 61) / 2)  # ties go to the first answer; no answer is no class
+    united = evaluation(spark, rows, ["a", "b"])
+    assert united["recording_macro_f1"] == pytest.approx((2 * 30 / 90 + 2 * 30 / 91) / 2) and united["recordings"] == 61
+
+
+def test_interval_over_scored_classes(spark):
+    """A class with one recording counts in neither the figure nor its interval."""
+    rows = [(f"r{k}", ["a" if k % 2 else "b"], ["b" if k == 5 else "a" if k % 2 else "b"]) for k in range(120)] + [("odd", ["c"], [])]
+    out = evaluation(spark, rows, ["a", "b", "c"], iterations=400)
+    assert (out["scored_classes"], out["low_support_classes"]) == (2, 1)
+    assert out["recording_ci_low"] <= out["recording_macro_f1"] <= out["recording_ci_high"] and out["recording_ci_low"] > 0.9
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 16])
+def test_multinomial_by_halving(spark, block):
+    """Each replicate draws as many clusters as there are, whatever the blocks; means and variances are the multinomial's."""
+    from tidewell.operators import bootstrap
+
+    df = spark.createDataFrame([(k % 2, 1, int(k == 1), k % 10) for k in range(600)], "g int, one int, single int, ten int")
+    again = bootstrap.resampled(df, ["g"], ["one", "single", "ten"], 2000, block=block).collect()
+    assert len(again) == 4000 and all(r["one"] == 300 for r in again)
+    single = [r["single"] for r in again if r["g"] == 1]
+    mean = sum(single) / 2000
+    assert abs(mean - 1) < 0.1 and abs(sum((x - mean) ** 2 for x in single) / 2000 - (1 - 1 / 300)) < 0.2
+    ten = [r["ten"] for r in again if r["g"] == 0]  # 0, 2, 4, 6, 8 in equal parts: variance 8 a draw
+    assert abs(sum(ten) / 2000 - 1200) < 6 and abs(sum((x - 1200) ** 2 for x in ten) / 2000 / (300 * 8) - 1) < 0.15
+
+
+def test_draws_of_blocks_sum_up():
+    from tidewell.operators import bootstrap
+
+    for total, size in ((1, 4), (10, 4), (1000, 7), (64, 64)):
+        every = sum(bootstrap.draws_of(total, b, size, 50, [3]) for b in range(-(-total // size)))
+        assert every.tolist() == [total] * 50
+
+
+def test_weights_are_the_portable_ones(spark):
+    from tidewell.operators import bootstrap
+
+    df = spark.createDataFrame([(g, c, s, c % 3, 1) for g in ("x", None) for c in range(40) for s in (0.1, 0.2)], "g string, c int, s double, a int, b int")
+    got = {(r["g"], r["s"], r["replicate"]): (r["a"], r["b"]) for r in bootstrap.weighted(df, "c", ["g", "s"], ["a", "b"], 10).collect()}
+    w = {c: bootstrap.weights_of(str(c), 10) for c in range(40)}
+    for g in ("x", None):
+        for s in (0.1, 0.2):
+            for r in range(10):
+                assert got[g, s, r] == (sum(c % 3 * w[c][r] for c in range(40)), sum(w[c][r] for c in range(40)))
+
+
+@pytest.mark.parametrize("kind", ["narrow", "logits", "turns"])
+def test_ranges_are_even(spark, kind):
+    from tidewell.operators import ranks
+
+    n = 40_000
+    draw = random.Random(kind)
+    rows = {"narrow": lambda k: (draw.random() * 0.0002, k), "logits": lambda k: (draw.gauss(0, 30), k), "turns": lambda k: (1.0, k)}[kind]
+    df = spark.createDataFrame([(0, *rows(k)) for k in range(n)], "g int, x double, k int").repartition(8)
+    sizes = [r["count"] for r in ranks.ranged(df, ["g"], ["x", "k"], 16).groupBy("_bucket").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * n / 16
+    got = {r["k"]: r["_at"] for r in ranks.evenly(df, ["g"], ["x", "k"], parts=16).collect()}
+    want = sorted((r["x"], r["k"]) for r in df.collect())
+    assert [got[k] for _, k in want] == list(range(n))

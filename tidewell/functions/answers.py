@@ -1,4 +1,4 @@
-"""Answers of models as JSON."""
+"""Answers of models as JSON: a reply that is none may still hold an object, in fences or between sentences."""
 
 from __future__ import annotations
 
@@ -6,30 +6,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def object_text(reply: Column) -> Column:
-    """The first {...} of a reply without its code fences, by counting braces outside strings; null if there is none. What follows is dropped."""
-    bare = F.regexp_replace(reply, r"```(?:json)?", "")
+def first_object(reply: Column) -> Column:
+    """The text from the first brace to the one that closes it, fences at the ends of lines left out; null if there is none.
+
+    One pass over tokens without nested repetition, so that long strings cost time in proportion: a quote opens or closes a string
+    unless a backslash stands before it, and braces in strings don't count.
+    """
+    bare = F.regexp_replace(F.trim(reply), r"(?m)^\s*```(?:json)?|```\s*$", "")
     rest = F.substring(bare, F.instr(bare, "{"), F.length(bare))
-    # strings and single braces as tokens, so that braces in strings don't count
-    tokens = F.regexp_extract_all(rest, F.lit(r'("(?:[^"\\]|\\.)*"|[{}]|[^"{}]+|")'), F.lit(1))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("chars"), F.lit(False).alias("done"))
+    tokens = F.regexp_extract_all(rest, F.lit(r'((?s:\\.?)|["{}]|[^"{}\\]+)'), F.lit(1))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("chars"), F.lit(False).alias("quoted"), F.lit(False).alias("done"))
 
     def step(s: Column, t: Column) -> Column:
-        depth = s["depth"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
-        return F.when(s["done"], s).otherwise(F.struct(depth.alias("depth"), (s["chars"] + F.length(t)).alias("chars"), (depth == 0).alias("done")))
+        depth = s["depth"] + F.when(s["quoted"], 0).when(t == "{", 1).when(t == "}", -1).otherwise(0)
+        now = F.struct(depth.alias("depth"), (s["chars"] + F.length(t)).alias("chars"), (s["quoted"] != (t == '"')).alias("quoted"), (depth == 0).alias("done"))
+        return F.when(s["done"], s).otherwise(now)
 
     found = F.aggregate(tokens, start, step, lambda s: F.when(s["done"], s["chars"]))
     return F.when(F.contains(bare, F.lit("{")), F.substring(rest, F.lit(1), found))
 
 
-def parsed(reply: Column, schema: str) -> Column:
-    """The answer, or null if it can't be read or lacks a field."""
-    return F.from_json(object_text(reply), schema)
+def value(reply: Column) -> Column:
+    """A reply as a variant: all of it if it is JSON, else its first object; null if neither can be read. What follows the object is dropped."""
+    return F.coalesce(F.try_parse_json(reply), F.try_parse_json(first_object(reply)))
+
+
+def object_text(reply: Column) -> Column:
+    """The text of the object that value() reads; null if there is none."""
+    whole = F.try_parse_json(reply)
+    return F.when(whole.isNotNull(), F.when(F.startswith(F.schema_of_variant(whole), F.lit("OBJECT")), F.trim(reply))).otherwise(F.when(F.try_parse_json(first_object(reply)).isNotNull(), first_object(reply)))
+
+
+def parsed(reply: Column, fields: dict[str, str]) -> Column:
+    """A struct of the fields, each with its type; null where a value is absent or of another type. A reply that can't be read gives null."""
+    v = value(reply)
+    return F.when(v.isNotNull(), F.struct(*(F.try_variant_get(v, f"$['{n}']", kind).alias(n) for n, kind in fields.items())))
 
 
 def field(reply: Column, name: str) -> Column:
     """A field of the reply's object, or the reply itself."""
-    return F.coalesce(F.get_json_object(object_text(reply), f"$.{name}"), reply)
+    return F.coalesce(F.try_variant_get(value(reply), f"$['{name}']", "string"), reply)
 
 
 def target(fields: dict[str, Column]) -> Column:
@@ -39,8 +55,7 @@ def target(fields: dict[str, Column]) -> Column:
 
 def valid(reply: Column, fields: dict[str, str]) -> Column:
     """Whether a reply's object has all fields, with values of their types."""
-    got = parsed(reply, ", ".join(f"`{n}` {kind}" for n, kind in fields.items()))
-    out = got.isNotNull()
-    for n in fields:
-        out = out & got[n].isNotNull()
+    v, out = value(reply), F.lit(True)
+    for n, kind in fields.items():
+        out = out & F.try_variant_get(v, f"$['{n}']", kind).isNotNull()
     return F.coalesce(out, F.lit(False))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.text import problems
 from tidewell.operators.ranks import by_hash, matched
-from tidewell.operators.sampling import round_robin, shuffled, spread
+from tidewell.operators.ranks import shuffled
+from tidewell.operators.sampling import round_robin, spread
 
 BACKGROUND = ["bckg"]
 

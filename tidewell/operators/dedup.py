@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.sources.folders import saved
+
 
 def first_of(df: DataFrame, key: list[str], order: list) -> DataFrame:
     """The first row of each key; order must leave no ties."""
@@ -35,18 +35,6 @@ def later_copies(df: DataFrame, text: str, order: list) -> DataFrame:
     return df.withColumn("_rank", rank).where("_rank > 1").drop("_rank")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df by way of a folder below spark.checkpoint.dir, or the warehouse if that is unset: lineage ends there."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def new_folder(spark) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/tidewell-{uuid.uuid4().hex}"
-
-
 def merged_owners(df: DataFrame, content: str, owner: str) -> DataFrame:
     """(owner, canonical): owners that share content, through any chain, with the smallest of them. Owners alone are absent.
 

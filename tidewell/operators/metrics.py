@@ -64,54 +64,123 @@ def coverage(scope: DataFrame, done: DataFrame, key: list[str], by: list[str]) -
     return marked.groupBy(*by).agg(F.count_if("_done").alias("windows"), F.round(F.count_if("_done") / F.count("*"), 4).alias("coverage"))
 
 
-def constant_floor(truth: DataFrame, by: list[str], cls: str = "class") -> DataFrame:
-    """The best macro-F1 of always answering one class, from (by, class, holds) rows: a class that holds in a share s of the rows gives 2s / (1 + s) for itself, and 0 for all others."""
-    share = truth.groupBy(*by, cls).agg(F.avg(F.col("holds").cast("double")).alias("s"))
-    return share.groupBy(*by).agg(F.max(2 * F.col("s") / (1 + F.col("s")) / 1.0).alias("best"), F.count("*").alias("n")).select(*by, (F.col("best") / F.col("n")).alias("floor"))
+def constant_floor(truth: DataFrame, by: list[str], cls: str = "class", binary: bool = False, least: int = MIN_SUPPORT, excluded: list[str] | None = None) -> DataFrame:
+    """The best macro-F1 of an answer that never changes, from (by, class, holds) rows with one for each class of each item.
 
-
-def by_label(df: DataFrame, keep: list[str], classes: list[str], truth: str, pred: str) -> DataFrame:
-    """A row for each class of each row: keep, class, and whether truth and pred (arrays of labels) have it."""
-    each = df.select(*keep, truth, pred, F.explode(F.array(*map(F.lit, classes))).alias("class"))
-    return each.select(*keep, "class", F.array_contains(truth, F.col("class")).alias("truth"), F.array_contains(pred, F.col("class")).alias("pred"))
+    Only classes with enough support count. A class that holds in a share s of the rows gives 2s / (1 + s) for itself and 0 for all
+    others; where answers are sets (not binary), all classes at once and none are answers, too. 0.0 without such a class.
+    """
+    share = truth.groupBy(*by, cls).agg(F.avg(F.col("holds").cast("double")).alias("s"), F.count_if("holds").alias("n"))
+    kept = (F.col("n") >= least) & (~F.col(cls).isin(excluded) if excluded else F.lit(True))
+    f1 = F.when(kept, 2 * F.col("s") / (1 + F.col("s")))
+    return share.groupBy(*by).agg(F.coalesce((F.max(f1) / F.count(f1)) if binary else F.avg(f1), F.lit(0.0)).alias("floor"))
 
 
-def evaluate(answers: DataFrame, truth: DataFrame, scope: DataFrame, classes: list[str], excluded: list[str] | None = None, least: int = MIN_SUPPORT) -> DataFrame:
+def evaluate(answers: DataFrame, truth: DataFrame, scope: DataFrame, classes: list[str], binary: bool = False, excluded: list[str] | None = None, least: int = MIN_SUPPORT, iterations: int = 0, seed: int = 0) -> DataFrame:
     """A row for each model: how well its answers match the truth, over windows and over recordings.
 
     answers: model, path, ord, pred (labels); truth: path, truth (labels); scope: path, recording, patient. Of several answers to a
-    path the first counts, paths beyond the scope don't. A recording has the labels that one of its windows has. excluded classes
-    are left out of the recordings' means.
+    path the first counts, paths beyond the scope don't. A recording has the true labels that one of its windows has. Of a binary
+    set it has the answer that most of its windows have (of equally many the one that came first), else every answer that one of
+    them has. Means are over classes with enough support, those of recordings without the excluded ones; baseline_macro_f1 is the
+    best constant answer's over the same classes. iterations > 0 adds the interval of the recordings' macro-F1; it and
+    clears_baseline are null without such a class.
+
+    Windows are grouped once by recording, with all counts that follow.
     """
+    w = first_answers(answers, truth, scope)
+    each = by_recording(w, classes, binary)
+    out = figures(each, classes, binary, excluded, least).join(answers_of(w, "model"), "model")
+    patients = each.groupBy("model").agg(F.count_distinct("patient").alias("patients"))
+    total = scope.agg(F.count("*").alias("_all"))  # one row
+    out = out.join(patients, "model").join(F.broadcast(total), how="cross").withColumn("coverage", F.round(F.col("windows") / F.col("_all"), 4)).withColumn("few_patients", F.col("patients") < MIN_PATIENTS).drop("_all")
+    return with_interval(out, each, classes, excluded, least, iterations, seed) if iterations else out.drop("_kept")
+
+
+def first_answers(answers: DataFrame, truth: DataFrame, scope: DataFrame) -> DataFrame:
+    """model, path, ord, pred, truth, recording, patient of the first answer to each path of the scope."""
     from tidewell.operators.dedup import first_of
 
-    first = first_of(answers.join(scope.select("path"), "path", "left_semi"), ["model", "path"], ["ord"])
-    w = first.join(truth, "path").join(scope, "path")
-    total = scope.agg(F.count("*").alias("_all"))  # one row
-    top = answers_of(w, "model")
-    facts = w.groupBy("model").agg(F.count("*").alias("windows"), F.count_distinct("recording").alias("recordings"), F.count_distinct("patient").alias("patients"))
-    long = by_label(w, ["model", "recording"], classes, "truth", "pred")
-    mean = lambda rows, out, level: macro(rates(confusion(rows, ["model", "class"])), ["model"], least, out).select("model", F.col("macro_f1").alias(f"{level}_macro_f1"), F.col("balanced_accuracy").alias(f"{level}_balanced_accuracy"), F.col("scored_classes").alias(f"{level}_classes"))
-    wide = any_positive(long, ["model", "recording", "class"], "truth", "pred")
-    floor = constant_floor(wide.withColumnRenamed("truth", "holds"), ["model"])
-    out = facts.join(F.broadcast(total), how="cross").join(top, "model").join(mean(long, None, "window"), "model").join(mean(wide, excluded, "recording"), "model").join(floor, "model")
-    return out.withColumn("coverage", F.round(F.col("windows") / F.col("_all"), 4)).withColumn("few_patients", F.col("patients") < MIN_PATIENTS).drop("_all")
+    return first_of(answers.join(scope.select("path"), "path", "left_semi"), ["model", "path"], ["ord"]).join(truth, "path").join(scope, "path")
+
+
+def by_recording(w: DataFrame, classes: list[str], binary: bool = False) -> DataFrame:
+    """model, recording, patient, n (windows) and by class k: tp_k, fp_k, fn_k over windows; t_k and p_k, what the recording has and is given."""
+    has = lambda c, label: F.array_contains(c, label)
+    sums, votes = [], []
+    for k, c in enumerate(classes):
+        t, p = has("truth", c), has("pred", c)
+        sums += [F.count_if(t & p).alias(f"tp_{k}"), F.count_if(~t & p).alias(f"fp_{k}"), F.count_if(t & ~p).alias(f"fn_{k}"), F.bool_or(t).alias(f"t_{k}"), F.count_if(p).alias(f"votes_{k}"), F.min(F.when(p, F.col("ord"))).alias(f"first_{k}")]
+        votes.append(F.when(F.col(f"votes_{k}") > 0, F.struct((-F.col(f"votes_{k}")).alias("votes"), F.col(f"first_{k}").alias("first"), F.lit(k).alias("k"))))
+    out = w.groupBy("model", "recording").agg(F.min("patient").alias("patient"), F.count("*").alias("n"), *sums)
+    if binary:
+        out = out.withColumn("_won", F.array_min(F.array_compact(F.array(*votes)))["k"])
+    given = [(F.coalesce(F.col("_won") == k, F.lit(False)) if binary else F.col(f"votes_{k}") > 0).alias(f"p_{k}") for k in range(len(classes))]
+    return out.select("model", "recording", "patient", "n", *(f"{x}_{k}" for k in range(len(classes)) for x in ("tp", "fp", "fn", "t")), *given)
+
+
+def recording_counts(classes: list[str]) -> dict[str, Column]:
+    """0 or 1 for tp, fp and fn of each class of a recording."""
+    out = {}
+    for k in range(len(classes)):
+        t, p = F.col(f"t_{k}"), F.col(f"p_{k}")
+        out |= {f"rtp_{k}": t & p, f"rfp_{k}": ~t & p, f"rfn_{k}": t & ~p}
+    return {n: c.cast("int") for n, c in out.items()}
+
+
+def figures(each: DataFrame, classes: list[str], binary: bool, excluded: list[str] | None, least: int) -> DataFrame:
+    """by_recording() -> a row for each model; _kept: the classes that recordings are scored by."""
+    counts = recording_counts(classes)
+    names = [f"{x}_{k}" for k in range(len(classes)) for x in ("tp", "fp", "fn")]
+    total = each.groupBy("model").agg(F.sum("n").alias("windows"), F.count("*").alias("recordings"), *(F.sum(n).alias(n) for n in names), *(F.sum(c).alias(n) for n, c in counts.items()))
+
+    def level(kind: str, n: Column, out: list[str]):
+        """(kept, F1, balanced accuracy, share that holds) of each class."""
+        found = []
+        for k, c in enumerate(classes):
+            tp, fp, fn = (F.col(f"{kind}{x}_{k}") for x in ("tp", "fp", "fn"))
+            tn, s = n - tp - fp - fn, (tp + fn) / n
+            found.append(((tp + fn >= least) & F.lit(c not in out), divide(2 * tp, 2 * tp + fp + fn), (divide(tp, tp + fn) + divide(tn, tn + fp)) / 2, 2 * s / (1 + s)))
+        return found
+
+    def mean(found, i: int):
+        return divide(sum((F.when(f[0], f[i]).otherwise(0.0) for f in found), F.lit(0.0)), kept(found))
+
+    kept = lambda found: sum((f[0].cast("int") for f in found), F.lit(0))
+    window, recording = level("", F.col("windows"), []), level("r", F.col("recordings"), excluded or [])
+    best = divide(F.array_max(F.array(*(F.when(f[0], f[3]).otherwise(0.0) for f in recording))), kept(recording)) if binary else mean(recording, 3)
+    return total.select(
+        "model", "windows", "recordings", mean(window, 1).alias("window_macro_f1"), mean(window, 2).alias("window_balanced_accuracy"), mean(recording, 1).alias("recording_macro_f1"), mean(recording, 2).alias("recording_balanced_accuracy"),
+        best.alias("baseline_macro_f1"), kept(recording).alias("scored_classes"), (len(classes) - kept(recording)).alias("low_support_classes"), F.array(*(f[0] for f in recording)).alias("_kept"),
+    )
 
 
-def answers_of(w: DataFrame, model: str) -> DataFrame:
-    return answers(w, [model], F.col("pred"), "ord")
+def with_interval(out: DataFrame, each: DataFrame, classes: list[str], excluded: list[str] | None, least: int, iterations: int, seed: int) -> DataFrame:
+    """out with recording_ci_low, recording_ci_high and clears_baseline, from resampled recordings."""
+    from tidewell.operators.bootstrap import interval, resampled
 
+    counts = recording_counts(classes)
+    again = resampled(each.select("model", *(c.alias(n) for n, c in counts.items())), ["model"], list(counts), iterations, seed)
+    kept = lambda k: F.get("_kept", F.lit(k))
+    f1 = [divide(2 * F.col(f"rtp_{k}"), 2 * F.col(f"rtp_{k}") + F.col(f"rfp_{k}") + F.col(f"rfn_{k}")) for k in range(len(classes))]
+    n = sum((kept(k).cast("int") for k in range(len(classes))), F.lit(0))
+    f1 = F.when(n > 0, sum((F.when(kept(k), x).otherwise(0.0) for k, x in enumerate(f1)), F.lit(0.0)) / n)
+    found = interval(again.join(out.select("model", "_kept"), "model").withColumn("f1", f1), ["model"], "f1")
+    return out.drop("_kept").join(found.select("model", F.col("low").alias("recording_ci_low"), F.col("high").alias("recording_ci_high")), "model").withColumn("clears_baseline", F.col("recording_ci_low") > F.col("baseline_macro_f1"))
 
-def recording_interval(answers: DataFrame, truth: DataFrame, scope: DataFrame, classes: list[str], iterations: int = 1000) -> DataFrame:
-    """model, low, high, floor and clears_baseline: the interval of the recordings' macro-F1, and whether it lies above the best constant answer."""
-    from tidewell.operators.bootstrap import macro_f1_interval
-    from tidewell.operators.dedup import first_of
 
-    w = first_of(answers.join(scope.select("path"), "path", "left_semi"), ["model", "path"], ["ord"]).join(truth, "path").join(scope, "path")
-    wide = any_positive(by_label(w, ["model", "recording"], classes, "truth", "pred"), ["model", "recording", "class"], "truth", "pred")
-    counts = confusion(wide, ["model", "recording", "class"])
-    found = macro_f1_interval(counts, "recording", ["model"], iterations=iterations)
-    return found.join(constant_floor(wide.withColumnRenamed("truth", "holds"), ["model"]), "model").withColumn("clears_baseline", F.col("low") > F.col("floor"))
+def class_figures(each: DataFrame, classes: list[str], excluded: list[str] | None = None, least: int = MIN_SUPPORT) -> DataFrame:
+    """by_recording() -> model, level, class, precision, recall, f1, support, in_macro, over windows and over recordings."""
+    own = lambda k, kind, level, n: F.struct(F.lit(level).alias("level"), F.lit(classes[k]).alias("class"), *(F.col(f"{kind}{x}_{k}").cast("long").alias(x) for x in ("tp", "fp", "fn")), (F.col(n) - F.col(f"{kind}tp_{k}") - F.col(f"{kind}fp_{k}") - F.col(f"{kind}fn_{k}")).alias("tn"))
+    counts = recording_counts(classes)
+    total = each.groupBy("model").agg(F.sum("n").alias("windows"), F.count("*").alias("recordings"), *(F.sum(f"{x}_{k}").alias(f"{x}_{k}") for k in range(len(classes)) for x in ("tp", "fp", "fn")), *(F.sum(c).alias(n) for n, c in counts.items()))
+    long = total.select("model", F.inline(F.array(*(own(k, kind, level, n) for k in range(len(classes)) for kind, level, n in (("", "window", "windows"), ("r", "recording", "recordings"))))))
+    left_out = (F.col("level") == "recording") & F.col("class").isin(excluded) if excluded else F.lit(False)
+    return rates(long).select("model", "level", "class", "precision", "recall", "f1", "support", ((F.col("support") >= least) & ~left_out).alias("in_macro"))
+
+
+def answers_of(w: DataFrame, model: str) -> DataFrame:
+    return answers(w, [model], F.col("pred"), "ord")
 
 
 def generated(df: DataFrame, by: list[str], nll: str, label: str, chars: str, answer: str, cap: int = 1200) -> DataFrame:

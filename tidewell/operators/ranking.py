@@ -9,14 +9,11 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.numbers import divide
 from tidewell.operators.bootstrap import interval, weighted
-from tidewell.operators.ranks import number_bucket, placed
-
-WIDTH = 1 / 4096  # of the buckets that scores are sorted in
-
+from tidewell.operators.ranks import evenly
 
 def auroc_of_counts(each: DataFrame, by: list[str], score: str) -> DataFrame:
     """(by, score, p, n) rows, one for each distinct score -> by, positives, negatives, auroc."""
-    below = placed(each, by, number_bucket(F.col(score).cast("double"), WIDTH), [score], at="_below", n="_all", size=F.col("n"))
+    below = evenly(each, by, [score], at="_below", n="_all", size=F.col("n"))
     won = F.col("p") * (F.col("_below") + F.col("n") / 2)
     sums = below.withColumn("won", won).groupBy(*by).agg(F.sum("won").alias("won"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
     return sums.select(*by, "positives", "negatives", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("won") / (F.col("positives") * F.col("negatives"))).alias("auroc"))
@@ -31,7 +28,7 @@ def counted(df: DataFrame, by: list[str], score: str, positive: str) -> DataFram
 def auroc(df: DataFrame, by: list[str], score: str = "score", positive: str = "positive") -> DataFrame:
     """The probability that a positive scores above a negative, ties counted half; null with one class only.
 
-    Rows are first counted by distinct score, and scores are sorted in buckets, so no task holds all scores of a group.
+    Rows are first counted by distinct score, and scores are sorted in even ranges, so no task holds all scores of a group.
     """
     return auroc_of_counts(counted(df, by, score, positive), by, score)
 

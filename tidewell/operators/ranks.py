@@ -1,7 +1,8 @@
 """Ranks and running sums in groups that may hold most of a table.
 
 The order is cut into buckets that follow it; sums of whole buckets are a small table, and only a bucket's rows are sorted in one
-task. Hash orders are cut by the hash's first digits, so buckets are even whatever the keys are.
+task. Hash orders are cut by the hash's first digits, so buckets are even whatever the keys are. Other orders are cut by Spark's
+range partitioning, whose cut points are a sample's: buckets are even and keep ties together, whatever the values are.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.sources.folders import saved
+
 
 def shuffled(seed, *key: Column) -> Column:
     """A value to order by, like a shuffle that is the same everywhere."""
@@ -22,11 +25,6 @@ def hash_bucket(h: Column) -> Column:
     return F.substring(h, 1, 3)
 
 
-def number_bucket(x: Column, width: float) -> Column:
-    """Buckets in the order of a number."""
-    return F.floor(x / width)
-
-
 def matched(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """A join by columns of the same names, nulls equal."""
     if not by:
@@ -52,6 +50,18 @@ def placed(df: DataFrame, by: list[str], bucket: Column, order: list, at: str =
     return matched(marked.withColumn("_inside", inside), table, [*by, "_bucket"]).withColumn(at, F.col("_before") + F.col("_inside")).drop("_bucket", "_inside", "_before")
 
 
+def ranged(df: DataFrame, by: list[str], order: list, parts: int | None = None) -> DataFrame:
+    """df with _bucket, the number of the range of (by, order) that it lies in; written once, so that every reader sees the same cuts."""
+    keys = [F.col(c) for c in by] + order
+    dealt = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    return saved(dealt.withColumn("_bucket", F.spark_partition_id()), "ranges")
+
+
+def evenly(df: DataFrame, by: list[str], order: list, at: str = "_at", n: str = "_n", size: Column | None = None, parts: int | None = None) -> DataFrame:
+    """placed() in any order; order must leave no ties."""
+    return placed(ranged(df, by, order, parts), by, F.col("_bucket"), order, at, n, size)
+
+
 def by_hash(df: DataFrame, by: list[str], key: list[Column], seed=0, at: str = "_at", n: str = "_n", size: Column | None = None) -> DataFrame:
     """placed() in the order of hashes of the key."""
     marked = df.withColumn("_hash", shuffled(seed, *key))

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.numbers import spaced
-from tidewell.operators.ranks import by_hash, matched, placed, shuffled
+from tidewell.operators.ranks import by_hash, evenly, hash_bucket, matched, placed
+
+
+MOST_CLASSES = 10_000
 
 
 def spread(df: DataFrame, by: list[str], order: list, cap: Column | int | None) -> DataFrame:
@@ -28,13 +31,13 @@ def round_robin(df: DataFrame, by: list[str], group: str, order: list, budget: s
     limit = F.col(budget) if isinstance(budget, str) else F.lit(budget)
     # a group's turns beyond the budget can't be reached
     ranked = df.withColumn("_turn", turn).where(F.col("_turn") <= limit)
-    return placed(ranked, by, F.col("_turn"), ["_turn", group]).where(F.col("_at") < limit).drop("_turn", "_at", "_n")
+    return evenly(ranked, by, ["_turn", group]).where(F.col("_at") < limit).drop("_turn", "_at", "_n")
 
 
 def running_split(units: DataFrame, size: str, key: list[Column], share: float, by: list[str] | None = None, seed=0) -> DataFrame:
-    """units with split: in the order of the keys' hashes, test for those that begin before the test's share of all sizes is reached, train for others."""
+    """units with split: in the order of the keys' hashes, test for those that begin before the test's share of all sizes, rounded to even, is reached, train for others."""
     out = by_hash(units, by or [], key, seed, size=F.col(size))
-    return out.withColumn("split", F.when(F.col("_at") < share * F.col("_n"), "test").otherwise("train")).drop("_at", "_n")
+    return out.withColumn("split", F.when(F.col("_at") < F.bround(share * F.col("_n")), "test").otherwise("train")).drop("_at", "_n")
 
 
 def cut_in_three(units: DataFrame, size: str, key: list[Column], test: float, val: float, seed=0) -> DataFrame:
@@ -44,16 +47,16 @@ def cut_in_three(units: DataFrame, size: str, key: list[Column], test: float, va
     return out.withColumn("split", split).drop("_at", "_n")
 
 
-def systematic(df: DataFrame, by: list[str], bucket: Column, order: list, most: int) -> DataFrame:
-    """Every k-th row, k = n div most, and of these the first `most`. bucket cuts the order, as for placed()."""
-    ranked = placed(df, by, bucket, order)
+def systematic(df: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
+    """Every k-th row, k = n div most, and of these the first `most`."""
+    ranked = evenly(df, by, order)
     step = F.greatest(F.floor(F.col("_n") / most), F.lit(1))
     return ranked.where((F.col("_at") % step == 0) & (F.col("_at") / step < most)).drop("_n", "_at")
 
 
-def sharded(df: DataFrame, by: list[str], bucket: Column, order: list, shards: Column | int, shard: str = "shard") -> DataFrame:
+def sharded(df: DataFrame, by: list[str], order: list, shards: Column | int, shard: str = "shard") -> DataFrame:
     """df with the shard of each row when rows are dealt in turn."""
-    return placed(df, by, bucket, order).withColumn(shard, F.col("_at") % shards).drop("_n", "_at")
+    return evenly(df, by, order).withColumn(shard, F.col("_at") % shards).drop("_n", "_at")
 
 
 def stratified(df: DataFrame, by: list[str], key: list[Column], most: Column | int, seed=0) -> DataFrame:
@@ -91,7 +94,8 @@ def rate_balance(df: DataFrame, pattern: str, positive: str, key: list[Column],
 def validation_patients(members: DataFrame, patient: str, cls: str, fraction: float = 0.05, least: int = 10) -> DataFrame:
     """(patient, class) rows -> the chosen patients: a count of min(max(ceil(n * fraction), least), n div 2), the first of each class in hash order, rarest class first unless one of it is chosen, then by hash order.
 
-    A class's first patient and the other classes that this patient has come to the driver: as many rows as there are classes.
+    Classes are a registry's, MOST_CLASSES at most: a class's first patient and the other classes that this patient has come to
+    the driver, a row for each class. Patients are ranked in buckets of their hashes.
     """
     every = members.select(patient, cls).distinct()
     hashed = F.md5(F.col(patient).cast("string").cast("binary"))
@@ -101,14 +105,17 @@ def validation_patients(members: DataFrame, patient: str, cls: str, fraction: fl
     own = F.struct("h", F.col(patient).alias("p"), "classes")
     by_class = ranked.select(F.explode("classes").alias("c"), own.alias("own")).groupBy("c").agg(F.count("*").alias("n"), F.min("own").alias("first")).where("n >= 2").orderBy("n", "c")
     chosen, covered = [], set()
-    for row in by_class.collect():
+    found = by_class.limit(MOST_CLASSES + 1).collect()
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes are no registry of classes")
+    for row in found:
         if len(chosen) >= wanted:
             break
         if row["c"] not in covered:
             chosen.append(row["first"]["p"])
             covered |= set(row["first"]["classes"])
     mine = F.col(patient).isin(chosen) if chosen else F.lit(False)
-    rest = ranked.where(~mine).orderBy("h", patient).limit(max(0, wanted - len(chosen))).select(patient)
+    rest = placed(ranked.where(~mine), [], hash_bucket(F.col("h")), ["h", patient]).where(F.col("_at") < max(0, wanted - len(chosen))).select(patient)
     return ranked.where(mine).select(patient).unionByName(rest)
 
 

@@ -15,22 +15,25 @@ def done_of(scope: Column, rationale: Column, evaled: Column, judged: Column, ju
     return F.when(scope == "full", rationale & evaled & judged & judged_gpt).when(scope == "rationale", rationale).otherwise(F.lit(True))
 
 
-MOST_MODELS = 10_000
+FEW_MODELS = 300
 
 
 def expanded(images: DataFrame, models: DataFrame, dataset: str = "dataset") -> DataFrame:
     """Each image with each model that its dataset is open to; a null list of datasets is open to all.
 
-    models is a registry, a row for each model: it is read by the driver, which refuses more than MOST_MODELS, and becomes part of
-    the plan; no join is needed.
+    models is a registry, a row for each model. Up to FEW_MODELS of them become part of the plan, and no join is needed; more are
+    joined by dataset, as Spark sees fit for their size.
     """
-    rows = models.limit(MOST_MODELS + 1).collect()
-    if len(rows) > MOST_MODELS:
-        raise ValueError(f"more than {MOST_MODELS} models")
+    rows = models.limit(FEW_MODELS + 1).collect()
     fields = [c for c in models.columns if c != "datasets"]
     kinds = {c: models.schema[c].dataType for c in models.columns}
     if not rows:
         return images.where("false").select("*", *(F.lit(None).cast(kinds[c]).alias(c) for c in fields))
+    if len(rows) > FEW_MODELS:
+        named = models.where("datasets is not null").withColumn("_d", F.explode(F.array_distinct("datasets"))).select("_d", *fields)
+        # a row for each dataset and model is what the result has for each image anyway
+        every = images.select(F.col(dataset).alias("_d")).distinct().join(models.where("datasets is null").select(*fields), how="cross")
+        return images.join(named.unionByName(every), F.col(dataset).eqNullSafe(F.col("_d"))).select(*images.columns, *fields)
     each = [F.struct(F.lit(r["datasets"] if r["datasets"] is None else list(r["datasets"])).cast(kinds["datasets"]).alias("datasets"), *(F.lit(r[c]).cast(kinds[c]).alias(c) for c in fields)) for r in rows]
     open_to = F.filter(F.array(*each), lambda m: m["datasets"].isNull() | F.array_contains(m["datasets"], F.col(dataset)))
     return images.withColumn("_m", F.explode(open_to)).select(*images.columns, *(F.col(f"_m.{c}").alias(c) for c in fields))

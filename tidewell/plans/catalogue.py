@@ -13,7 +13,7 @@ from tidewell.functions import answers as replies
 from tidewell.functions import labels as L
 from tidewell.functions import names, numbers
 from tidewell.functions import text as texts
-from tidewell.operators import bootstrap, clients, curation, dedup, intervals, judging, leakage, metrics, ordered, planning, ranking, ranks, sampling, state
+from tidewell.operators import bootstrap, clients, curation, dedup, intervals, judging, leakage, metrics, ordered, planning, ranking, sampling, state
 from tidewell.sources import writers
 from tidewell.streaming import streams
 
@@ -146,10 +146,22 @@ def coverage(spark, d):
     return metrics.coverage(w, w.where("score > 0.02"), KEY, ["dataset"])
 
 
-@query(f"WITH {W}, s AS (SELECT dataset, class, avg(CASE WHEN truth = class THEN 1.0 ELSE 0.0 END) AS s FROM w, (VALUES ('A'), ('N'), ('R')) AS k(class) GROUP BY ALL) SELECT dataset, round(max(2 * s / (1 + s)) / count(*), 6) AS floor FROM s GROUP BY dataset")
+SETS = """l AS (SELECT dataset, recording, bool_or(truth = 'A') AS a, bool_or(truth = 'N') AS n, bool_or(truth = 'R') AS r, max(quantity) > 48 AS q FROM w GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {W}, {SETS}, g(guess, ga, gn, gr, gq) AS (VALUES ('a', 1, 0, 0, 0), ('n', 0, 1, 0, 0), ('r', 0, 0, 1, 0), ('q', 0, 0, 0, 1), ('all', 1, 1, 1, 1), ('none', 0, 0, 0, 0)),
+ k AS (SELECT dataset, guess, class, h, p FROM (SELECT dataset, guess, unnest(['a', 'n', 'r', 'q']) AS class, unnest([a, n, r, q]) AS h, unnest([ga, gn, gr, gq]) = 1 AS p FROM l, g)),
+ f AS (SELECT dataset, guess, class, coalesce(2 * count(*) FILTER (h AND p) / nullif(2 * count(*) FILTER (h AND p) + count(*) FILTER (h <> p), 0), 0.0) AS f1, count(*) FILTER (h) AS support FROM k GROUP BY ALL),
+ m AS (SELECT dataset, guess, avg(f1) AS macro FROM f WHERE support >= 20 GROUP BY ALL) SELECT dataset, round(max(macro), 6) AS floor, round(max(macro) FILTER (guess NOT IN ('all', 'none')), 6) AS single_floor FROM m GROUP BY dataset"""
+)
 def constant_floor(spark, d):
-    long = by_class(windows(spark, d), ["dataset"]).withColumnRenamed("truth", "holds")
-    return metrics.constant_floor(long, ["dataset"]).withColumn("floor", r6("floor"))
+    """Of recordings' label sets: the best constant set, and the best constant class."""
+    w = windows(spark, d)
+    sets = w.groupBy("dataset", "recording").agg(*(F.bool_or(F.col("truth") == c.upper()).alias(c) for c in "anr"), (F.max("quantity") > 48).alias("q"))
+    long = sets.select("dataset", F.inline(F.array(*(F.struct(F.lit(c).alias("class"), F.col(c).alias("holds")) for c in "anrq"))))
+    one = metrics.constant_floor(long, ["dataset"], binary=True).select("dataset", r6("floor").alias("single_floor"))
+    return metrics.constant_floor(long, ["dataset"]).withColumn("floor", r6("floor")).join(one, "dataset")
 
 
 TOP = """t AS (SELECT dataset, patient, recording, sum(hundredths) AS total, count(*) AS n, bool_or(positive) AS positive FROM (SELECT dataset, patient, recording, CAST(round(score * 100) AS BIGINT) AS hundredths, bool_or(positive) OVER (PARTITION BY recording) AS positive
@@ -218,7 +230,7 @@ def bootstrap_ci_poisson(spark, d):
 @query()
 def bootstrap_ci_exact(spark, d):
     counts = metrics.confusion(by_class(windows(spark, d), ["dataset", "patient"]), ["dataset", "patient", "class"])
-    return bootstrap.macro_f1_interval(counts, "patient", ["dataset"])
+    return bootstrap.macro_f1_interval(counts, "patient", ["dataset"], list("ANR"))
 
 
 PATHS = "p AS (SELECT 'train/' || replace(c_name, '#', '_') || '_s' || (o_orderkey % 7) || '_' || (o_orderkey % 50) || '.png' AS path FROM orders JOIN customer ON o_custkey = c_custkey)"
@@ -277,7 +289,7 @@ def spread_sample(spark, d):
 
 
 SPLIT = """u AS (SELECT o_custkey AS patient, count(*) AS n FROM orders GROUP BY 1),
- split AS (SELECT patient, n, CASE WHEN coalesce(sum(n) OVER (ORDER BY md5('0|' || patient), patient ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 0.3 * sum(n) OVER () THEN 'test' ELSE 'train' END AS split FROM u)"""
+ split AS (SELECT patient, n, CASE WHEN coalesce(sum(n) OVER (ORDER BY md5('0|' || patient), patient ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < round_even(0.3 * sum(n) OVER (), 0) THEN 'test' ELSE 'train' END AS split FROM u)"""
 
 
 def _split(spark, d) -> DataFrame:
@@ -435,12 +447,12 @@ def largest_remainder(spark, d):
 @query("SELECT c_mktsegment, c_custkey, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) % 7 AS shard FROM customer")
 def shard_rows(spark, d):
     c = read(spark, d, "customer")
-    return sampling.sharded(c, ["c_mktsegment"], ranks.number_bucket(F.col("c_custkey"), 10_000), ["c_custkey"], 7).select("c_mktsegment", "c_custkey", "shard")
+    return sampling.sharded(c, ["c_mktsegment"], ["c_custkey"], 7).select("c_mktsegment", "c_custkey", "shard")
 
 
 @query("WITH k AS (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS pos, greatest(count(*) OVER (PARTITION BY c_mktsegment) // 50, 1) AS step FROM customer) SELECT c_mktsegment, c_custkey FROM k WHERE pos % step = 0 AND pos // step < 50")
 def systematic_sample(spark, d):
-    return sampling.systematic(read(spark, d, "customer"), ["c_mktsegment"], ranks.number_bucket(F.col("c_custkey"), 10_000), ["c_custkey"], 50).select("c_mktsegment", "c_custkey")
+    return sampling.systematic(read(spark, d, "customer"), ["c_mktsegment"], ["c_custkey"], 50).select("c_mktsegment", "c_custkey")
 
 
 @query("SELECT md5(text) AS content, count(*) AS n, count(DISTINCT source) AS owners, count(DISTINCT source) > 1 AS crosses FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -619,11 +631,19 @@ def chat_export(spark, d):
     return c.select("conv_id", "turn", F.md5(first["value"].cast("binary")).alias("value"), first["from"].alias("who"))
 
 
-@query("SELECT event_id, event_type AS label, CAST(event_id AS VARCHAR) AS rationale FROM events")
+@query(
+    """SELECT event_id, CASE WHEN event_id % 7 IN (5, 6) THEN NULL ELSE event_type END AS label, CASE event_id % 7 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN 'use ```json {here}' WHEN 2 THEN repeat('x', 5000) || '"' WHEN 3 THEN 'a } b' WHEN 4 THEN 'line' || chr(10) || '```'
+ WHEN 5 THEN 'no object, ' || event_type ELSE 'So {"label": "' || event_type || '", "text"' END AS rationale FROM events"""
+)
 def json_fields(spark, d):
-    reply = F.concat(F.lit("Sure:\n```json\n"), replies.target({"label": F.col("event_type"), "text": F.col("event_id").cast("string")}), F.lit("\n``` done"))
+    """Replies in fences, plain ones with fences and braces in strings, long and quoted strings, tails, and what can't be read."""
+    k, label = F.col("event_id") % 7, F.col("event_type")
+    text = F.when(k == 0, F.col("event_id").cast("string")).when(k == 1, "use ```json {here}").when(k == 2, F.concat(F.repeat(F.lit("x"), 5000), F.lit('"'))).when(k == 3, "a } b").otherwise("line\n```")
+    own = replies.target({"label": label, "text": text})
+    fenced, tailed = F.concat(F.lit("Sure:\n```json\n"), own, F.lit("\n``` done {")), F.concat(F.lit('He said "so": '), own, F.lit(' and "more" {}'))
+    reply = F.when(k == 0, fenced).when(k == 5, F.concat(F.lit("no object, "), label)).when(k == 6, F.concat(F.lit('So {"label": "'), label, F.lit('", "text"'))).when(k.isin(1, 4), own).otherwise(tailed)
     e = read(spark, d, "events").select("event_id", reply.alias("reply"))
-    return e.select("event_id", replies.parsed(F.col("reply"), "label string, text string")["label"].alias("label"), replies.field(F.col("reply"), "text").alias("rationale"))
+    return e.select("event_id", replies.parsed(F.col("reply"), {"label": "string", "text": "string"})["label"].alias("label"), replies.field(F.col("reply"), "text").alias("rationale"))
 
 
 @query(

@@ -148,11 +148,13 @@ def legacy_import(spark, d):
 
 
 @query(
-    """WITH old AS (SELECT event_id AS path, '{''' || event_type || ''', ''all''}' AS labels FROM events) SELECT path, contains(labels, '''view''') AS view, contains(labels, '''click''') AS click, contains(labels, '''all''') AS every FROM old WHERE path NOT IN (SELECT o_orderkey FROM orders)"""
+    """WITH old AS (SELECT event_id AS path, '{''' || event_type || ''', ''all''}' AS labels FROM events) SELECT path, contains(labels, '''view''') AS view, contains(labels, '''click''') AS click, contains(labels, '''all''') AS every FROM old WHERE path NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)"""
 )
 def legacy_answers(spark, d):
+    """Answers of an older run, kept as literals of sets, for paths that the new run hasn't."""
     written = F.concat(F.lit("{'"), "event_type", F.lit("', 'all'}"))
-    old = read(spark, d, "events").select(F.col("event_id").alias("path"), L.literal_set(written).alias("labels")).join(read(spark, d, "orders").select(F.col("o_orderkey").alias("path")), "path", "left_anti")
+    new = read(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("path"))
+    old = read(spark, d, "events").select(F.col("event_id").alias("path"), L.literal_set(written).alias("labels")).join(new, "path", "left_anti")
     return L.wide(old, "labels", ["view", "click", "all"]).withColumnRenamed("all", "every")
 
 

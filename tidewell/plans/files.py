@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import labels as L
 from tidewell.functions import names
-from tidewell.operators import judging, ordered
-from tidewell.operators.dedup import new_folder
+from tidewell.operators import judging, ordered, ranks
+from tidewell.sources.folders import new_folder
 from tidewell.plans.catalogue import _stream, query, r6, read
 from tidewell.sources import readers, writers
 from tidewell.streaming import streams
@@ -61,16 +61,18 @@ def failure_log(spark, d):
     return spark.read.parquet(path).where("time is not null").select("event_id", "error")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_outputs(spark, d):
-    return writers.missing(read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return writers.missing(read(spark, d, "documents").select("doc_id"), read(spark, d, "labels"), "doc_id")
 
 
-@query("SELECT count(*) AS rows, 1 AS prints FROM orders")
+@query(
+    """WITH h AS (SELECT o_orderstatus AS status, ('0x' || substr(md5('{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '"}'), 1, 15))::BIGINT AS h FROM orders)
+ SELECT status, count(*) AS rows, md5(CAST(sum(h) AS VARCHAR)) AS md5 FROM h GROUP BY status"""
+)
 def table_fingerprint(spark, d):
-    o = read(spark, d, "orders")
-    both = writers.fingerprint(o, ["o_orderkey", "o_orderstatus"]).unionByName(writers.fingerprint(o.orderBy(F.desc("o_orderkey")), ["o_orderkey", "o_orderstatus"]))
-    return both.agg(F.max("rows").alias("rows"), F.count_distinct("md5").cast("int").alias("prints"))
+    """A digest of the orders of each status, whatever their order and partitions."""
+    return writers.fingerprint(read(spark, d, "orders").repartition(7).withColumn("status", F.col("o_orderstatus")), ["o_orderkey", "o_orderpriority"], ["status"])
 
 
 @query("WITH t AS (SELECT r_regionkey, r_name FROM region) SELECT '| r_regionkey | r_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS \"table\" FROM t")
@@ -78,39 +80,28 @@ def markdown_table(spark, d):
     return judging.markdown(read(spark, d, "region"), ["r_regionkey", "r_name"], ["r_regionkey"])
 
 
-@query("SELECT 'metrics' AS name, count(*) AS rows FROM part UNION ALL SELECT 'predictions', count(*) FROM orders UNION ALL SELECT 'rationales', count(*) FROM labels")
+@query("SELECT 'metrics' AS name, CAST(p_partkey AS VARCHAR) AS key, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT 'predictions', CAST(o_orderkey AS VARCHAR), o_orderstatus FROM orders UNION ALL SELECT 'rationales', CAST(doc_id AS VARCHAR), CAST(quality AS VARCHAR) FROM labels")
 def bundle_export(spark, d):
     path = new_folder(spark)
     tables = {"metrics": ("part", ["p_partkey", "p_size"]), "predictions": ("orders", ["o_orderkey", "o_orderstatus"]), "rationales": ("labels", ["doc_id", "quality"])}
     writers.bundle({n: (read(spark, d, t), fields) for n, (t, fields) in tables.items()}, path)
-    one = lambda n, fields: readers.csv(spark, f"{path}/{n}", f"{fields[0]} bigint, {fields[1]} string").agg(F.lit(n).alias("name"), F.count("*").alias("rows"))
+    one = lambda n, fields: readers.csv(spark, f"{path}/{n}", f"{fields[0]} string, {fields[1]} string").select(F.lit(n).alias("name"), F.col(fields[0]).alias("key"), F.col(fields[1]).alias("value"))
     a, b, c = (one(n, fields) for n, (_, fields) in tables.items())
     return a.unionByName(b).unionByName(c)
 
 
-@query("SELECT DISTINCT 'r' || user_id % 3 AS recording, round(value, 2) AS start_time, unnest(string_split(event_type || '_seiz', '_')) AS label FROM events WHERE event_id % 2 = 0 AND event_type <> 'view' UNION SELECT DISTINCT 'r' || user_id % 3, round(value, 2), 'seiz' FROM events WHERE event_id % 2 = 0")
+@query("SELECT DISTINCT 'r' || user_id % 24 AS recording, round(value, 2) AS start_time, unnest(string_split(event_type || '_seiz', '_')) AS label FROM events WHERE event_type <> 'view' UNION SELECT DISTINCT 'r' || user_id % 24, round(value, 2), 'seiz' FROM events")
 def annotation_files(spark, d):
+    """A file for each of 24 recordings, with a comment and a header."""
     path = new_folder(spark)
-    e = read(spark, d, "events").where("event_id % 2 = 0")
     line = F.concat_ws(",", F.lit("F8"), F.round("value", 2).cast("string"), F.lit("99"), F.concat("event_type", F.lit("_seiz")))
-    for k in range(3):  # a few small files, with a comment and a header each
-        head = spark.createDataFrame([("# made for this query",), ("channel,start_time,stop_time,label",)], "value string").coalesce(1)
-        _one_text(head.unionByName(e.where(F.col("user_id") % 3 == k).select(line.alias("value"))), f"{path}/r{k}_seiz.csv")
-    out = readers.annotations(spark, [f"{path}/r{k}_seiz.csv" for k in range(3)], ["seiz", "click", "purchase", "error", "signup"])
+    rows = read(spark, d, "events").select(F.concat(F.lit("r"), (F.col("user_id") % 24).cast("string"), F.lit("_seiz")).alias("name"), F.col("event_id").alias("at"), line.alias("value"))
+    heads = spark.range(24).select(F.concat(F.lit("r"), F.col("id").cast("string"), F.lit("_seiz")).alias("name"), F.inline(F.array(F.struct(F.lit(-2).alias("at"), F.lit("# made for this query").alias("value")), F.struct(F.lit(-1).alias("at"), F.lit("channel,start_time,stop_time,label").alias("value")))))
+    writers.named_files(rows.unionByName(heads.withColumn("at", F.col("at").cast("long"))), f"{path}/parts", "name", ["at"], "value", f"{path}/files", ".csv")
+    out = readers.annotations(spark, f"{path}/files/*.csv", ["seiz", "click", "purchase", "error", "signup"])
     return out.select("recording", "start_time", "label").distinct()
 
 
-def _one_text(df: DataFrame, path: str) -> None:
-    """A small text file with exactly this name."""
-    spark, folder = df.sparkSession, f"{path}.parts"
-    df.coalesce(1).write.text(folder)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(s.getPath() for s in fs.listStatus(jvm.Path(folder)) if s.getPath().getName().startswith("part-"))
-    if not fs.rename(part, jvm.Path(path)):
-        raise OSError(f"{path} can't be written")
-
-
 @query("SELECT event_id AS start_time, CASE WHEN event_id % 2 = 0 THEN 'spsw' ELSE 'gped' END AS label FROM events WHERE event_id % 3 > 0")
 def coded_files(spark, d):
     path = new_folder(spark)
@@ -120,14 +111,16 @@ def coded_files(spark, d):
     return readers.coded_lines(spark, path, {"1": "spsw", "2": "gped"}).select(F.col("start_time").cast("long").alias("start_time"), "label")
 
 
-@query("SELECT 1 AS files, count(*) AS rows, count(DISTINCT md5(event_type)) AS digests FROM events")
+@query("WITH g AS (SELECT user_id % 16 AS k, string_agg(event_id || ':' || event_type || chr(10), '' ORDER BY event_id) AS t FROM events GROUP BY 1) SELECT 'h' || k AS name, strlen(t) AS length, md5(t) AS md5 FROM g")
 def file_hashes(spark, d):
-    path = new_folder(spark)
-    read(spark, d, "events").select(F.col("event_type").alias("value")).coalesce(1).write.text(path)
-    files, hashes = readers.listing(spark, path, "part-*"), readers.hashes(spark, path, "part-*")
-    same = files.join(hashes, "path").agg(F.count("*").cast("int").alias("files"))
-    e = read(spark, d, "events").agg(F.count("*").alias("rows"), F.count_distinct(F.md5("event_type")).alias("digests"))
-    return same.join(F.broadcast(e), how="cross")  # one row each
+    """Sixteen files, listed and hashed, and a table of their hashes read back."""
+    path, e = new_folder(spark), read(spark, d, "events")
+    lines = e.select(F.concat(F.lit("h"), (F.col("user_id") % 16).cast("string")).alias("name"), "event_id", F.concat_ws(":", F.col("event_id").cast("string"), "event_type").alias("value"))
+    writers.named_files(lines, f"{path}/parts", "name", ["event_id"], "value", f"{path}/files", ".txt")
+    writers.csv(readers.hashes(spark, f"{path}/files", "*.txt"), f"{path}/hashes", ["path", "md5"])
+    known = readers.csv(spark, f"{path}/hashes", "path string, md5 string")
+    name = F.regexp_extract("path", r"([^/]+)\.txt$", 1)
+    return readers.listing(spark, f"{path}/files", "*.txt").join(known, "path").select(name.alias("name"), "length", "md5")
 
 
 @query("SELECT p_partkey AS k, p_size AS a, p_brand AS b FROM part UNION ALL SELECT o_orderkey, NULL, o_orderstatus FROM orders")
@@ -153,13 +146,15 @@ def two_shapes(spark, d):
 
 @query("WITH e AS (SELECT user_id % 7 AS run, event_id AS step, value FROM events) SELECT 'run' || run AS run, max(step) AS step, round(max_by(value, step), 6) AS loss FROM e GROUP BY run")
 def training_states(spark, d):
+    """Each run's last state of its first and last step, in <run>/checkpoint-<step> folders that one job writes."""
     path = new_folder(spark)
-    e = read(spark, d, "events").select((F.col("user_id") % 7).alias("run"), F.col("event_id").alias("step"), "value")
-    few = e.groupBy("run").agg(F.max_by("step", "step").alias("step"), F.max_by("value", "step").alias("loss"), F.min("step").alias("first"))
-    for r in few.collect():  # seven runs, two states each
-        for step, loss in ((r["first"], 0.5), (r["step"], r["loss"])):
-            spark.createDataFrame([(loss,)], "loss double").coalesce(1).write.mode("overwrite").json(f"{path}/run{r['run']}/checkpoint-{step}")
-    out = readers.latest_states(spark, f"{path}/*/*", "loss double")
+    e = read(spark, d, "events").select(F.concat(F.lit("run"), (F.col("user_id") % 7).cast("string")).alias("run"), F.col("event_id").alias("step"), "value")
+    few = e.groupBy("run").agg(F.max("step").alias("step"), F.max_by("value", "step").alias("loss"), F.min("step").alias("first"))
+    states = few.select("run", F.inline(F.array(F.struct(F.col("first").alias("step"), F.lit(0.5).alias("loss")), F.struct("step", "loss"))))
+    lines = states.select(F.concat_ws("-", "run", F.lit("checkpoint"), F.col("step").cast("string")).alias("name"), F.to_json(F.struct("loss")).alias("value"), F.lit(0).alias("at"))
+    folder = lambda n: "/".join(n.split("-", 1)) + "/trainer_state"
+    writers.named_files(lines, f"{path}/parts", "name", ["at"], "value", f"{path}/files", ".json", folder)
+    out = readers.latest_states(spark, f"{path}/files/*/*", "loss double")
     return out.select("run", "step", r6("loss").alias("loss"))
 
 
@@ -170,9 +165,12 @@ def merged_log(spark, d):
     return out.select("step", r6("loss").alias("loss"), r6("score").alias("score"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'explicit'), ('b', 'derived'), ('c', 'explicit')) AS t(model, backend)")
+@query("SELECT coalesce(x.s_name, n.n_name) AS model, CASE WHEN x.s_name IS NULL THEN 'derived' ELSE 'explicit' END AS backend, coalesce(x.s_acctbal, n.n_nationkey) AS hours FROM (SELECT n_name AS s_name, max(s_acctbal) AS s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_nationkey % 3 > 0 GROUP BY 1) x FULL JOIN nation n ON x.s_name = n.n_name")
 def model_registry(spark, d):
-    return readers.registry(spark, {"a": {"backend": "explicit"}, "c": {"backend": "explicit"}}, {"a": {"backend": "derived"}, "b": {"backend": "derived"}}, "model string, backend string")
+    """Models of a configuration and those derived from another; explicit entries win."""
+    nations = read(spark, d, "nation")
+    own = read(spark, d, "supplier").where("s_nationkey % 3 > 0").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("model")).agg(F.lit("explicit").alias("backend"), F.max("s_acctbal").alias("hours"))
+    return readers.registry(own, nations.select(F.col("n_name").alias("model"), F.lit("derived").alias("backend"), F.col("n_nationkey").cast("double").alias("hours")))
 
 
 @query("SELECT DISTINCT source AS class, count(*) OVER (PARTITION BY source) AS files FROM documents")
@@ -207,7 +205,55 @@ def stm_append_once(spark, d):
     for _ in range(2):  # a restart that has lost its checkpoint takes all rows again
         started = _stream(spark, d).select("user_id", "event_type").writeStream.foreachBatch(streams.append_once(path, ["user_id", "event_type"])).option("checkpointLocation", new_folder(spark)).trigger(availableNow=True).start()
         started.awaitTermination()
-    return spark.read.parquet(path)
+    return streams.appended(spark, path)
+
+
+def _parts(spark, d, n: int = 4) -> DataFrame:
+    """The events as a stream of parts in order of their ids, one a trigger."""
+    path, e = new_folder(spark), read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    for r in range(n):  # files are taken in the order of their times
+        part = F.expr(f"(event_id - {low}) * {n} div ({high} - {low} + 1) = {r}")
+        e.where(part).coalesce(1).write.mode("append").parquet(path)
+    return streams.events(spark, path, e.schema, "part-*", 1)
+
+
+OUTCOMES = """o AS (SELECT user_id % 5 AS run, event_id, CASE WHEN value > 15 AND event_id % 11 > 0 THEN 'degenerate' WHEN event_id % 11 = 0 THEN 'error' ELSE 'ok' END AS outcome FROM events),
+ b AS (SELECT *, sum(CASE WHEN outcome = 'degenerate' THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY event_id) AS block FROM o),
+ s AS (SELECT *, CASE WHEN outcome = 'degenerate' THEN count(*) FILTER (outcome = 'degenerate') OVER (PARTITION BY run, block ORDER BY event_id) ELSE 0 END AS streak FROM b),
+ f AS (SELECT run, min(event_id) FILTER (streak >= 3) AS last FROM s GROUP BY run)"""
+
+
+@query(f"WITH {OUTCOMES} SELECT s.run, event_id, outcome, CAST(streak AS INTEGER) AS streak, streak >= 3 AS stopped FROM s JOIN f ON s.run = f.run WHERE last IS NULL OR event_id <= last")
+def stm_breaker(spark, d):
+    """Five runs, each ended by its third degenerate answer in a row; over a restart, too."""
+    e, k = _parts(spark, d), F.col("event_id")
+    outcome = F.when((F.col("value") > 15) & (k % 11 > 0), "degenerate").when(k % 11 == 0, "error").otherwise("ok")
+    tried = streams.breaker(e.select((F.col("user_id") % 5).alias("run"), "event_id", outcome.alias("outcome"), k.alias("at")), "run", "event_id", "outcome", 3, "at")
+    path = new_folder(spark)
+    for _ in range(2):
+        streams.run_until(tried, path, "stopped", 5)
+    return streams.written(spark, path, tried.schema)
+
+
+@query(
+    """WITH p AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // (count(*) OVER () // 8) AS part, value FROM events), c AS (SELECT part, avg(value) AS loss FROM p GROUP BY part), m AS (SELECT *, loss > (SELECT median(loss) FROM c) AS bad FROM c),
+ s AS (SELECT *, coalesce(sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m) SELECT CAST(part AS INTEGER) AS part, bad FROM s WHERE before < 2"""
+)
+def stm_early_stop(spark, d):
+    """Evaluations, one a trigger; the second bad one is the last that is run."""
+    e = read(spark, d, "events").select("event_id", "value")
+    n = e.count()
+    part = ranks.evenly(e, [], ["event_id"]).select(F.expr(f"_at div {n // 8}").cast("int").alias("part"), "value")
+    c = part.groupBy("part").agg(F.avg("value").alias("loss"))
+    middle = c.agg(F.percentile("loss", 0.5).alias("middle"))
+    checks, path = c.join(F.broadcast(middle), how="cross").select("part", (F.col("loss") > F.col("middle")).alias("bad")), new_folder(spark)  # one row
+    for r in range(n // (n // 8) + 1):  # a file a check, in their order
+        checks.where(F.col("part") == r).coalesce(1).write.parquet(f"{path}/in/{r}")
+    stream = spark.readStream.schema(checks.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{path}/in")
+    for _ in range(2):
+        streams.run_until(stream.select("part", "bad"), f"{path}/out", "bad", 2)
+    return streams.written(spark, f"{path}/out", checks.schema)
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT o_custkey FROM orders) GROUP BY 1")
@@ -233,10 +279,11 @@ def stm_progress(spark, d):
     return spark.createDataFrame([(seen.rows, bool(told))], "rows bigint, told boolean")
 
 
-@query("WITH s AS (SELECT event_id AS task, ts AS started FROM events WHERE event_id % 2 = 0), e AS (SELECT event_id - 1 AS task, ts AS ended FROM events WHERE event_id % 4 = 1) SELECT s.task, s.started, e.ended FROM s JOIN e ON s.task = e.task AND ended >= started AND ended <= started + INTERVAL '1 hour'")
+@query("WITH s AS (SELECT event_id AS task, ts AS started FROM events WHERE event_id % 2 = 0), e AS (SELECT event_id - 1 AS task, ts AS ended FROM events WHERE event_id % 4 = 1) SELECT s.task, s.started, e.ended FROM s LEFT JOIN e ON s.task = e.task AND ended >= started AND ended <= started + INTERVAL '1 hour'")
 def stm_open_tasks(spark, d):
+    """Tasks with their end, or without one: those that take longer than an hour, and the last ones of the table, too."""
+    end = read(spark, d, "events").agg((F.max("ts").cast("timestamp") + F.expr("interval 1 day")).alias("t")).first()["t"]
     s = _stream(spark, d).where("event_id % 2 = 0").select(F.col("event_id").alias("task"), F.col("ts").alias("started"))
     e = _stream(spark, d).where("event_id % 4 = 1").select((F.col("event_id") - 1).alias("task"), F.col("ts").alias("ended"))
-    met = streams.open_tasks(s, e, "task", "1 hour", "1 hour").select(F.col("s.task").alias("task"), "started", "ended")
-    # open ones come when the watermark has passed them, which the last ones of a table that ends never see
-    return streams.finished(met, "append").where("ended is not null").select("task", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"))
+    met = streams.open_tasks(streams.with_end(s, "started", end, {"task": -1}), streams.with_end(e, "ended", end, {"task": -2}), "task", "1 hour", "1 hour").select(F.col("s.task").alias("task"), "started", "ended")
+    return streams.finished(met, "append").where("task >= 0").select("task", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"))

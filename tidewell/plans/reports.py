@@ -123,10 +123,12 @@ def plain_names(spark, d):
     return read(spark, d, "documents").select("doc_id", texts.renamed(code, {"de": "German", "fr": "French"}).alias("text"))
 
 
-@query("SELECT event_id, event_id % 5 > 1 AS valid FROM events")
+@query("SELECT event_id, event_id % 7 > 3 AS valid FROM events")
 def valid_answers(spark, d):
-    k = F.col("event_id") % 5
-    reply = F.when(k == 0, 'So: {"label": "a"}').when(k == 1, "no object").otherwise('```json\n{"label": "x {y}", "n": 3, "more": {"a": {"b": 1}}}\n``` ok')
+    k = F.col("event_id") % 7
+    long = F.concat(F.lit('Answer {"label": "'), F.repeat(F.lit("y"), 4000), F.lit(r'\" {", "n": 7} {"n"'))
+    bad = F.when(k == 0, 'So: {"label": "a"}').when(k == 1, "no object").when(k == 2, '["label", "n"]').when(k == 3, '{"label": "a", "n": "many"}')
+    reply = bad.when(k == 4, '```json\n{"label": "x {y}", "n": 3, "more": {"a": {"b": 1}}}\n``` ok').when(k == 5, long).otherwise('{"n": 5, "label": "```"}')
     return read(spark, d, "events").select("event_id", replies.valid(reply, {"label": "string", "n": "int"}).alias("valid"))
 
 

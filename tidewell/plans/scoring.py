@@ -8,43 +8,70 @@ from pyspark.sql import functions as F
 from tidewell.operators import judging, metrics, ranking
 from tidewell.plans.catalogue import AUROC, DISTANCE, KEY, TOP, W, _distances, _patients, query, r6, read, weights_sql, windows
 
+#: Three models' answers to windows, some twice, with labels A, N, R and Q (many); in_set: the first answers of the scope. Binary sets know A and N alone.
 AGAIN = """e AS (SELECT 'm' || (supp % 3) AS model, recording || '/' || line || '/' || part || '/' || supp AS path, recording, patient, quantity, pred, truth, score FROM w),
- p AS (SELECT path, any_value(recording) AS recording, any_value(patient) AS patient, string_agg(DISTINCT truth, '+' ORDER BY truth) AS truth FROM e GROUP BY path),
- s AS (SELECT model, path, pred FROM e QUALIFY row_number() OVER (PARTITION BY model, path ORDER BY quantity, pred, truth, score) = 1),
- v AS (SELECT model, path, pred, truth, recording, patient FROM s JOIN p USING (path)),
- k AS (SELECT v.*, c.class, contains(truth, c.class) AS t, pred = c.class AS q FROM v, (VALUES ('A'), ('N'), ('R')) AS c(class)),
- rk AS (SELECT model, recording, class, bool_or(t) AS t, bool_or(q) AS q FROM k GROUP BY ALL)"""
+ p AS (SELECT path, any_value(recording) AS recording, any_value(patient) AS patient, string_agg(DISTINCT truth, '' ORDER BY truth) || CASE WHEN max(quantity) > 48 THEN 'Q' ELSE '' END AS truth FROM e GROUP BY path),
+ s AS (SELECT model, path, pred, quantity, score, e.truth AS own FROM e QUALIFY row_number() OVER (PARTITION BY model, path ORDER BY quantity, pred, truth, score, path) = 1),
+ v AS (SELECT model, path, (quantity, pred, own, score, path) AS ord, CASE WHEN score = 0.1 THEN '' ELSE pred || CASE WHEN quantity > 45 THEN 'Q' ELSE '' END END AS pred, truth, recording, patient FROM s JOIN p USING (path))"""
 
 
-def _rates(name: str, src: str) -> str:
+def _levels(classes: str, binary: bool) -> str:
+    """k: a row for each class of each window; r: of each recording; b and m by level, model and class, with in_macro."""
+    # votes: of each recording the class that most windows answer, of equally many the one answered first
+    won = "CASE WHEN votes = 0 THEN FALSE ELSE row_number() OVER (PARTITION BY model, recording ORDER BY votes DESC, first) = 1 END" if binary else "votes > 0"
     n = lambda a, b: f"count(*) FILTER ({a} AND {b})"
-    return f"""{name} AS (SELECT model, round(coalesce(avg(f1) FILTER (support >= 20), 0), 6) AS macro_f1, round(coalesce(avg((recall + specificity) / 2) FILTER (support >= 20), 0), 6) AS balanced_accuracy, count(*) FILTER (support >= 20) AS classes FROM
- (SELECT model, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) AS f1, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall, coalesce(tn / nullif(tn + fp, 0), 0.0) AS specificity, tp + fn AS support FROM
- (SELECT model, class, {n('t', 'q')} AS tp, {n('NOT t', 'q')} AS fp, {n('t', 'NOT q')} AS fn, {n('NOT t', 'NOT q')} AS tn FROM {src} GROUP BY ALL)) GROUP BY model)"""
+    return f"""c(class) AS (VALUES {", ".join(f"('{c}')" for c in classes)}), k AS (SELECT model, recording, ord, class, contains(truth, class) AS t, contains(pred, class) AS q FROM v, c),
+ x AS (SELECT model, recording, class, bool_or(t) AS t, count(*) FILTER (q) AS votes, min(ord) FILTER (q) AS first FROM k GROUP BY ALL), r AS (SELECT model, recording, class, t, {won} AS q FROM x),
+ b AS (SELECT model, level, class, {n('t', 'q')} AS tp, {n('NOT t', 'q')} AS fp, {n('t', 'NOT q')} AS fn, {n('NOT t', 'NOT q')} AS tn FROM (SELECT model, 'window' AS level, class, t, q FROM k UNION ALL SELECT model, 'recording', class, t, q FROM r) GROUP BY ALL),
+ m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall, coalesce(tn / nullif(tn + fp, 0), 0.0) AS specificity, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) AS f1, tp + fn AS support,
+ tp + fn >= 20 AND NOT (level = 'recording' AND class = 'N') AS in_macro, (tp + fn) / (tp + fp + fn + tn) AS share FROM b)"""
+
+
+def _report(classes: str, binary: bool) -> str:
+    best = "max(2 * share / (1 + share)) FILTER (in_macro AND level = 'recording') / nullif(count(*) FILTER (in_macro AND level = 'recording'), 0)" if binary else "avg(2 * share / (1 + share)) FILTER (in_macro AND level = 'recording')"
+    mean = lambda x, level: f"round(coalesce(avg({x}) FILTER (in_macro AND level = '{level}'), 0), 6) AS {level}_{'macro_f1' if x == 'f1' else 'balanced_accuracy'}"
+    ba = "(recall + specificity) / 2"
+    kept = "count(*) FILTER (in_macro AND level = 'recording')"
+    return f"""WITH {W}, {AGAIN}, {_levels(classes, binary)}, g AS (SELECT model, round(coalesce({best}, 0), 6) AS baseline_macro_f1, {mean('f1', 'window')}, {mean(ba, 'window')}, {mean('f1', 'recording')}, {mean(ba, 'recording')}, CAST({kept} AS INTEGER) AS scored_classes, CAST({len(classes)} - {kept} AS INTEGER) AS low_support_classes FROM m GROUP BY model),
+ n AS (SELECT model, count(*) AS windows, count(DISTINCT recording) AS recordings, count(DISTINCT patient) AS patients FROM v GROUP BY model),
+ a AS (SELECT model, CASE WHEN pred = '' THEN '(nothing)' ELSE array_to_string(string_split(pred, ''), ', ') END AS answer, count(*) AS n, min(ord) AS first FROM v GROUP BY ALL),
+ t AS (SELECT model, count(*) AS distinct_answers, first(answer ORDER BY n DESC, first) AS top_answer, round(max(n) / sum(n), 6) AS top_answer_fraction, max(n) / sum(n) >= 0.95 AS degenerate FROM a GROUP BY model)
+ SELECT *, round(windows / (SELECT count(*) FROM p), 4) AS coverage, patients < 20 AS few_patients FROM n JOIN g USING (model) JOIN t USING (model)"""
 
 
 def _evaluated(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """answers, truth and scope of three models that answered some windows each, some twice."""
+    """answers, truth and scope of three models that answered some windows each, some twice; some answers are empty, some have two labels."""
     w = windows(spark, d).withColumn("path", F.concat_ws("/", *(F.col(k).cast("string") for k in KEY)))
-    answers = w.select(F.concat(F.lit("m"), (F.col("supp") % 3).cast("string")).alias("model"), "path", F.struct("quantity", "pred", "truth", "score").alias("ord"), F.array("pred").alias("pred"))
-    one = w.groupBy("path").agg(F.first("recording").alias("recording"), F.first("patient").alias("patient"), F.array_sort(F.collect_set("truth")).alias("truth"))
+    q = lambda c, n: F.when(c > n, F.array(F.lit("Q"))).otherwise(F.array().cast("array<string>"))
+    pred = F.when(F.col("score") == 0.1, F.array().cast("array<string>")).otherwise(F.concat(F.array("pred"), q(F.col("quantity"), 45)))
+    answers = w.select(F.concat(F.lit("m"), (F.col("supp") % 3).cast("string")).alias("model"), "path", F.struct("quantity", F.col("pred").alias("p"), "truth", "score", "path").alias("ord"), pred.alias("pred"))
+    one = w.groupBy("path").agg(F.first("recording").alias("recording"), F.first("patient").alias("patient"), F.concat(F.array_sort(F.collect_set("truth")), q(F.max("quantity"), 48)).alias("truth"))
     return answers, one.select("path", "truth"), one.select("path", "recording", "patient")
 
 
-@query(
-    f"""WITH {W}, {AGAIN}, {_rates('rw', 'k')}, {_rates('rr', 'rk')}, f AS (SELECT model, round(max(2 * s / (1 + s)) / count(*), 6) AS floor FROM (SELECT model, class, avg(CASE WHEN t THEN 1.0 ELSE 0.0 END) AS s FROM rk GROUP BY ALL) GROUP BY model),
- n AS (SELECT model, count(*) AS windows, count(DISTINCT recording) AS recordings, count(DISTINCT patient) AS patients FROM v GROUP BY model)
- SELECT model, windows, recordings, patients, rw.macro_f1 AS window_macro_f1, rw.balanced_accuracy AS window_balanced_accuracy, rw.classes AS window_classes, rr.macro_f1 AS recording_macro_f1, rr.balanced_accuracy AS recording_balanced_accuracy, rr.classes AS recording_classes,
- floor, round(windows / (SELECT count(*) FROM p), 4) AS coverage, patients < 20 AS few_patients FROM n JOIN rw USING (model) JOIN rr USING (model) JOIN f USING (model)"""
-)
-def evaluate_rows(spark, d):
-    out = metrics.evaluate(*_evaluated(spark, d), list("ANR")).drop("distinct_answers", "top_answer", "top_answer_fraction", "degenerate")
+def _rounded(out: DataFrame) -> DataFrame:
     return out.select(*(r6(c).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes))
 
 
+@query(_report("ANRQ", False))
+def evaluate_rows(spark, d):
+    return _rounded(metrics.evaluate(*_evaluated(spark, d), list("ANRQ"), excluded=["N"]))
+
+
+@query(_report("AR", True))
+def evaluate_binary(spark, d):
+    """A set whose recordings are voted on: one of two classes, or none."""
+    return _rounded(metrics.evaluate(*_evaluated(spark, d), list("AR"), binary=True, excluded=["N"]))
+
+
+@query(f"WITH {W}, {AGAIN}, {_levels('ANRQ', False)} SELECT model, level, class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support, in_macro FROM m")
+def evaluate_classes(spark, d):
+    return _rounded(metrics.class_figures(metrics.by_recording(metrics.first_answers(*_evaluated(spark, d)), list("ANRQ")), list("ANRQ"), ["N"]))
+
+
 @query()
 def evaluate_intervals(spark, d):
-    return metrics.recording_interval(*_evaluated(spark, d), list("ANR"))
+    return metrics.evaluate(*_evaluated(spark, d), list("ANRQ"), excluded=["N"], iterations=1000)
 
 
 @query(

@@ -108,11 +108,9 @@ def union_by_schema(spark: SparkSession, paths: list[str], needed: list[str]) ->
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
 
-def registry(spark: SparkSession, models: dict[str, dict], derived: dict[str, dict], schema: str) -> DataFrame:
-    """Entries of a configuration as rows; explicit ones win over derived ones of the same name."""
-    rows = [{"model": n, **v} for n, v in {**derived, **models}.items()]
-    fields = [f.name for f in spark.createDataFrame([], schema).schema]
-    return spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], schema)
+def registry(models: DataFrame, derived: DataFrame, key: str = "model") -> DataFrame:
+    """Entries of a configuration and derived ones; explicit ones win over derived ones of the same name."""
+    return models.unionByName(derived.join(models.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
 def table_or_empty(spark: SparkSession, name: str, schema: str) -> DataFrame:

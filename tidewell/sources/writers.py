@@ -72,10 +72,24 @@ def missing(todo: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return todo.join(existing.select(key), key, "left_anti")
 
 
-def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """rows and md5: one digest of a table, whatever the order of its rows: the sum of its rows' hashes, in decimal."""
+def fingerprint(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """rows and md5 of a table or of each of its groups, whatever the order of rows: a digest of the sum of the rows' hashes, in decimal."""
     row = F.conv(F.substring(F.md5(F.to_json(F.struct(*columns)).cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("rows"), F.md5(F.coalesce(F.sum(row), F.lit(0)).cast("string").cast("binary")).alias("md5"))
+    return df.groupBy(*(by or [])).agg(F.count("*").alias("rows"), F.md5(F.coalesce(F.sum(row), F.lit(0)).cast("string").cast("binary")).alias("md5"))
+
+
+def named_files(df: DataFrame, parts: str, name: str, order: list[str], line: str, to: str, ending: str, place=None) -> None:
+    """A text file for each name, its lines in order: <to>/<place(name)><ending>. Tasks write below `parts`, a file a name, then each is renamed; names are few, a file is what one task can write."""
+    df.select(name, *order, F.col(line).alias("_line")).repartition(name).sortWithinPartitions(name, *order).select(F.col(name).alias("_name"), "_line").write.partitionBy("_name").text(parts)
+    spark = df.sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(jvm.Path(f"{parts}/_name=*/part-*")):
+        own = found.getPath().getParent().getName().split("=", 1)[1]
+        there = jvm.Path(f"{to}/{place(own) if place else own}{ending}")
+        fs.mkdirs(there.getParent())
+        if not fs.rename(found.getPath(), there):
+            raise OSError(f"{there} can't be written")
 
 
 def bundle(frames: dict[str, tuple[DataFrame, list[str]]], path: str) -> None:
