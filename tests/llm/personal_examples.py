@@ -5,7 +5,6 @@ EXAMPLES = [
     "Contact: [[email:j.smith [at] example [dot] com]], office hours on request.",
     "For the slides write to [[email:marie-curie @ sorbonne.fr]] please.",
     "Bitte an [[email:info(at)verein-nord.de]] senden, danke.",
-    "My address is [[email:tom_waits at-sign free]] no longer.".replace("[[email:tom_waits at-sign free]]", "gone"),
     "Send the form to [[email:help (at) city-library.org]] or bring it by.",
     "Escribe a [[email:juan.perez[at]correo.es]] si tienes dudas.",
     "the maintainer ([[email:dev@ lists.kernel.net]]) replied twice",
@@ -32,10 +31,81 @@ EXAMPLES = [
     "Reach the front desk on [[phone:(0)20-7946-0123]].",
     "Telefon [[phone:089-32168-100]] oder per Post.",
 ]
+#: Written after EXAMPLES had been scored and before the generator was changed again; scored as they are.
+HELD_OUT = [
+    "Drop a line to [[email:sara.lindqvist (at) uppsala.se]] if you want the dataset.",
+    "write me: [[email:olek [at] warsztat [dot] org]]",
+    "You may ask [[email:peter.pan at neverland dot org]] about the rights.",
+    "Questions go to [[email:press at theatre dot co dot uk]] before noon.",
+    "Mon adresse est [[email:luc.moreau(at)laposte.net]] depuis mai.",
+    "Kontakt: [[email:buero @ kanzlei-roth.de]], Montag bis Freitag",
+    "mande su cv a [[email:rrhh (AT) textil (DOT) es]] hoy mismo",
+    "old mail [[email:m_ito @ kyoto.ac]] bounces",
+    "or simply [[email:hello at smallshop dot io]], we answer fast",
+    "cc [[email:j-p.durand [AT] mairie.fr]] on the thread",
+    "The gateway sits at [[ip:172 . 16 . 254 . 3]] in rack two.",
+    "Die Kamera hat [[ip:192. 168. 178. 21]] bekommen.",
+    "node [[ip:10 .20 .30 .40]] dropped packets again",
+    "our new prefix is [[ip:2a02:908:1c3:b2a0:4d5e:9f1:77:1c2d]] since Monday",
+    "mirror reachable through [[ip:2001:db8:0:1:0:0:0:42]] as well",
+    "blocked [[ip:203 . 0 . 113 . 99]] after ten attempts",
+    "resolver [[ip:1. 1. 1. 1]] seems slow today",
+    "route via [[ip:fd00:aa:bb:cc:dd:ee:ff:1]] please",
+    "el servidor [[ip:100 . 64 . 7 . 250]] no responde",
+    "peer [[ip:fe80:0:0:0:200:5aff:fe00:1]] timed out",
+    "Charge it to [[card:4012.8888.8888.1881]] as before.",
+    "card no. [[card:5555/5555/5555/4444]] expired in June",
+    "Meine Karte [[card:4222.2222.2222.2220]] ist gesperrt.",
+    "they stored [[card:6011.0009.9013.9424]] in plain text!",
+    "pago con [[card:3530/1113/3330/0000]] sin problema",
+    "the receipt shows [[card:5105/1051/0510/5100]] in full",
+    "token for [[card:3566.0020.2036.0505]] was revoked",
+    "he read out [[card:4917/6100/0000/0000]] on the phone",
+    "Praxis Dr. Weber, [[phone:(030) 23125 447]], nur vormittags",
+    "ring the workshop: [[phone:01632 960 583]]",
+    "the clinic's line is [[phone:(0161) 496-0712]] all week",
+    "Standard: [[phone:04 91 55 12 34]], poste 12",
+    "mi movil es [[phone:612 34 56 78]] por la tarde",
+    "Zentrale [[phone:0711/685-0-2210]] verlangen",
+    "hotline [[phone:1-800-555-0199]] is free",
+    "from abroad dial [[phone:0033 4 78 00 12 35]]",
+    "Buero: [[phone:0221 / 470 4000]] oder Fax",
+    "text me on [[phone:(917) 555 0143]] instead",
+    "llama al [[phone:93.402.11.00]] y pregunta por Nuria",
+    "reception [[phone:0131-496-0777]], ask for Moira",
+]
+#: Written after the generator's last change; scored once, as they are.
+FRESH = [
+    "Reviews to [[email:olga.petrov (at) nauka.ru]], thanks.",
+    "for access ask [[email:admin at fishbase dot org]] nicely",
+    "[[email:w.brandt [at] museum-kassel [dot] de]] knows the archive",
+    "La secretaria: [[email:matricula(at)colegio.es]], de nueve a una",
+    "send bugs @ [[email:core @ tinylib.io]] with a trace",
+    "my work mail, [[email:nadia_b (AT) clinic (DOT) ca]], is fine too",
+    "signed, [[email:the.editor at gazette dot co dot nz]]",
+    "Probe [[ip:192 . 0 . 2 . 146]] went silent.",
+    "switch to [[ip:10. 99. 4. 1]] after midnight",
+    "AAAA record [[ip:2606:4700:20:0:0:0:681a:bd9]] added",
+    "Le NAS est sur [[ip:192 .168 .0 .12]] maintenant.",
+    "banned [[ip:198 . 51 . 100 . 7]] for a week",
+    "tunnel end [[ip:2001:470:1f0b:12:0:0:0:2]] is up",
+    "billed to [[card:4539.1488.0343.6467]] in March",
+    "carte [[card:5425/2334/3010/9903]] acceptée",
+    "use test card [[card:4263.9826.4026.9299]] here",
+    "saved [[card:6759/6498/2643/8453]] by mistake",
+    "Werkstatt: [[phone:0421 / 336 7710]], bis 17 Uhr",
+    "Our number is [[phone:(01865) 722 130]] on weekdays.",
+    "Cabinet: [[phone:02 40 99 12 77]], sonnez deux fois",
+    "office [[phone:650-253-0000]], ext. four",
+    "tel [[phone:0043 1 58858 0]] for tickets",
+    "contacto [[phone:954 22 10 98]] en Sevilla",
+    "front desk [[phone:(312) 467.1800]] all night",
+]
 #: Sentences with numbers and names that are none.
 CLEAN = [
     "The order 2024-118-7 came to 1,204.50 dollars on 12.03.2021.", "Section 4.2.1.3 of version 10.2.8 lists 17 items.", "Chapter 12: 34 pages, 5.6 MB, 78 %.", "ISBN 978-3-16-148410-0 is out of print.",
     "We met at 10:45 and left at 11:30 on 2019-05-04.", "See commit 9f8e7d6c5b4a39281706 and issue #4821.", "@nina wrote that the ratio is 16:9 at 30 fps.", "Room 204, floor 3, building 17, 1998 to 2003.",
+    "We met at the red dot on the map, at noon.", "Look at line 20 dot 4 of the log, not at 21.",
     "It scored 3.14159 and then 2.71828 in 100 rounds.", "The range 1000-2000 holds 12 of 45,678,901 rows.",
 ]
 

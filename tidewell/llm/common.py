@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import uuid
+from bisect import bisect_left, bisect_right
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.sources.folders import new_folder, saved
+
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -34,6 +36,26 @@ def decoded(data: bytes | None) -> str:
     return "" if data is None else data.decode("utf-8", "replace")
 
 
+class Taken:
+    """Half-open spans that are taken, joined where they overlap; asking is a binary search."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in spans:
+            self.add(a, b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.ends[k - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        low, high = bisect_right(self.ends, a), bisect_left(self.starts, b)
+        if low < high:
+            a, b = min(a, self.starts[low]), max(b, self.ends[high - 1])
+        self.starts[low:high], self.ends[low:high] = [a], [b]
+
+
 def chunks(sizes, most: int):
     """Ranges [a, b) of consecutive items whose sizes sum to at most `most`, one item at least."""
     sizes = list(sizes)
@@ -65,13 +87,8 @@ def slices(batch, column: int, most: int = 4 << 20):
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """df written to a Parquet folder below spark.checkpoint.dir and read again: lineage is cut and any executor may be lost.
-
-    The folder's owner removes what is old; without that setting (tests) a folder below the warehouse is used, which is as shared as the tables are.
-    """
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df written to a Parquet folder below spark.checkpoint.dir and read again: lineage is cut and any executor may be lost."""
+    return saved(df, name)
 
 
 def bucketed(df: DataFrame, key: list[str], name: str, dealt: bool = False) -> DataFrame:
@@ -81,7 +98,7 @@ def bucketed(df: DataFrame, key: list[str], name: str, dealt: bool = False) -> D
     once; the DataFrame keeps its files and buckets.
     """
     spark = df.sparkSession
-    table, n = f"tidewell_{uuid.uuid4().hex}", min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))  # Spark has no more buckets than that
+    table, n = f"tidewell_{uuid4().hex}", min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))  # Spark has no more buckets than that
     df = df if dealt else df.repartition(n, *key)
     df.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(n, *key).saveAsTable(table)
     out = spark.table(table)
@@ -111,12 +128,5 @@ def looked_up(rows: DataFrame, table: DataFrame, key: list[str], n: str, total:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new folder's path below spark.checkpoint.dir; without that setting (tests) below the warehouse."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/tidewell-{re.sub(r'[^a-z0-9]+', '-', name.lower())}-{uuid.uuid4().hex}"
-
-
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return found.get() if found.isDefined() else None
+    """A new folder's path below spark.checkpoint.dir."""
+    return new_folder(spark, name)

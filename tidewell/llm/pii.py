@@ -1,7 +1,7 @@
 """Personal data: spans by fixed patterns, and further ones by a character-level bidirectional LSTM with a CRF.
 
-The patterns come first and stay. The model reads overlapping windows; every span that it may add has a digit, an at sign or eight
-hexadecimal groups, so it is found from windows with one and, where its labels go on at a window's edge, their neighbours. Spans that
+The patterns come first and stay. The model reads overlapping windows; every span that it may add has a digit, an at sign in some form or
+eight hexadecimal groups, so it is found from windows with one and, where its labels go on at a window's edge, their neighbours. Spans that
 end at a window's edge are left to the neighbour that sees them whole; longer ones come from the windows' label paths joined, each
 window giving the middle that it sees best. The spans of a text are then reconciled: joined ones and the best score first, none that
 overlaps a better one or a pattern's match, each with the digits that its kind needs.
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import decoded, documents, slices
+from tidewell.llm.common import Taken, decoded, documents, slices
 from tidewell.llm.tagger import KINDS, WINDOW, codes, trained
 
 STEP = WINDOW // 2
@@ -32,8 +32,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 #: What each span that sensible() accepts holds.
-SIGN = re.compile(r"[0-9@]|\(at\)|\[at\]|[0-9a-f](?=[0-9a-f]{0,3}(?:\s*[.:]\s*[0-9a-f]{1,4}){7})", re.I)
-AT = re.compile(r"@|\(at\)|\[at\]", re.I)
+SIGN = re.compile(r"[0-9@]|\(at\)|\[at\]|\sat\s+\S+\s+dot\s|[0-9a-f](?=[0-9a-f]{0,3}(?:\s*[.:]\s*[0-9a-f]{1,4}){7})", re.I)
+AT = re.compile(r"@|\(at\)|\[at\]|\sat\s+\S+\s+dot\s", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -156,13 +156,13 @@ def more(model, texts: list[str], base: list[list]) -> list[list[tuple[int, int,
         n = len(texts[k])
         own = [s for a, (y, margin) in paths.items() if y is not NOTHING[0] for s in found(y, margin, a, n)]
         own += [s for a, y, margin in joins(paths if any(y is not NOTHING[0] for y, _ in paths.values()) else {}) for s in found(y[: n - a], margin[: n - a], a, n, joined=True)]
-        taken = [(a, b) for a, _, b in base[k]]
+        taken = Taken((a, b) for a, _, b in base[k])
         best: dict = {}
         for a, kind, b, score in own:
             best[a, kind, b] = max(score, best.get((a, kind, b), -1e9))
         for (a, kind, b), score in sorted(best.items(), key=lambda s: (s[0][2] - s[0][0] <= LONGEST, -s[1], s[0])):
-            if score >= LEAST_SCORE and sensible(kind, texts[k][a:b]) and not any(x < b and a < y for x, y in taken):
-                taken.append((a, b))
+            if score >= LEAST_SCORE and sensible(kind, texts[k][a:b]) and not taken.meets(a, b):
+                taken.add(a, b)
                 out[k].append((a, kind, b))
     return out
 

@@ -29,29 +29,39 @@ def luhn(digits: str) -> str:
 
 def sample(draw: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     """A window of invented prose with labelled spans, and with numbers and names that are none."""
-    letters = "etaoinshrdlucmfwygpbvk"
+    letters = "etaoinshrdlucmfwygpbvketaoinsjqxz"
     word = lambda: "".join(draw.choice(letters) for _ in range(draw.randint(1, 9)))
     digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
 
     def email():
-        name = draw.choice([word(), f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}_{word()}", f"{word()}-{word()}", f"{draw.choice(letters)}.{word()}"])
-        at = draw.choice(["@"] * 3 + [" @ ", "@ ", "(at)", " (at) ", "[at]", " [at] ", " (AT) ", "[AT]"])
-        dot = draw.choice([".", ".", " . ", "(dot)", " (dot) ", " [dot] ", " (DOT) "]) if at != "@" else "."
+        name = draw.choice([word(), f"{word()}.{word()}", f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}_{word()}", f"{word()}-{word()}", f"{draw.choice(letters)}.{word()}"])
+        at = draw.choice(["@"] * 3 + [" @ ", "@ ", "(at)", " (at) ", " (at) ", "[at]", " [at] ", " (AT) ", "[AT]", " at ", " at "])
+        dot = " dot " if at == " at " else draw.choice([".", ".", " . ", "(dot)", " (dot) ", " [dot] ", " (DOT) "]) if at != "@" else "."
         host = draw.choice([word(), word(), f"{word()}-{word()}"])
-        return name + at + dot.join([host, *([word()] if draw.random() < 0.3 else []), draw.choice(["com", "org", "net", "de", "fr", "es", "io", "edu", "co"])])
+        return name + at + dot.join([host, *([draw.choice(["co", "ac", word()])] if draw.random() < 0.3 else []), draw.choice(["com", "org", "net", "de", "fr", "es", "io", "edu", "co", "uk", "se", "it"])])
 
     def ip():
         if draw.random() < 0.3:
-            size = draw.choice([draw.randint(1, 4), 4, None])
+            size = draw.choice([draw.randint(1, 4), 4, None, None])
             return ":".join("".join(draw.choice("0123456789abcdef") for _ in range(size or draw.randint(1, 4))) for _ in range(8))
-        return draw.choice([".", ".", " . ", " .", ". "]).join(str(draw.randint(0, 255)) for _ in range(4))
+        part = lambda: str(draw.choice([draw.randint(0, 9), draw.randint(10, 99), draw.randint(100, 255)]))
+        return draw.choice([".", " . ", " . ", " .", ". "]).join(part() for _ in range(4))
 
     def card():
         body = draw.choice("3456") + digits(14)
         body += luhn(body)
         return draw.choice(["", " ", "-", ".", "/"]).join(body[k : k + 4] for k in range(0, 16, 4))
 
+    def grouped():
+        """A code, in brackets or not, and two to five groups of digits."""
+        code = draw.choice([f"({draw.choice(['0', ''])}{digits(draw.randint(2, 4))})", f"0{digits(draw.randint(1, 4))}", f"00{digits(2)}", f"{digits(draw.randint(2, 3))}", f"+{digits(draw.randint(1, 2))}"])
+        between = draw.choice([" ", " ", "-", ".", " "])
+        out = code + draw.choice([" ", between, "/", " / ", "-"]) + between.join(digits(draw.randint(2, 5)) for _ in range(draw.randint(1, 5)))
+        return out if 9 <= sum(c.isdigit() for c in out) <= 13 else grouped()
+
     def phone():
+        if draw.random() < 0.5:
+            return grouped()
         area, a, b = digits(3), digits(3), digits(4)
         town = f"0{digits(draw.randint(2, 4))}"
         return draw.choice([f"{town}/{digits(draw.randint(5, 7))}", f"{town}-{digits(draw.randint(4, 6))}-{digits(2)}", f"{town} {a} {b}", f"{area}.{a}.{digits(3)}", f"(0){digits(2)}-{digits(4)}-{digits(4)}", f"{town} / {a} {digits(3)}", f"+1 ({area}) {a}-{b}", f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"+{digits(2)} {digits(3)} {digits(3)} {digits(3)}", f"{area}.{a}.{b}", f"+{digits(11)}", f"00{digits(2)} {digits(3)} {digits(6)}", f"0{digits(2)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}"])
@@ -62,7 +72,7 @@ def sample(draw: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
                 lambda: str(draw.randint(1900, 2030)), lambda: f"{draw.randint(1, 28)}.{draw.randint(1, 12)}.{draw.randint(1990, 2025)}", lambda: f"2{digits(3)}-0{draw.randint(1, 9)}-1{digits(1)}",
                 lambda: f"${digits(draw.randint(1, 4))}.{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: "".join(draw.choice("0123456789abcdef") for _ in range(draw.choice([8, 16, 32, 40]))),
                 lambda: digits(draw.choice([1, 2, 3, 4, 5, 6, 8])), lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(1)}.{digits(2)}%", lambda: f"@{word()}", lambda: f"CC BY-NC 4.{digits(1)}",
-                lambda: f"{digits(3)},{digits(3)},{digits(3)}", lambda: f"#{digits(7)}", lambda: f"ISBN {digits(3)}-{digits(1)}-{digits(5)}-{digits(3)}-{digits(1)}",
+                lambda: f"{digits(3)},{digits(3)},{digits(3)}", lambda: f"{word()} at {word()} {word()}", lambda: f"at {word()}", lambda: f"{word()} dot {word()}", lambda: f"#{digits(7)}", lambda: f"ISBN {digits(3)}-{digits(1)}-{digits(5)}-{digits(3)}-{digits(1)}",
             ]
         )()
 
@@ -104,7 +114,7 @@ def sigmoid(x):
 
 
 class Tagger:
-    def __init__(self, embed: int = 16, hidden: int = 24, seed: int = 1):
+    def __init__(self, embed: int = 16, hidden: int = 28, seed: int = 1):
         draw = np.random.default_rng(seed)
         near = lambda *shape: draw.normal(0, shape[0] ** -0.5, shape)
         self.p = {"e": draw.normal(0, 0.3, (CODES, embed)), "o": near(2 * hidden, LABELS), "ob": np.zeros(LABELS), "t": np.zeros((LABELS, LABELS)), "s": np.zeros(LABELS)}
@@ -229,7 +239,7 @@ class Tagger:
 
 
 @lru_cache(2)
-def trained(samples: int = 3600, seed: int = 7) -> Tagger:
+def trained(samples: int = 5400, seed: int = 7) -> Tagger:
     """The model of this many labelled windows; the same each time."""
     out = Tagger()
     out.fit(*labelled(samples, seed))
