@@ -34,14 +34,6 @@ def gate(report: DataFrame, what: str) -> None:
         raise LeakageError(f"{what}: " + "; ".join(str(r.asDict()) for r in rows))
 
 
-def published(datasets: dict[str, tuple[DataFrame, DataFrame]], write) -> None:
-    """All or nothing: every dataset's report must be empty before the first is written. datasets: name -> (rows, report)."""
-    for name, (_, report) in datasets.items():
-        gate(report, name)
-    for name, (rows, _) in datasets.items():
-        write(name, rows)
-
-
 def contained(texts: DataFrame, needles: DataFrame, size: int = 8) -> DataFrame:
     """(doc, item) whose text holds the item's words as a whole run: an equi-join on a hash of the item's first `size` words, then the check.
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import labels as L
 from tidewell.functions import names
 from tidewell.operators import judging, ordered, ranks
+from tidewell.operators.stored import Stored
 from tidewell.sources.folders import new_folder
 from tidewell.plans.catalogue import _stream, query, r6, read
-from tidewell.sources import readers, writers
+from tidewell.sources import publish, readers, writers
+from tidewell.sources import recordings as edf
 from tidewell.streaming import streams
 
 
@@ -287,3 +291,45 @@ def stm_open_tasks(spark, d):
     e = _stream(spark, d).where("event_id % 4 = 1").select((F.col("event_id") - 1).alias("task"), F.col("ts").alias("ended"))
     met = streams.open_tasks(streams.with_end(s, "started", end, {"task": -1}), streams.with_end(e, "ended", end, {"task": -2}), "task", "1 hour", "1 hour").select(F.col("s.task").alias("task"), "started", "ended")
     return streams.finished(met, "append").where("task >= 0").select("task", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"))
+
+
+@query("SELECT label AS recording, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS record, round(list_sum(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE))), 3) AS total FROM embeddings QUALIFY record BETWEEN 20 AND 29")
+def recordings(spark, d):
+    """A recording for each label, a second for each vector; ten seconds of each are read back."""
+    spark.dataSource.register(edf.Recordings)
+    path = new_folder(spark)
+    e = read(spark, d, "embeddings").select(F.concat(F.lit("r"), F.col("label").cast("string")).alias("recording"), ordered.ordinal(["label"], ["vec_id"]).cast("long").alias("record"), F.transform("embedding", lambda x: F.floor(1024 * x.cast("double")).cast("double")).alias("samples"))
+    e.repartition("recording").sortWithinPartitions("recording", "record").write.format("recordings").mode("append").save(path)
+    back = spark.read.format("recordings").option("start", 20).option("stop", 30).load(path)
+    return back.select(F.regexp_extract("path", r"r(\d+)\.edf$", 1).cast("int").alias("recording"), "record", F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
+CHANGES = """o AS (SELECT o_orderkey AS path, o_custkey % 7 AS model, o_orderstatus AS status, round(o_totalprice, 2) AS price FROM orders)"""
+
+
+@query(f"WITH {CHANGES} SELECT path, CAST(model AS INTEGER) AS model, CASE WHEN path % 5 = 0 THEN 'new' ELSE status END AS status, price, path % 5 = 0 AS judged FROM o WHERE path % 3 > 0 AND model <> 2")
+def stored_state(spark, d):
+    """A table after three changes: all rows; a third of the paths gone; a model closed, a column more and some rows updated."""
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_custkey") % 7).cast("int").alias("model"), F.col("o_orderstatus").alias("status"), F.round("o_totalprice", 2).alias("price"))
+    table = Stored(spark, new_folder(spark), ["path", "model"], 16)
+    table.follow(o)
+    table.follow(o.where("path % 3 > 0"))
+    fifth = F.col("path") % 5 == 0
+    table.follow(o.where("path % 3 > 0 and model <> 2").withColumn("status", F.when(fifth, "new").otherwise(F.col("status"))).withColumn("judged", fifth), {"judged": False})
+    return table.read()
+
+
+@query("SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id % 2 = 0 GROUP BY lang")
+def publish_sets(spark, d):
+    """A set for each language, published together; a later attempt in which one set leaks leaves all as they were."""
+    root, docs = new_folder(spark), read(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    langs = [r[0] for r in docs.groupBy("lang").count().orderBy("lang").collect()]  # four languages
+    held = docs.where("doc_id % 2 = 1").select("doc_id")
+    sets = lambda rows: {x: (part := rows.where(F.col("lang") == x), part.join(held, "doc_id", "left_semi")) for x in langs}
+    publish.publish(spark, root, sets(docs.where("doc_id % 2 = 0")))
+    try:
+        publish.publish(spark, root, sets(docs.where(F.expr(f"doc_id % 2 = 0 or lang = '{langs[-1]}'"))))
+    except publish.NotPublished:
+        pass
+    frames = [publish.published(spark, root, x, check=True) for x in langs]
+    return reduce(lambda a, b: a.unionByName(b), frames).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
