@@ -17,6 +17,12 @@ def spaced(n: Column, cap: Column) -> Column:
     return F.array_distinct(F.when(cap == 1, F.array(F.floor(n / 2).cast("int"))).otherwise(each))
 
 
+def scan_indexes(n: Column, most: int = 24) -> Column:
+    """At most `most` windows of n, spread evenly, the first and the last left out; all where n is no more than most + 2."""
+    even = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.bround(1 + k * (n - 3) / (most - 1)).cast("int"))
+    return F.when(n < 1, F.array().cast("array<int>")).when(n <= most + 2, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array_distinct(even))
+
+
 def seconds(limit: Column) -> Column:
     """Seconds of 'D-HH:MM:SS', 'D-HH', 'HH:MM:SS', 'MM:SS' or minutes alone."""
     days = F.when(F.contains(limit, F.lit("-")), F.substring_index(limit, "-", 1).cast("long")).otherwise(0)

@@ -71,10 +71,13 @@ def without_sentences(text: Column, pattern: str) -> Column:
 
 
 def renamed(text: Column, names: dict[str, str]) -> Column:
-    """Codes replaced by plain names, whole words only."""
-    for code, name in names.items():
-        text = F.regexp_replace(text, rf"\b{code}\b", name)
-    return text
+    """Codes, in any case, replaced by plain names: left out with their brackets where they stand in such, named in quotes and as whole words; white space collapsed. No name may hold another code."""
+    codes = "|".join(names)
+    text = F.regexp_replace(text, rf'(?i)\s*\(\s*\\?"?(?:{codes})\\?"?\s*\)', "")
+    for pattern in (r'(?i)\\?"{}\\?"', r"(?i)\b{}\b"):
+        for code, name in names.items():
+            text = F.regexp_replace(text, pattern.format(code), name)
+    return F.trim(F.regexp_replace(text, r"\s{2,}", " "))
 
 
 def plain_channels(text: Column) -> Column:

@@ -190,3 +190,51 @@ def described(df: DataFrame, patient: str, labels: str) -> DataFrame:
     by_class = df.select(F.explode(labels).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
     text = by_class.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "c", F.col("n").cast("string")))), ",").alias("classes"))  # a row a class
     return whole.join(F.broadcast(text), how="cross")  # one row each
+
+
+def core_build(rows: DataFrame, listed: DataFrame, key: str, split: str, content: str, pattern: str, positive: str, order: list[Column]) -> DataFrame:
+    """The training build: rows without the listed ones, then a gate, then each of train and val balanced within its patterns; test as it is.
+
+    listed may only name train and val rows. The gate fails if train or val share content with test.
+    """
+    from tidewell.operators import leakage
+    from tidewell.operators.sampling import rate_balance
+
+    leakage.gate(rows.join(listed, key, "left_semi").where(~F.col(split).isin("train", "val")).select(key, split), "listed rows that are not train or val")
+    left = rows.join(listed, key, "left_anti")
+    test = left.where(F.col(split) == "test").select(content).distinct()
+    leakage.gate(left.where(F.col(split) != "test").join(test, content, "left_semi").select(key, split), "content of test")
+    out = left.where(F.col(split) == "test")
+    for part in ("train", "val"):
+        out = out.unionByName(rate_balance(left.where(F.col(split) == part), pattern, positive, order).select(left.columns))
+    return out
+
+
+def window_questions(windows: DataFrame, annotations: DataFrame, key: str, length: float, questions: list[str], pattern: str, order: list[Column]) -> DataFrame:
+    """question, and the windows that any annotation touches, with present: whether one of the question's label does; each question balanced within the patterns.
+
+    windows: key, index, pattern; annotations: key, start_time, stop_time, label.
+    """
+    from tidewell.operators.intervals import window_labels
+    from tidewell.operators.sampling import rate_balance
+
+    touched = window_labels(windows, annotations, key, length).where(F.size("labels") > 0)
+    each = [rate_balance(touched.withColumn("present", F.array_contains("labels", q)), pattern, "present", order).select(F.lit(q).alias("question"), key, "index", "present") for q in questions]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def preference_pairs(answers: DataFrame, training: DataFrame, model: str) -> DataFrame:
+    """path, chosen, rejected of a model's answers with a preference for A or B; a gate fails on pairs that aren't training windows.
+
+    answers: model, path, rationale_a, rationale_b, preference; training: path.
+    """
+    from tidewell.operators import leakage
+
+    own = answers.where((F.col("model") == model) & F.col("preference").isin("A", "B"))
+    first = F.col("preference") == "A"
+    pairs = own.select("path", F.when(first, F.col("rationale_a")).otherwise(F.col("rationale_b")).alias("chosen"), F.when(first, F.col("rationale_b")).otherwise(F.col("rationale_a")).alias("rejected"))
+    leakage.gate(pairs.select("path").join(training.select("path"), "path", "left_anti"), "pairs that are not training windows")
+    return pairs

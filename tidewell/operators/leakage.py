@@ -23,6 +23,26 @@ def overlaps(splits: DataFrame, split: str, keys: dict[str, str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [one(n, c) for n, c in keys.items()])
 
 
+def with_tests(rows: DataFrame, everywhere: bool = True) -> DataFrame:
+    """dataset, check, n: what a set's train and val share (patient, token, recording, image), and what either shares with tests.
+
+    rows: dataset, split, and the four keys; patient is the merged one. Test images are those of all sets, test patients too, or
+    those of the own set. Checks without a value are absent.
+    """
+    keys = ("patient", "token", "recording", "image")
+    long = rows.select("dataset", "split", F.inline(F.array(*(F.struct(F.lit(k).alias("check"), F.col(k).cast("string").alias("v")) for k in keys)))).where("v is not null")
+    one = lambda s: F.bool_or(F.col("split") == s)
+    own = long.where(F.col("split").isin("train", "val")).groupBy("dataset", "check", "v").agg(one("train").alias("t"), one("val").alias("l"))
+    tests = long.where((F.col("split") == "test") & F.col("check").isin("patient", "image"))
+    near = tests.where("check = 'patient'").select("dataset", "check", "v").distinct()
+    far = tests.where(F.lit(everywhere) | (F.col("check") == "image")).select("check", "v").distinct()
+    met = own.join(far, ["check", "v"], "left_semi")
+    if not everywhere:
+        met = met.unionByName(own.join(near, ["dataset", "check", "v"], "left_semi").select(met.columns))
+    count = lambda df, name: df.groupBy("dataset", name.alias("check")).agg(F.count("*").alias("n"))
+    return count(own.where("t and l"), F.col("check")).unionByName(count(met, F.concat(F.lit("test "), "check")))
+
+
 def in_several(splits: DataFrame, split: str, key: str) -> DataFrame:
     """Values of key that lie in more than one split."""
     return splits.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(split)), ",").alias("splits"), F.count_distinct(split).alias("n")).where("n > 1")

@@ -23,8 +23,37 @@ def hours(steps: Column, per_step: Column, windows: Column, per_window: Column,
     return [(load + steps * per_step / 3600 * train_margin).alias("train_h"), (load + windows * per_window / 3600 * score_margin).alias("score_h")]
 
 
+def estimate(rows: Column, val_rows: Column, windows: Column, tokens: Column, per_step: Column, gb: Column, probe_step: Column, probe_window: Column, prefill: float, per_token: Column, reference: float, most_tokens: int, batch: int = 8, eval_steps: int = 100, epochs: int = 2,
+             eval_row: float = 0.03, startup: float = 0.4, per_gb: float = 0.015, train_margin: float = 1.5, score_margin: float = 1.25) -> list[Column]:
+    """steps, train_h, score_h and hours (with margins and loading) of a fine-tune.
+
+    A probe's seconds, where there are any, stand for the base's; a window's seconds then follow from the answer's length against the
+    longest. Without a probe they follow from the base's speed against a reference.
+    """
+    steps = epochs * F.ceil(rows / batch)
+    evals = F.floor(steps / eval_steps) + 1
+    step = F.coalesce(probe_step, per_step)
+    window = F.when(probe_step.isNotNull(), probe_window * (0.1 + 0.9 * tokens / most_tokens)).otherwise(per_step / reference * (prefill + tokens * per_token))
+    train = (steps * step + evals * val_rows * eval_row * step) / 3600
+    score = windows * window / 3600
+    return [steps.cast("long").alias("steps"), train.alias("train_h"), score.alias("score_h"), (startup + per_gb * gb + train_margin * train + score_margin * score).alias("hours")]
+
+
+def multiplicity(gpus: Column) -> Column:
+    """How many GPUs a request counts as: a slice ('3g.20gb:1') as one, else the number."""
+    return F.when(F.contains(gpus, F.lit("g.")), 1).otherwise(gpus.cast("int"))
+
+
 def gpu_hours(jobs: DataFrame, by: list[str], hours: str, gpus: str) -> DataFrame:
-    return jobs.groupBy(*by).agg(F.sum(F.col(hours) * F.col(gpus)).alias("gpu_hours"))
+    """GPU hours by group; gpus as text."""
+    return jobs.groupBy(*by).agg(F.sum(F.col(hours) * multiplicity(F.col(gpus))).alias("gpu_hours"))
+
+
+def in_order(plan: DataFrame, order: list[str], place: str = "place") -> DataFrame:
+    """plan with place, from 1 on, in one order of all rows."""
+    from tidewell.operators.ranks import evenly
+
+    return evenly(plan, [], order).withColumn(place, F.col("_at") + 1).drop("_at", "_n")
 
 
 def staged(models: DataFrame, listing: DataFrame, key: str = "model") -> tuple[DataFrame, DataFrame]:

@@ -115,3 +115,25 @@ def blind(df: DataFrame, by: list[str], score: str = "score", positive: str = "p
     """Whether a model's scores hardly follow its input: little spread and a poor AUROC. Groups with fewer than `enough` of either class aren't judged."""
     std = df.groupBy(*by).agg(F.stddev_pop(score).alias("spread"))
     return auroc(df, by, score, positive).where((F.col("positives") >= enough) & (F.col("negatives") >= enough)).join(std, by).withColumn("blind", (F.col("spread") < spread) & (F.col("auroc") < least))
+
+
+def background_figures(scored: DataFrame, new: DataFrame, meta: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
+    """by, and the figures of an arm's windows with an event against its old background and against a new one.
+
+    scored: by, path, score, positive; new: by, path, score, at (of several the last counts); meta: path, quiet (whether its recording
+    has no event), distance (windows to the nearest). New windows without metadata count in what needs none. AUROCs are null, rates
+    0.0, where there is nothing to divide.
+    """
+    from tidewell.operators.dedup import last_of
+
+    fresh = last_of(new, [*by, "path"], [F.col("at")]).join(meta, "path", "left")
+    low, d = F.col("score") < threshold, F.col("distance")
+    rate = lambda test, among: divide(F.count_if(test & among), F.count_if(among))
+    own = scored.groupBy(*by).agg(F.count_if("positive").alias("event_windows"), rate(~low, F.col("positive")).alias("sensitivity"), rate(low, ~F.col("positive")).alias("specificity_old"))
+    bands = {"specificity_quiet": F.coalesce("quiet", F.lit(False)), "specificity_1_2": F.coalesce(d.between(1, 2), F.lit(False)), "specificity_3_10": F.coalesce(d.between(3, 10), F.lit(False)), "specificity_over_10": F.coalesce(d > 10, F.lit(False))}
+    found = fresh.groupBy(*by).agg(F.count("*").alias("new_windows"), rate(low, F.lit(True)).alias("specificity_new"), *(rate(low, test).alias(n) for n, test in bands.items()))
+    events = scored.where("positive").select(*by, "score", "positive")
+    a = auroc(events.unionByName(fresh.select(*by, "score", F.lit(False).alias("positive"))), by).select(*by, F.col("auroc").alias("auroc_new"))
+    b = auroc(scored, by).select(*by, F.col("auroc").alias("auroc_old"))
+    out = own.join(found, by).join(a, by).join(b, by)
+    return out.withColumn("balanced_accuracy_new", (F.col("sensitivity") + F.col("specificity_new")) / 2)

@@ -79,6 +79,14 @@ def largest_remainder(strata: DataFrame, size: str, key: str, seats: int) -> Dat
     return out.withColumn("_left", left).withColumn("_rank", rank).withColumn("quota", F.col("_low") + (F.col("_rank") <= F.col("_left")).cast("long")).drop("_exact", "_low", "_left", "_rank")
 
 
+def proportional(pool: DataFrame, stratum: str, key: list[Column], need: int, seed=0) -> DataFrame:
+    """`need` rows of the pool (all, if it has fewer), from each stratum in proportion to it by largest remainders, there by the rank of their hashes. Strata are a small table."""
+    sizes = pool.groupBy(stratum).agg(F.count("*").alias("_size"))
+    total = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    quotas = largest_remainder(sizes, "_size", stratum, min(need, total)).select(stratum, "quota")
+    return matched(by_hash(pool, [stratum], key, seed), quotas, [stratum]).where(F.col("_at") < F.col("quota")).drop("_at", "_n", "quota")
+
+
 def rate_balance(df: DataFrame, pattern: str, positive: str, key: list[Column], seed=0) -> DataFrame:
     """Rows whose pattern's share of positives is trimmed to that of all rows; the empty pattern stays."""
     total = df.agg(F.avg(F.col(positive).cast("double")).alias("rate"))

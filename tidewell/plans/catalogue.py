@@ -622,13 +622,21 @@ def pivot_table(spark, d):
     return judging.side_by_side(_scores(spark, d), ["base", "dataset"], "kind", "ba", ["zero-shot", "tuned"]).withColumnRenamed("zero-shot", "zero_shot")
 
 
-@query("SELECT conv_id, turn, md5(text) AS value, 'human' AS who FROM conversations")
+@query("SELECT conv_id, turn, kind, CASE WHEN kind = 'messages' THEN '' ELSE '<image>' || chr(10) END || md5(text) AS asked, role AS answered, 'i' || turn || '.png' AS image, CASE WHEN kind = 'minicpm' THEN CAST(conv_id AS VARCHAR) END AS id FROM conversations, (VALUES ('sharegpt'), ('minicpm'), ('messages')) AS f(kind)")
 def chat_export(spark, d):
-    c = read(spark, d, "conversations")
-    none = F.array().cast("array<string>")
-    line = writers.chat(F.col("text"), F.lit(""), F.col("role"), none, "sharegpt")
-    first = F.from_json(line, "conversations array<struct<`from`:string,value:string>>")["conversations"][0]
-    return c.select("conv_id", "turn", F.md5(first["value"].cast("binary")).alias("value"), first["from"].alias("who"))
+    """Lines of the three chat formats, read back."""
+    c = read(spark, d, "conversations").withColumn("asked", F.md5(F.col("text").cast("binary"))).withColumn("image", F.concat(F.lit("i"), F.col("turn").cast("string"), F.lit(".png")))
+    line = lambda kind: writers.chat(F.col("asked"), F.col("role"), F.col("image"), kind, F.col("conv_id"))
+    a = F.from_json(line("sharegpt"), "conversations array<struct<`from`:string,value:string>>, images array<string>")
+    b = F.from_json(line("minicpm"), "id string, image string, conversations array<struct<role:string,content:string>>")
+    m = F.from_json(line("messages"), "messages array<struct<role:string,content:array<struct<type:string,text:string,image:string>>>>")
+    turn, part = a["conversations"], m["messages"]
+    rows = F.array(
+        F.struct(F.lit("sharegpt").alias("kind"), turn[0]["value"].alias("asked"), turn[1]["value"].alias("answered"), a["images"][0].alias("image"), F.lit(None).cast("string").alias("id")),
+        F.struct(F.lit("minicpm").alias("kind"), b["conversations"][0]["content"].alias("asked"), b["conversations"][1]["content"].alias("answered"), b["image"].alias("image"), b["id"].alias("id")),
+        F.struct(F.lit("messages").alias("kind"), part[0]["content"][1]["text"].alias("asked"), part[1]["content"][0]["text"].alias("answered"), part[0]["content"][0]["image"].alias("image"), F.lit(None).cast("string").alias("id")),
+    )
+    return c.select("conv_id", "turn", F.inline(rows))
 
 
 @query(

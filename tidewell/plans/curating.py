@@ -343,10 +343,11 @@ def resource_plan(spark, d):
     return _plan(spark, d).select("p_partkey", "base", "dataset", r6("train_h").alias("train_h"), r6("score_h").alias("score_h"), "gpus")
 
 
-@query(f"WITH {PLAN} SELECT base, round(sum((train_h + score_h) * gpus), 4) AS gpu_hours FROM p GROUP BY base")
+@query(f"WITH {PLAN} SELECT base, round(sum((train_h + score_h) * CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE gpus END), 2) AS gpu_hours FROM p GROUP BY base")
 def gpu_hours(spark, d):
-    out = planning.gpu_hours(_plan(spark, d).withColumn("hours", F.col("train_h") + F.col("score_h")), ["base"], "hours", "gpus")
-    return out.withColumn("gpu_hours", F.round("gpu_hours", 4))
+    """Slices of a GPU count as one."""
+    p = _plan(spark, d).withColumn("hours", F.col("train_h") + F.col("score_h")).withColumn("gpus", F.when(F.col("p_partkey") % 3 == 0, "a100_3g.20gb:1").otherwise(F.col("gpus").cast("string")))
+    return planning.gpu_hours(p, ["base"], "hours", "gpus").withColumn("gpu_hours", F.round("gpu_hours", 2))
 
 
 @query(f"WITH {PLAN} SELECT gpus, dataset, count(*) AS n, md5(string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey)) AS tasks FROM p GROUP BY ALL")
@@ -374,10 +375,10 @@ def largest_first(spark, d):
     return planning.largest_first(n, "n", "dataset").select("dataset", "place")
 
 
-@query("WITH p AS (SELECT p_partkey, p_size % 3 AS nice, p_type AS dataset, p_brand AS base FROM part) SELECT p_partkey, CAST(row_number() OVER (PARTITION BY dataset ORDER BY nice, base, p_partkey) AS INTEGER) AS place FROM p")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size % 3, p_type, p_brand, p_partkey) AS place FROM part")
 def plan_order(spark, d):
     p = read(spark, d, "part").select("p_partkey", (F.col("p_size") % 3).alias("nice"), F.col("p_type").alias("dataset"), F.col("p_brand").alias("base"))
-    return p.select("p_partkey", (ordered.ordinal(["dataset"], ["nice", "base", "p_partkey"]) + 1).alias("place"))
+    return planning.in_order(p, ["nice", "dataset", "base", "p_partkey"]).select("p_partkey", "place")
 
 
 @query(f"WITH {W}, {LABELLED} SELECT array_to_string(labels, '+') AS signature, count(*) AS n, CAST(row_number() OVER (ORDER BY labels) AS INTEGER) AS place FROM l GROUP BY labels")

@@ -1,5 +1,5 @@
 """All queries and their SQL."""
 
-from tidewell.plans import catalogue, curating, files, reports, scoring  # noqa: F401
+from tidewell.plans import builds, catalogue, curating, files, reports, scoring  # noqa: F401
 
 QUERIES, ORACLE_SQL = catalogue.QUERIES, catalogue.ORACLE_SQL

@@ -117,9 +117,22 @@ def checkpoint_marks(spark, d):
     return ordered.marked(e, ["run"], "step", "value").select("run", "step", "last", "best")
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace('code ' || lang || ' of ' || source || ', not ' || lang || 'x', '\\bde\\b', 'German', 'g'), '\\bfr\\b', 'French', 'g') AS text FROM documents")
+def _named(x: str) -> str:
+    """The codes de and fr by name, in SQL."""
+    x = rf"""regexp_replace({x}, '\s*\(\s*\\?"?(de|fr)\\?"?\s*\)', '', 'gi')"""
+    for pattern in (r'\\?"{}\\?"', r"\b{}\b"):
+        for code, name in (("de", "German"), ("fr", "French")):
+            x = f"regexp_replace({x}, '{pattern.format(code)}', '{name}', 'gi')"
+    return rf"trim(regexp_replace({x}, '\s{{2,}}', ' ', 'g'))"
+
+
+CODED = """'code ' || lang || ' of (' || upper(lang) || ')  ' || source || ' ( \\"' || lang || '\\" ), not ' || lang || 'x or "' || lang || '" (' || lang || ' )'"""
+
+
+@query(f"SELECT doc_id, {_named(CODED)} AS text FROM documents")
 def plain_names(spark, d):
-    code = F.concat(F.lit("code "), "lang", F.lit(" of "), "source", F.lit(", not "), "lang", F.lit("x"))
+    lang, more = F.col("lang"), F.lit
+    code = F.concat(more("code "), lang, more(" of ("), F.upper("lang"), more(")  "), "source", more(' ( \\"'), lang, more('\\" ), not '), lang, more('x or "'), lang, more('" ('), lang, more(" )"))
     return read(spark, d, "documents").select("doc_id", texts.renamed(code, {"de": "German", "fr": "French"}).alias("text"))
 
 

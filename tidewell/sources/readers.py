@@ -84,6 +84,30 @@ def hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", F.md5("content").alias("md5"))
 
 
+def first_rows(spark: SparkSession, path: str, schema: str, key: list[str]) -> DataFrame:
+    """Rows of all files that the wildcard names, in the order of the files' names and their lines: the first of each key."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = csv(spark, path, schema)
+    rows = rows.withColumn("_at", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")))
+    others = [c for c in rows.columns if c not in (*key, "_at")]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*others), "_at").alias("_r")).select(*key, "_r.*")
+
+
+def by_file_name(spark: SparkSession, path: str, schema: str, models: DataFrame, ending: str = ".csv") -> DataFrame:
+    """Rows of <model slug>-<dataset>.csv files with model and dataset; model by the registry's slug, null where it has none. models: slug, model."""
+    rows = csv(spark, path, schema).withColumn("_f", F.regexp_replace(F.col("_metadata.file_name"), f"{ending}$", ""))
+    cut = rows.withColumn("slug", F.regexp_extract("_f", "^(.*)-[^-]*$", 1)).withColumn("dataset", F.regexp_extract("_f", "([^-]*)$", 1)).drop("_f")
+    return cut.join(models.select("slug", "model"), "slug", "left").drop("slug")
+
+
+def summaries(spark: SparkSession, path: str, schema: str, names: DataFrame, key: str = "arm", prefix: str = "summary-") -> DataFrame:
+    """names with the one row of each <prefix><name>.csv; nulls where there is no such file."""
+    found = csv(spark, path, schema)
+    found = found.withColumn(key, F.regexp_extract(F.col("_metadata.file_name"), f"^{prefix}(.*)\\.csv$", 1)) if exists(spark, path) else found.withColumn(key, F.lit(None).cast("string"))
+    return names.join(found, key, "left")
+
+
 def from_folder(path: Column) -> Column:
     """The folder that a file lies in: its class."""
     return F.element_at(F.split(path, "/"), -2)

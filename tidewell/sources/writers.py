@@ -43,16 +43,17 @@ def jsonl(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").partitionBy(*by).json(path)
 
 
-def chat(instruction: Column, input_: Column, output: Column, images: Column, kind: str) -> Column:
-    """A line of a chat format: sharegpt, minicpm or messages."""
-    marks = F.concat(F.array_join(F.transform(images, lambda _: F.lit("<image>")), ""), instruction, F.when(F.length(input_) > 0, F.concat(F.lit("\n"), input_)).otherwise(""))
+def chat(instruction: Column, output: Column, image: Column, kind: str, id_: Column | None = None) -> Column:
+    """A line of a chat format about one image: sharegpt, minicpm (with an id) or messages."""
+    marked = F.concat(F.lit("<image>\n"), instruction)
     turn = lambda who, what, a, b: F.struct(F.lit(who).alias(a), what.alias(b))
     if kind == "sharegpt":
-        return F.to_json(F.struct(F.array(turn("human", marks, "from", "value"), turn("gpt", output, "from", "value")).alias("conversations"), images.alias("images")))
+        return F.to_json(F.struct(F.array(turn("human", marked, "from", "value"), turn("gpt", output, "from", "value")).alias("conversations"), F.array(image).alias("images")))
     if kind == "minicpm":
-        return F.to_json(F.struct(images.alias("image"), F.array(turn("user", marks, "role", "content"), turn("assistant", output, "role", "content")).alias("conversations")))
+        return F.to_json(F.struct(id_.cast("string").alias("id"), image.alias("image"), F.array(turn("user", marked, "role", "content"), turn("assistant", output, "role", "content")).alias("conversations")))
     if kind == "messages":
-        return F.to_json(F.struct(F.array(turn("user", marks, "role", "content"), turn("assistant", output, "role", "content")).alias("messages"), images.alias("images")))
+        part = lambda what, text: F.struct(F.lit(what).alias("type"), *([F.lit(None).cast("string").alias("text"), text.alias("image")] if what == "image" else [text.alias("text"), F.lit(None).cast("string").alias("image")]))
+        return F.to_json(F.struct(F.array(turn("user", F.array(part("image", image), part("text", instruction)), "role", "content"), turn("assistant", F.array(part("text", output)), "role", "content")).alias("messages")))
     raise ValueError(f"unknown chat format {kind!r}")
 
 
