@@ -68,3 +68,13 @@ def markdown(df: DataFrame, columns: list[str], order: list) -> DataFrame:
     numbered = df.select(line.alias("l"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("k"))
     head = "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns)
     return numbered.agg(F.concat_ws("\n", F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "l"))), lambda x: x["l"]), "\n")).alias("table"))
+
+
+def verdict(candidate: Column, reply: Column) -> list[Column]:
+    """correct_predictions, correct_rationale and reason from a judge's reply; an empty candidate is wrong without being asked about. Null where the reply can't be read."""
+    from tidewell.functions import answers
+
+    empty = F.trim(F.coalesce(candidate, F.lit(""))) == ""
+    got = answers.parsed(reply, {"correct_predictions": "boolean", "correct_rationale": "boolean", "reason": "string"})
+    flag = lambda n: F.when(empty, F.lit(False)).otherwise(got[n]).alias(n)
+    return [flag("correct_predictions"), flag("correct_rationale"), F.when(empty, "empty answer").otherwise(got["reason"]).alias("reason")]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.numbers import divide
 from tidewell.operators.bootstrap import interval, weighted
 from tidewell.operators.ranks import evenly
+from tidewell.sources.folders import saved
 
 def auroc_of_counts(each: DataFrame, by: list[str], score: str) -> DataFrame:
     """(by, score, p, n) rows, one for each distinct score -> by, positives, negatives, auroc."""
@@ -63,12 +64,17 @@ def at_threshold(df: DataFrame, by: list[str], score: str = "score", positive: s
     """Sensitivity, specificity, balanced accuracy, precision, F1 and the share predicted positive."""
     p, y = F.col(score) >= threshold, F.col(positive)
     n = df.groupBy(*by).agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn"))
+    return n.select(*by, *threshold_figures())
+
+
+def threshold_figures() -> list[Column]:
+    """The rates that follow from tp, fp, fn and tn."""
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     sens, spec = divide(tp, tp + fn), divide(tn, tn + fp)
-    return n.select(
-        *by, ((sens + spec) / 2).alias("balanced_accuracy"), sens.alias("sensitivity"), spec.alias("specificity"), divide(tp, tp + fp).alias("precision"),
+    return [
+        ((sens + spec) / 2).alias("balanced_accuracy"), sens.alias("sensitivity"), spec.alias("specificity"), divide(tp, tp + fp).alias("precision"),
         divide(2 * tp, 2 * tp + fp + fn).alias("f1"), divide(tp + fp, tp + fp + fn + tn).alias("predicted_positive"),
-    )
+    ]
 
 
 def top_sums(df: DataFrame, by: list[str], order: list[Column], score: str = "score", k: int = 5) -> DataFrame:
@@ -117,6 +123,20 @@ def blind(df: DataFrame, by: list[str], score: str = "score", positive: str = "p
     return auroc(df, by, score, positive).where((F.col("positives") >= enough) & (F.col("negatives") >= enough)).join(std, by).withColumn("blind", (F.col("spread") < spread) & (F.col("auroc") < least))
 
 
+def arm_figures(df: DataFrame, by: list[str], group: list[str], subset: Column, score: str = "score", positive: str = "positive", threshold: float = 0.5) -> DataFrame:
+    """by, windows, auroc, auroc_within (groups with a positive), auroc_subset and the rates at the threshold, all from one table of counts by score."""
+    each = df.withColumn("_sub", subset).groupBy(*by, *group, score, "_sub").agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("n"))
+    busy = F.sum("p").over(Window.partitionBy(*by, *group)) > 0
+    counts = saved(each.withColumn("_busy", busy).groupBy(*by, score, "_busy", "_sub").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "counts by score")
+    kinds = F.array_compact(F.array(F.lit("auroc"), F.when(F.col("_busy"), "auroc_within"), F.when(F.col("_sub"), "auroc_subset")))
+    real = counts.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    parts = real.withColumn("_kind", F.explode(kinds)).groupBy(*by, "_kind", score).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    areas = auroc_of_counts(parts, [*by, "_kind"], score).groupBy(*by).agg(*(F.max(F.when(F.col("_kind") == k, F.col("auroc"))).alias(k) for k in ("auroc", "auroc_within", "auroc_subset")))
+    high = F.col(score) >= threshold
+    n = counts.groupBy(*by).agg(F.sum(F.col("p") + F.col("n")).alias("windows"), *(F.sum(F.when(test, F.col(c)).otherwise(0)).alias(name) for name, test, c in (("tp", high, "p"), ("fp", high, "n"), ("fn", ~high, "p"), ("tn", ~high, "n"))))
+    return n.join(areas, by, "left").select(*by, "windows", "auroc", "auroc_within", "auroc_subset", *threshold_figures())
+
+
 def background_figures(scored: DataFrame, new: DataFrame, meta: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
     """by, and the figures of an arm's windows with an event against its old background and against a new one.
 

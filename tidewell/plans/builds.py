@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions import numbers
-from tidewell.operators import curation, dedup, leakage, ordered, planning, ranking, sampling
-from tidewell.plans.catalogue import AUROC, DISTANCE, KEY, LABELLED, RANKED, W, _distances, _labelled, query, r6, read, windows
+from tidewell.functions import answers, numbers
+from tidewell.functions import text as texts
+from tidewell.operators import curation, dedup, judging, leakage, planning, ranking, sampling
+from tidewell.plans.catalogue import AUROC, DISTANCE, KEY, LABELLED, RANKED, W, _distances, _labelled, query, r6, read
 from tidewell.plans.curating import _spans
 from tidewell.sources import readers, writers
 from tidewell.sources.folders import new_folder
@@ -159,3 +159,31 @@ def legacy_files(spark, d):
     path = _nation_files(spark, d, F.concat(slug, F.lit("-D"), F.col("n_regionkey").cast("string")), "true", F.concat_ws(",", F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string")))
     models = read(spark, d, "nation").where("n_nationkey % 2 = 0").select(slug.alias("slug"), F.col("n_name").alias("model"))
     return readers.by_file_name(spark, path, "region int, key int", models).select("model", "dataset", "region", "key")
+
+
+@query(
+    """SELECT event_id, CASE WHEN k IN (0, 1, 2) THEN event_type END AS label, CASE k WHEN 3 THEN 'a field is missing' WHEN 4 THEN 'degenerate text' WHEN 5 THEN 'no JSON object in reply' END AS error, CAST(CASE WHEN k IN (0, 5) THEN 1 ELSE 2 END AS INTEGER) AS attempts FROM (SELECT *, event_id % 6 AS k FROM events)"""
+)
+def retried_answers(spark, d):
+    """A greedy reply and, where it failed, a sampled one: what counts, why not, and how many were asked for."""
+    k, label = F.col("event_id") % 6, F.col("event_type")
+    why = F.lit("slow waves over the left temporal chain, then a clear buildup in amplitude")
+    good = answers.target({"label": label, "why": why})
+    loop = answers.target({"label": label, "why": F.repeat(F.lit("the same "), 40)})
+    greedy = F.when(k == 0, good).when(k.isin(1, 5), "I can't say").otherwise(loop)
+    sampled = F.when(k.isin(1, 2), F.concat(F.lit("Now: "), good)).when(k == 3, '{"label": "x"}').when(k == 4, loop)
+    out = read(spark, d, "events").select("event_id", answers.attempted([greedy, sampled], {"label": "string", "why": "string"}, "why", texts.degenerate).alias("r"))
+    return out.select("event_id", "r.value.label", "r.error", "r.attempts")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN e THEN false WHEN k = 3 THEN NULL ELSE k = 1 END AS correct_predictions, CASE WHEN e THEN false WHEN k = 3 THEN NULL ELSE n_chars > 500 END AS correct_rationale, CASE WHEN e THEN 'empty answer' WHEN k <> 3 THEN 'since "' || source || '"' END AS reason
+ FROM (SELECT *, doc_id % 4 AS k, doc_id % 5 = 0 AS e FROM documents)"""
+)
+def judge_replies(spark, d):
+    """A judge's verdicts; empty answers aren't shown to it."""
+    k = F.col("doc_id") % 4
+    told = answers.target({"correct_predictions": k == 1, "correct_rationale": F.col("n_chars") > 500, "reason": F.concat(F.lit('since "'), "source", F.lit('"'))})
+    reply = F.when(k == 3, "unsure").when(k == 2, F.concat(F.lit("```json\n"), told, F.lit("\n```"))).otherwise(told)
+    candidate = F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("lang"))
+    return read(spark, d, "documents").select("doc_id", *judging.verdict(candidate, reply))

@@ -24,11 +24,8 @@ def _auroc(name: str, src: str, by: str = "dataset") -> str:
  SELECT dataset, windows, a_all.auroc AS auroc, a_in.auroc AS auroc_within, a_sub.auroc AS auroc_subset, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy FROM n JOIN a_all USING (dataset) JOIN a_in USING (dataset) JOIN a_sub USING (dataset)"""
 )
 def arm_summary(spark, d):
-    w = windows(spark, d)
-    part = lambda rows, name: ranking.auroc(rows, ["dataset"]).select("dataset", r6("auroc").alias(name))
-    out = w.groupBy("dataset").agg(F.count("*").alias("windows")).join(part(w, "auroc"), "dataset").join(part(ranking.within_positive_groups(w, ["recording"]), "auroc_within"), "dataset")
-    out = out.join(part(w.where("recording % 4 = 0"), "auroc_subset"), "dataset")
-    return out.join(ranking.at_threshold(w, ["dataset"], threshold=0.05).select("dataset", r6("balanced_accuracy").alias("balanced_accuracy")), "dataset")
+    out = ranking.arm_figures(windows(spark, d), ["dataset"], ["recording"], F.col("recording") % 4 == 0, threshold=0.05)
+    return out.select("dataset", "windows", *(r6(c).alias(c) for c in ("auroc", "auroc_within", "auroc_subset", "balanced_accuracy")))
 
 
 @query(
@@ -36,12 +33,9 @@ def arm_summary(spark, d):
  SELECT count(*) AS windows, round(avg(CASE WHEN score < 0.05 THEN 1.0 ELSE 0.0 END), 6) AS specificity, round(avg(CASE WHEN score < 0.05 THEN 1.0 ELSE 0.0 END) FILTER (bucket = '1-2'), 6) AS near, round(avg(CASE WHEN score < 0.05 THEN 1.0 ELSE 0.0 END) FILTER (bucket = '3-10'), 6) AS middle, round(avg(CASE WHEN score < 0.05 THEN 1.0 ELSE 0.0 END) FILTER (bucket = 'none'), 6) AS quiet FROM b"""
 )
 def background_summary(spark, d):
-    b = _distances(spark, d).where(~F.col("positive")).withColumn("bucket", ranking.bucket(F.col("distance"))).withColumn("all", F.lit("all"))
-    of = lambda rows: ranking.specificity_by(rows, ["all"], threshold=0.05).drop("all")
-    out = of(b)
-    for name, bucket in (("near", "1-2"), ("middle", "3-10"), ("quiet", "none")):
-        out = out.join(F.broadcast(of(b.where(F.col("bucket") == bucket)).select(F.col("specificity").alias(name))), how="left")  # one row each
-    return out.select("windows", *(r6(c).alias(c) for c in ("specificity", "near", "middle", "quiet")))
+    b = _distances(spark, d).where(~F.col("positive")).withColumn("bucket", ranking.bucket(F.col("distance")))
+    of = lambda name, test: r6(F.avg(F.when(test, (F.col("score") < 0.05).cast("double")))).alias(name)
+    return b.agg(F.count("*").alias("windows"), of("specificity", F.lit(True)), *(of(n, F.col("bucket") == k) for n, k in (("near", "1-2"), ("middle", "3-10"), ("quiet", "none"))))
 
 
 @query(
@@ -50,11 +44,10 @@ def background_summary(spark, d):
  SELECT dataset, set, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy, round(tp / (tp + fn), 6) AS sensitivity, round(tn / (tn + fp), 6) AS specificity FROM n"""
 )
 def results_export(spark, d):
-    w = windows(spark, d)
     urgent = read(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("recording"))
-    sets = {"all": w, "urgent": w.join(urgent, "recording", "left_semi"), "many": w.where("quantity > 25")}
-    a, b, c = (rows.select("dataset", "score", "positive").withColumn("set", F.lit(n)) for n, rows in sets.items())
-    out = ranking.at_threshold(a.unionByName(b).unionByName(c), ["dataset", "set"], threshold=0.05)
+    w = state.with_bit(windows(spark, d), urgent, ["recording"], "urgent")
+    sets = F.array_compact(F.array(F.lit("all"), F.when(F.col("urgent"), "urgent"), F.when(F.col("quantity") > 25, "many")))
+    out = ranking.at_threshold(w.select("dataset", "score", "positive", F.explode(sets).alias("set")), ["dataset", "set"], threshold=0.05)
     return out.select("dataset", "set", *(r6(x).alias(x) for x in ("balanced_accuracy", "sensitivity", "specificity")))
 
 
