@@ -57,7 +57,9 @@ class KneserByHand:
         for t in texts:
             w = [0, 0, *t.encode().lower().split(), 1]
             tri.update(zip(w, w[1:], w[2:], strict=False))
-        two = Counter((b, c) for _, b, c in tri)
+        two = Counter()
+        for (_, b, c), n in tri.items():
+            two[b, c] += n if b == 0 else 1  # nothing comes before a text: raw counts
         one = Counter((c,) for _, c in two)
         self.levels = [self.level(x) for x in (one, two, tri)]
         self.size = len(self.known) + 3

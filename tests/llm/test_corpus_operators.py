@@ -188,6 +188,16 @@ def test_kneser_sums_to_one(spark):
         assert abs(sum(p) - 1) < 1e-5
 
 
+def test_kneser_keys_of_many_words(spark):
+    """Keys of trigrams stay apart where three numbers of words don't fit 64 bits."""
+    far = {b"a": 0, b"b": 1, b"c": 2}
+    size = 3_000_000
+    number = {w: size - 9 + k for w, k in far.items()}
+    counts = {(r["context"], r["w"]): r["n"] for r in kneser.count(spark.createDataFrame([("a b a b a b c",)], "text string"), number, size).collect()}
+    a, b, c = (number[w] for w in (b"a", b"b", b"c"))
+    assert counts == {(2 * size + 2, a): 1, (2 * size + a, b): 1, (a * size + b, a): 2, (b * size + a, b): 2, (a * size + b, c): 1, (b * size + c, 1): 1}
+
+
 def test_kneser_tells_noise(spark):
     rows = [(k, " ".join(f"w{(k * 7 + j * j) % 23}" for j in range(60)), "en", "a", 1) for k in range(300)]
     rows += [(1000 + k, " ".join(f"noise{k}x{j}" for j in range(60)), "en", "a", 1) for k in range(20)] + [(5000, None, None, None, None), (5001, "", "en", "a", 0)]

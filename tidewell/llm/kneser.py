@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents, durable, utf8
+from tidewell.llm.common import documents, durable, slices, utf8
 
 MOST_DOCUMENTS = 4000
 SHARDS = 16
@@ -42,31 +42,33 @@ def vocabulary(texts: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            found: set[bytes] = set()
-            for text in utf8(batch.column(0)):
-                found.update(words_of(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], ["w"])
+            for _, own in slices(batch, 0):
+                found: set[bytes] = set()
+                for text in own:
+                    found.update(words_of(text))
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], ["w"])
 
     return texts.mapInArrow(run, "w binary").distinct()
 
 
 def count(texts: DataFrame, number: dict[bytes, int], size: int) -> DataFrame:
-    """(text) -> key, n for each trigram."""
+    """(text) -> context, w, n for each trigram; context holds the two words before w. Both fit 64 bits up to three thousand million words."""
     shared = texts.sparkSession.sparkContext.broadcast(number)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keys = []
-            for text in utf8(batch.column(0)):
-                own = ids_of(words_of(text), shared.value)
-                keys.append((own[:-2] * size + own[1:-1]) * size + own[2:])
-            if keys:
-                key, n = np.unique(np.concatenate(keys), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+            for _, own in slices(batch, 0):
+                found = [ids_of(words_of(text), shared.value) for text in own]
+                context = np.concatenate([x[:-2] * size + x[1:-1] for x in found])
+                w = np.concatenate([x[2:] for x in found])
+                order = np.lexsort((w, context))
+                context, w = context[order], w[order]
+                first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (w[1:] != w[:-1]))) if len(w) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(w[first]), pa.array(np.diff(np.append(first, len(w))))], ["context", "w", "n"])
 
-    return texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "context bigint, w bigint, n bigint").groupBy("context", "w").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -80,13 +82,12 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw))
 
 
-def discounted(counts: DataFrame, size: int):
-    """(key, n) -> (key, p): the discounted share in its context key div size; (context, back): what the discounts free."""
+def discounted(counts: DataFrame):
+    """(context, w, n) -> (context, w, p): the discounted share in its context; (context, back): what the discounts free."""
     d = discounts(counts)
     off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    own = counts.withColumn("context", F.expr(f"key div {size}"))
-    context = own.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("free"))
-    share = own.join(context, "context").select("key", ((F.col("n") - off) / F.col("total")).alias("p"))
+    context = counts.groupBy("context").agg(F.sum("n").alias("total"), F.sum(off).alias("free"))
+    share = counts.join(context, "context").select("context", "w", ((F.col("n") - off) / F.col("total")).alias("p"))
     return share, context.select("context", (F.col("free") / F.col("total")).alias("back"))
 
 
@@ -118,11 +119,13 @@ class Model:
         self.number = {w: k + 3 for k, w in enumerate(utf8(vocabulary(texts).orderBy("w").toArrow().column(0)))}  # bounded by the sample
         size = self.size = len(self.number) + 3
         three = durable(count(texts, self.number, size), "trigrams")
-        two = durable(three.groupBy((F.col("key") % (size * size)).alias("key")).agg(F.count("*").alias("n")), "bigrams")
-        one = two.groupBy((F.col("key") % size).alias("key")).agg(F.count("*").alias("n"))
-        p3, back3 = discounted(three, size)
-        p2, back2 = discounted(two, size)
-        table = lambda df, v: ((x := df.select(df.columns[0], F.col(v).cast("float")).toArrow()).column(0).to_numpy(), x.column(1).to_numpy())
+        # a bigram counts by the words it follows; at the begin of a text it follows none, and counts by itself
+        after = F.expr(f"context % {size}").alias("context")
+        two = durable(three.groupBy(after, "w").agg(F.count("*").alias("types"), F.sum("n").alias("n")).select("context", "w", F.when(F.col("context") == BEGIN, F.col("n")).otherwise(F.col("types")).alias("n")), "bigrams")
+        one = two.groupBy("w").agg(F.count("*").alias("n"))
+        p3, back3 = discounted(three)
+        p2, back2 = discounted(two)
+        table = lambda df, v: [c.to_numpy() for c in df.select(*df.columns[:-1], F.col(v).cast("float")).toArrow().columns]
         unigram, n = table(one, "n")
         self.p1 = np.full(size, 0.0)
         total = max(1.0, n.sum())
@@ -132,7 +135,13 @@ class Model:
         self.back2 = np.ones(size)
         context, back = table(back2, "back")
         self.back2[context] = back
-        self.p3, self.p2, self.back3 = Shards(*table(p3, "p")), Shards(*table(p2, "p")), Shards(*table(back3, "back"))
+        context, back = table(back3, "back")
+        order = np.argsort(context)
+        self.contexts, self.back3 = context[order], back[order].astype(np.float32)
+        context, w, p = table(p2, "p")
+        self.p2 = Shards(context * size + w, p)
+        context, w, p = table(p3, "p")
+        self.p3 = Shards(np.searchsorted(self.contexts, context) * size + w, p)  # a context by its place among those of the sample: no key beyond 64 bits
 
     def log10(self, ids: np.ndarray) -> np.ndarray:
         """log10 P of each id but the first two, after the two before it; ids may hold several texts, each as ids_of() gives them."""
@@ -140,7 +149,11 @@ class Model:
         two = ids[1:-1] * size + w
         before = ids[:-2] * size + ids[1:-1]
         p2 = self.p2.get(two, 0.0) + self.back2[ids[1:-1]] * self.p1[w]
-        p3 = self.p3.get(before * size + w, 0.0) + self.back3.get(before, 1.0) * p2
+        if not len(self.contexts):
+            return np.log10(p2)
+        place = np.minimum(np.searchsorted(self.contexts, before), len(self.contexts) - 1)
+        known = self.contexts[place] == before
+        p3 = self.p3.get(np.where(known, place * size + w, -1), 0.0) + np.where(known, self.back3[place], 1.0) * p2
         return np.log10(p3)
 
 
@@ -154,11 +167,8 @@ def perplexities(df: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
         model = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 300):
-                part = batch.slice(at, 300)
-                ids = [ids_of(words_of(t), model.number) for t in utf8(part.column(1))]
-                if not ids:
-                    continue
+            for part, texts in slices(batch, 1, 1 << 20):
+                ids = [ids_of(words_of(t), model.number) for t in texts]
                 sizes = np.array([len(x) for x in ids])
                 own = np.concatenate([np.zeros(2), model.log10(np.concatenate(ids))])
                 ends = np.cumsum(sizes)
