@@ -419,3 +419,61 @@ def test_ranges_are_even(spark, kind):
     got = {r["k"]: r["_at"] for r in ranks.evenly(df, ["g"], ["x", "k"], parts=16).collect()}
     want = sorted((r["x"], r["k"]) for r in df.collect())
     assert [got[k] for _, k in want] == list(range(n))
+
+
+def test_scan_indexes(spark):
+    got = {r["n"]: r["x"] for r in spark.range(0, 80).select(F.col("id").cast("int").alias("n"), numbers.scan_indexes(F.col("id").cast("int")).alias("x")).collect()}
+    for n in range(80):
+        assert got[n] == (list(range(n)) if n <= 26 else sorted({round(1 + k * (n - 3) / 23) for k in range(24)})), n
+
+
+def test_leaks_against_tests(spark):
+    rows = [("A", "train", "p1", "t1", "r1", "i1"), ("A", "val", "p1", "t2", "r2", "i2"), ("A", "val", "p3", "t3", "r3", "i9"), ("A", "test", "p4", "t4", "r4", "i4"), ("B", "test", "p3", "t5", "r5", "i9"), ("B", "train", "p4", "t6", "r6", None)]
+    df = spark.createDataFrame(rows, "dataset string, split string, patient string, token string, recording string, image string")
+    assert values(leakage.with_tests(df)) == [("A", "patient", 1), ("A", "test image", 1), ("A", "test patient", 1), ("B", "test patient", 1)]
+    assert values(leakage.with_tests(df, everywhere=False)) == [("A", "patient", 1), ("A", "test image", 1)]
+
+
+def test_proportional(spark):
+    df = spark.createDataFrame([(k, "a" if k < 70 else "b" if k < 95 else None) for k in range(100)], "k int, s string")
+    assert Counter(r["s"] for r in sampling.proportional(df, "s", [F.col("k")], 20).collect()) == {"a": 14, "b": 5, None: 1}
+    assert sampling.proportional(df, "s", [F.col("k")], 500).count() == 100 and sampling.proportional(df.limit(0), "s", [F.col("k")], 5).isEmpty()
+
+
+def test_builds_stop_at_their_gates(spark):
+    rows = spark.createDataFrame([(1, "train", "x", "", True), (2, "val", "y", "", False), (3, "test", "z", "", True)], "k int, split string, c string, pattern string, pos boolean")
+    none = spark.createDataFrame([], "k int")
+    build = lambda df, listed: curation.core_build(df, listed, "k", "split", "c", "pattern", "pos", [F.col("k")])
+    assert values(build(rows, none).select("k")) == [(1,), (2,), (3,)]
+    with pytest.raises(leakage.LeakageError):
+        build(rows.unionByName(rows.limit(0)).withColumn("c", F.when(F.col("k") == 2, "z").otherwise(F.col("c"))), none)
+    with pytest.raises(leakage.LeakageError):
+        build(rows, spark.createDataFrame([(3,)], "k int"))
+    answers_ = spark.createDataFrame([("m", "p1", "a", "b", "A"), ("m", "p2", "a", "b", "tie"), ("n", "p9", "a", "b", "B"), ("m", "p3", "a", "b", "B")], "model string, path string, rationale_a string, rationale_b string, preference string")
+    training = spark.createDataFrame([("p1",), ("p3",)], "path string")
+    assert values(curation.preference_pairs(answers_, training, "m")) == [("p1", "a", "b"), ("p3", "b", "a")]
+    with pytest.raises(leakage.LeakageError):
+        curation.preference_pairs(answers_, training, "n")
+
+
+def test_many_models(spark):
+    """Registries beyond the plan's own literals are joined, with the same rows."""
+    images = spark.createDataFrame([(k, "d" if k % 2 else None if k % 3 else "e") for k in range(12)], "path int, dataset string")
+    rows = [(f"m{k}", None if k % 5 == 0 else ["d"] if k % 2 else ["e", "e"]) for k in range(40)]
+    models = spark.createDataFrame(rows, "model string, datasets array<string>")
+    few = values(state.expanded(images, models).select("path", "model"))
+    most, state.FEW_MODELS = state.FEW_MODELS, 10
+    try:
+        many = values(state.expanded(images, models).select("path", "model"))
+    finally:
+        state.FEW_MODELS = most
+    open_to_all = {m for m, ds in rows if ds is None}
+    want = sorted((r["path"], m) for r in images.collect() for m, ds in rows if m in open_to_all or r["dataset"] in (ds or []))
+    assert many == want and few == sorted({*want})
+
+
+def test_codes_in_brackets_and_quotes(spark):
+    cases = {'the (fnsz) run': "the run", 'a "FNSZ" here': "a focal seizure here", r'b \"fnsz\" c': "b focal seizure c", "( \"gnsz\" )x": "x", "fnsz, fnszs": "focal seizure, fnszs", "  two   gaps ": "two gaps"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["x"] for r in df.select("t", text.renamed(F.col("t"), {"fnsz": "focal seizure", "gnsz": "generalized seizure"}).alias("x")).collect()}
+    assert got == cases

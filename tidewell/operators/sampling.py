@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.numbers import spaced
+from tidewell.functions.numbers import divide, spaced
 from tidewell.operators.ranks import by_hash, evenly, hash_bucket, matched, placed
 
 
@@ -93,7 +93,7 @@ def rate_balance(df: DataFrame, pattern: str, positive: str, key: list[Column],
     stats = df.groupBy(pattern).agg(F.count_if(positive).alias("_p"), F.count_if(~F.col(positive)).alias("_q"))
     r, p, q = F.col("rate"), F.col("_p"), F.col("_q")
     above = p > r * (p + q)
-    quota = F.when(above, F.bround(q * r / (1 - r))).otherwise(F.least(q, F.bround(p * (1 - r) / r)))
+    quota = F.when(above, F.bround(divide(q * r, 1 - r))).otherwise(F.least(q, F.bround(divide(p * (1 - r), r))))
     limits = stats.join(F.broadcast(total), how="cross").select(pattern, above.alias("_above"), quota.alias("_quota"), ((r > 0) & (r < 1) & (F.col(pattern) != "")).alias("_trim"))  # total: one row
     ranked = by_hash(matched(df, limits, [pattern]), [pattern, positive], key, seed)
     return ranked.where(~F.col("_trim") | (F.col("_above") != F.col(positive)) | (F.col("_at") < F.col("_quota"))).drop("_above", "_quota", "_trim", "_at", "_n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions import answers, numbers
+from tidewell.functions import labels as L
 from tidewell.functions import text as texts
 from tidewell.operators import curation, dedup, judging, leakage, planning, ranking, sampling
 from tidewell.plans.catalogue import AUROC, DISTANCE, KEY, LABELLED, RANKED, W, _distances, _labelled, query, r6, read
@@ -187,3 +188,19 @@ def judge_replies(spark, d):
     reply = F.when(k == 3, "unsure").when(k == 2, F.concat(F.lit("```json\n"), told, F.lit("\n```"))).otherwise(told)
     candidate = F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("lang"))
     return read(spark, d, "documents").select("doc_id", *judging.verdict(candidate, reply))
+
+
+@query("SELECT o_orderkey AS path, CASE WHEN o_orderkey % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM orders WHERE o_orderstatus = 'F'")
+def scope_table(spark, d):
+    """A scope kept in a table, and one that isn't there yet."""
+    read(spark, d, "orders").select(F.col("o_orderkey").alias("path"), "o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "test").otherwise("train").alias("split")).createOrReplaceTempView("tidewell_scope")
+    there = readers.table_or_empty(spark, "tidewell_scope", "path bigint, o_orderstatus string, split string").where("o_orderstatus = 'F'").select("path", "split")
+    return there.unionByName(readers.table_or_empty(spark, "tidewell_absent_scope", "path bigint, split string"))
+
+
+@query("SELECT event_id, event_id % 5 IN (0, 1) AS labelled FROM events")
+def truth_flags(spark, d):
+    """Whether a row's text booleans hold a label, however they are written."""
+    k = F.col("event_id") % 5
+    text = F.when(k == 0, " True ").when(k == 1, "TRUE").when(k == 2, "yes").when(k == 3, "")
+    return read(spark, d, "events").select("event_id", L.has_labels({"a": L.truth(text), "b": L.truth(F.lit("false"))}).alias("labelled"))

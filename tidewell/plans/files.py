@@ -222,6 +222,31 @@ def _parts(spark, d, n: int = 4) -> DataFrame:
     return streams.events(spark, path, e.schema, "part-*", 1)
 
 
+@query("SELECT time_bucket(INTERVAL '6 hours', ts) AS start, count(*) AS n FROM events GROUP BY 1 HAVING time_bucket(INTERVAL '6 hours', min(ts)) + INTERVAL '6 hours' <= (SELECT max(ts) FROM events)")
+def stm_whole_windows(spark, d):
+    """Windows that have ended; the last, incomplete one isn't told."""
+    out = streams.finished(streams.tumbling(_stream(spark, d), "6 hours", "0 seconds", []), "append")
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id")
+def stm_stored(spark, d):
+    """A kept table that each trigger brings up to date; only the buckets of its keys are rewritten."""
+    table, e = Stored(spark, new_folder(spark), ["user_id"], 16), _parts(spark, d)
+
+    def follow(batch: DataFrame, k: int) -> None:
+        new = batch.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"), F.count("*").alias("n"))
+        before = table.read()
+        # a trigger that is repeated after a failure finds its own rows, and adds none
+        old = before.select("user_id", F.col("event_id").alias("_last"), F.col("n").alias("_n")) if before is not None else new.select("user_id", F.lit(None).cast("long").alias("_last"), F.lit(0).cast("long").alias("_n"))
+        fresh = new.join(old, "user_id", "left").where("_last is null or event_id > _last")
+        table.merge(fresh.select("user_id", "event_id", "event_type", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")))
+
+    started = e.writeStream.foreachBatch(follow).option("checkpointLocation", new_folder(spark)).trigger(availableNow=True).start()
+    started.awaitTermination()
+    return table.read()
+
+
 OUTCOMES = """o AS (SELECT user_id % 5 AS run, event_id, CASE WHEN value > 15 AND event_id % 11 > 0 THEN 'degenerate' WHEN event_id % 11 = 0 THEN 'error' ELSE 'ok' END AS outcome FROM events),
  b AS (SELECT *, sum(CASE WHEN outcome = 'degenerate' THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY event_id) AS block FROM o),
  s AS (SELECT *, CASE WHEN outcome = 'degenerate' THEN count(*) FILTER (outcome = 'degenerate') OVER (PARTITION BY run, block ORDER BY event_id) ELSE 0 END AS streak FROM b),
