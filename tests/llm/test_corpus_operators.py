@@ -180,6 +180,32 @@ def test_mixing_edges(spark):
     assert mixing.mix(fx.odd(spark)).taken.agg(F.sum("size")).first()[0] == mixing.mix(fx.odd(spark)).sizes.agg(F.sum("size")).first()[0]
 
 
+def test_mix_of_many_sources(spark):
+    """Sources as a table: the same targets and quotas, each slot once, blocks by whole passes, reruns agree."""
+    docs = fx.documents(spark).withColumn("source", F.when(F.col("doc_id") % 5 == 0, None).otherwise(F.concat(F.lit("s"), (F.col("doc_id") % 23).cast("string"))))
+    few, many = mixing.Mix(docs, "doc_id", "text", "source"), mixing.ManySources(docs)
+    a = {r["doc_id"]: (r["size"], r["source_size"], r["first"]) for r in few.sizes.collect()}
+    assert a == {r["doc_id"]: (r["size"], r["source_size"], r["first"]) for r in many.sizes.collect()}
+    want = {r["doc_id"]: r["target"] for r in few.sizes.collect()}
+    assert all(abs(r["target"] - want[r["doc_id"]]) < 1e-6 * max(1, want[r["doc_id"]]) for r in many.sizes.collect())
+    assert [r["quota"] for r in many.table.orderBy("source_no").collect()] == few.quota.tolist()
+    slots = many.slots.collect()
+    assert sorted(r["shard"] * mixing.SHARD_SLOTS + r["slot"] for r in slots) == list(range(many.total))
+    times = Counter((r["source_no"], r["block"]) for r in slots)
+    for k, (quota, blocks) in enumerate(zip(few.quota.tolist(), few.blocks, strict=True)):
+        own = [times[k, b] for b in range(blocks)]
+        assert sum(own) == quota and (not own or max(own) - min(own) <= 1)
+    x = sorted((r["doc_id"], r["taken"]) for r in many.taken.collect())
+    assert x == sorted((r["doc_id"], r["taken"]) for r in mixing.ManySources(docs.repartition(7)).taken.collect())
+    assert all(t <= 3 * a[i][0] for i, t in x)
+    assert mixing.ManySources(fx.empty(spark)).taken.isEmpty()
+    most, mixing.MOST_SOURCES = mixing.MOST_SOURCES, 3
+    try:
+        assert isinstance(mixing.mix(docs), mixing.ManySources)
+    finally:
+        mixing.MOST_SOURCES = most
+
+
 def test_kneser_sums_to_one(spark):
     model = kneser.Model(spark.createDataFrame([("a b a c a b",), ("b a c",), ("a b d",)], "text string"))
     for before in ([kneser.BEGIN, kneser.BEGIN], [kneser.BEGIN, 3], [3, 4], [4, 3], [0, 0], [5, 0]):

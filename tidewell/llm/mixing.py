@@ -6,9 +6,11 @@ comes near its target) at any size, by halving the range of shards: a shard's dr
 A source's slots are mapped to its blocks by a pseudorandom permutation of block indexes, computed per index, and joined to the
 blocks by that index.
 
-Sources are few: one row each (name and size) goes to the driver and to the tasks; more than MOST_SOURCES are refused, since each
-shard draws from all of them. Null sources form one source, last in order. Null and empty
-texts have size 0 and are never taken. Rows with the same id are kept apart only by their size; equal rows share what they get.
+Up to MOST_SOURCES sources, one row each (name and size) goes to the driver and to the tasks, since each shard draws from all of them.
+Beyond that (ManySources) sources stay a table: targets come from a few rounds of sums, and the slots of all sources, laid end to end,
+go to the output's places by one pseudorandom permutation, which gives each shard the same kind of draw. Null sources form one source,
+last in order. Null and empty texts have size 0 and are never taken. Rows with the same id are kept apart only by their size; equal
+rows share what they get.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import WORD, documents, durable
+from tidewell.operators.ranks import evenly
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
@@ -120,10 +123,8 @@ class Mix:
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, source_col: str, weights=(1.0, 2.0, 3.0), block: int = BLOCK_WORDS, seed: int = 0):
         spark = df.sparkSession
-        sized = durable(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix sizes")
-        found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
-        if len(found) > MOST_SOURCES:
-            raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
+        sized = sizes_of(df, id_col, text_col, source_col)
+        found = sources_of(sized).collect()
         found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
         self.names = [r["source"] for r in found]
         self.totals = [r["size"] for r in found]
@@ -133,17 +134,8 @@ class Mix:
             [(k, r["source"], r["size"], t) for k, (r, t) in enumerate(zip(found, self.targets, strict=True))], "source_no int, source string, source_size long, target double"
         )
         rows = sum(r["n"] for r in found)
-        # where a document begins in its source: sums within buckets, and sums of the buckets before; both about the root of all rows
-        buckets = max(1, math.isqrt(rows))
-        own = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         named = sized.join(F.broadcast(table.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name")))  # a row for each source
-        placed = named.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).select("doc_id", "source_no", "size", "source_size", "target", "bucket")
-        before = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("total")).withColumn("before", F.coalesce(F.sum("total").over(whole), F.lit(0)))
-        inner = placed.withColumn("inside", F.coalesce(F.sum("size").over(own), F.lit(0)))
-        self.sizes = inner.join(before, ["source_no", "bucket"]).select(
-            "doc_id", "source_no", "size", "source_size", "target", (F.col("before") + F.col("inside")).alias("first")
-        )
+        self.sizes = begun(named, rows)
         blocks = [-(-n // block) for n in self.totals]
         # whole passes over a source and the blocks of the last, partial one
         quota = []
@@ -199,8 +191,85 @@ class Mix:
         return some.select(columns).unionByName(self.sizes.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
 
 
+CHUNK = 1 << 16  # slots of a source that a task maps together
+
+
+class ManySources(Mix):
+    """A mix whose sources are a table."""
+
+    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1.0, 2.0, 3.0), block: int = BLOCK_WORDS, seed: int = 0):
+        self.block, self.seed, self.spark = block, seed, df.sparkSession
+        sized = sizes_of(df, id_col, text_col, source_col)
+        numbered = evenly(durable(sources_of(sized), "sources"), [], [F.col("source").asc_nulls_last()], at="source_no")
+        named = durable(numbered.select(F.col("source_no").cast("int").alias("source_no"), F.col("source").alias("name"), F.col("size").alias("source_size"), "n"), "numbered sources")
+        weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("source_no") % len(weights)).cast("int") + 1)
+        table = self.with_targets(named.withColumn("weight", weight))
+        blocks, size, target = F.ceil(F.col("source_size") / block), F.col("source_size"), F.col("target")
+        passes = F.when(size > 0, F.least(F.lit(MOST), F.floor(target / F.greatest(size, F.lit(1))))).otherwise(0)
+        more = F.when(size > 0, F.least(blocks, F.bround((target - passes * size) / block))).otherwise(0)
+        table = table.withColumn("blocks", blocks).withColumn("quota", (passes * blocks + F.when(passes < MOST, more).otherwise(0)).cast("long"))
+        self.table = durable(evenly(table, [], ["source_no"], at="offset", n="slots", size=F.col("quota")), "quotas")
+        self.total = self.table.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
+        self.shards = max(1, math.ceil(self.total / SHARD_SLOTS))
+        rows = sized.count()
+        self.sizes = begun(sized.join(self.table.select("name", "source_no", "source_size", "target"), F.col("source").eqNullSafe(F.col("name"))), rows)
+
+    @staticmethod
+    def with_targets(table: DataFrame) -> DataFrame:
+        """table with target, as targets() gives it: each round closes the sources that their share would lift above the most."""
+        table = table.withColumn("target", F.lit(None).cast("double"))
+        left = float(table.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
+        while True:
+            total = table.where("target is null").agg(F.sum("weight")).first()[0]
+            if total is None:
+                return table
+            share, most = F.lit(left) * F.col("weight") / F.lit(total), F.lit(float(MOST)) * F.col("source_size")
+            above = F.col("target").isNull() & (share > most)
+            closed = table.agg(F.count_if(above).alias("n"), F.sum(F.when(above, most)).alias("words")).first()
+            if not closed["n"]:
+                return table.withColumn("target", F.coalesce("target", share))
+            table, left = durable(table.withColumn("target", F.when(above, most).otherwise(F.col("target"))), "targets"), left - closed["words"]
+
+    @property
+    def slots(self) -> DataFrame:
+        total, seed = self.total, self.seed
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for k, quota, blocks, offset, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    index = np.arange(chunk * CHUNK, min(quota, (chunk + 1) * CHUNK))
+                    place = permuted(offset + index, total, seed_of(seed, "order"))
+                    block = permuted(index % blocks, blocks, seed_of(seed, "source", k))
+                    yield pa.RecordBatch.from_arrays([pa.array(place // SHARD_SLOTS), pa.array(place % SHARD_SLOTS), pa.array(np.full(len(index), k, np.int32)), pa.array(block)], ["shard", "slot", "source_no", "block"])
+
+        chunks = self.table.where("quota > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(quota - 1) div {CHUNK}"))))
+        return chunks.select("source_no", "quota", "blocks", "offset", "chunk").repartition("source_no", "chunk").mapInArrow(run, "shard bigint, slot bigint, source_no int, block bigint")
+
+
+def sizes_of(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return durable(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix sizes")
+
+
+def sources_of(sized: DataFrame) -> DataFrame:
+    return sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+
+
+def begun(named: DataFrame, rows: int) -> DataFrame:
+    """named (doc_id, source_no, size, source_size, target) with first, where a document begins in its source: sums within buckets, and sums of the buckets before; both about the root of all rows."""
+    buckets = max(1, math.isqrt(rows))
+    own = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = named.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).select("doc_id", "source_no", "size", "source_size", "target", "bucket")
+    before = placed.groupBy("source_no", "bucket").agg(F.sum("size").alias("total")).withColumn("before", F.coalesce(F.sum("total").over(whole), F.lit(0)))
+    inner = placed.withColumn("inside", F.coalesce(F.sum("size").over(own), F.lit(0)))
+    return inner.join(before, ["source_no", "bucket"]).select("doc_id", "source_no", "size", "source_size", "target", (F.col("before") + F.col("inside")).alias("first"))
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> Mix:
-    return Mix(df, id_col, text_col, source_col, **options)
+    many = df.select(source_col).distinct().limit(MOST_SOURCES + 1).count() > MOST_SOURCES
+    return (ManySources if many else Mix)(df, id_col, text_col, source_col, **options)
 
 
 def op10_source_mixing(spark, sf_dir: str) -> DataFrame:
