@@ -125,6 +125,16 @@ def test_op12(spark, tmp_path, kind):
     assert got == negatives_by_hand(rows) and (bool(got) or kind in ("no anchors", "empty"))
 
 
+def test_negatives_without_ids(spark, tmp_path):
+    """Rows without an id take part and come last among ties; rows without a label or a usable vector don't; vectors of several lengths end in zeros."""
+    one, short = [1.0, 0.0, 0.0], [1.0]
+    rows = [(100, one, 1), (None, short, 1), (3, one, 1), (None, one, 2), (5, [1.0, 0.0], 2), (6, one, None), (8, None, 2), (9, [None, 1.0], 2), (11, [], 3)]
+    frame(spark, [(*r, "v", "r", "c") for r in rows]).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [tuple(r[n] for n in NAMES) for r in queries.QUERIES["op12_hard_negatives"](spark, str(tmp_path)).collect()]
+    whole = 256 * 256
+    assert sorted(got, key=str) == sorted([(100, p, k, n, whole, whole) for p in (3, None) for k, n in ((1, 5), (2, None))], key=str)
+
+
 def test_small_groups_and_blocks(spark):
     """Many cells, groups of two anchors, blocks of a few rows: the same pairs, and rows that are left out of groups."""
     rows = [(r[0], r[1], r[2], *r[3:]) for r in clustered(640) if r[2] is not None]
