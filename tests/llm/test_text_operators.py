@@ -237,21 +237,22 @@ def test_signs_cover_what_is_sensible():
     pii.SIGN.search("a" * 100_000 + " " * 1000 + "a:b " * 20_000)  # in time
 
 
-@pytest.mark.parametrize("name", ["EXAMPLES", "HELD_OUT", "FRESH"])
-def test_personal_recall_by_hand(name):
-    """Spans that no pattern finds, in sentences that the generator of the training data didn't write."""
+def test_personal_recall_by_hand():
+    """Spans that no pattern finds, in sentences that the generator of the training data didn't write: 0.9 of each list, and 0.85 of each kind in all of them."""
     from tests.llm import personal_examples
 
     model, hit, all_of_them, missed = tagger.trained(), Counter(), Counter(), []
-    for text, want in map(personal_examples.spans, getattr(personal_examples, name)):
-        got = [s.split(":") for s in pii.reports(model, [text], True)[0][5].split(",") if s]
-        assert not base_by_hand(text)
-        for kind, a, b in want:
-            all_of_them[kind] += 1
-            well = any(min(int(y), b) - max(int(x), a) >= 0.8 * (b - a) for _, x, y in got)
-            hit[kind] += well
-            missed += [] if well else [text[a:b]]
-    assert hit.total() >= 0.9 * all_of_them.total() and all(hit[k] >= 0.8 * n for k, n in all_of_them.items()), (hit, all_of_them, missed)
+    for name in ("EXAMPLES", "HELD_OUT", "FRESH"):
+        for text, want in map(personal_examples.spans, getattr(personal_examples, name)):
+            got = [s.split(":") for s in pii.reports(model, [text], True)[0][5].split(",") if s]
+            assert not base_by_hand(text)
+            for kind, a, b in want:
+                well = any(min(int(y), b) - max(int(x), a) >= 0.8 * (b - a) for _, x, y in got)
+                for group in (name, kind):
+                    all_of_them[group] += 1
+                    hit[group] += well
+                missed += [] if well else [text[a:b]]
+    assert all(hit[k] >= (0.85 if k in tagger.KINDS else 0.9) * n for k, n in all_of_them.items()), (hit, all_of_them, missed)
     for text in personal_examples.CLEAN:
         assert pii.reports(model, [text], True)[0][5] == ",".join(f"{tagger.KINDS[k]}:{a}:{b}" for a, k, b in base_by_hand(text))
 
