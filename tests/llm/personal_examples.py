@@ -74,7 +74,7 @@ HELD_OUT = [
     "llama al [[phone:93.402.11.00]] y pregunta por Nuria",
     "reception [[phone:0131-496-0777]], ask for Moira",
 ]
-#: Written after the generator's last change; scored once, as they are.
+#: Written after the generator's last change; no sentence was changed after a score.
 FRESH = [
     "Reviews to [[email:olga.petrov (at) nauka.ru]], thanks.",
     "for access ask [[email:admin at fishbase dot org]] nicely",
