@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.labels import shown
 from tidewell.functions.numbers import divide
+from tidewell.sources.folders import saved
 
 MIN_SUPPORT, MIN_PATIENTS, DEGENERATE = 20, 20, 0.95
 
@@ -86,10 +87,10 @@ def evaluate(answers: DataFrame, truth: DataFrame, scope: DataFrame, classes: li
     best constant answer's over the same classes. iterations > 0 adds the interval of the recordings' macro-F1; it and
     clears_baseline are null without such a class.
 
-    Windows are grouped once by recording, with all counts that follow.
+    First answers are written once, and so are the recordings' counts, from which all other figures follow.
     """
-    w = first_answers(answers, truth, scope)
-    each = by_recording(w, classes, binary)
+    w = saved(first_answers(answers, truth, scope), "answers")
+    each = saved(by_recording(w, classes, binary), "recordings")
     out = figures(each, classes, binary, excluded, least).join(answers_of(w, "model"), "model")
     patients = each.groupBy("model").agg(F.count_distinct("patient").alias("patients"))
     total = scope.agg(F.count("*").alias("_all"))  # one row

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.numbers import divide, spaced
 from tidewell.operators.ranks import by_hash, evenly, hash_bucket, matched, placed
+from tidewell.sources.folders import saved
 
 
 MOST_CLASSES = 10_000
@@ -31,7 +32,7 @@ def round_robin(df: DataFrame, by: list[str], group: str, order: list, budget: s
     limit = F.col(budget) if isinstance(budget, str) else F.lit(budget)
     # a group's turns beyond the budget can't be reached
     ranked = df.withColumn("_turn", turn).where(F.col("_turn") <= limit)
-    return evenly(ranked, by, ["_turn", group]).where(F.col("_at") < limit).drop("_turn", "_at", "_n")
+    return evenly(saved(ranked, "turns"), by, ["_turn", group]).where(F.col("_at") < limit).drop("_turn", "_at", "_n")
 
 
 def running_split(units: DataFrame, size: str, key: list[Column], share: float, by: list[str] | None = None, seed=0) -> DataFrame:
