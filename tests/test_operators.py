@@ -477,3 +477,26 @@ def test_codes_in_brackets_and_quotes(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     got = {r["t"]: r["x"] for r in df.select("t", text.renamed(F.col("t"), {"fnsz": "focal seizure", "gnsz": "generalized seizure"}).alias("x")).collect()}
     assert got == cases
+
+
+def test_dealt_parts_follow_the_rows(spark):
+    from tidewell.operators import ranks
+
+    df = spark.range(10).withColumn("k", F.col("id") % 3)
+    assert ranks.dealt(df, ["k"], 100 * ranks.ROWS).rdd.getNumPartitions() == 100
+    assert ranks.dealt(df, ["k"], ranks.ROWS).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+
+
+def test_windows_move_line_items_once(spark):
+    from tidewell.operators import ranks
+    from tidewell.plans import catalogue
+
+    few, ranks.FEW = ranks.FEW, 0  # as of a large table
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = catalogue.majority_vote(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        ranks.FEW = few
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 4  # orders twice, customers and line items once

@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 from tidewell.sources.folders import saved
 
 
+ROWS = 400_000  # rows that a task sorts
+FEW = 10  # parts of a table that is left to Spark
+
+
+def dealt(df: DataFrame, key: list[str], rows: int) -> DataFrame:
+    """df, of about `rows` rows, dealt by key into parts of ROWS, shuffles' partitions at least, so that a task's share doesn't grow with the table; a small table stays as it is."""
+    parts = -(-rows // ROWS)
+    return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *key) if parts > FEW else df
+
+
 def shuffled(seed, *key: Column) -> Column:
     """A value to order by, like a shuffle that is the same everywhere."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in key)).cast("binary"))

@@ -13,7 +13,7 @@ from tidewell.functions import answers as replies
 from tidewell.functions import labels as L
 from tidewell.functions import names, numbers
 from tidewell.functions import text as texts
-from tidewell.operators import bootstrap, clients, curation, dedup, intervals, judging, leakage, metrics, ordered, planning, ranking, sampling, state
+from tidewell.operators import bootstrap, clients, curation, dedup, intervals, judging, leakage, metrics, ordered, planning, ranking, ranks, sampling, state
 from tidewell.sources import writers
 from tidewell.streaming import streams
 
@@ -40,7 +40,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, d: str) -> DataFrame:
-    joined = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    """Line items move once, by recording, into parts that don't grow with the table; what groups by recording then moves nothing."""
+    heads = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "c_mktsegment")
+    lines = read(spark, d, "lineitem")  # counting it reads footers alone
+    joined = ranks.dealt(lines, ["l_orderkey"], lines.count()).join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
     pred = F.when(F.col("l_linestatus") == "O", "N").when(F.col("l_quantity") < 25, "A").otherwise("R")
     c = F.col
     return joined.select(
