@@ -500,3 +500,12 @@ def test_windows_move_line_items_once(spark):
         ranks.FEW = few
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 4  # orders twice, customers and line items once
+
+
+def test_spread_by_caps_is_spread_for_each(spark):
+    df = spark.range(40).select((F.col("id") % 7 % 4).alias("g"), "id")
+    caps = [0, 1, 2, 3, 8, None]
+    want = [(c, *r) for c in caps for r in sampling.spread(df, ["g"], ["id"], c).collect()]
+    got = sampling.spread_by_caps(df, ["g"], ["id"], caps).select("cap", "g", "id")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))

@@ -19,11 +19,24 @@ MOST_CLASSES = 10_000
 
 def spread(df: DataFrame, by: list[str], order: list, cap: Column | int | None) -> DataFrame:
     """At most cap rows of each group, evenly spaced in the order; all for a cap that is null, 0 or less, or not below their number."""
-    own = Window.partitionBy(*by)
-    ranked = df.withColumn("_n", F.count("*").over(own)).withColumn("_at", F.row_number().over(own.orderBy(*order)) - 1)
-    cap = cap if isinstance(cap, Column) else F.lit(cap).cast("int")
-    keep = cap.isNull() | (cap <= 0) | (cap >= F.col("_n")) | F.array_contains(spaced(F.col("_n"), cap), F.col("_at"))
-    return ranked.where(keep).drop("_n", "_at")
+    return _numbered(df, by, order).where(_stays(cap if isinstance(cap, Column) else F.lit(cap).cast("int"))).drop("_n", "_at")
+
+
+def spread_by_caps(df: DataFrame, by: list[str], order: list, caps: list[int | None], cap: str = "cap") -> DataFrame:
+    """spread() for each of several caps: df with cap. Groups are sorted once, whatever the number of caps."""
+    each = (F.lit(c).cast("int") for c in caps)
+    kept = F.array_compact(F.array(*(F.when(_stays(c), F.struct(c.alias(cap))) for c in each)))
+    return _numbered(df, by, order).select(*df.columns, F.inline(kept))
+
+
+def _numbered(df: DataFrame, by: list[str], order: list) -> DataFrame:
+    """df with _n, the rows of each group, and _at, the place of each; both from one sort."""
+    own = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("_n", F.count("*").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("_at", F.row_number().over(own) - 1)
+
+
+def _stays(cap: Column) -> Column:
+    return cap.isNull() | (cap <= 0) | (cap >= F.col("_n")) | F.array_contains(spaced(F.col("_n"), cap), F.col("_at"))
 
 
 def round_robin(df: DataFrame, by: list[str], group: str, order: list, budget: str | int) -> DataFrame:

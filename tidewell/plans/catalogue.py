@@ -286,9 +286,7 @@ SPREAD = "list_contains(list_transform(range({cap}), lambda i: CAST(round_even(i
  SELECT cap, recording, line, part, supp FROM k, (VALUES (1), (2), (3), (8), (NULL)) AS c(cap) WHERE cap IS NULL OR cap >= n OR (cap = 1 AND pos = n // 2) OR (cap = 2 AND {SPREAD.format(cap=2)}) OR (cap = 3 AND {SPREAD.format(cap=3)}) OR (cap = 8 AND {SPREAD.format(cap=8)})"""
 )
 def spread_sample(spark, d):
-    w = windows(spark, d).select(*KEY)
-    caps = w.withColumn("cap", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(8), F.lit(None).cast("int"))))
-    return sampling.spread(caps, ["cap", "recording"], ["line", "part", "supp"], F.col("cap")).select("cap", *KEY)
+    return sampling.spread_by_caps(windows(spark, d).select(*KEY), ["recording"], ["line", "part", "supp"], [1, 2, 3, 8, None]).select("cap", *KEY)
 
 
 SPLIT = """u AS (SELECT o_custkey AS patient, count(*) AS n FROM orders GROUP BY 1),
