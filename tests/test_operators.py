@@ -509,3 +509,10 @@ def test_spread_by_caps_is_spread_for_each(spark):
     got = sampling.spread_by_caps(df, ["g"], ["id"], caps).select("cap", "g", "id")
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_a_reply_is_read_once(spark):
+    from tidewell.plans import catalogue
+
+    plan = catalogue.json_fields(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1

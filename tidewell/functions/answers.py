@@ -15,8 +15,6 @@ def first_object(reply: Column) -> Column:
     unless a backslash stands before it, and braces in strings don't count.
     """
     bare = F.regexp_replace(F.trim(reply), r"(?m)^\s*```(?:json)?|```\s*$", "")
-    rest = F.substring(bare, F.instr(bare, "{"), F.length(bare))
-    tokens = F.regexp_extract_all(rest, F.lit(r'((?s:\\.?)|["{}]|[^"{}\\]+)'), F.lit(1))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("chars"), F.lit(False).alias("quoted"), F.lit(False).alias("done"))
 
     def step(s: Column, t: Column) -> Column:
@@ -24,8 +22,12 @@ def first_object(reply: Column) -> Column:
         now = F.struct(depth.alias("depth"), (s["chars"] + F.length(t)).alias("chars"), (s["quoted"] != (t == '"')).alias("quoted"), (depth == 0).alias("done"))
         return F.when(s["done"], s).otherwise(now)
 
-    found = F.aggregate(tokens, start, step, lambda s: F.when(s["done"], s["chars"]))
-    return F.when(F.contains(bare, F.lit("{")), F.substring(rest, F.lit(1), found))
+    def closed(rest: Column) -> Column:
+        tokens = F.regexp_extract_all(rest, F.lit(r'((?s:\\.?)|["{}]|[^"{}\\]+)'), F.lit(1))
+        return F.substring(rest, F.lit(1), F.aggregate(tokens, start, step, lambda s: F.when(s["done"], s["chars"])))
+
+    # let: else each use of the text would take the fences out again
+    return let(let(bare, lambda b: F.when(F.contains(b, F.lit("{")), F.substring(b, F.instr(b, "{"), F.length(b)))), closed)
 
 
 def value(reply: Column) -> Column:
@@ -49,9 +51,9 @@ def parsed(reply: Column, fields: dict[str, str]) -> Column:
     return let(value(reply), lambda v: F.when(v.isNotNull(), fields_of(v, fields)))
 
 
-def field(reply: Column, name: str) -> Column:
-    """A field of the reply's object, or the reply itself."""
-    return F.coalesce(F.try_variant_get(value(reply), f"$['{name}']", "string"), reply)
+def field(reply: Column, name: str, v: Column | None = None) -> Column:
+    """A field of the reply's object, or the reply itself; v is value(reply), where it is known."""
+    return F.coalesce(F.try_variant_get(value(reply) if v is None else v, f"$['{name}']", "string"), reply)
 
 
 def target(fields: dict[str, Column]) -> Column:

@@ -652,7 +652,8 @@ def json_fields(spark, d):
     fenced, tailed = F.concat(F.lit("Sure:\n```json\n"), own, F.lit("\n``` done {")), F.concat(F.lit('He said "so": '), own, F.lit(' and "more" {}'))
     reply = F.when(k == 0, fenced).when(k == 5, F.concat(F.lit("no object, "), label)).when(k == 6, F.concat(F.lit('So {"label": "'), label, F.lit('", "text"'))).when(k.isin(1, 4), own).otherwise(tailed)
     e = read(spark, d, "events").select("event_id", reply.alias("reply"))
-    return e.select("event_id", replies.parsed(F.col("reply"), {"label": "string", "text": "string"})["label"].alias("label"), replies.field(F.col("reply"), "text").alias("rationale"))
+    e = e.select("event_id", "reply", replies.value(F.col("reply")).alias("v"))  # each reply is read once for both fields
+    return e.select("event_id", replies.fields_of(F.col("v"), {"label": "string"})["label"].alias("label"), replies.field(F.col("reply"), "text", F.col("v")).alias("rationale"))
 
 
 @query(
