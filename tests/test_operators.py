@@ -487,6 +487,20 @@ def test_dealt_parts_follow_the_rows(spark):
     assert ranks.dealt(df, ["k"], ranks.ROWS).rdd.getNumPartitions() == df.rdd.getNumPartitions()
 
 
+def test_weights_are_drawn_once_a_cluster(spark):
+    import numpy as np
+    from hashlib import md5
+
+    from tidewell.operators import bootstrap
+
+    df = spark.range(40).select((F.col("id") % 5).alias("c"), (F.col("id") % 7).alias("s"), F.lit(1).alias("a"))
+    plan = bootstrap.weighted(df, "c", ["s"], ["a"], 10)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Sort \[_cluster#\d+ ASC", plan) and re.search(r"hashpartitioning\(_cluster#\d+, \d+\)", plan)
+    fractions = [int.from_bytes(md5(b"7:%d" % (k // 4)).digest()[k % 4 * 4 :][:4], "big") / 4294967296 for k in range(10)]
+    assert bootstrap.drawn_for(["x", "7"], 10)[1].tolist() == np.searchsorted(bootstrap.POISSON, fractions, side="right").tolist()
+    assert bootstrap.drawn_for([], 10).shape == (0, 10)
+
+
 def test_windows_move_line_items_once(spark):
     from tidewell.operators import ranks
     from tidewell.plans import catalogue

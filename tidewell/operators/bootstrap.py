@@ -9,6 +9,7 @@ block of clusters finds its draws by itself and the draws of a replicate always
 
 from __future__ import annotations
 
+import math
 import zlib
 from hashlib import md5
 
@@ -22,15 +23,23 @@ from tidewell.operators.ranks import by_hash
 #: Cumulative Poisson(1) probabilities for 0 to 5.
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
 HELD = 4_000_000  # numbers that a task holds before it passes its sums on
-SPREAD = 4  # tasks that share the rows of a cluster
 BLOCK = 1 << 16  # clusters whose draws are made together
 
 
 def weights_of(cluster: str, replicates: int) -> np.ndarray:
     """0 to 6 for each replicate: each md5(cluster:k) gives the four from 4k on, 32 bits each."""
-    own = b"".join(md5(f"{cluster}:{k}".encode(), usedforsecurity=False).digest() for k in range(-(-replicates // 4)))
-    u = np.frombuffer(own, ">u4")[:replicates] / 4294967296.0
-    return np.searchsorted(POISSON, u, side="right").astype(np.int8)
+    return drawn_for([cluster], replicates)[0]
+
+
+def drawn_for(clusters: list[str], replicates: int) -> np.ndarray:
+    """weights_of() each, a row a cluster. Whole numbers of 32 bits meet the same bounds as their fractions do."""
+    ends = [f":{k}".encode() for k in range(-(-replicates // 4))]
+    own = b"".join([md5(c + e, usedforsecurity=False).digest() for c in (c.encode() for c in clusters) for e in ends])
+    u = np.frombuffer(own, ">u4").reshape(len(clusters), 4 * len(ends))[:, :replicates].astype(np.uint32)
+    out = np.zeros(u.shape, np.int8)
+    for p in POISSON:
+        out += u >= np.uint32(math.ceil(p * 4294967296))
+    return out
 
 
 def weighted(counts: DataFrame, cluster: str, by: list[str], sums: list[str], replicates: int = 1000) -> DataFrame:
@@ -39,7 +48,7 @@ def weighted(counts: DataFrame, cluster: str, by: list[str], sums: list[str], re
     names = [f"_k{i}" for i in range(len(by))]
     dealt = counts.select(F.col(cluster).cast("string").alias("_cluster"), *(F.col(b).alias(n) for b, n in zip(by, names, strict=True)), *(F.col(s).cast("double").alias(f"_s{i}") for i, s in enumerate(sums)))
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "_cluster", F.pmod(F.xxhash64(*names) if names else F.lit(0), F.lit(SPREAD)))
+    dealt = dealt.repartition(parts, "_cluster").sortWithinPartitions("_cluster")  # a cluster's weights are drawn once
     keys = dealt.select(*names).schema
 
     def run(batches):
@@ -60,7 +69,7 @@ def weighted(counts: DataFrame, cluster: str, by: list[str], sums: list[str], re
             index: dict[tuple, list[int]] = {}
             for r, key in enumerate(zip(*(batch.column(1 + i).to_pylist() for i in range(len(names))), strict=True) if names else [()] * len(at)):
                 index.setdefault(key, []).append(r)
-            drawn = np.stack([weights_of(c, replicates) for c in own]) if len(own) else np.zeros((0, replicates), np.int8)
+            drawn = drawn_for(list(own), replicates)
             for key, rows in index.items():
                 new = value[rows].T @ drawn[at[rows]].astype(np.float64)
                 held[key] = held[key] + new if key in held else new
