@@ -508,6 +508,17 @@ def test_answers_move_once_and_ties_go_to_the_first_path(spark):
     assert (out["windows"], out["top_answer"], out["coverage"]) == (2, "A", 1.0)
 
 
+def test_first_by_hash_is_the_begin_of_by_hash(spark):
+    from tidewell.operators import ranks
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), "id")
+    want = ranks.by_hash(df, ["g"], [F.col("id")], 1).where("_at < 20").select("g", "id", "_at").collect()
+    first = ranks.first_by_hash(df, ["g"], [F.col("id")], 20, 1).select("g", "id", "_at")
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 3  # counts twice, and the few
+    assert sorted(map(str, map(tuple, first.collect()))) == sorted(map(str, map(tuple, want))) and len(want) == 60
+
+
 def test_weights_are_drawn_once_a_cluster(spark):
     import numpy as np
     from hashlib import md5

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import problems
-from tidewell.operators.ranks import by_hash, matched
-from tidewell.operators.ranks import shuffled
+from tidewell.operators.ranks import by_hash, first_by_hash, matched, shuffled
 from tidewell.operators.sampling import round_robin, spread
 
 BACKGROUND = ["bckg"]
@@ -136,7 +135,7 @@ def preference_windows(df: DataFrame, questions: list[str], key: list[Column], m
     names = [f"_k{i}" for i in range(len(key))]
     each = df.select(*(k.alias(n) for k, n in zip(key, names, strict=True)), F.explode(F.array(*(F.struct(F.lit(q).alias("question"), F.col(q).alias("has")) for q in questions))).alias("_q"))
     each = each.select(*names, "_q.question", "_q.has")
-    ranked = by_hash(each, ["question", "has"], [F.col(n) for n in names], seed).where(F.col("_at") < most * len(questions))
+    ranked = first_by_hash(each, ["question", "has"], [F.col(n) for n in names], most * len(questions), seed)
     rows = sorted(ranked.select(*names, "question", "has", "_at").collect(), key=lambda r: (questions.index(r["question"]), not r["has"], r["_at"]))
     taken, left, out = set(), {}, []
     for r in rows:

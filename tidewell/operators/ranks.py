@@ -76,3 +76,15 @@ def by_hash(df: DataFrame, by: list[str], key: list[Column], seed=0, at: str = "
     """placed() in the order of hashes of the key."""
     marked = df.withColumn("_hash", shuffled(seed, *key))
     return placed(marked, by, hash_bucket(F.col("_hash")), ["_hash", *key], at, n, size).drop("_hash")
+
+
+def first_by_hash(df: DataFrame, by: list[str], key: list[Column], n: int, seed=0, at: str = "_at") -> DataFrame:
+    """The first n rows of each group of by_hash(), with `at`. Buckets are counted first, so only rows of those that hold the first n move; groups are few."""
+    marked = df.withColumn("_hash", shuffled(seed, *key)).withColumn("_bucket", hash_bucket(F.col("_hash")))
+    sums = marked.groupBy(*by, "_bucket").agg(F.count("*").alias("_own"))
+    group = Window.partitionBy(*(F.col(c) for c in by))
+    before = F.coalesce(F.sum("_own").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    table = sums.withColumn("_before", before).where(F.col("_before") < n).select(*by, "_bucket")
+    few = matched(marked, F.broadcast(table), [*by, "_bucket"])
+    rank = F.row_number().over(group.orderBy("_hash", *key)) - 1
+    return few.withColumn(at, rank).where(F.col(at) < n).drop("_hash", "_bucket")
