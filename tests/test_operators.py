@@ -519,6 +519,23 @@ def test_first_by_hash_is_the_begin_of_by_hash(spark):
     assert sorted(map(str, map(tuple, first.collect()))) == sorted(map(str, map(tuple, want))) and len(want) == 60
 
 
+def test_new_windows_move_once(spark):
+    from tidewell.operators import ranks
+
+    new = spark.range(20).select((F.col("id") % 2).alias("arm"), (F.col("id") % 7).cast("string").alias("path"), F.lit(0.5).alias("score"), F.col("id").alias("at"))
+    meta = spark.range(5).select(F.col("id").cast("string").alias("path"), F.lit(True).alias("quiet"), F.lit(None).cast("long").alias("distance"))
+    scored = spark.range(6).select((F.col("id") % 2).alias("arm"), F.col("id").cast("string").alias("path"), (F.col("id") / 10).alias("score"), (F.col("id") > 2).alias("positive"))
+    want = values(ranking.background_figures(scored, new, meta, ["arm"]))
+    few, ranks.FEW = ranks.FEW, 0  # as of a large table
+    try:
+        out = ranking.background_figures(scored, new, meta, ["arm"], rows=20)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert values(out) == want
+    finally:
+        ranks.FEW = few
+    assert re.search(r"hashpartitioning\(path#\d+, \d+\), REPARTITION_BY_NUM", plan) and not re.search(r"hashpartitioning\(arm#\d+L, path", plan)
+
+
 def test_weights_are_drawn_once_a_cluster(spark):
     import numpy as np
     from hashlib import md5

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.numbers import divide
 from tidewell.operators.bootstrap import interval, weighted
-from tidewell.operators.ranks import evenly
+from tidewell.operators.ranks import dealt, evenly
 from tidewell.sources.folders import saved
 
 def auroc_of_counts(each: DataFrame, by: list[str], score: str) -> DataFrame:
@@ -137,16 +137,16 @@ def arm_figures(df: DataFrame, by: list[str], group: list[str], subset: Column,
     return n.join(areas, by, "left").select(*by, "windows", "auroc", "auroc_within", "auroc_subset", *threshold_figures())
 
 
-def background_figures(scored: DataFrame, new: DataFrame, meta: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
+def background_figures(scored: DataFrame, new: DataFrame, meta: DataFrame, by: list[str], threshold: float = 0.5, rows: int = 0) -> DataFrame:
     """by, and the figures of an arm's windows with an event against its old background and against a new one.
 
     scored: by, path, score, positive; new: by, path, score, at (of several the last counts); meta: path, quiet (whether its recording
     has no event), distance (windows to the nearest). New windows without metadata count in what needs none. AUROCs are null, rates
-    0.0, where there is nothing to divide.
+    0.0, where there is nothing to divide. rows: about how many new windows there are, so that tasks' shares don't grow with them.
     """
     from tidewell.operators.dedup import last_of
 
-    fresh = last_of(new, [*by, "path"], [F.col("at")]).join(meta, "path", "left")
+    fresh = last_of(dealt(new, ["path"], rows), [*by, "path"], [F.col("at")]).join(meta, "path", "left")
     low, d = F.col("score") < threshold, F.col("distance")
     rate = lambda test, among: divide(F.count_if(test & among), F.count_if(among))
     own = scored.groupBy(*by).agg(F.count_if("positive").alias("event_windows"), rate(~low, F.col("positive")).alias("sensitivity"), rate(low, ~F.col("positive")).alias("specificity_old"))

@@ -122,7 +122,7 @@ def background_report(spark, d):
     later = F.when(F.col("recording") % 2 == 0, F.col("score") / 2).otherwise(F.col("score"))
     fresh = o.where(~F.col("positive") & (F.col("idx") % 2 == 0))
     new = fresh.select("arm", "path", F.lit(0.5).alias("score"), F.lit(0).alias("at")).unionByName(fresh.select("arm", "path", later.alias("score"), F.lit(1).alias("at")))
-    out = ranking.background_figures(o.select("arm", "path", "score", "positive"), new, meta, ["arm"], 0.05)
+    out = ranking.background_figures(o.select("arm", "path", "score", "positive"), new, meta, ["arm"], 0.05, rows=read(spark, d, "lineitem").count())
     return out.select(*(r6(c).alias(c) if k == "double" else F.col(c) for c, k in out.dtypes))
 
 
