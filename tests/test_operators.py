@@ -536,6 +536,22 @@ def test_new_windows_move_once(spark):
     assert re.search(r"hashpartitioning\(path#\d+, \d+\), REPARTITION_BY_NUM", plan) and not re.search(r"hashpartitioning\(arm#\d+L, path", plan)
 
 
+def test_coverage_deals_scope_and_done_alike(spark):
+    from tidewell.operators import ranks
+
+    scope = spark.range(40).select((F.col("id") % 3).alias("g"), "id")
+    done = scope.where("id % 4 = 0").union(scope.where("id % 8 = 0"))
+    want = values(metrics.coverage(scope, done, ["id"], ["g"]))
+    few, ranks.FEW = ranks.FEW, 0  # as of a large table
+    try:
+        out = metrics.coverage(scope, done, ["id"], ["g"], rows=40)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert values(out) == want and sum(r[1] for r in want) == 10
+    finally:
+        ranks.FEW = few
+    assert len(re.findall(r"hashpartitioning\(id#\d+L, \d+\), REPARTITION_BY_NUM", plan)) == 2
+
+
 def test_weights_are_drawn_once_a_cluster(spark):
     import numpy as np
     from hashlib import md5

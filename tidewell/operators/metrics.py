@@ -60,9 +60,10 @@ def answers(df: DataFrame, by: list[str], labels: Column, order: str) -> DataFra
     return out.withColumn("degenerate", F.col("top_answer_fraction") >= DEGENERATE)
 
 
-def coverage(scope: DataFrame, done: DataFrame, key: list[str], by: list[str]) -> DataFrame:
-    """windows and the share of the whole scope that is done, rounded to 4 places."""
-    marked = scope.join(done.select(*key).distinct().withColumn("_done", F.lit(True)), key, "left")
+def coverage(scope: DataFrame, done: DataFrame, key: list[str], by: list[str], rows: int = 0) -> DataFrame:
+    """windows and the share of the whole scope that is done, rounded to 4 places. rows: about how large the scope is, so that tasks' shares don't grow with it."""
+    own = dealt(done.select(*key), key, rows).distinct().withColumn("_done", F.lit(True))
+    marked = dealt(scope.select(*dict.fromkeys([*key, *by])), key, rows).join(own, key, "left")
     return marked.groupBy(*by).agg(F.count_if("_done").alias("windows"), F.round(F.count_if("_done") / F.count("*"), 4).alias("coverage"))
 
 

@@ -146,7 +146,7 @@ def answer_distribution(spark, d):
 @query(f"WITH {W} SELECT dataset, count(*) FILTER (score > 0.02) AS windows, round(count(*) FILTER (score > 0.02) / count(*), 4) AS coverage FROM w GROUP BY dataset")
 def coverage(spark, d):
     w = windows(spark, d)
-    return metrics.coverage(w, w.where("score > 0.02"), KEY, ["dataset"])
+    return metrics.coverage(w, w.where("score > 0.02"), KEY, ["dataset"], rows=read(spark, d, "lineitem").count())
 
 
 SETS = """l AS (SELECT dataset, recording, bool_or(truth = 'A') AS a, bool_or(truth = 'N') AS n, bool_or(truth = 'R') AS r, max(quantity) > 48 AS q FROM w GROUP BY ALL)"""
