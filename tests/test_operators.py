@@ -487,6 +487,29 @@ def test_dealt_parts_follow_the_rows(spark):
     assert ranks.dealt(df, ["k"], ranks.ROWS).rdd.getNumPartitions() == df.rdd.getNumPartitions()
 
 
+def test_a_long_table_of_answers_is_several_files_in_order(spark, tmp_path, monkeypatch):
+    """No task sorts a whole name; lines keep their order over the files, and the first of a key still counts."""
+    from tidewell.operators import ranks
+
+    monkeypatch.setattr(ranks, "ROWS", 50)
+    rows = [(f"eval-{i % 2}", i % 70, 1 + i % 3, f'{999 - i:03d}, "x"') for i in range(600)]
+    df = spark.createDataFrame(rows, "name string, path long, model int, answer string")
+    writers.numbered_files(df, f"{tmp_path}/parts", "name", ["answer", "path"], ["path", "model", "answer"], f"{tmp_path}/files", len(rows))
+    files = {n: sorted((tmp_path / "files").glob(f"{n}-*.csv")) for n in ("eval-0", "eval-1")}
+    assert all(len(own) > 3 for own in files.values())
+    heads = {f.read_text().splitlines()[0] for own in files.values() for f in own}
+    assert heads == {"path,model,answer"}
+    for name, own in files.items():
+        lines = [line.split(",", 2)[2] for f in own for line in f.read_text().splitlines()[1:]]
+        assert len(lines) == 300 and lines == sorted(lines), name
+    want = {}
+    for name, path, model, answer in sorted(rows, key=lambda r: (r[0], r[3])):
+        want.setdefault((path, model), answer)
+    got = readers.first_rows(spark, f"{tmp_path}/files/eval-*.csv", "path bigint, model int, answer string", ["path", "model"], len(rows))
+    assert values(got) == sorted((*k, v) for k, v in want.items())
+    assert got.rdd.getNumPartitions() == 12
+
+
 def test_answers_move_once_and_ties_go_to_the_first_path(spark):
     from tidewell.operators import ranks
 

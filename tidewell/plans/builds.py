@@ -128,13 +128,12 @@ def background_report(spark, d):
 
 @query("SELECT l_orderkey AS path, l_linenumber AS model, CAST(arg_min(l_partkey, (l_suppkey % 5, l_partkey, l_suppkey)) AS VARCHAR) AS answer FROM lineitem GROUP BY ALL")
 def eval_union(spark, d):
-    """Five files of answers, some to the same windows: the first by file and line counts."""
-    path = new_folder(spark)
-    l = read(spark, d, "lineitem").withColumn("file", F.col("l_suppkey") % 5)
-    lines = l.select(F.concat(F.lit("eval-"), F.col("file").cast("string")).alias("name"), F.lit(1).alias("head"), "l_partkey", "l_suppkey", F.concat_ws(",", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("value"))
-    heads = spark.range(5).select(F.concat(F.lit("eval-"), F.col("id").cast("string")).alias("name"), F.lit(0).alias("head"), F.lit(0).cast("long").alias("l_partkey"), F.lit(0).cast("long").alias("l_suppkey"), F.lit("path,model,answer").alias("value"))
-    writers.named_files(lines.unionByName(heads), f"{path}/parts", "name", ["head", "l_partkey", "l_suppkey"], "value", f"{path}/files", ".csv")
-    return readers.first_rows(spark, f"{path}/files/eval-*.csv", "path bigint, model int, answer string", ["path", "model"])
+    """Five tables of answers in numbered files, some to the same windows: the first by file and line counts."""
+    path, l = new_folder(spark), read(spark, d, "lineitem")
+    n, file = l.count(), F.concat(F.lit("eval-"), (F.col("l_suppkey") % 5).cast("string"))  # counting reads footers alone
+    lines = l.select(file.alias("name"), F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("model"), F.col("l_partkey").alias("answer"), "l_suppkey")
+    writers.numbered_files(lines, f"{path}/parts", "name", ["answer", "l_suppkey", "path", "model"], ["path", "model", "answer"], f"{path}/files", n)
+    return readers.first_rows(spark, f"{path}/files/eval-*.csv", "path bigint, model int, answer string", ["path", "model"], n)
 
 
 def _nation_files(spark, d, name, where: str, value) -> str:

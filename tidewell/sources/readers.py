@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators.ranks import dealt
+
 ANNOTATIONS = "channel string, start_time double, stop_time double, label string"
 
 
@@ -84,14 +86,14 @@ def hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", F.md5("content").alias("md5"))
 
 
-def first_rows(spark: SparkSession, path: str, schema: str, key: list[str]) -> DataFrame:
-    """Rows of all files that the wildcard names, in the order of the files' names and their lines: the first of each key."""
+def first_rows(spark: SparkSession, path: str, schema: str, key: list[str], rows: int = 0) -> DataFrame:
+    """Rows of all files that the wildcard names, in the order of the files' names and their lines: the first of each key. rows: about how many there are, so that tasks' shares don't grow with them."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    rows = csv(spark, path, schema)
-    rows = rows.withColumn("_at", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")))
-    others = [c for c in rows.columns if c not in (*key, "_at")]
-    return rows.groupBy(*key).agg(F.min_by(F.struct(*others), "_at").alias("_r")).select(*key, "_r.*")
+    lines = csv(spark, path, schema)
+    lines = lines.withColumn("_at", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")))
+    others = [c for c in lines.columns if c not in (*key, "_at")]
+    return dealt(lines, key, rows).groupBy(*key).agg(F.min_by(F.struct(*others), "_at").alias("_r")).select(*key, "_r.*")
 
 
 def by_file_name(spark: SparkSession, path: str, schema: str, models: DataFrame, ending: str = ".csv") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import one_line
+from tidewell.operators import ranks
 
 
 def append(df: DataFrame, path: str, fields: list[str], partition: list[str] | None = None) -> None:
@@ -82,12 +83,23 @@ def fingerprint(df: DataFrame, columns: list[str], by: list[str] | None = None)
 def named_files(df: DataFrame, parts: str, name: str, order: list[str], line: str, to: str, ending: str, place=None) -> None:
     """A text file for each name, its lines in order: <to>/<place(name)><ending>. Tasks write below `parts`, a file a name, then each is renamed; names are few, a file is what one task can write."""
     df.select(name, *order, F.col(line).alias("_line")).repartition(name).sortWithinPartitions(name, *order).select(F.col(name).alias("_name"), "_line").write.partitionBy("_name").text(parts)
-    spark = df.sparkSession
+    _renamed(df.sparkSession, parts, lambda own, file: f"{to}/{place(own) if place else own}{ending}")
+
+
+def numbered_files(df: DataFrame, parts: str, name: str, order: list[str], fields: list[str], to: str, rows: int) -> None:
+    """CSV files with a header, their lines in order: <to>/<name>-<number>.csv, as many for a name as it takes for no task to sort more than about ranks.ROWS rows; numbers follow the order. rows: about how many rows there are."""
+    cut = df.select(name, *dict.fromkeys([*order, *fields])).repartitionByRange(max(-(-rows // ranks.ROWS), 1), name, *order).sortWithinPartitions(name, *order)
+    cut.select(F.col(name).alias("_name"), *fields).write.partitionBy("_name").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(parts)
+    _renamed(df.sparkSession, parts, lambda own, file: f"{to}/{own}-{int(file.split('-')[1]):08d}.csv")
+
+
+def _renamed(spark, parts: str, to) -> None:
+    """Each file of <parts>/_name=<name> moves to to(name, file)."""
     jvm = spark._jvm.org.apache.hadoop.fs
     fs = jvm.Path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
     for found in fs.globStatus(jvm.Path(f"{parts}/_name=*/part-*")):
         own = found.getPath().getParent().getName().split("=", 1)[1]
-        there = jvm.Path(f"{to}/{place(own) if place else own}{ending}")
+        there = jvm.Path(to(own, found.getPath().getName()))
         fs.mkdirs(there.getParent())
         if not fs.rename(found.getPath(), there):
             raise OSError(f"{there} can't be written")
