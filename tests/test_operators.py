@@ -487,6 +487,18 @@ def test_dealt_parts_follow_the_rows(spark):
     assert ranks.dealt(df, ["k"], ranks.ROWS).rdd.getNumPartitions() == df.rdd.getNumPartitions()
 
 
+def test_orders_are_dealt_by_patient(spark, monkeypatch):
+    """Parts of orders that meet customers follow the orders, too, not the session's partitions."""
+    from tidewell.operators import ranks
+    from tidewell.plans.catalogue import windows
+
+    monkeypatch.setattr(ranks, "ROWS", 50)
+    d = "/root/testdata/sf0.001"
+    n = -(-spark.read.parquet(f"{d}/orders.parquet").count() // 50)
+    plan = windows(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(rf"RepartitionByExpression \[o_custkey#\d+L?\], {n}\b", plan), plan
+
+
 def test_a_long_table_of_answers_is_several_files_in_order(spark, tmp_path, monkeypatch):
     """No task sorts a whole name; lines keep their order over the files, and the first of a key still counts."""
     from tidewell.operators import ranks

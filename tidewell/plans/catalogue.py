@@ -40,9 +40,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, d: str) -> DataFrame:
-    """Line items move once, by recording, into parts that don't grow with the table; what groups by recording then moves nothing."""
-    heads = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "c_mktsegment")
-    lines = read(spark, d, "lineitem")  # counting it reads footers alone
+    """Line items move once, by recording, and orders, by patient, into parts that don't grow with the table; what groups by recording then moves nothing."""
+    orders, lines = read(spark, d, "orders"), read(spark, d, "lineitem")  # counting them reads footers alone
+    heads = ranks.dealt(orders, ["o_custkey"], orders.count()).join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "c_mktsegment")
     joined = ranks.dealt(lines, ["l_orderkey"], lines.count()).join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
     pred = F.when(F.col("l_linestatus") == "O", "N").when(F.col("l_quantity") < 25, "A").otherwise("R")
     c = F.col
