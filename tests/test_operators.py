@@ -499,6 +499,18 @@ def test_orders_are_dealt_by_patient(spark, monkeypatch):
     assert re.search(rf"RepartitionByExpression \[o_custkey#\d+L?\], {n}\b", plan), plan
 
 
+def test_background_windows_move_once(spark):
+    """Windows that lie by recording stay there; scored ones leave, but for keys with a null, which are nobody's."""
+    rows = [(r, i, i == 3) for r in (1, 2, None) for i in range(12)]
+    df = spark.createDataFrame(rows, "rec int, idx int, pos boolean").repartition(7, "rec")
+    out = curation.background_windows(df, df.where("idx NOT IN (5, 9)"), ["rec"], ["rec", "idx"], "idx", "pos")
+    assert "Exchange hashpartitioning(rec" in (plan := out._jdf.queryExecution().executedPlan().toString()) and not re.search(r"Exchange hashpartitioning\(rec#\d+, idx", plan)
+    got = sorted(((r["rec"], r["idx"], r["distance"]) for r in out.collect()), key=str)
+    assert [g for g in got if g[0]] == [(1, 5, 2), (1, 9, 6), (2, 5, 2), (2, 9, 6)]
+    quiet = [g for g in got if g[0] is None]
+    assert len(quiet) == 2 and all(d == abs(i - 3) and 0 < i < 11 and i != 3 for _, i, d in quiet)
+
+
 def test_a_long_table_of_answers_is_several_files_in_order(spark, tmp_path, monkeypatch):
     """No task sorts a whole name; lines keep their order over the files, and the first of a key still counts."""
     from tidewell.operators import ranks

@@ -156,8 +156,11 @@ def background_windows(df: DataFrame, scored: DataFrame, by: list[str], key: lis
     w = Window.partitionBy(*by)
     inner = df.withColumn("_low", F.min(at).over(w)).withColumn("_high", F.max(at).over(w))
     near = nearest_event(inner, by, at, F.col(event)).where(~F.col(event) & (F.col(at) > F.col("_low")) & (F.col(at) < F.col("_high"))).drop("_low", "_high")
-    left = near.join(scored.select(*key).distinct(), key, "left_anti").withColumn("_hash", shuffled(seed, *(F.col(k) for k in key)))
-    return one_of_each_half(left, by, [at, *key], ["_hash", *key]).drop("_hash")
+    # scored ones lie beside the others of their recording: a join by key would move all windows again
+    both = near.withColumn("_scored", F.lit(False)).unionByName(scored.select(*key, F.lit(True).alias("_scored")), allowMissingColumns=True)
+    seen = F.bool_or("_scored").over(Window.partitionBy(*key)) & ~F.array_contains(F.array(*(F.col(k).isNull() for k in key)), True)
+    left = both.withColumn("_seen", seen).where(~F.col("_scored") & ~F.col("_seen")).drop("_scored", "_seen")
+    return one_of_each_half(left.withColumn("_hash", shuffled(seed, *(F.col(k) for k in key))), by, [at, *key], ["_hash", *key]).drop("_hash")
 
 
 def held_out(every: DataFrame, used: DataFrame, patient: str) -> DataFrame:
